@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, pii, sentencepiece_codec, token_files
+from . import chat_format, exact_dedup, pii, sentencepiece_codec, token_files, url_filter
 from .common import table
 
 
@@ -17,6 +17,15 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = chat_format.with_probe(table(spark, sf_dir, "conversations"))
+    return chat_format.digests(chat_format.format_conversations(rows, tokenizer_path("byte_bpe_50k.json")))
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.digests(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
@@ -34,7 +43,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_sentencepiece, op6_pii, op7_token_files, op8_exact_dedup)}
+    return {f.__name__: f for f in (op2_chat_format, op4_url_filter, op5_sentencepiece, op6_pii, op7_token_files, op8_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
