@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, exact_dedup, pii, sentencepiece_codec, token_files, url_filter
+from . import chat_format, exact_dedup, mixing, pii, sentencepiece_codec, token_files, url_filter
 from .common import table
 
 
@@ -42,9 +42,13 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.report(table(spark, sf_dir, "documents"))
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_chat_format, op4_url_filter, op5_sentencepiece, op6_pii, op7_token_files, op8_exact_dedup)}
+    return {f.__name__: f for f in (op2_chat_format, op4_url_filter, op5_sentencepiece, op6_pii, op7_token_files, op8_exact_dedup, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": exact_dedup.SQL}
+    return {"op8_exact_dedup": exact_dedup.SQL, "op10_mixing": mixing.SQL}
