@@ -37,6 +37,18 @@ WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?[^\s\w]+| ?_+(?:
 SAFE = re.compile("[\t\n\r\x20-\x7e\xa1-\xa9\xab-\xb1\xb4\xb6-\xb8\xbb\xbf-ɏ]*")
 
 
+class _Words(dict):
+    """Numbers for words, given on first sight; ``new`` gathers the words that still lack ids."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = at = len(self)
+        self.new.append(word)
+        return at
+
+
 class Encoder:
     """Ids by the tokenizers library. In plain texts each distinct pre-token is encoded once; other texts go to the library whole."""
 
@@ -46,19 +58,32 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.cache: dict[str, np.ndarray] = {}
+        self._reset()
+
+    def _reset(self) -> None:
+        self.words, self.ids, self.starts = _Words(), np.empty(0, "<u4"), np.zeros(1, np.int64)
+
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        whole = [SAFE.fullmatch(t) is None or "_" in t or any(s in t for s in self.special) for t in texts]
-        words = [None if w else WORD.findall(t) for t, w in zip(texts, whole, strict=True)]
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        new = sorted({x for ws in words if ws for x in ws}.difference(self.cache))
-        for x, e in zip(new, self.library.encode_batch(new, add_special_tokens=False), strict=True):
-            self.cache[x] = np.array(e.ids, "<u4")
-        rest = iter(self.library.encode_batch([t for t, w in zip(texts, whole, strict=True) if w], add_special_tokens=False))
-        get = self.cache.__getitem__
-        return [np.array(next(rest).ids, "<u4") if ws is None else np.concatenate([*map(get, ws), np.empty(0, "<u4")]) for ws in words]
+        if len(self.words) > CACHE_WORDS:
+            self._reset()
+        plain = [SAFE.fullmatch(t) is not None and "_" not in t and not any(s in t for s in self.special) for t in texts]
+        get = self.words.__getitem__
+        found = [np.fromiter(map(get, ws), np.int64, len(ws)) for ws in (WORD.findall(t) for t, p in zip(texts, plain, strict=True) if p)]
+        if self.words.new:
+            own = self._whole(self.words.new)
+            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum([len(x) for x in own])])
+            self.ids = np.concatenate([self.ids, *own])
+            self.words.new.clear()
+        at = np.concatenate([*found, np.empty(0, np.int64)])
+        size = self.starts[at + 1] - self.starts[at]
+        total = np.r_[0, np.cumsum(size)]
+        flat = self.ids[np.arange(total[-1]) + np.repeat(self.starts[at] - total[:-1], size)]
+        bounds = total[np.cumsum([len(x) for x in found], dtype=np.int64)] if found else total[:0]
+        quick, rest = iter(np.split(flat, bounds[:-1])), iter(self._whole([t for t, p in zip(texts, plain, strict=True) if not p]))
+        return [next(quick) if p else next(rest) for p in plain]
 
 
 @lru_cache(2)
@@ -78,7 +103,10 @@ def train_dictionary(rows: DataFrame, path: str, end_id: int) -> bytes:
     """A shared dictionary from a bounded sample of documents; empty where there is too little to learn from."""
     import zstandard
 
-    sample = rows.orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(TRAINING_DOCS).collect()
+    # The threshold first, from hashes alone: no task sends texts that are not used.
+    keyed = rows.withColumn("key", F.xxhash64("doc_id", "text"))
+    last = keyed.select("key").orderBy("key").limit(TRAINING_DOCS).agg(F.max("key")).first()[0]
+    sample = keyed.filter(F.col("key") <= F.lit(last)).limit(TRAINING_DOCS).collect() if last is not None else []
     ids = [np.append(x, end_id) for x in encoder(path)([r.text or "" for r in sample])]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, [planes(x) for x in ids if len(x) > 8]).as_bytes()
