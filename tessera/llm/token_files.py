@@ -30,6 +30,8 @@ VERSION = 1
 TRAINING_DOCS, DICTIONARY_BYTES = 500, 64 << 10
 SEGMENT_BYTES = 4 << 20
 CACHE_WORDS = 400_000
+#: New words encoded in one call.
+JOINED = 100
 SCHEMA = "version int, dictionary string, doc_ids array<{kind}>, counts array<long>, index binary, frames binary, first_id {kind}, last_id {kind}, part int, seq int, seen long"
 
 #: The byte-level pre-tokenizer's pattern, for texts of SAFE characters only, in which Python's classes equal those of the tokenizer.
@@ -58,6 +60,9 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        # Tokens that begin with a blank: of words that begin with one and hold no other, each starts with such a token.
+        self.blank = np.zeros(self.library.get_vocab_size(), bool)
+        self.blank[[i for t, i in self.library.get_vocab().items() if t.startswith("Ġ")]] = True
         self._reset()
 
     def _reset(self) -> None:
@@ -66,6 +71,22 @@ class Encoder:
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _each(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words and their numbers. Blank-led words are encoded JOINED at a time and told apart by their first tokens."""
+        joined = np.fromiter((w[0] == " " and w[1:].isalpha() for w in words), bool, len(words))
+        led = [w for w, j in zip(words, joined, strict=True) if j]
+        flat = np.concatenate([*self._whole(["".join(led[i : i + JOINED]) for i in range(0, len(led), JOINED)]), np.empty(0, "<u4")])
+        first = np.flatnonzero(self.blank[flat])
+        if len(first) != len(led):
+            raise ValueError("a word of letters does not start with one blank-led token")
+        rest = self._whole([w for w, j in zip(words, joined, strict=True) if not j])
+        sizes = np.empty(len(words), np.int64)
+        sizes[joined], sizes[~joined] = np.diff(np.r_[first, len(flat)]), [len(x) for x in rest]
+        out = np.empty(int(sizes.sum()), "<u4")
+        of_led = np.repeat(joined, sizes)
+        out[of_led], out[~of_led] = flat, np.concatenate([*rest, np.empty(0, "<u4")])
+        return out, sizes
+
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.words) > CACHE_WORDS:
             self._reset()
@@ -73,9 +94,9 @@ class Encoder:
         get = self.words.__getitem__
         found = [np.fromiter(map(get, ws), np.int64, len(ws)) for ws in (WORD.findall(t) for t, p in zip(texts, plain, strict=True) if p)]
         if self.words.new:
-            own = self._whole(self.words.new)
-            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum([len(x) for x in own])])
-            self.ids = np.concatenate([self.ids, *own])
+            ids, sizes = self._each(self.words.new)
+            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
+            self.ids = np.concatenate([self.ids, ids])
             self.words.new.clear()
         at = np.concatenate([*found, np.empty(0, np.int64)])
         size = self.starts[at + 1] - self.starts[at]
