@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, exact_dedup, mixing, pii, sentencepiece_codec, token_files, url_filter
+from . import chat_format, exact_dedup, mixing, pii, quality, sentencepiece_codec, token_files, url_filter
 from .common import table
 
 
@@ -22,6 +22,10 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(chat_format.format_conversations(rows, tokenizer_path("byte_bpe_50k.json")))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
@@ -47,7 +51,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_chat_format, op4_url_filter, op5_sentencepiece, op6_pii, op7_token_files, op8_exact_dedup, op10_mixing)}
+    return {f.__name__: f for f in (op2_chat_format, op3_quality, op4_url_filter, op5_sentencepiece, op6_pii, op7_token_files, op8_exact_dedup, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
