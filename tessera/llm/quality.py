@@ -35,7 +35,7 @@ ORDER = 4
 CHUNK_CHARS = 64_000_000
 SHRINK = 200.0
 #: The share of trusted documents below the threshold.
-QUANTILE = 0.997
+QUANTILE = 0.9995
 BOS, EOS, NUL = 0xEFFE, 0xEFFD, 0xEFFF
 _SEEN_BITS = 20
 
