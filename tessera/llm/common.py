@@ -85,3 +85,15 @@ def probe(df: DataFrame, bits: DataFrame, cells: tuple[Column, ...], into: str)
 
 def quoted(name: str) -> Column:
     return F.col(f"`{name}`")
+
+
+def without(docs: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id is not in ``ids`` (one column, stored): only rows that a bit table lets pass are joined, the others stay where they are."""
+    ids = ids.toDF("id").filter("id IS NOT NULL").distinct()
+    cells = cell_count(ids.count())
+    hashed = F.xxhash64("id")
+    bits = bit_table(ids.select(F.explode(F.array(*bit_cells(hashed, cells))).alias("cell")))
+    rows = docs.select(quoted(id_col).alias("id"), F.struct(*(quoted(c) for c in docs.columns)).alias("row"))
+    probed = probe(rows, bits, bit_cells(hashed, cells), "maybe")
+    sure = probed.filter("id IS NULL OR NOT maybe").select("row.*")
+    return sure.unionByName(probed.filter("id IS NOT NULL AND maybe").join(ids, "id", "left_anti").select("row.*"))

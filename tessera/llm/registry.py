@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, exact_dedup, mixing, pii, quality, sentencepiece_codec, token_files, url_filter
+from . import chat_format, exact_dedup, jaccard_join, mixing, pii, quality, sentencepiece_codec, token_files, url_filter
 from .common import table
 
 
@@ -46,12 +46,16 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.report(table(spark, sf_dir, "documents"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.links(table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_chat_format, op3_quality, op4_url_filter, op5_sentencepiece, op6_pii, op7_token_files, op8_exact_dedup, op10_mixing)}
+    return {f.__name__: f for f in (op2_chat_format, op3_quality, op4_url_filter, op5_sentencepiece, op6_pii, op7_token_files, op8_exact_dedup, op9_jaccard_join, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
