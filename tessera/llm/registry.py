@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, exact_dedup, jaccard_join, mixing, pii, quality, sentencepiece_codec, token_files, url_filter
+from . import chat_format, exact_dedup, jaccard_join, mixing, neighbours, pii, quality, sentencepiece_codec, token_files, url_filter
 from .common import table
 
 
@@ -17,6 +17,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = chat_format.with_probe(table(spark, sf_dir, "conversations"))
     return chat_format.digests(chat_format.format_conversations(rows, tokenizer_path("byte_bpe_50k.json")))
@@ -55,7 +59,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_chat_format, op3_quality, op4_url_filter, op5_sentencepiece, op6_pii, op7_token_files, op8_exact_dedup, op9_jaccard_join, op10_mixing)}
+    return {f.__name__: f for f in (op1_neighbours, op2_chat_format, op3_quality, op4_url_filter, op5_sentencepiece, op6_pii, op7_token_files, op8_exact_dedup, op9_jaccard_join, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
