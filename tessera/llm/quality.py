@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import _parse_datatype_string
 
-from .common import partitions, quoted, small_batches, stored
+from .common import partitions, quoted, small_batches, stored, without
 
 ORDER = 4
 #: Characters a chunk: its packs, its distinct n-grams and their probabilities fit a small worker.
@@ -323,6 +323,6 @@ def _joined(rows: DataFrame, by_lang: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of ``docs`` that are not rejected, with all their columns."""
-    bad = score(docs, labels, id_col, text_col, lang_col).filter("NOT kept").select(F.col("doc_id").alias("__bad"), F.col("lang").alias("__bad_lang")).distinct()
-    return docs.join(bad, (quoted(id_col) == F.col("__bad")) & quoted(lang_col).eqNullSafe(F.col("__bad_lang")), "left_anti")
+    """The rows of ``docs`` that are not rejected, with all their columns. An id goes when all its rows are rejected; rows without id stay."""
+    judged = score(docs, labels, id_col, text_col, lang_col).groupBy("doc_id").agg(F.max("kept").alias("kept"))
+    return without(docs, id_col, stored(judged.filter("NOT kept").select("doc_id"), "rejected"))

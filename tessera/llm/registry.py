@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from . import chat_format, exact_dedup, jaccard_join, mixing, neighbours, pii, quality, sentencepiece_codec, token_files, url_filter
@@ -58,9 +59,27 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_neighbours, op2_chat_format, op3_quality, op4_url_filter, op5_sentencepiece, op6_pii, op7_token_files, op8_exact_dedup, op9_jaccard_join, op10_mixing)}
+    ops = (
+        op1_neighbours,
+        op2_chat_format,
+        op3_quality,
+        op4_url_filter,
+        op5_sentencepiece,
+        op6_pii,
+        op7_token_files,
+        op8_exact_dedup,
+        op9_jaccard_join,
+        op10_mixing,
+        pipeline,
+    )
+    return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": exact_dedup.SQL, "op10_mixing": mixing.SQL}
+    sql = {"op8_exact_dedup": exact_dedup.SQL, "op10_mixing": mixing.SQL}
+    return sql | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
