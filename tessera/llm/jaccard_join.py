@@ -9,8 +9,10 @@ one-deletion segments where sets are so small that exact segments would often be
 segments as long as they do not outweigh the slack, so no bucket of all "empty" sets arises.
 
 Equal sets are one class from the start. Signatures travel as sorted, compressed blocks and meet by key range; only keys that two classes share
-come out. Candidates are verified exactly on the whole sets, in two rounds: first each class against its most popular neighbour, then, across the
-components found so far, every remaining candidate pair. Pairs inside one component need no check, and no link between components is lost.
+come out. Candidates are verified exactly on the whole sets, in two rounds: first each class against its most popular neighbour, then the
+candidate pairs across the components found so far. Pairs inside one component need no check, and no link between components is lost. Before a
+pair of the second round is even a row, parity sketches are compared inside the key: every token flips one bit of its set's sketch, so bits that
+differ are at most the symmetric difference, and a pair with too many cannot link. Keys with many members are compared in blocks.
 
 Words and sets: A-Z lower-cased, words are runs of characters other than blank and U+0009 to U+000D; a text of fewer words than a shingle is one
 shingle of its whole sequence. Shingles are compared by 64-bit hashes, sets by 128-bit hashes.
@@ -35,6 +37,8 @@ from .common import bit_cells, bit_table, cell_count, partitions, probe, quoted,
 LOW, FULL = 1, 2
 #: Signatures gathered before blocks are written, and signatures a key range is sized for.
 FLUSH, RANGE = 1_500_000, 1_000_000
+#: Members of a key that are compared in one block, and rows of open keys a task is sized for.
+BLOCK_MEMBERS, OPEN_ROWS = 2048, 50_000
 WORD_CACHE = 500_000
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -75,6 +79,12 @@ def shingles(text: str, k: int) -> np.ndarray:
     return np.unique(mix(h * _GOLD + np.uint64(width << 8)))
 
 
+def sketch(tokens: np.ndarray, bits: int) -> bytes:
+    """Parities of the tokens by bit; a sketch of twice as many bits folds to this one by XOR of its halves."""
+    at = (tokens & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
 def digest(tokens: np.ndarray) -> bytes:
     import xxhash
 
@@ -127,6 +137,10 @@ class Plan:
             slack = need
         return best[1]
 
+    def sketch_bits(self, n: int) -> int:
+        """Eight bits for each token two linked sets may differ in, 256 at least, as a power of two."""
+        return max(256, 1 << (8 * self.bound(self.band(n)) - 1).bit_length())
+
     def signatures(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(keys, LOW and FULL bits) of one set: as the smaller one in its own band, as the larger one for the band below."""
         band = self.band(len(tokens))
@@ -301,8 +315,8 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("digest", "label")
 
 
-def _sets(docs: DataFrame, rows: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(digest, tokens) of the wanted classes, from the text of one document each; the other texts do not shuffle."""
+def _sets(docs: DataFrame, rows: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words: int, plan: Plan) -> DataFrame:
+    """(digest, tokens, sketch) of the wanted classes, from the text of one document each; the other texts do not shuffle."""
     ids = rows.join(wanted, "digest", "left_semi").groupBy("digest").agg(F.min("doc_id").alias("id")).select("id").distinct()
     texts = docs.select(quoted(id_col).alias("id"), quoted(text_col).alias("text"))
     hashed = F.xxhash64("id")
@@ -315,10 +329,13 @@ def _sets(docs: DataFrame, rows: DataFrame, wanted: DataFrame, id_col: str, text
     def run(batches):
         for batch in small_batches(batches):
             sets = [shingles(t, words) for t in strings(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["digest", "tokens"])
+            sets = [s for s in sets if len(s)]
+            sketches = [sketch(s, plan.sketch_bits(len(s))) for s in sets]
+            columns = [pa.array([digest(s) for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["digest", "tokens", "sketch"])
 
-    shingled = found.mapInArrow(run, "digest binary, tokens array<long>")
-    return shingled.join(wanted, "digest", "left_semi").groupBy("digest").agg(F.any_value("tokens").alias("tokens"))
+    shingled = found.mapInArrow(run, "digest binary, tokens array<long>, sketch binary")
+    return shingled.join(wanted, "digest", "left_semi").groupBy("digest").agg(F.any_value("tokens").alias("tokens"), F.any_value("sketch").alias("sketch"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -337,7 +354,7 @@ def links(docs: DataFrame, words: int = 3, percent: int = 90, id_col: str = "doc
     signed = stored(_signed(docs, id_col, text_col, words, plan, ranges), "signed")
     rows = signed.filter("place IS NULL").select("doc_id", "n", "digest")
     members = stored(_shared_keys(signed.filter("place IS NOT NULL").select("place", *_BLOCK), ranges), "shared-keys")
-    labels = _linked(docs, rows, members, id_col, text_col, words, percent)
+    labels = _linked(docs, rows, members, id_col, text_col, words, plan)
     of = rows.filter("digest IS NOT NULL")
     of = of.join(labels, "digest", "left").select("doc_id", "n", F.coalesce("label", "digest").alias("label")) if labels is not None else of.withColumnRenamed("digest", "label")
     named = of.groupBy("label").agg(F.min("doc_id").alias("component_id"))
@@ -360,11 +377,12 @@ def make_plan(docs: DataFrame, percent: int, text_col: str) -> tuple[Plan, int]:
     return Plan(percent, sets), max(1, math.ceil(total / RANGE))
 
 
-def _linked(docs, rows, members, id_col, text_col, words, percent):
+def _linked(docs, rows, members, id_col, text_col, words, plan):
     """(digest, label) of the classes that link with another; None where no key is shared."""
     if members.isEmpty():
         return None
-    sets = stored(_sets(docs, rows, members.select("digest").distinct(), id_col, text_col, words), "sets")
+    percent = plan.percent
+    sets = stored(_sets(docs, rows, members.select("digest").distinct(), id_col, text_col, words, plan), "sets")
     # Popularity: how many places in shared keys a class sees. Near copies see their common original most.
     sizes = members.groupBy("key").agg(F.count("*").alias("g"))
     popular = members.join(sizes, "key").groupBy("digest").agg(F.sum("g").alias("popularity"))
@@ -374,20 +392,66 @@ def _linked(docs, rows, members, id_col, text_col, words, percent):
     first = first.groupBy(F.col("digest").alias("a")).agg(F.max("centre").alias("centre")).select("a", F.col("centre.digest").alias("b"))
     found = stored(_verified(first, sets, percent), "links")
     labels = components(found)
-    # Every candidate pair across components; a key whose members are all of one component has none.
+    # Keys whose members are all of one component have nothing left to find.
     placed = members.join(labels, "digest", "left").select("key", "digest", "n", "low", "full", F.coalesce("label", "digest").alias("label"))
-    split = placed.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("key")
-    open_ = stored(placed.join(split, "key", "left_semi"), "open-keys")
-    left = open_.select("key", *(F.col(c).alias(f"{c}_a") for c in ("digest", "n", "low", "full", "label")))
-    right = open_.select("key", *(F.col(c).alias(f"{c}_b") for c in ("digest", "n", "low", "full", "label")))
-    pairs = left.join(right, "key").filter("digest_a < digest_b AND label_a <> label_b AND (low_a OR low_b) AND (full_a OR full_b)")
-    pairs = pairs.filter(_compatible(F.col("n_a"), F.col("n_b"), percent)).select(F.col("digest_a").alias("a"), F.col("digest_b").alias("b")).distinct()
-    more = stored(_verified(pairs, sets, percent), "links")
+    split = placed.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("g")).filter("x <> y").select("key", "g")
+    open_ = stored(placed.join(split, "key").join(sets.select("digest", "sketch"), "digest"), "open-keys")
+    more = stored(_verified(_near_pairs(open_, percent).distinct(), sets, percent), "links")
     if more.isEmpty():
         return labels
     return components(found.unionByName(more))
 
 
+def _near_pairs(open_: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs of different components in one key whose sketches allow a link. A key of g members is compared in blocks of BLOCK_MEMBERS."""
+    sides = F.ceil(F.col("g") / BLOCK_MEMBERS).cast("int")
+    rows = open_.withColumn("sides", sides).withColumn("side", F.pmod(F.xxhash64("digest"), F.col("sides")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
+    rows = rows.select("key", F.least("side", "other").alias("s"), F.greatest("side", "other").alias("t"), "side", "digest", "n", "low", "full", "label", "sketch")
+    spark = open_.sparkSession
+    tasks = max(partitions(spark), math.ceil(open_.count() / OPEN_ROWS))
+    place = F.pmod(F.xxhash64("key", "s", "t"), F.lit(tasks)).cast("int").alias("place")
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("key", "ascending"), ("s", "ascending"), ("t", "ascending")])
+        key, s, t, side, n = (table.column(c).to_numpy() for c in ("key", "s", "t", "side", "n"))
+        low, full = (table.column(c).to_numpy(zero_copy_only=False) for c in ("low", "full"))
+        label = table.column("label").combine_chunks().dictionary_encode().indices.to_numpy()
+        names, sketches = table.column("digest").to_pylist(), table.column("sketch").to_pylist()
+        cuts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (s[1:] != s[:-1]) | (t[1:] != t[:-1]), True])
+        out = set()
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            own = np.arange(a, b)
+            if (label[own] == label[a]).all():
+                continue
+            width = min(len(sketches[i]) for i in own)
+            words = np.stack([_folded(sketches[i], width) for i in own])
+            # Rows of the key's largest component meet the others only: pairs inside it need no check.
+            main = np.bincount(label[own]).argmax()
+            left = own[label[own] != main]
+            for at in range(0, len(left), 16):
+                i = left[at : at + 16]
+                apart = np.bitwise_count(words[i - a][:, None, :] ^ words[None, :, :]).sum(-1, dtype=np.int64)
+                total = n[i][:, None] + n[own][None, :]
+                ok = (apart * (100 + percent) <= (100 - percent) * total) & (label[i][:, None] != label[own][None, :])
+                ok &= (low[i][:, None] | low[own][None, :]) & (full[i][:, None] | full[own][None, :])
+                if s[a] != t[a]:
+                    ok &= side[i][:, None] != side[own][None, :]
+                for x, y in zip(*np.nonzero(ok), strict=True):
+                    out.add(tuple(sorted((names[i[x]], names[own[y]]))))
+        pairs = sorted(out)
+        return pa.table({"a": pa.array([x for x, _ in pairs], pa.binary()), "b": pa.array([y for _, y in pairs], pa.binary())})
+
+    return rows.withColumn("place", place).groupBy("place").applyInArrow(run, "a binary, b binary")
+
+
+def _folded(sketch_: bytes, width: int) -> np.ndarray:
+    x = np.frombuffer(sketch_, np.uint64)
+    while len(x) * 8 > width:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x
+
+
 def _compatible(n, m, percent: int):
     return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 

@@ -62,6 +62,7 @@ def corpus(seed, n):
 def test_components_equal_brute_force(spark, k, percent, seed, monkeypatch):
     monkeypatch.setattr(jj, "FLUSH", 3000)
     monkeypatch.setattr(jj, "RANGE", 2000)
+    monkeypatch.setattr(jj, "BLOCK_MEMBERS", 4)
     rows = [*corpus(seed, 500), (2000, None, "x"), (2001, " \t", "x"), (2002, "The THE the" * 4000, "x"), (2003, "the the the" * 4000, "x")]
     got = jj.links(spark.createDataFrame(rows, SCHEMA).repartition(5), k, percent)
     assert sorted(map(tuple, got.collect())) == brute(rows, k, percent)
@@ -105,3 +106,27 @@ def test_chain_and_keep_one(spark):
     assert jj.keep_one(df.limit(0)).count() == 0
     nulls = spark.createDataFrame([(None, "a b c d e"), (4, "a b c d e"), (None, "x y"), (None, None)], "doc_id long, text string")
     assert jj.links(nulls).filter("component_id = 4").count() == 2
+
+
+def test_sketches_bound_the_difference_and_fold():
+    rng = np.random.default_rng(6)
+    for _ in range(300):
+        a = np.unique(rng.integers(0, 2**64, 80, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[: int(rng.integers(0, 80))], rng.integers(0, 2**64, 20, dtype=np.uint64)]))
+        apart = len(np.setxor1d(a, b))
+        x, y = jj._folded(jj.sketch(a, 1024), 64), jj._folded(jj.sketch(b, 512), 64)
+        assert np.bitwise_count(x ^ y).sum() <= apart
+        assert (jj._folded(jj.sketch(a, 1024), 32) == jj._folded(jj.sketch(a, 256), 32)).all()
+
+
+def test_group_whose_members_link_in_parts_only(spark):
+    rng = random.Random(9)
+    base = [f"b{i}" for i in range(150)]
+    rows = []
+    for i in range(250):
+        w = list(base)
+        for at in rng.sample(range(150), rng.choice([1, 2, 3, 4, 5])):
+            w[at] = f"e{i}_{at}"
+        rows.append((i, " ".join(w), "x"))
+    got = jj.links(spark.createDataFrame(rows, SCHEMA), 3, 90)
+    assert sorted(map(tuple, got.collect())) == brute(rows, 3, 90)
