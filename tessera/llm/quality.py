@@ -4,9 +4,10 @@ Trusted text is every document labelled good. Two models a language are trained,
 hash, so equal texts share a half), and every document is scored by the model of the other half: all trusted text is counted and no score is
 of text the model has seen. Thresholds are quantiles of the trusted documents' own scores, by language.
 
-Sharding: documents are packed into chunks of bounded size, and one shuffle of the packs serves the count, the request and the score stage.
-Counts of all orders, their contexts and the back-off weights are grouped and joined by (model, n-gram), never gathered on one machine; a
-chunk requests its distinct n-grams, the join answers with their probabilities, and the chunk sums them per document.
+Sharding: documents are packed into chunks of bounded size, and one shuffle of the packs serves the count, the request and the score stage. A chunk
+requests its distinct n-grams. Counts and requests are joined by shards of (model, symbol before the last): whatever the probability of an
+n-gram needs, its own count, its shorter forms and all their contexts, ends in that symbol or in it and one more, so a shard holds it whole; only
+the probabilities of single symbols and the discounts are summed over all shards. The chunk then sums its answers per document.
 
 A symbol is a code point of the Basic Multilingual Plane; others fold into the private use area. An n-gram of up to four symbols is one
 64-bit number, 16 bits a symbol, so prefix and suffix are bit operations.
@@ -37,6 +38,8 @@ SHRINK = 200.0
 #: The share of trusted documents below the threshold.
 QUANTILE = 0.9995
 BOS, EOS, NUL = 0xEFFE, 0xEFFD, 0xEFFF
+#: Chunks whose requests meet one copy of a shard: more chunks get more copies.
+SHARD_CHUNKS = 4096
 _SEEN_BITS = 20
 
 
@@ -72,21 +75,10 @@ class _Seen:
         return keys
 
 
-def _parts(keys: np.ndarray) -> np.ndarray:
-    """All n-grams and contexts that the probabilities of these 4-grams can need, distinct."""
-    out = [keys, np.zeros(1, np.uint64)]
-    for _ in range(ORDER - 1):
-        context = np.unique(keys >> np.uint64(16))
-        width = ORDER - len(out) // 2
-        keys = np.unique(keys & np.uint64((1 << 16 * width) - 1))
-        out += [context, keys]
-    return np.unique(np.concatenate(out))
-
-
 def _pack(columns: list[pa.Array], names: list[str]) -> bytes:
     sink = io.BytesIO()
     batch = pa.RecordBatch.from_arrays(columns, names)
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 5))) as w:
         w.write_batch(batch)
     return sink.getvalue()
 
@@ -153,59 +145,111 @@ def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return keys, np.bincount(inverse, np.concatenate([n for _, n in parts])).astype(np.int64)
 
 
-def _discounts(grams: DataFrame) -> DataFrame:
-    """(model, d1, d2, d3) from the counts of counts; where those are too few, fixed discounts."""
-    n = [F.sum((F.col("c") == i).cast("long")).cast("double").alias(f"n{i}") for i in range(1, 5)]
-    of = grams.groupBy("model").agg(*n)
-    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+def _place(back: int) -> Column:
+    """The symbol so many places before the last of column ``gram``."""
+    return F.shiftrightunsigned("gram", 16 * back).bitwiseAND(F.lit(0xFFFF)).cast("int")
+
+
+def discounts(n: list[int]) -> list[float]:
+    """Modified Kneser-Ney discounts from the numbers of n-grams counted once to four times; fixed ones where those are too few."""
+    y = n[0] / (n[0] + 2 * n[1]) if n[0] else 0.0
+    return [max(min(i - (i + 1) * y * n[i] / n[i - 1], i), 0.05 * i) if n[0] and n[1] and n[i - 1] else 0.5 * i for i in (1, 2, 3)]
+
+
+def _level(keys: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct k-grams that end these (k + 1)-grams, and how many of them each ends."""
+    return np.unique(keys & np.uint64((1 << 16 * k) - 1), return_counts=True)
+
+
+def _global_parts(counts: DataFrame) -> DataFrame:
+    """(model, symbol, k, n1 .. n4): of each shard the numbers of k-grams by count, and a row for each symbol that follows the shard's one."""
+
+    def run(table: pa.Table) -> pa.Table:
+        keys, c = table.column("gram").to_numpy().view(np.uint64), table.column("c").to_numpy()
+        rows = []
+        for k in range(ORDER, 1, -1):
+            rows.append((-1, k, *(int((c == i).sum()) for i in (1, 2, 3, 4))))
+            keys, c = _level(keys, c, k - 1)
+        rows += [(int(x), 1, 0, 0, 0, 0) for x in keys]
+        columns = list(zip(*rows, strict=True))
+        model = pa.array([table.column("model")[0].as_py()] * len(rows), pa.string())
+        return pa.table([model, *(pa.array(x, pa.int32()) for x in columns[:2]), *(pa.array(x, pa.int64()) for x in columns[2:])], ["model", "symbol", "k", "n1", "n2", "n3", "n4"])
+
+    shards = counts.withColumn("prev", _place(1))
+    return shards.groupBy("model", "prev").applyInArrow(run, "model string, symbol int, k int, n1 long, n2 long, n3 long, n4 long")
+
+
+def _discount_column(n: list[Column]) -> Column:
+    """The SQL form of ``discounts``, as an array."""
+    y = n[0] / (n[0] + 2 * n[1])
+    good = (n[0] > 0) & (n[1] > 0)
 
     def d(i: int) -> Column:
-        value = F.lit(float(i)) - (i + 1) * y * F.col(f"n{i + 1}") / F.col(f"n{i}")
-        good = (F.col("n1") > 0) & (F.col("n2") > 0) & (F.col(f"n{i}") > 0)
-        return F.when(good, F.greatest(F.least(value, F.lit(float(i))), F.lit(0.05 * i))).otherwise(F.lit(0.5 * i))
-
-    return of.select("model", *(d(i).alias(f"d{i}") for i in (1, 2, 3)))
-
-
-def _discount(c: Column) -> Column:
-    return F.when(c == 1, F.col("d1")).when(c == 2, F.col("d2")).otherwise(F.col("d3"))
-
-
-def language_models(counts: DataFrame) -> DataFrame:
-    """(model, gram, p, bow) for all n-grams of orders 1 to ORDER and all contexts, from the counts of order ORDER.
-
-    p: interpolated probability of the last symbol after the others (null for what is a context only); bow: weight of the shorter context's
-    probability for symbols unseen after this context (null where it is no context). The empty context is gram 0; its bow is divided by the
-    size of the vocabulary, unknown symbols included, and so is the probability of an unknown symbol.
-    """
-    grams = {ORDER: counts}
-    for k in range(ORDER - 1, 0, -1):  # continuation counts: distinct symbols to the left
-        suffix = F.col("gram").bitwiseAND(F.lit((1 << 16 * k) - 1))
-        grams[k] = grams[k + 1].groupBy("model", suffix.alias("gram")).agg(F.count("*").alias("c"))
-    probabilities, weights, lower = [], [], None
-    for k in range(1, ORDER + 1):
-        context = F.shiftrightunsigned("gram", 16) if k > 1 else F.lit(0).cast("long")
-        own = grams[k].join(_discounts(grams[k]), "model").select("model", "gram", context.alias("context"), "c", _discount(F.col("c")).alias("d"))
-        of = own.groupBy("model", "context").agg(F.sum("c").cast("double").alias("total"), F.sum("d").alias("d_sum"), F.count("*").alias("kinds"))
-        bow = of.select("model", "context", "total", (F.col("d_sum") / F.col("total") / (F.col("kinds") + 1 if k == 1 else F.lit(1))).alias("bow"))
-        own = own.join(bow, ["model", "context"]).withColumn("first", (F.col("c") - F.col("d")) / F.col("total"))
-        if k == 1:
-            lower = own.select("model", "gram", (F.col("first") + F.col("bow")).alias("p"))
-        else:
-            suffix = F.col("gram").bitwiseAND(F.lit((1 << 16 * (k - 1)) - 1))
-            shorter = lower.select("model", F.col("gram").alias("suffix"), F.col("p").alias("q"))
-            own = own.withColumn("suffix", suffix).join(shorter, ["model", "suffix"])
-            lower = own.select("model", "gram", (F.col("first") + F.col("bow") * F.col("q")).alias("p"))
-        probabilities.append(lower.select("model", "gram", "p", F.lit(None).cast("double").alias("bow")))
-        weights.append(bow.select("model", F.col("context").alias("gram"), F.lit(None).cast("double").alias("p"), "bow"))
-    rows = probabilities[0]
-    for x in (*probabilities[1:], *weights):
-        rows = rows.unionByName(x)
-    return rows.groupBy("model", "gram").agg(F.max("p").alias("p"), F.max("bow").alias("bow"))
+        value = F.lit(float(i)) - (i + 1) * y * n[i] / n[i - 1]
+        return F.when(good & (n[i - 1] > 0), F.greatest(F.least(value, F.lit(float(i))), F.lit(0.05 * i))).otherwise(F.lit(0.5 * i))
+
+    return F.array(*(d(i) for i in (1, 2, 3)))
+
+
+def _symbols_and_discounts(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((model, symbol, p), (model, unknown, d)): probabilities of single symbols, that of an unknown one, and the discounts of orders 2 to ORDER."""
+    parts = _global_parts(counts)
+    singles = parts.filter("k = 1").groupBy("model", "symbol").agg(F.count("*").alias("c"))
+    number = lambda i, of: F.sum(of.cast("long")).cast("double").alias(f"n{i}")
+    one = singles.groupBy("model").agg(F.sum("c").cast("double").alias("total"), F.count("*").alias("kinds"), *(number(i, F.col("c") == i) for i in (1, 2, 3, 4)))
+    first = _discount_column([F.col(f"n{i}") for i in (1, 2, 3, 4)])
+    one = one.select("model", "total", "kinds", "n1", "n2", first.alias("first"))
+    left = (F.col("first")[0] * F.col("n1") + F.col("first")[1] * F.col("n2") + F.col("first")[2] * (F.col("kinds") - F.col("n1") - F.col("n2"))) / F.col("total")
+    one = one.select("model", "total", "first", (left / (F.col("kinds") + 1)).alias("unknown"))
+    of = F.when(F.col("c") == 1, F.col("first")[0]).when(F.col("c") == 2, F.col("first")[1]).otherwise(F.col("first")[2])
+    p = singles.join(one, "model").select("model", "symbol", ((F.col("c") - of) / F.col("total") + F.col("unknown")).alias("p"))
+    sums = [F.sum(F.when(F.col("k") == k, F.col(f"n{i}")).otherwise(0)).cast("double").alias(f"k{k}n{i}") for k in range(2, ORDER + 1) for i in (1, 2, 3, 4)]
+    orders = parts.filter("k > 1").groupBy("model").agg(*sums)
+    d = F.concat(*(_discount_column([F.col(f"k{k}n{i}") for i in (1, 2, 3, 4)]) for k in range(2, ORDER + 1)))
+    return p, one.select("model", "unknown").join(orders.select("model", d.alias("d")), "model")
+
+
+def interpolated(asked: np.ndarray, p: np.ndarray, keys: np.ndarray, c: np.ndarray, d: list[float]) -> np.ndarray:
+    """Probabilities of the asked 4-grams' last symbols from a shard's counts; p: those of the symbols alone, d: discounts of orders 2 to ORDER."""
+    levels = {ORDER: (keys, c)}
+    for k in range(ORDER - 1, 1, -1):
+        levels[k] = _level(*levels[k + 1], k)
+    for k in range(2, ORDER + 1):
+        grams, count = levels[k]
+        off = np.array(d[3 * (k - 2) : 3 * (k - 1)])[np.minimum(count, 3) - 1]
+        contexts, of = np.unique(grams >> np.uint64(16), return_inverse=True)
+        total, left = np.bincount(of, count), np.bincount(of, off)
+        own = asked & np.uint64((1 << 16 * k) - 1)
+        context = own >> np.uint64(16)
+        at = np.minimum(np.searchsorted(contexts, context), len(contexts) - 1)
+        gram = np.minimum(np.searchsorted(grams, own), len(grams) - 1)
+        first = np.where(grams[gram] == own, count[gram] - off[gram], 0.0)
+        p = np.where(contexts[at] == context, (first + left[at] * p) / total[at], p)
+    return p
+
+
+def _answers(counts: DataFrame, requests: DataFrame, chunks: int) -> DataFrame:
+    """(chunk, model, gram, logp) for every request."""
+    symbols_, models = _symbols_and_discounts(counts)
+    copies = math.ceil(chunks / SHARD_CHUNKS)
+    asked = requests.withColumn("symbol", _place(0)).join(symbols_, ["model", "symbol"], "left").join(models.select("model", "unknown"), "model", "left")
+    asked = asked.select("chunk", "model", "gram", F.coalesce("p", "unknown", F.lit(1e-6)).alias("p"), _place(1).alias("prev"), F.pmod("chunk", F.lit(copies)).alias("copy"))
+    shards = counts.join(models.select("model", "d"), "model").select("model", "gram", "c", "d", _place(1).alias("prev"), F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy"))
+
+    def run(counted: pa.Table, wanted: pa.Table) -> pa.Table:
+        grams, p = wanted.column("gram").to_numpy().view(np.uint64), wanted.column("p").to_numpy()
+        if counted.num_rows and wanted.num_rows:
+            keys, c = counted.column("gram").to_numpy().view(np.uint64), counted.column("c").to_numpy()
+            order = np.argsort(keys)
+            p = interpolated(grams, p, keys[order], c[order], counted.column("d")[0].as_py())
+        return wanted.select(["chunk", "model", "gram"]).append_column("logp", pa.array(np.log(p)))
+
+    by = ("model", "prev", "copy")
+    return shards.groupBy(*by).cogroup(asked.groupBy(*by)).applyInArrow(run, "chunk int, model string, gram long, logp double")
 
 
 def _requests(packs: DataFrame) -> DataFrame:
-    """(chunk, model, gram): the distinct n-grams that the chunk's texts need."""
+    """(chunk, model, gram): the distinct 4-grams of the chunk's texts."""
 
     def run(packed: pa.Table) -> pa.Table:
         seen, got = {}, {}
@@ -216,7 +260,7 @@ def _requests(packs: DataFrame) -> DataFrame:
                     got.setdefault(m, []).append(np.unique(new))
                 if len(got.get(m, ())) > 64:
                     got[m] = [np.unique(np.concatenate(got[m]))]
-        done = {m: _parts(np.unique(np.concatenate(x))) for m, x in got.items()}
+        done = {m: np.unique(np.concatenate(x)) for m, x in got.items()}
         return pa.table({
             "chunk": pa.array(np.full(sum(map(len, done.values())), packed.column("chunk")[0].as_py(), np.int32)),
             "model": pa.array([m for m, k in done.items() for _ in range(len(k))], pa.string()),
@@ -226,44 +270,25 @@ def _requests(packs: DataFrame) -> DataFrame:
     return packs.groupBy("chunk").applyInArrow(run, "chunk int, model string, gram long")
 
 
-class _Model:
-    """The probabilities that a chunk was answered for one model."""
+class _Answered:
+    """The log probabilities that a chunk got for one model, behind a table of recent ones."""
 
-    def __init__(self, gram: np.ndarray, p: np.ndarray, bow: np.ndarray):
+    def __init__(self, gram: np.ndarray, logp: np.ndarray):
         order = np.argsort(gram)
-        self.gram, self.p, self.bow = gram[order], p[order], bow[order]
+        self.gram, self.logp = gram[order], logp[order]
         self.slots = np.zeros(1 << _SEEN_BITS, np.uint64)
         self.values = np.zeros(1 << _SEEN_BITS)
 
-    def _get(self, keys: np.ndarray, column: np.ndarray) -> np.ndarray:
-        if not len(self.gram):
-            return np.full(len(keys), np.nan)
-        at = np.minimum(np.searchsorted(self.gram, keys), len(self.gram) - 1)
-        return np.where(self.gram[at] == keys, column[at], np.nan)
-
-    def resolve(self, keys: np.ndarray) -> np.ndarray:
-        """Log probability of each 4-gram's last symbol, by back-off from the longest n-gram known."""
-        out, weight, open_ = np.zeros(len(keys)), np.ones(len(keys)), np.arange(len(keys))
-        for k in range(ORDER, 0, -1):
-            own = keys[open_] & np.uint64((1 << 16 * k) - 1)
-            p = self._get(own, self.p)
-            known = ~np.isnan(p)
-            out[open_[known]] = weight[open_[known]] * p[known]
-            open_, own = open_[~known], own[~known]
-            bow = self._get(own >> np.uint64(16) if k > 1 else np.zeros(len(own), np.uint64), self.bow)
-            weight[open_] *= np.where(np.isnan(bow), 1.0 if k > 1 else 1e-6, bow)
-        out[open_] = weight[open_]
-        return np.log(np.maximum(out, 1e-300))
-
     def __call__(self, keys: np.ndarray) -> np.ndarray:
         at = ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SEEN_BITS)).astype(np.int64)
         out, new = self.values[at], np.flatnonzero(self.slots[at] != keys)
         if len(new):
-            fresh, inverse = np.unique(keys[new], return_inverse=True)
-            values = self.resolve(fresh)
-            out[new] = values[inverse]
-            put = ((fresh * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SEEN_BITS)).astype(np.int64)
-            self.slots[put], self.values[put] = fresh, values
+            found = np.searchsorted(self.gram, keys[new])
+            if not (found < len(self.gram)).all() or not (self.gram[found] == keys[new]).all():
+                raise ValueError("an n-gram of the chunk was not answered")
+            out[new] = self.logp[found]
+            # Of two keys in one slot the last is written to both tables.
+            self.slots[at[new]], self.values[at[new]] = keys[new], out[new]
         return out
 
 
@@ -274,17 +299,16 @@ def _scores(packs: DataFrame, answers: DataFrame, kind: str) -> DataFrame:
         models = {}
         names = np.array(answered.column("model").to_pylist())
         gram = answered.column("gram").to_numpy().view(np.uint64)
-        p, bow = (answered.column(c).to_numpy() for c in ("p", "bow"))
+        logp = answered.column("logp").to_numpy()
         for m in np.unique(names):
             own = names == m
-            models[str(m)] = _Model(gram[own], p[own], bow[own])
+            models[str(m)] = _Answered(gram[own], logp[own])
         out = []
         for ids, of, texts in _unpacked(packed.column("pack")):
             n, nll = np.zeros(len(texts), np.int64), np.zeros(len(texts))
             for m, at, part in _by_model(of, texts):
-                model = models.get(m) or models.setdefault(m, _Model(np.empty(0, np.uint64), np.empty(0), np.empty(0)))
                 keys, starts = symbols(part)
-                n[at], nll[at] = np.diff(starts), -np.add.reduceat(model(keys), starts[:-1])
+                n[at], nll[at] = np.diff(starts), -np.add.reduceat(models[m](keys), starts[:-1])
             out.append(pa.table([ids, pa.array(of, pa.string()), pa.array(n), pa.array(nll)], ["doc_id", "model", "n", "nll"]))
         return pa.concat_tables(out) if out else pa.table({"doc_id": pa.array([], id_type), "model": pa.array([], pa.string()), "n": pa.array([], pa.int64()), "nll": pa.array([], pa.float64())})
 
@@ -301,8 +325,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     trusted = stored(labels.filter("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast(kind).alias("id")).distinct(), "trusted")
     packs = _packed(docs, id_col, text_col, lang_col, chunks)
     by_chunk = trusted.select(F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int").alias("chunk"), "id")
-    models = language_models(_counts(packs, by_chunk))
-    answers = _requests(packs).join(models, ["model", "gram"]).select("chunk", "model", "gram", "p", "bow")
+    answers = _answers(_counts(packs, by_chunk), _requests(packs), chunks)
     scored = stored(_scores(packs, answers, kind), "quality-scores")
     rows = scored.select("doc_id", F.expr("nullif(substring(model, 1, length(model) - 1), '\\u0000')").alias("lang"), F.col("n").alias("n_symbols"), "nll")
     good = rows.join(trusted.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")

@@ -2,7 +2,6 @@ import math
 import random
 from collections import Counter, defaultdict
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -100,10 +99,17 @@ def test_junk_goes_and_clean_stays(spark):
     assert quality.score(docs, frame.limit(0)).filter("NOT kept").count() == 0
 
 
-def test_requests_cover_every_part():
-    keys, _ = quality.symbols(["abcab", "", "é😀"])
-    parts = set(quality._parts(np.unique(keys)).tolist())
-    for key in keys.tolist():
-        for k in range(1, 5):
-            own = key & ((1 << 16 * k) - 1)
-            assert own in parts and own >> 16 in parts
+def test_copied_shards_give_the_same(spark, monkeypatch):
+    rows, labels = corpus()
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score string")
+    frame = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    one = {r.doc_id: r.perplexity for r in quality.score(docs, frame).collect()}
+    monkeypatch.setattr(quality, "CHUNK_CHARS", 10_000)
+    monkeypatch.setattr(quality, "SHARD_CHUNKS", 2)
+    two = {r.doc_id: r.perplexity for r in quality.score(docs, frame).collect()}
+    assert one.keys() == two.keys() and all(abs(one[i] / two[i] - 1) < 1e-9 for i in one)
+
+
+def test_discounts_agree():
+    assert quality.discounts([10, 4, 2, 1]) == pytest.approx([1 - 2 * (10 / 18) * 0.4, 2 - 3 * (10 / 18) * 0.5, 3 - 4 * (10 / 18) * 0.5])
+    assert quality.discounts([0, 0, 0, 0]) == [0.5, 1.0, 1.5]
