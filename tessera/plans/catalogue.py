@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators import combine, elements, keyed, moments, ordering, reduce, shared
+from tessera.sources import collection, range_, table
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
 
@@ -31,8 +34,13 @@ def query(sql: str | None = None):
     return keep
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def _exact(column: Column) -> Column:
+    """Decimal, so that sums do not depend on their order."""
+    return column.cast("decimal(18,4)")
+
+
+def _kv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key"), F.col("o_totalprice").alias("value"), "o_orderkey")
 
 
 @query(
@@ -48,17 +56,540 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """
 )
 def flagship_top_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
     line = table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("o_orderkey"), (F.col("l_extendedprice") * (1 - F.col("l_discount"))).cast("decimal(18,4)").alias("amount")
     )
     orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey"))
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
-    revenue = (
-        line.join(orders, "o_orderkey").join(customer, "c_custkey").groupBy("c_nationkey", "c_custkey").agg(F.sum("amount").cast("double").alias("revenue"))
+    revenue = line.join(orders, "o_orderkey").join(customer, "c_custkey").groupBy("c_nationkey", "c_custkey").agg(F.sum("amount").cast("double").alias("value"))
+    top = keyed.nlargest_by_key(revenue.withColumnRenamed("c_nationkey", "key"), 3, ties=["c_custkey"])
+    named = combine.lookup_join(top, nation.withColumnRenamed("c_nationkey", "key"), "key")
+    return named.select("n_name", "c_custkey", F.col("value").alias("revenue"), F.col("rank").alias("rn"))
+
+
+# Elements
+
+
+@query("SELECT l_orderkey, l_linenumber, CAST(CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(18,4)) AS DOUBLE) AS revenue FROM lineitem")
+def map_project(spark, sf_dir):
+    line = table(spark, sf_dir, "lineitem")
+    return elements.map_(line, "l_orderkey", "l_linenumber", _exact(F.col("l_extendedprice") * (1 - F.col("l_discount"))).cast("double").alias("revenue"))
+
+
+@query("SELECT round(l_quantity * l_tax, 4) AS value FROM lineitem")
+def starmap_columns(spark, sf_dir):
+    return elements.starmap(table(spark, sf_dir, "lineitem").select("l_quantity", "l_tax"), lambda q, t: F.round(q * t, 4))
+
+
+@query("SELECT o_orderkey * 2 + 1 AS value FROM orders")
+def map_python(spark, sf_dir):
+    return elements.map_(table(spark, sf_dir, "orders").select("o_orderkey"), lambda x: 2 * x + 1, schema="value long")
+
+
+@query("SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS e0, CAST(embedding[6] AS DOUBLE) AS e5 FROM embeddings")
+def pluck_fields(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings")
+    return v.select("vec_id", F.try_element_at("embedding", F.lit(1)).cast("double").alias("e0"), F.try_element_at("embedding", F.lit(6)).cast("double").alias("e5"))
+
+
+@query("SELECT CAST(coalesce(embedding[100], -1) AS DOUBLE) AS value FROM embeddings")
+def pluck_default(spark, sf_dir):
+    return elements.pluck(table(spark, sf_dir, "embeddings"), 99, "embedding", default=-1.0).select(F.col("value").cast("double"))
+
+
+@query("SELECT word, count(*) AS n FROM (SELECT unnest(string_split(text, ' ')) AS word FROM documents) GROUP BY word")
+def flatmap_words(spark, sf_dir):
+    words = elements.flatmap(table(spark, sf_dir, "documents").select("text"), lambda t: F.split(t, " "), name="word")
+    return words.groupBy("word").agg(F.count("*").alias("n"))
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' AND l_quantity > 30")
+def filter_predicate(spark, sf_dir):
+    line = table(spark, sf_dir, "lineitem")
+    return elements.filter_(line, (F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp_ntz")) & (F.col("l_quantity") > 30)).select("l_orderkey", "l_linenumber")
+
+
+@query("SELECT doc_id FROM labels WHERE toxic <> 0")
+def filter_truthy(spark, sf_dir):
+    return elements.filter_(table(spark, sf_dir, "labels"), column="toxic").select("doc_id")
+
+
+@query("SELECT l_discount, l_tax FROM lineitem WHERE l_discount > l_tax")
+def starfilter_two_cols(spark, sf_dir):
+    return elements.starfilter(table(spark, sf_dir, "lineitem").select("l_discount", "l_tax"), lambda d, t: d > t)
+
+
+@query("SELECT CAST(o_orderkey % 7 AS BIGINT) AS key, o_orderkey AS value FROM orders")
+def key_by_mod(spark, sf_dir):
+    return elements.key_by(table(spark, sf_dir, "orders").select("o_orderkey"), lambda x: x % 7)
+
+
+@query("SELECT c_custkey AS key, 'x' AS value FROM customer")
+def with_value_const(spark, sf_dir):
+    return elements.with_value(table(spark, sf_dir, "customer").select("c_custkey"), "x")
+
+
+@query("SELECT o_totalprice AS key, o_custkey AS value FROM orders")
+def keys_values_swap(spark, sf_dir):
+    pairs = _kv(spark, sf_dir)
+    return pairs.select(F.col("value").alias("key"), F.col("key").alias("value"))
+
+
+@query("SELECT DISTINCT o_custkey AS key FROM orders")
+def keys_distinct(spark, sf_dir):
+    return elements.keys(_kv(spark, sf_dir)).distinct()
+
+
+@query("SELECT upper(c_mktsegment) AS key, c_acctbal AS value FROM customer")
+def map_keys_upper(spark, sf_dir):
+    pairs = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("key"), F.col("c_acctbal").alias("value"))
+    return elements.map_keys(pairs, F.upper)
+
+
+@query("SELECT doc_id AS key, CAST(length(text) AS BIGINT) AS value FROM documents")
+def map_values_len(spark, sf_dir):
+    pairs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), F.col("text").alias("value"))
+    return elements.map_values(pairs, lambda v: F.length(v).cast("long"))
+
+
+@query("SELECT vec_id AS key, CAST(embedding[2] AS DOUBLE) AS value FROM embeddings")
+def pluck_values(spark, sf_dir):
+    pairs = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("key"), F.col("embedding").alias("value"))
+    return elements.pluck_values(pairs, 1).select("key", F.col("value").cast("double"))
+
+
+@query("SELECT o_custkey AS key, o_totalprice AS value FROM orders WHERE o_custkey % 10 = 3")
+def filter_bykey(spark, sf_dir):
+    return elements.filter_bykey(_kv(spark, sf_dir), lambda k: k % 10 == 3).select("key", "value")
+
+
+@query("SELECT o_custkey AS key, o_totalprice AS value FROM orders WHERE o_totalprice > 200000")
+def filter_byvalue(spark, sf_dir):
+    return elements.filter_byvalue(_kv(spark, sf_dir), lambda v: v > 200000).select("key", "value")
+
+
+@query("SELECT CAST(x AS DOUBLE) AS value FROM (SELECT unnest(embedding) AS x FROM embeddings)")
+def flatmap_values(spark, sf_dir):
+    pairs = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("key"), F.col("embedding").alias("value"))
+    return elements.flatmap_values(pairs).select(F.col("value").cast("double"))
+
+
+@query("SELECT CAST(row_number() OVER (ORDER BY o_orderkey) - 1 AS BIGINT) AS key, o_orderkey AS value FROM orders")
+def key_by_idx_ordered(spark, sf_dir):
+    return elements.key_by_idx(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey")
+
+
+@query("SELECT count(*) AS ids, count(*) AS rows FROM orders")
+def key_by_id_unique(spark, sf_dir):
+    return elements.key_by_id(table(spark, sf_dir, "orders").select("o_orderkey")).agg(F.count_distinct("key").alias("ids"), F.count("*").alias("rows"))
+
+
+@query("SELECT r_name, r_regionkey, CAST(r_regionkey * 10 AS BIGINT) AS a, upper(r_name) AS b FROM region")
+def assign_columns(spark, sf_dir):
+    return elements.assign(table(spark, sf_dir, "region"), b=F.upper("r_name"), a=(F.col("r_regionkey") * 10).cast("long"))
+
+
+@query("SELECT count(*) AS n FROM events")
+def glom_sizes(spark, sf_dir):
+    return elements.glom(table(spark, sf_dir, "events").select("event_id")).agg(F.sum(F.size("values")).alias("n"))
+
+
+@query("SELECT CAST(sum(length(n_name) + 1) AS BIGINT) AS n FROM nation")
+def concat_lengths(spark, sf_dir):
+    return elements.concat(table(spark, sf_dir, "nation"), "n_name", "|").agg(F.sum(F.length("value")).alias("n"))
+
+
+@query("SELECT count(*) AS n, CAST(sum(value) AS DOUBLE) AS total FROM (SELECT CAST(value AS DECIMAL(18,4)) AS value FROM events)")
+def map_partitions_pandas(spark, sf_dir):
+    def partial(frames):
+        for f in frames:
+            yield f.assign(value=f["value"])
+
+    return elements.map_partitions(table(spark, sf_dir, "events").select("value"), partial, "value double").agg(
+        F.count("*").alias("n"), F.sum(_exact(F.col("value"))).cast("double").alias("total")
     )
-    best = Window.partitionBy("c_nationkey").orderBy(F.desc("revenue"), F.asc("c_custkey"))
-    top = revenue.withColumn("rn", F.row_number().over(best).cast("long")).filter("rn <= 3")
-    return top.join(nation, "c_nationkey").select("n_name", "c_custkey", "revenue", "rn")
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def parse_json_props(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+
+
+@query("SELECT CAST(id AS BIGINT) AS id FROM range(5, 1000, 3) t(id)")
+def range_source(spark, sf_dir):
+    return range_(spark, 5, 1000, 3, 7)
+
+
+@query("SELECT CAST(i AS BIGINT) AS key, chr(CAST(97 + i AS INT)) AS value FROM range(26) t(i)")
+def collection_source(spark, sf_dir):
+    return collection(spark, {i: chr(97 + i) for i in range(26)}, "key long, value string", pcount=4)
+
+
+# Reductions
+
+
+@query("SELECT count(*) AS n FROM lineitem")
+def count_all(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").agg(F.count("*").alias("n"))
+
+
+@query("SELECT CAST(sum(CAST(l_extendedprice AS DECIMAL(18,4))) AS DOUBLE) AS total FROM lineitem")
+def sum_all(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").agg(F.sum(_exact(F.col("l_extendedprice"))).cast("double").alias("total"))
+
+
+@query("SELECT round(CAST(sum(CAST(value AS DECIMAL(18,4))) AS DOUBLE) / count(value), 6) AS mean FROM events")
+def mean_all(spark, sf_dir):
+    return table(spark, sf_dir, "events").agg(F.round(F.sum(_exact(F.col("value"))).cast("double") / F.count("value"), 6).alias("mean"))
+
+
+@query("SELECT min(l_shipdate) AS lo, max(l_shipdate) AS hi, min(l_quantity) AS qlo, max(l_quantity) AS qhi FROM lineitem")
+def min_max_all(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").agg(F.min("l_shipdate").alias("lo"), F.max("l_shipdate").alias("hi"), F.min("l_quantity").alias("qlo"), F.max("l_quantity").alias("qhi"))
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey DESC LIMIT 1")
+def max_by_key(spark, sf_dir):
+    best = F.max_by(F.struct("o_orderkey", "o_totalprice"), F.struct("o_totalprice", "o_orderkey"))
+    return table(spark, sf_dir, "orders").agg(best.alias("r")).select("r.*")
+
+
+_MOMENTS = """
+SELECT {by} count(x) AS count, round(avg(x), 6) AS mean, min(x) AS min, max(x) AS max, round(var_pop(x), 4) AS variance, round(stddev_pop(x), 5) AS stdev,
+  round(var_samp(x), 4) AS sample_variance, round(stddev_samp(x), 5) AS sample_stdev,
+  round((avg(x*x*x) - 3*avg(x)*avg(x*x) + 2*avg(x)*avg(x)*avg(x)) / pow(var_pop(x), 1.5), 4) AS skew, round(kurtosis_pop(x), 4) AS kurtosis
+FROM {rows} {group}
+"""
+
+
+def _rounded(df: DataFrame, *keys: str) -> DataFrame:
+    digits = {"mean": 6, "variance": 4, "stdev": 5, "sample_variance": 4, "sample_stdev": 5, "skew": 4, "kurtosis": 4}
+    return df.select(*keys, "count", "min", "max", *(F.round(c, d).alias(c) for c, d in digits.items()))
+
+
+@query(_MOMENTS.format(by="", rows="(SELECT value AS x FROM events)", group=""))
+def stats_moments(spark, sf_dir):
+    return _rounded(moments.stats(table(spark, sf_dir, "events"), "value"))
+
+
+@query(_MOMENTS.format(by="event_type,", rows="(SELECT event_type, value AS x FROM events)", group="GROUP BY event_type"))
+def stats_by_group(spark, sf_dir):
+    return _rounded(moments.stats(table(spark, sf_dir, "events"), "value", ["event_type"]), "event_type")
+
+
+@query(
+    """
+    SELECT CAST(pos - 1 AS INT) AS pos, count(*) AS count, round(avg(x), 6) AS mean, min(x) AS min, max(x) AS max, round(var_pop(x), 6) AS variance
+    FROM (SELECT CAST(unnest(embedding) AS DOUBLE) AS x, unnest(range(1, len(embedding) + 1)) AS pos FROM embeddings) GROUP BY pos
+    """
+)
+def mvstats_embeddings(spark, sf_dir):
+    made = moments.mvstats(table(spark, sf_dir, "embeddings"), "embedding")
+    return made.select("pos", "count", F.round("mean", 6).alias("mean"), "min", "max", F.round("variance", 6).alias("variance"))
+
+
+@query(
+    """
+    WITH e AS (SELECT min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM lineitem),
+    c AS (SELECT CAST(least(floor((l_extendedprice - lo) / ((hi - lo) / 20)), 19) AS INT) AS bin, count(*) AS n FROM lineitem, e GROUP BY 1)
+    SELECT CAST(i AS INT) AS bin, coalesce(n, 0) AS count FROM range(20) t(i) LEFT JOIN c ON c.bin = i
+    """
+)
+def histogram_auto(spark, sf_dir):
+    return moments.histogram(table(spark, sf_dir, "lineitem"), "l_extendedprice", 20).select("bin", "count")
+
+
+@query(
+    """
+    SELECT CAST(CASE WHEN l_quantity < 10 THEN 0 WHEN l_quantity < 25 THEN 1 WHEN l_quantity < 26 THEN 2 ELSE 3 END AS INT) AS bin, count(*) AS count
+    FROM lineitem WHERE l_quantity BETWEEN 1 AND 50 GROUP BY 1
+    """
+)
+def histogram_edges(spark, sf_dir):
+    return moments.histogram(table(spark, sf_dir, "lineitem"), "l_quantity", [1, 10, 25, 26, 50]).select("bin", "count")
+
+
+@query("SELECT count(DISTINCT l_partkey) AS n FROM lineitem")
+def count_distinct_exact(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").agg(F.count_distinct("l_partkey").alias("n"))
+
+
+@query("SELECT true AS within")
+def count_distinct_approx(spark, sf_dir):
+    keys = table(spark, sf_dir, "lineitem")
+    got = keys.agg(F.approx_count_distinct("l_partkey", 0.05).alias("a"), F.count_distinct("l_partkey").alias("n"))
+    return got.select((F.abs(F.col("a") - F.col("n")) <= 4 * 0.05 * F.col("n")).alias("within"))
+
+
+@query("SELECT l_returnflag AS value, count(*) AS count FROM lineitem GROUP BY 1")
+def count_by_value(spark, sf_dir):
+    return reduce.count_by_value(table(spark, sf_dir, "lineitem"), "l_returnflag")
+
+
+@query("SELECT CAST(sum(CAST(l_extendedprice AS DECIMAL(18,4))) AS DOUBLE) AS total FROM lineitem")
+def tree_reduce_sum(spark, sf_dir):
+    line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    return reduce.tree_sum(line, _exact(F.col("l_extendedprice"))).select(F.col("total").cast("double"))
+
+
+# Keyed
+
+
+@query("SELECT o_custkey AS key, count(*) AS n FROM orders GROUP BY 1")
+def group_by_sizes(spark, sf_dir):
+    return keyed.group_by(table(spark, sf_dir, "orders"), "o_custkey").select("key", F.size("values").cast("long").alias("n"))
+
+
+@query("SELECT n_regionkey AS key, string_agg(n_name, ',' ORDER BY n_name) AS names FROM nation GROUP BY 1")
+def group_by_key_sorted(spark, sf_dir):
+    pairs = table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("key"), F.col("n_name").alias("value"))
+    return keyed.group_by_key(pairs, order=True).select("key", F.array_join("values", ",").alias("names"))
+
+
+@query("SELECT o_custkey AS key, CAST(sum(CAST(o_totalprice AS DECIMAL(18,4))) AS DOUBLE) AS value FROM orders GROUP BY 1")
+def aggregate_by_key_sum(spark, sf_dir):
+    return keyed.aggregate_by_key(_kv(spark, sf_dir), F.sum(_exact(F.col("value"))).cast("double"))
+
+
+@query("SELECT event_type AS key, count(*) AS n, max(event_id) AS top FROM events GROUP BY 1")
+def aggregate_by_key_pandas(spark, sf_dir):
+    def local(f):
+        return f.groupby("key", as_index=False).agg(n=("n", "sum"), top=("top", "max"))
+
+    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("key"), F.lit(1).cast("long").alias("n"), F.col("event_id").alias("top"))
+    return keyed.aggregate_by_key(rows, local, schema="key string, n long, top long")
+
+
+@query("SELECT o_custkey AS key, CAST(sum(CAST(o_totalprice AS DECIMAL(18,4))) AS DOUBLE) / count(*) AS value FROM orders GROUP BY 1")
+def combine_by_key_avg(spark, sf_dir):
+    pairs = _kv(spark, sf_dir).select("key", F.col("value").cast("decimal(28,4)").alias("value"))
+    return keyed.combine_by_key(
+        pairs,
+        lambda v: F.struct(v.alias("s"), F.lit(1).cast("long").alias("n")),
+        lambda a, v: F.struct((a["s"] + v).cast("decimal(28,4)").alias("s"), (a["n"] + 1).alias("n")),
+        lambda a: a["s"].cast("double") / a["n"],
+    )
+
+
+@query("SELECT lower(word) AS key, count(*) AS value FROM (SELECT unnest(string_split(text, ' ')) AS word FROM documents) GROUP BY 1")
+def reduce_by_key_count(spark, sf_dir):
+    words = elements.flatmap(table(spark, sf_dir, "documents").select("text"), lambda t: F.split(t, " "))
+    return keyed.reduce_by_key(words.select(F.lower("value").alias("key"), F.lit(1).alias("value")), "sum")
+
+
+_TOP = """
+SELECT event_type AS key, value, event_id, CAST(row_number() OVER (PARTITION BY event_type ORDER BY value {way}, event_id) AS BIGINT) AS rank
+FROM events QUALIFY rank <= 5
+"""
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select(F.col("event_type").alias("key"), "value", "event_id")
+
+
+@query(_TOP.format(way="DESC"))
+def nlargest_by_key(spark, sf_dir):
+    return keyed.nlargest_by_key(_events(spark, sf_dir), 5, ties=["event_id"])
+
+
+@query(_TOP.format(way="ASC"))
+def nsmallest_by_key(spark, sf_dir):
+    return keyed.nsmallest_by_key(_events(spark, sf_dir), 5, ties=["event_id"])
+
+
+# Combining
+
+
+@query("SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier")
+def union_bag(spark, sf_dir):
+    return combine.union(table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k")), table(spark, sf_dir, "supplier").select("s_nationkey"))
+
+
+@query("SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier")
+def union_distinct(spark, sf_dir):
+    return combine.distinct(union_bag(spark, sf_dir))
+
+
+@query("SELECT n_name, r_name FROM nation CROSS JOIN region")
+def product_small(spark, sf_dir):
+    return combine.product(table(spark, sf_dir, "nation").select("n_name"), table(spark, sf_dir, "region").select("r_name"))
+
+
+def _customer(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), "c_name", "c_mktsegment", "c_acctbal")
+
+
+def _orders(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key"), "o_orderkey", "o_totalprice")
+
+
+@query("SELECT c_custkey AS key, c_name, o_orderkey FROM customer JOIN orders ON c_custkey = o_custkey")
+def join_inner_flat(spark, sf_dir):
+    return combine.join(_customer(spark, sf_dir), _orders(spark, sf_dir)).select("key", "c_name", "o_orderkey")
+
+
+@query("SELECT o_custkey AS key, count(*) AS pairs FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY 1")
+def join_pair_counts(spark, sf_dir):
+    return combine.join(_customer(spark, sf_dir), _orders(spark, sf_dir), nested=True).select("key", F.size("pairs").cast("long").alias("pairs"))
+
+
+@query(
+    """
+    SELECT coalesce(a.k, b.k) AS key, coalesce(a.n, 0) AS n0, coalesce(b.n, 0) AS n1
+    FROM (SELECT c_custkey AS k, count(*) AS n FROM customer GROUP BY 1) a FULL JOIN (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY 1) b ON a.k = b.k
+    """
+)
+def cogroup_sizes(spark, sf_dir):
+    made = combine.cogroup(_customer(spark, sf_dir).withColumn("value", F.col("key")), _orders(spark, sf_dir).withColumn("value", F.col("o_orderkey")))
+    return made.select("key", F.size("values_0").cast("long").alias("n0"), F.size("values_1").cast("long").alias("n1"))
+
+
+@query("SELECT c_custkey AS key, o_orderkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey")
+def join_left_outer(spark, sf_dir):
+    return combine.join(_customer(spark, sf_dir), _orders(spark, sf_dir), how="left").select("key", "o_orderkey")
+
+
+@query("SELECT c_custkey AS key FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+def join_semi(spark, sf_dir):
+    return combine.join(_customer(spark, sf_dir), _orders(spark, sf_dir), how="left_semi").select("key")
+
+
+@query("SELECT c_custkey AS key FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+def join_anti(spark, sf_dir):
+    return combine.join(_customer(spark, sf_dir), _orders(spark, sf_dir), how="left_anti").select("key")
+
+
+@query("SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM nation a JOIN nation b ON a.n_regionkey < b.n_regionkey")
+def join_theta(spark, sf_dir):
+    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
+    pairs = combine.product(n.toDF("a", "ra"), n.toDF("b", "rb"))
+    return elements.starfilter(pairs, F.col("ra") < F.col("rb")).select("a", "b")
+
+
+@query("SELECT x, y FROM (VALUES (1, 1), (NULL, 3)) l(k, x) JOIN (VALUES (1, 2), (NULL, 4)) r(k2, y) ON k IS NOT DISTINCT FROM k2")
+def join_null_safe(spark, sf_dir):
+    left = spark.createDataFrame([(1, 1), (None, 3)], "key int, x int")
+    return combine.join(left, spark.createDataFrame([(1, 2), (None, 4)], "key int, y int"), null_safe=True).select("x", "y")
+
+
+@query("SELECT a.o_orderkey AS a, b.o_orderkey AS b FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderkey < b.o_orderkey")
+def join_self(spark, sf_dir):
+    o = _orders(spark, sf_dir).select("key", "o_orderkey")
+    return combine.join(o.withColumnRenamed("o_orderkey", "a"), o.withColumnRenamed("o_orderkey", "b")).filter("a < b").select("a", "b")
+
+
+@query("SELECT s_suppkey, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+def broadcast_lookup(spark, sf_dir):
+    dim = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_name")
+    return combine.lookup_join(table(spark, sf_dir, "supplier"), dim, "s_nationkey").select("s_suppkey", "n_name")
+
+
+@query(
+    """
+    SELECT c, s FROM (SELECT c_custkey AS c, row_number() OVER (ORDER BY c_acctbal, c_custkey) AS r FROM customer)
+    JOIN (SELECT s_suppkey AS s, row_number() OVER (ORDER BY s_acctbal, s_suppkey) AS r FROM supplier) USING (r)
+    """
+)
+def zip_by_rank(spark, sf_dir):
+    left = table(spark, sf_dir, "customer").select("c_acctbal", "c_custkey")
+    right = table(spark, sf_dir, "supplier").select("s_acctbal", "s_suppkey")
+    made = combine.zip_(left, right, ["c_acctbal", "c_custkey"], ["s_acctbal", "s_suppkey"])
+    return made.select(F.col("left.c_custkey").alias("c"), F.col("right.s_suppkey").alias("s"))
+
+
+@query("SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem")
+def distinct_cols(spark, sf_dir):
+    return combine.distinct(table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus"))
+
+
+@query("SELECT o_custkey, min(o_orderkey) AS o_orderkey FROM orders GROUP BY 1")
+def distinct_by_key_first(spark, sf_dir):
+    return combine.distinct(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey"), "o_custkey", F.col("o_orderkey").asc())
+
+
+@query("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
+def except_distinct(spark, sf_dir):
+    return combine.subtract(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")), table(spark, sf_dir, "orders").select("o_custkey"))
+
+
+@query("SELECT c_custkey AS k FROM customer INTERSECT SELECT o_custkey FROM orders")
+def intersect_distinct(spark, sf_dir):
+    return combine.intersect(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")), table(spark, sf_dir, "orders").select("o_custkey"))
+
+
+# Order, samples, partitions, shared state
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20")
+def nlargest(spark, sf_dir):
+    return ordering.nlargest(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), 20, "o_totalprice", ["o_orderkey"])
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 20")
+def nsmallest(spark, sf_dir):
+    return ordering.nsmallest(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), 20, "o_totalprice", ["o_orderkey"])
+
+
+@query("SELECT event_id, CAST(row_number() OVER (ORDER BY value, event_id) - 1 AS BIGINT) AS pos FROM events")
+def sort_range(spark, sf_dir):
+    made = elements.key_by_idx(table(spark, sf_dir, "events").select("value", "event_id"), ["value", "event_id"])
+    return made.select("value.event_id", F.col("key").alias("pos"))
+
+
+@query("SELECT c_custkey, CAST(row_number() OVER (ORDER BY c_acctbal DESC, c_custkey DESC) - 1 AS BIGINT) AS pos FROM customer")
+def sort_desc(spark, sf_dir):
+    ordered = ordering.sort(table(spark, sf_dir, "customer").select("c_acctbal", "c_custkey"), ["c_acctbal", "c_custkey"], reverse=True)
+    return elements.key_by_idx(ordered).select("value.c_custkey", F.col("key").alias("pos"))
+
+
+@query(
+    """
+    SELECT event_id FROM events
+    WHERE CAST(('0x' || substr(md5('s|' || event_id), 1, 13)) AS BIGINT) < CAST(floor(0.1 * 4503599627370496) AS BIGINT)
+    """
+)
+def sample_fraction(spark, sf_dir):
+    return ordering.sample_by_hash(table(spark, sf_dir, "events").select("event_id"), 0.1, "s")
+
+
+@query("SELECT CAST(100 AS BIGINT) AS n")
+def take_sample_n(spark, sf_dir):
+    rows = ordering.take_sample(table(spark, sf_dir, "orders").select("o_orderkey"), 100, seed=3)
+    return spark.createDataFrame(rows, "o_orderkey long").distinct().agg(F.count("*").alias("n"))
+
+
+@query("SELECT count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS s FROM orders")
+def repartition_counts(spark, sf_dir):
+    dealt = ordering.shuffle(table(spark, sf_dir, "orders").select("o_orderkey"), 8, "o_orderkey", partitioner=lambda k: k % 5)
+    return dealt.agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("s"))
+
+
+@query("SELECT count(*) AS n FROM lineitem")
+def coalesce_counts(spark, sf_dir):
+    return ordering.coalesce_parts(table(spark, sf_dir, "lineitem"), 2).agg(F.count("*").alias("n"))
+
+
+@query("SELECT p_brand AS brand, count(*) AS n, (SELECT count(*) FROM part WHERE p_size > 25) AS all_n FROM part WHERE p_size > 25 GROUP BY 1")
+def cache_reuse(spark, sf_dir):
+    kept = shared.cache(table(spark, sf_dir, "part").filter("p_size > 25").select("p_brand"))
+    total = kept.agg(F.count("*").alias("all_n"))
+    return kept.groupBy(F.col("p_brand").alias("brand")).agg(F.count("*").alias("n")).crossJoin(total)
+
+
+@query("SELECT CAST(sum(event_id) AS BIGINT) AS total, CAST(bit_or(event_id) AS BIGINT) AS bits FROM events")
+def observe_metrics(spark, sf_dir):
+    df, seen = shared.observe(table(spark, sf_dir, "events").select("event_id"), "m", total=F.sum("event_id"), bits=F.bit_or("event_id"))
+    df.write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([(seen.get["total"], seen.get["bits"])], "total long, bits long")
+
+
+@query("SELECT CAST(sum(CAST(value AS DECIMAL(18,4))) AS DOUBLE) AS total FROM events")
+def partitioned_value_sum(spark, sf_dir):
+    parts = shared.partitioned_values(table(spark, sf_dir, "events"), F.sum(_exact(F.col("value"))))
+    return parts.agg(F.sum("value").cast("double").alias("total"))
+
+
+@query("SELECT word, n FROM (SELECT word, count(*) AS n FROM (SELECT unnest(string_split(text, ' ')) AS word FROM documents) GROUP BY 1) ORDER BY n DESC, word LIMIT 25")
+def word_count_top(spark, sf_dir):
+    return ordering.nlargest(flatmap_words(spark, sf_dir), 25, "n", ["word"])

@@ -1 +1,124 @@
+"""Sources: ranges, driver collections, files by name, lines, CSV, Parquet."""
 
+from __future__ import annotations
+
+import math
+from collections.abc import Iterable, Mapping
+from typing import Any
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One of the Parquet tables of a folder; filters and columns are pushed into its scan."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def range_(spark: SparkSession, start: int, stop: int | None = None, step: int = 1, pcount: int | None = None) -> DataFrame:
+    """Integers as ``id``; one argument is the stop. Partition i holds positions i*n/p up to (i+1)*n/p."""
+    if stop is None:
+        start, stop = 0, start
+    return spark.range(start, stop, step, pcount)
+
+
+def collection(spark: SparkSession, items: Iterable[Any], schema=None, pcount: int | None = None, psize: int | None = None) -> DataFrame:
+    """Driver data as a frame: a mapping gives its items, a range stays lazy. ``pcount`` partitions or ``psize`` rows in each, not both."""
+    if pcount is not None and psize is not None:
+        raise ValueError("give pcount or psize, not both")
+    if (pcount is not None and pcount <= 0) or (psize is not None and psize <= 0):
+        raise ValueError("pcount and psize must be positive")
+    if isinstance(items, range):
+        return range_(spark, items.start, items.stop, items.step, pcount or (math.ceil(len(items) / psize) if psize and len(items) else None))
+    rows = list(items.items() if isinstance(items, Mapping) else items)
+    slices = pcount or (max(1, math.ceil(len(rows) / psize)) if psize else None)
+    if isinstance(items, Mapping) and schema is None:
+        schema = ["key", "value"]
+    rows = [x if isinstance(x, tuple | list | dict) or hasattr(x, "asDict") else (x,) for x in rows]
+    if schema is None and rows and isinstance(rows[0], tuple) and len(rows[0]) == 1:
+        schema = ["value"]
+    if slices is None:
+        return spark.createDataFrame(rows, schema)
+    return spark.createDataFrame(spark.sparkContext.parallelize(rows, slices), schema)
+
+
+def files(spark: SparkSession, root: str | list[str], recursive: bool = True, name_glob: str | None = None, psize_bytes: int | None = None) -> DataFrame:
+    """path, modificationTime, length, content of each file. Name filters prune the listing; small files share partitions of ``psize_bytes``."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
+    if name_glob:
+        reader = reader.option("pathGlobFilter", name_glob)
+    if psize_bytes:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", psize_bytes)
+    return reader.load(root)
+
+
+def chunks(content: DataFrame, size: int) -> DataFrame:
+    """Each file's content in pieces of ``size`` bytes: path, part, content."""
+    n = F.greatest(F.lit(1), F.ceil(F.length("content") / size).cast("int"))
+    parts = content.select("path", "content", F.explode(F.sequence(F.lit(0), n - 1)).alias("part"))
+    return parts.select("path", "part", F.substring("content", F.col("part") * size + 1, F.lit(size)).alias("content"))
+
+
+def decode(content: DataFrame, encoding: str = "utf-8") -> DataFrame:
+    """``content`` as a string."""
+    return content.withColumn("content", F.decode("content", encoding.upper()))
+
+
+def split_content(content: DataFrame, separator: str) -> DataFrame:
+    """Decoded contents cut at ``separator``: path, value."""
+    return content.select("path", F.explode(F.split("content", _literal(separator))).alias("value"))
+
+
+def _literal(text: str) -> str:
+    return r"\Q" + text.replace(r"\E", r"\E\\E\Q") + r"\E"
+
+
+def lines(spark: SparkSession, root: str | list[str], keepends: bool = False, separator: str | None = None, recursive: bool = True) -> DataFrame:
+    """``value``: lines of text files, read in splits. Terminators are dropped unless ``keepends``; compressed files are opened by their suffix."""
+    reader = spark.read.option("recursiveFileLookup", str(recursive).lower())
+    if separator:
+        reader = reader.option("lineSep", separator)
+    found = reader.text(root)
+    return found.select(F.concat("value", F.lit(separator or "\n")).alias("value")) if keepends else found
+
+
+def decompress(content: DataFrame, codec: str | None = "gzip") -> DataFrame:
+    """``content`` unpacked: gzip or lz4 (frame); None leaves it."""
+    if codec is None:
+        return content
+    if codec not in ("gzip", "lz4"):
+        raise ValueError(f"unknown codec {codec!r}")
+    at = content.columns.index("content")
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            plain = [None if x is None else pa.CompressedInputStream(pa.BufferReader(x), codec).read() for x in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(plain, pa.binary()) if i == at else c for i, c in enumerate(batch.columns)], batch.schema.names)
+
+    return content.mapInArrow(run, content.schema)
+
+
+def read_csv(spark: SparkSession, path: str | list[str], schema: str | None = None, header: bool = True, **options: Any) -> DataFrame:
+    """CSV files, each with its own header; give a schema to avoid the inference pass."""
+    reader = spark.read.options(header=header, **options)
+    return (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
+
+
+def parse_csv(df: DataFrame, schema: str, column: str = "value", **options: Any) -> DataFrame:
+    """Each value is CSV text of one or more lines without header: its rows by ``schema``."""
+    row = F.explode(F.split(column, r"\r?\n")).alias("line")
+    return df.select(row).filter("length(line) > 0").select(F.from_csv("line", schema, options).alias("row")).select("row.*")
+
+
+def filenames(df: DataFrame) -> list[str]:
+    return df.inputFiles()
+
+
+def file_count(content: DataFrame) -> int:
+    return content.select("path").distinct().count()
+
+
+def total_size(content: DataFrame) -> int:
+    return content.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
