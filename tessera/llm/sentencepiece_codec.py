@@ -14,15 +14,12 @@ Defined results: a null or empty text has no pieces, so its ids are begin and en
 import hashlib
 import heapq
 import re
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
 from .common import quoted, small_batches, strings
 
@@ -302,29 +299,36 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     return rows.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
-def encode(docs: DataFrame, path: str, text_col: str = "text", into: str = "piece_ids") -> DataFrame:
-    """``docs`` with the array column ``into`` of ids, begin and end included."""
+def encode(docs: DataFrame, path: str, text_col: str = "text", into: str = "piece_ids", round_trip: str | None = None) -> DataFrame:
+    """``docs`` with the array column ``into`` of ids, begin and end included; ``round_trip`` names a column that says whether they decode to the text."""
     at = docs.columns.index(text_col)
+    added = [StructField(into, ArrayType(IntegerType()))] + ([StructField(round_trip, BooleanType())] if round_trip else [])
+    if clash := {f.name for f in added} & set(docs.columns):
+        raise ValueError(f"the table has the columns {sorted(clash)} already")
 
     def run(batches):
         c = codec(path)
         for batch in small_batches(batches):
-            ids, starts = c.encode(strings(batch.column(at)))
-            lists = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(ids, pa.int32()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, into])
+            texts = strings(batch.column(at))
+            ids, starts = c.encode(texts)
+            made = [pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(ids, pa.int32()))]
+            if round_trip:
+                bounds = zip(texts, starts[:-1].tolist(), starts[1:].tolist(), strict=True)
+                made.append(pa.array([c.decode(ids[a:b]) == t.replace("▁", " ") for t, a, b in bounds], pa.bool_()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, *(f.name for f in added)])
 
-    if into in docs.columns:
-        raise ValueError(f"the table has a column {into!r} already")
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(into, ArrayType(IntegerType()))]))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, *added]))
 
 
 def decode(docs: DataFrame, path: str, ids_col: str = "piece_ids", into: str = "decoded") -> DataFrame:
     """``docs`` with the string column ``into``, read back from the ids; null ids give an empty text."""
+    at = docs.columns.index(ids_col)
 
-    @pandas_udf("string")
-    def back(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches):
         c = codec(path)
-        for s in series:
-            yield s.map(lambda x: "" if x is None else c.decode(np.asarray(x, np.int64)))
+        for batch in small_batches(batches):
+            lists = batch.column(at)
+            texts = [c.decode(lists[i].values.to_numpy()) if lists[i].is_valid else "" for i in range(len(lists))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, into])
 
-    return docs.withColumn(into, back(quoted(ids_col)))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(into, StringType())]))
