@@ -97,3 +97,16 @@ def without(docs: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
     probed = probe(rows, bits, bit_cells(hashed, cells), "maybe")
     sure = probed.filter("id IS NULL OR NOT maybe").select("row.*")
     return sure.unionByName(probed.filter("id IS NOT NULL AND maybe").join(ids, "id", "left_anti").select("row.*"))
+
+
+#: A group counts as hot beyond this share of all rows. Fewer than 1 / HOT_SHARE groups can be: that bounds the broadcast.
+HOT_SHARE = 0.001
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """``rows`` with the columns of their group (one row a key, ``size`` its rows, of ``total``): hot groups are broadcast, the rest joins by shuffle, so
+    that no key brings more than a thousandth of all rows to a task. Both frames should be stored: they are read twice."""
+    limit = max(1000, int(total * HOT_SHARE))
+    hot = F.broadcast(groups.filter(F.col(size) > limit))
+    cold = groups.filter(F.col(size) <= limit)
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key))

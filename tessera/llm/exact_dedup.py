@@ -13,11 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bit_cells, bit_table, cell_count, probe, quoted, stored
-
-#: A group of copies counts as hot beyond this share of all rows. Fewer than 1 / HOT_SHARE groups can be: that bounds the broadcast.
-HOT_SHARE = 0.001
-
+from .common import bit_cells, bit_table, cell_count, join_groups, probe, quoted, stored
 
 def _flagged(docs: DataFrame, text: str) -> DataFrame:
     """The rows with ``__repeated`` (false: certainly no equal text)."""
@@ -43,10 +39,7 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     members = stored(flagged.filter("__repeated").groupBy("text_sha256", "doc_id").agg(F.count("*").alias("n")), "exact-members")
     groups = members.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.sum("n").alias("group_size"))
     total = members.agg(F.sum("n")).first()[0] or 0
-    limit = max(1000, int(total * HOT_SHARE))
-    hot, cold = groups.filter(F.col("group_size") > limit), groups.filter(F.col("group_size") <= limit)
-    tried = members.join(F.broadcast(hot), "text_sha256", "left")
-    joined = tried.filter("group_size IS NOT NULL").unionByName(members.join(F.broadcast(hot), "text_sha256", "left_anti").join(cold, "text_sha256"))
+    joined = join_groups(members, stored(groups, "exact-groups"), "text_sha256", "group_size", total)
     again = joined.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("n")))).select(
         "doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("i") == 1)).alias("kept"), "text_sha256"
     )
