@@ -32,11 +32,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bit_cells, bit_table, cell_count, partitions, probe, quoted, small_batches, stored, strings, without
+from .common import bit_cells, bit_table, cell_count, join_groups, partitions, probe, quoted, small_batches, stored, strings, without
 
 LOW, FULL = 1, 2
 #: Signatures gathered before blocks are written, and signatures a key range is sized for.
-FLUSH, RANGE = 1_500_000, 1_000_000
+FLUSH, RANGE = 2_500_000, 3_000_000
 #: Members of a key that are compared in one block, and rows of open keys a task is sized for.
 BLOCK_MEMBERS, OPEN_ROWS = 2048, 50_000
 WORD_CACHE = 500_000
@@ -355,10 +355,15 @@ def links(docs: DataFrame, words: int = 3, percent: int = 90, id_col: str = "doc
     rows = signed.filter("place IS NULL").select("doc_id", "n", "digest")
     members = stored(_shared_keys(signed.filter("place IS NOT NULL").select("place", *_BLOCK), ranges), "shared-keys")
     labels = _linked(docs, rows, members, id_col, text_col, words, plan)
+    # Copies collapse to their class before any join, and hot classes and components are broadcast: no group meets in one task.
     of = rows.filter("digest IS NOT NULL")
-    of = of.join(labels, "digest", "left").select("doc_id", "n", F.coalesce("label", "digest").alias("label")) if labels is not None else of.withColumnRenamed("digest", "label")
-    named = of.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    out = of.join(named, "label").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
+    classes = of.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
+    label = F.col("digest") if labels is None else F.coalesce("label", "digest")
+    classes = stored((classes if labels is None else classes.join(labels, "digest", "left")).select("digest", "least", "copies", label.alias("label")), "classes")
+    named = stored(classes.groupBy("label").agg(F.min("least").alias("component_id"), F.count("*").alias("size"), F.sum("copies").alias("rows")), "components")
+    total = named.agg(F.sum("size"), F.sum("rows")).first()
+    placed = stored(join_groups(classes, named, "label", "size", total[0] or 0).select("digest", "copies", "component_id"), "placed")
+    out = join_groups(of, placed, "digest", "copies", total[1] or 0).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
     alone = rows.filter("digest IS NULL").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return out.unionByName(alone)
 
