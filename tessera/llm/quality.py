@@ -40,6 +40,8 @@ QUANTILE = 0.9995
 BOS, EOS, NUL = 0xEFFE, 0xEFFD, 0xEFFF
 #: Chunks whose requests meet one copy of a shard: more chunks get more copies.
 SHARD_CHUNKS = 4096
+#: Languages whose means and thresholds are broadcast.
+MAX_BROADCAST = 10_000
 _SEEN_BITS = 20
 
 
@@ -329,10 +331,10 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     scored = stored(_scores(packs, answers, kind), "quality-scores")
     rows = scored.select("doc_id", F.expr("nullif(substring(model, 1, length(model) - 1), '\\u0000')").alias("lang"), F.col("n").alias("n_symbols"), "nll")
     good = rows.join(trusted.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
-    mean = good.groupBy("lang").agg((F.sum("nll") / F.sum("n_symbols")).alias("mean"))
+    mean = stored(good.groupBy("lang").agg((F.sum("nll") / F.sum("n_symbols")).alias("mean")), "means")
     shrunk = (F.col("nll") + SHRINK * F.coalesce("mean", F.lit(0.0))) / (F.col("n_symbols") + SHRINK)
     at = _joined(good, mean).select("lang", shrunk.alias("score"))
-    limit = at.groupBy("lang").agg(F.percentile_approx("score", F.lit(QUANTILE), F.lit(20_000)).alias("threshold"))
+    limit = stored(at.groupBy("lang").agg(F.percentile_approx("score", F.lit(QUANTILE), F.lit(20_000)).alias("threshold")), "thresholds")
     kept = F.coalesce(shrunk <= F.col("threshold"), F.lit(True))
     perplexity = F.exp(F.col("nll") / F.col("n_symbols"))
     out = _joined(_joined(rows, mean), limit)
@@ -340,9 +342,11 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def _joined(rows: DataFrame, by_lang: DataFrame) -> DataFrame:
-    """``rows`` with the columns of ``by_lang``, nulls equal. One row a language: fewer than a thousand, or the join shuffles as Spark decides."""
+    """``rows`` with the columns of ``by_lang`` (stored, one row a language), nulls equal: broadcast up to MAX_BROADCAST languages, else as Spark decides."""
     other = by_lang.withColumnRenamed("lang", "__lang")
-    return rows.join(other, rows["lang"].eqNullSafe(other["__lang"]), "left").drop("__lang")
+    if other.count() <= MAX_BROADCAST:
+        other = F.broadcast(other)
+    return rows.join(other, rows["lang"].eqNullSafe(F.col("__lang")), "left").drop("__lang")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
