@@ -6,7 +6,8 @@ have the same tokens in it, which rules out no difference; a one-deletion segmen
 the segment and its subsets with one token left out. When the weights (1 and 2) of the segments sum to W > H, a linked pair matches segments of
 weight W - H at least. A cost model chooses the allocation for each band from the number of sets in it: exact segments with some slack, or
 one-deletion segments where sets are so small that exact segments would often be empty. With slack W - H - 1 a set leaves out its empty exact
-segments as long as they do not outweigh the slack, so no bucket of all "empty" sets arises.
+segments as long as they do not outweigh the slack, so no bucket of all "empty" sets arises. What the slack leaves over is the number of keys that
+any two linked sets must share; a set that shares fewer with all others together has no link in that band and is dropped before anything else.
 
 Equal sets are one class from the start. Signatures travel as sorted, compressed blocks and meet by key range; only keys that two classes share
 come out. Candidates are verified exactly on the whole sets, in two rounds: first each class against its most popular neighbour, then the
@@ -15,7 +16,7 @@ pair of the second round is even a row, parity sketches are compared inside the
 differ are at most the symmetric difference, and a pair with too many cannot link. Keys with many members are compared in blocks.
 
 Words and sets: A-Z lower-cased, words are runs of characters other than blank and U+0009 to U+000D; a text of fewer words than a shingle is one
-shingle of its whole sequence. Shingles are compared by 64-bit hashes, sets by 128-bit hashes.
+shingle of its whole sequence. Shingles are compared by 64-bit hashes, sets by 128-bit hashes, of which candidates carry 64 bits (``node``).
 
 Defined results: a null or blank text has an empty set and links with nothing; a null id takes part in links but never names a component; rows
 that repeat an id are one document in ``keep_one``; an empty table gives an empty result.
@@ -39,6 +40,8 @@ LOW, FULL = 1, 2
 FLUSH, RANGE = 2_500_000, 3_000_000
 #: Members of a key that are compared in one block, and rows of open keys a task is sized for.
 BLOCK_MEMBERS, OPEN_ROWS = 2048, 50_000
+#: Pairs of 16 bytes that are broadcast to their sets; more are joined by shuffle.
+BROADCAST_PAIRS = 200_000
 WORD_CACHE = 500_000
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -91,6 +94,10 @@ def digest(tokens: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(tokens.tobytes())
 
 
+def node(digest_: bytes) -> int:
+    return int.from_bytes(digest_[:8], "little", signed=True)
+
+
 class Plan:
     """Bands, bounds and allocations for a threshold of ``percent`` over 100. ``sets``: about how many sets lie in each band."""
 
@@ -141,16 +148,16 @@ class Plan:
         """Eight bits for each token two linked sets may differ in, 256 at least, as a power of two."""
         return max(256, 1 << (8 * self.bound(self.band(n)) - 1).bit_length())
 
-    def signatures(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(keys, LOW and FULL bits) of one set: as the smaller one in its own band, as the larger one for the band below."""
+    def signatures(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple[int, int]]:
+        """(keys, LOW and FULL bits) of one set: as the smaller one in its own band, as the larger one for the band below; and for the two roles how many
+        keys it must share with others to have a link."""
         band = self.band(len(tokens))
-        keys, bits = [], []
+        keys, bits, needs = [], [], []
         mixed = mix(tokens + _GOLD)
         for b, low in ((band, LOW), (band - 1, 0)):
-            if b < 0:
-                continue
-            exact, deleting, slack = self.allocation(b)
+            exact, deleting, slack = self.allocation(b) if b >= 0 else (0, 0, 0)
             m = exact + deleting
+            needs.append(1)
             if m == 0:
                 continue
             seg = ((tokens >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
@@ -169,10 +176,13 @@ class Plan:
                 if m - len(own) > slack:
                     none = np.setdiff1d(np.arange(m, dtype=np.uint64), own)
                     keys.append(_key(base, none, np.zeros(len(none), np.uint64)))
+                    needs[-1] = slack + 1
+                else:
+                    needs[-1] = slack + 1 - (m - len(own))
                 bits += [np.full(len(k), low | FULL, np.uint8) for k in keys[len(bits) :]]
         if not keys:
-            return np.empty(0, np.uint64), np.empty(0, np.uint8)
-        return np.concatenate(keys), np.concatenate(bits)
+            return np.empty(0, np.uint64), np.empty(0, np.uint8), (1, 1)
+        return np.concatenate(keys), np.concatenate(bits), (needs[0], needs[1])
 
 
 def _key(base: np.uint64, seg: np.ndarray, content: np.ndarray) -> np.ndarray:
@@ -201,123 +211,147 @@ class _Blocks:
         self.clear()
 
     def clear(self) -> None:
-        self.known: set[bytes] = set()
-        self.digests, self.sizes, self.keys, self.docs, self.bits, self.n = [], [], [], [], [], 0
+        self.known: set[int] = set()
+        self.nodes, self.sizes, self.keys, self.docs, self.bits, self.n = [], [], [], [], [], 0
 
-    def add(self, d: bytes, size: int, keys: np.ndarray, bits: np.ndarray) -> None:
-        self.known.add(d)
-        self.docs.append(np.full(len(keys), len(self.digests), np.uint32))
-        self.digests.append(d), self.sizes.append(size), self.keys.append(keys), self.bits.append(bits)
+    def add(self, node: int, size: int, keys: np.ndarray, bits: np.ndarray, needs: tuple[int, int]) -> None:
+        self.known.add(node)
+        self.docs.append(np.full(len(keys), len(self.nodes), np.uint32))
+        self.nodes.append(node), self.sizes.append((size, *(min(x, 65535) for x in needs))), self.keys.append(keys), self.bits.append(bits)
         self.n += len(keys)
 
     def rows(self):
-        """(range, keys, docs, bits, digests and sizes of the documents in it) as compressed columns."""
+        """(range, keys, docs, bits, nodes, sizes and needs of the documents in it), the first three compressed."""
         if not self.n:
             return
         keys, docs, bits = np.concatenate(self.keys), np.concatenate(self.docs), np.concatenate(self.bits)
         order = np.argsort(keys)
         keys, docs, bits = keys[order], docs[order], bits[order]
-        digests, sizes = np.frombuffer(b"".join(self.digests), "V16"), np.array(self.sizes, np.uint32)
+        nodes, sizes = np.array(self.nodes, np.int64), np.array(self.sizes, _SIZES)
         place = ((keys >> np.uint64(32)) * np.uint64(self.ranges)) >> np.uint64(32)
         cuts = np.flatnonzero(np.r_[True, place[1:] != place[:-1], True])
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             used, local = np.unique(docs[a:b], return_inverse=True)
-            yield int(place[a]), _squeezed(keys[a:b]), _squeezed(local.astype(np.uint32)), _squeezed(bits[a:b]), digests[used].tobytes(), sizes[used].tobytes()
+            yield int(place[a]), _squeezed(keys[a:b]), _squeezed(local.astype(np.uint32)), _squeezed(bits[a:b]), nodes[used].tobytes(), sizes[used].tobytes()
         self.clear()
 
 
-_BLOCK = ("keys", "docs", "bits", "digests", "sizes")
+_BLOCK = ("keys", "docs", "bits", "nodes", "sizes")
+_SIZES = np.dtype([("n", "<u4"), ("low", "<u2"), ("high", "<u2")])
 
 
-def _signed(docs: DataFrame, id_col: str, text_col: str, words: int, plan: Plan, ranges: int) -> DataFrame:
-    """One pass over the texts. Rows with ``place`` null: doc_id, n, digest of a document; the others: a block."""
+def _classes(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """doc_id, n, digest, node of every document; the digest of an empty set is null."""
     rows = docs.select(quoted(id_col).alias("doc_id"), quoted(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "n", "digest", "place", *_BLOCK]
 
     def run(batches):
-        blocks, id_type = _Blocks(ranges), None
+        for batch in small_batches(batches):
+            sets = [shingles(t, words) for t in strings(batch.column(1))]
+            digests = [digest(s) if len(s) else None for s in sets]
+            columns = [batch.column(0), pa.array(list(map(len, sets)), pa.int32()), pa.array(digests, pa.binary()), pa.array([d and node(d) for d in digests], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "digest", "node"])
+
+    return rows.mapInArrow(run, f"doc_id {kind}, n int, digest binary, node long")
+
+
+def _blocks(docs: DataFrame, text_col: str, words: int, plan: Plan, ranges: int) -> DataFrame:
+    """The signatures of all sets as blocks by key range; equal sets of one block are signed once."""
+    names = ["place", *_BLOCK]
+
+    def run(batches):
+        blocks = _Blocks(ranges)
 
         def flushed():
             out = list(blocks.rows())
             for i in range(0, len(out), 16):
                 part = list(zip(*out[i : i + 16], strict=True))
-                n = len(part[0])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.nulls(n, id_type), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.array(part[0], pa.int32()), *(pa.array(c, pa.binary()) for c in part[1:])], names
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.int32()), *(pa.array(c, pa.binary()) for c in part[1:])], names)
 
         for batch in small_batches(batches):
-            id_type, ns, digests = batch.schema.field(0).type, [], []
-            for text in strings(batch.column(1)):
+            for text in strings(batch.column(0)):
                 tokens = shingles(text, words)
-                ns.append(len(tokens))
-                digests.append(digest(tokens) if len(tokens) else None)
-                if len(tokens) and digests[-1] not in blocks.known:
-                    blocks.add(digests[-1], len(tokens), *plan.signatures(tokens))
+                d = node(digest(tokens))
+                if len(tokens) and d not in blocks.known:
+                    blocks.add(d, len(tokens), *plan.signatures(tokens))
                     if blocks.n >= FLUSH:
                         yield from flushed()
-            n = batch.num_rows
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(ns, pa.int32()), pa.array(digests, pa.binary()), pa.nulls(n, pa.int32()), *(pa.nulls(n, pa.binary()) for _ in _BLOCK)], names
-            )
         yield from flushed()
 
-    return rows.mapInArrow(run, f"doc_id {kind}, n int, digest binary, place int, " + ", ".join(f"{c} binary" for c in _BLOCK))
+    return docs.select(quoted(text_col).alias("text")).mapInArrow(run, "place int, " + ", ".join(f"{c} binary" for c in _BLOCK))
 
 
 def _shared_keys(blocks: DataFrame, ranges: int) -> DataFrame:
-    """(key, digest, n, low, full): the members of every key that two classes share."""
+    """(key, node, n, need, low, full): the members of every key that two classes share."""
 
     def run(table: pa.Table) -> pa.Table:
-        keys, docs, bits, digests, sizes, base = [], [], [], [], [], 0
+        keys, docs, bits, nodes, sizes, base = [], [], [], [], [], 0
         for row in table.to_batches():
             for k, d, b, g, s in zip(*(row.column(c) for c in _BLOCK), strict=True):
                 keys.append(_widened(k.as_py(), "<u8"))
                 docs.append(_widened(d.as_py(), "<u4").astype(np.int64) + base)
                 bits.append(_widened(b.as_py(), "u1"))
-                digests.append(g.as_py()), sizes.append(np.frombuffer(s.as_py(), "<u4"))
+                nodes.append(np.frombuffer(g.as_py(), "<i8")), sizes.append(np.frombuffer(s.as_py(), _SIZES))
                 base += len(sizes[-1])
-        keys, docs, bits, sizes = map(np.concatenate, (keys, docs, bits, sizes))
-        digests = np.frombuffer(b"".join(digests), np.uint64).reshape(-1, 2)
+        keys, docs, bits, nodes, sizes = map(np.concatenate, (keys, docs, bits, nodes, sizes))
         order = np.argsort(keys, kind="stable")
         keys, docs, bits = keys[order], docs[order], bits[order]
         starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-        of = digests[docs, 0] ^ (digests[docs, 1] * _GOLD)
+        of = nodes[docs]
         live = (np.minimum.reduceat(of, starts) != np.maximum.reduceat(of, starts)) & (np.bitwise_or.reduceat(bits, starts) == LOW | FULL)
         keep = np.repeat(live, np.diff(np.r_[starts, len(keys)]))
         keys, docs, bits, of = keys[keep], docs[keep], bits[keep], of[keep]
         order = np.lexsort((bits, of, keys))
         keys, docs, bits, of = keys[order], docs[order], bits[order], of[order]
         first = np.r_[True, (keys[1:] != keys[:-1]) | (of[1:] != of[:-1]) | (bits[1:] != bits[:-1])] if len(keys) else np.zeros(0, bool)
-        keys, docs, bits = keys[first], docs[first], bits[first]
-        raw = digests[docs].tobytes()
+        keys, docs, bits, of = keys[first], docs[first], bits[first], of[first]
+        size = sizes[docs]
         return pa.table({
-            "key": pa.array(keys.view(np.int64)), "digest": pa.array([raw[i : i + 16] for i in range(0, len(raw), 16)], pa.binary()),
-            "n": pa.array(sizes[docs].astype(np.int32)), "low": pa.array((bits & LOW) > 0), "full": pa.array((bits & FULL) > 0),
+            "key": pa.array(keys.view(np.int64)), "node": pa.array(of), "n": pa.array(size["n"].astype(np.int32)),
+            "need": pa.array(np.where(bits & LOW, size["low"], size["high"]).astype(np.int32)), "low": pa.array((bits & LOW) > 0), "full": pa.array((bits & FULL) > 0),
         })
 
     dealt = blocks.repartition(max(ranges, partitions(blocks.sparkSession)), "place")
-    return dealt.groupBy("place").applyInArrow(run, "key long, digest binary, n int, low boolean, full boolean")
+    return dealt.groupBy("place").applyInArrow(run, "key long, node long, n int, need int, low boolean, full boolean")
+
+
+def _sharing_enough(members: DataFrame) -> DataFrame:
+    """Without most classes that share fewer keys than a link needs, and keys that then have one class only; twice, as each makes more of the other.
+
+    The members themselves do not shuffle: bit tables of what stays are probed, and what they let pass by mistake does no harm.
+    """
+
+    def passing(kept: DataFrame, by: list[str]) -> DataFrame:
+        cells = cell_count(kept.count())
+        bits = bit_table(kept.select(F.explode(F.array(*bit_cells(F.xxhash64(*by), cells))).alias("cell")))
+        return probe(members, bits, bit_cells(F.xxhash64(*by), cells), "stays").filter("stays").drop("stays")
+
+    for _ in range(2):
+        # (key, node, low) repeats only where one shared key is enough, so rows count as keys.
+        enough = members.groupBy("node", "low").agg(F.count("*").alias("keys"), F.max("need").alias("need")).filter("keys >= need")
+        members = passing(stored(enough.select("node", "low"), "enough"), ["node", "low"])
+        live = members.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y"), F.max("low").alias("low"), F.max("full").alias("full"))
+        members = stored(passing(stored(live.filter("x <> y AND low AND full").select("key"), "live-keys"), ["key"]), "enough-keys")
+    return members
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(digest, label): the smallest digest reachable, by minimum labels with pointer jumping. ``edges``: a, b."""
+    """(node, label): the smallest node reachable, by minimum labels with pointer jumping. ``edges``: a, b."""
     both = stored(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = stored(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("digest"), F.least("a", "b").alias("label")), "labels")
+    labels = stored(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("label")), "labels")
     while True:
-        near = both.join(labels.withColumnRenamed("digest", "b"), "b").groupBy(F.col("a").alias("digest")).agg(F.min("label").alias("near"))
-        step = labels.join(near, "digest").select("digest", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        jump = labels.select(F.col("digest").alias("label"), F.col("label").alias("further"))
-        new = stored(step.join(jump, "label").select("digest", "old", F.least("label", "further").alias("label")), "labels")
+        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        step = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
+        new = stored(step.join(jump, "label").select("node", "old", F.least("label", "further").alias("label")), "labels")
         if new.filter("label <> old").isEmpty():
-            return new.select("digest", "label")
-        labels = new.select("digest", "label")
+            return new.select("node", "label")
+        labels = new.select("node", "label")
 
 
 def _sets(docs: DataFrame, rows: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words: int, plan: Plan) -> DataFrame:
-    """(digest, tokens, sketch) of the wanted classes, from the text of one document each; the other texts do not shuffle."""
-    ids = rows.join(wanted, "digest", "left_semi").groupBy("digest").agg(F.min("doc_id").alias("id")).select("id").distinct()
+    """(node, tokens, sketch) of the wanted classes, from the text of one document each; the other texts do not shuffle."""
+    ids = stored(rows.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("id")).select("id").distinct(), "ids")
     texts = docs.select(quoted(id_col).alias("id"), quoted(text_col).alias("text"))
     hashed = F.xxhash64("id")
     count = wanted.count()
@@ -331,35 +365,36 @@ def _sets(docs: DataFrame, rows: DataFrame, wanted: DataFrame, id_col: str, text
             sets = [shingles(t, words) for t in strings(batch.column(1))]
             sets = [s for s in sets if len(s)]
             sketches = [sketch(s, plan.sketch_bits(len(s))) for s in sets]
-            columns = [pa.array([digest(s) for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["digest", "tokens", "sketch"])
+            columns = [pa.array([node(digest(s)) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["node", "tokens", "sketch"])
 
-    shingled = found.mapInArrow(run, "digest binary, tokens array<long>, sketch binary")
-    return shingled.join(wanted, "digest", "left_semi").groupBy("digest").agg(F.any_value("tokens").alias("tokens"), F.any_value("sketch").alias("sketch"))
+    # A repeated id can bring a set twice or one that nobody asked for; the pairs found with them are made distinct, so neither needs a shuffle.
+    return found.mapInArrow(run, "node long, tokens array<long>, sketch binary")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that link, by the intersection of the whole sets."""
-    left = sets.select(F.col("digest").alias("a"), F.col("tokens").alias("x"))
-    right = sets.select(F.col("digest").alias("b"), F.col("tokens").alias("y"))
-    both = pairs.join(left, "a").join(right, "b")
+    """The pairs (a, b) that link, by the intersection of the whole sets. Each side meets its pairs first, so that only sets of pairs move, and they
+    meet each other by pair: a centre of many pairs is no hot key."""
+    pairs = stored(pairs.distinct(), "pairs")
+    of = F.broadcast(pairs) if pairs.count() <= BROADCAST_PAIRS else pairs
+    x = sets.join(of, F.col("node") == F.col("a")).select("a", "b", F.col("tokens").alias("x"))
+    y = sets.join(of, F.col("node") == F.col("b")).select("a", "b", F.col("tokens").alias("y"))
     shared = F.size(F.array_intersect("x", "y"))
-    return both.filter(100 * shared >= percent * (F.size("x") + F.size("y") - shared)).select("a", "b")
+    both = x.join(y, ["a", "b"])
+    return both.filter(100 * shared >= percent * (F.size("x") + F.size("y") - shared)).select("a", "b").distinct()
 
 
 def links(docs: DataFrame, words: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest id reachable by links, itself included)."""
-    spark = docs.sparkSession
     plan, ranges = make_plan(docs, percent, text_col)
-    signed = stored(_signed(docs, id_col, text_col, words, plan, ranges), "signed")
-    rows = signed.filter("place IS NULL").select("doc_id", "n", "digest")
-    members = stored(_shared_keys(signed.filter("place IS NOT NULL").select("place", *_BLOCK), ranges), "shared-keys")
+    rows = stored(_classes(docs, id_col, text_col, words), "classes-of-rows")
+    members = _sharing_enough(stored(_shared_keys(_blocks(docs, text_col, words, plan, ranges), ranges), "shared-keys"))
     labels = _linked(docs, rows, members, id_col, text_col, words, plan)
     # Copies collapse to their class before any join, and hot classes and components are broadcast: no group meets in one task.
     of = rows.filter("digest IS NOT NULL")
-    classes = of.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
-    label = F.col("digest") if labels is None else F.coalesce("label", "digest")
-    classes = stored((classes if labels is None else classes.join(labels, "digest", "left")).select("digest", "least", "copies", label.alias("label")), "classes")
+    classes = of.groupBy("digest", "node").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
+    label = F.col("node") if labels is None else F.coalesce("label", "node")
+    classes = stored((classes if labels is None else classes.join(labels, "node", "left")).select("digest", "least", "copies", label.alias("label")), "classes")
     named = stored(classes.groupBy("label").agg(F.min("least").alias("component_id"), F.count("*").alias("size"), F.sum("copies").alias("rows")), "components")
     total = named.agg(F.sum("size"), F.sum("rows")).first()
     placed = stored(join_groups(classes, named, "label", "size", total[0] or 0).select("digest", "copies", "component_id"), "placed")
@@ -383,38 +418,38 @@ def make_plan(docs: DataFrame, percent: int, text_col: str) -> tuple[Plan, int]:
 
 
 def _linked(docs, rows, members, id_col, text_col, words, plan):
-    """(digest, label) of the classes that link with another; None where no key is shared."""
+    """(node, label) of the classes that link with another; None where no key is shared."""
     if members.isEmpty():
         return None
     percent = plan.percent
-    sets = stored(_sets(docs, rows, members.select("digest").distinct(), id_col, text_col, words, plan), "sets")
-    # Popularity: how many places in shared keys a class sees. Near copies see their common original most.
-    sizes = members.groupBy("key").agg(F.count("*").alias("g"))
-    popular = members.join(sizes, "key").groupBy("digest").agg(F.sum("g").alias("popularity"))
-    ranked = members.select("key", "digest", "n").join(popular, "digest")
-    centre = ranked.groupBy("key").agg(F.max(F.struct("popularity", "digest", "n")).alias("centre"))
-    first = ranked.join(centre, "key").filter(F.col("digest") != F.col("centre.digest")).filter(_compatible(F.col("n"), F.col("centre.n"), percent))
-    first = first.groupBy(F.col("digest").alias("a")).agg(F.max("centre").alias("centre")).select("a", F.col("centre.digest").alias("b"))
+    sets = stored(_sets(docs, rows, members.select("node").distinct(), id_col, text_col, words, plan), "sets")
+    # Popularity: how many keys a class shares. Near copies share most with their common original.
+    popular = members.groupBy("node").agg(F.count("*").alias("popularity"))
+    ranked = stored(members.select("key", "node", "n").join(popular, "node"), "ranked")
+    centre = ranked.groupBy("key").agg(F.max(F.struct("popularity", "node", "n")).alias("centre"))
+    first = ranked.join(centre, "key").filter(F.col("node") != F.col("centre.node")).filter(_compatible(F.col("n"), F.col("centre.n"), percent))
+    first = first.groupBy(F.col("node").alias("a")).agg(F.max("centre").alias("centre")).select("a", F.col("centre.node").alias("b"))
     found = stored(_verified(first, sets, percent), "links")
     labels = components(found)
     # Keys whose members are all of one component have nothing left to find.
-    placed = members.join(labels, "digest", "left").select("key", "digest", "n", "low", "full", F.coalesce("label", "digest").alias("label"))
+    placed = members.join(labels, "node", "left").select("key", "node", "n", "low", "full", F.coalesce("label", "node").alias("label"))
+    placed = stored(placed, "placed-keys")
     split = placed.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("g")).filter("x <> y").select("key", "g")
-    open_ = stored(placed.join(split, "key").join(sets.select("digest", "sketch"), "digest"), "open-keys")
-    more = stored(_verified(_near_pairs(open_, percent).distinct(), sets, percent), "links")
+    open_ = stored(placed.join(split, "key"), "open-keys")
+    sketches = sets.select("node", "sketch").dropDuplicates(["node"])
+    more = stored(_verified(_near_pairs(open_.join(sketches, "node"), open_.count(), percent), sets, percent), "links")
     if more.isEmpty():
         return labels
     return components(found.unionByName(more))
 
 
-def _near_pairs(open_: DataFrame, percent: int) -> DataFrame:
+def _near_pairs(open_: DataFrame, count: int, percent: int) -> DataFrame:
     """(a, b): pairs of different components in one key whose sketches allow a link. A key of g members is compared in blocks of BLOCK_MEMBERS."""
     sides = F.ceil(F.col("g") / BLOCK_MEMBERS).cast("int")
-    rows = open_.withColumn("sides", sides).withColumn("side", F.pmod(F.xxhash64("digest"), F.col("sides")).cast("int"))
+    rows = open_.withColumn("sides", sides).withColumn("side", F.pmod(F.xxhash64("node"), F.col("sides")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
-    rows = rows.select("key", F.least("side", "other").alias("s"), F.greatest("side", "other").alias("t"), "side", "digest", "n", "low", "full", "label", "sketch")
-    spark = open_.sparkSession
-    tasks = max(partitions(spark), math.ceil(open_.count() / OPEN_ROWS))
+    rows = rows.select("key", F.least("side", "other").alias("s"), F.greatest("side", "other").alias("t"), "side", "node", "n", "low", "full", "label", "sketch")
+    tasks = max(partitions(open_.sparkSession), math.ceil(count / OPEN_ROWS))
     place = F.pmod(F.xxhash64("key", "s", "t"), F.lit(tasks)).cast("int").alias("place")
 
     def run(table: pa.Table) -> pa.Table:
@@ -422,7 +457,7 @@ def _near_pairs(open_: DataFrame, percent: int) -> DataFrame:
         key, s, t, side, n = (table.column(c).to_numpy() for c in ("key", "s", "t", "side", "n"))
         low, full = (table.column(c).to_numpy(zero_copy_only=False) for c in ("low", "full"))
         label = table.column("label").combine_chunks().dictionary_encode().indices.to_numpy()
-        names, sketches = table.column("digest").to_pylist(), table.column("sketch").to_pylist()
+        names, sketches = table.column("node").to_pylist(), table.column("sketch").to_pylist()
         cuts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (s[1:] != s[:-1]) | (t[1:] != t[:-1]), True])
         out = set()
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
@@ -445,9 +480,9 @@ def _near_pairs(open_: DataFrame, percent: int) -> DataFrame:
                 for x, y in zip(*np.nonzero(ok), strict=True):
                     out.add(tuple(sorted((names[i[x]], names[own[y]]))))
         pairs = sorted(out)
-        return pa.table({"a": pa.array([x for x, _ in pairs], pa.binary()), "b": pa.array([y for _, y in pairs], pa.binary())})
+        return pa.table({"a": pa.array([x for x, _ in pairs], pa.int64()), "b": pa.array([y for _, y in pairs], pa.int64())})
 
-    return rows.withColumn("place", place).groupBy("place").applyInArrow(run, "a binary, b binary")
+    return rows.withColumn("place", place).groupBy("place").applyInArrow(run, "a long, b long")
 
 
 def _folded(sketch_: bytes, width: int) -> np.ndarray:

@@ -82,7 +82,12 @@ def test_linked_pairs_always_share_a_usable_key(percent):
         shared = len(np.intersect1d(a, b))
         if 100 * shared < percent * (len(a) + len(b) - shared) or len(a) == len(b) == shared:
             continue
-        x, y = (dict(zip(keys.tolist(), bits.tolist())) for keys, bits in (plan.signatures(s) for s in (a, b)))
+        small, large = sorted((a, b), key=len)
+        (ka, ba, na), (kb, bb, nb) = plan.signatures(small), plan.signatures(large)
+        x, y = dict(zip(ka.tolist(), ba.tolist())), dict(zip(kb.tolist(), bb.tolist()))
+        same = plan.band(len(small)) == plan.band(len(large))
+        both = {k for k in x.keys() & y.keys() if x[k] & jj.LOW and (y[k] & jj.LOW) == (jj.LOW if same else 0)}
+        assert len(both) >= max(na[0], nb[0] if same else nb[1], 1)
         assert any((x[k] | y[k]) & jj.LOW and (x[k] | y[k]) & jj.FULL for k in x.keys() & y.keys()), (len(a), len(b), shared)
         modes.add(plan.allocation(plan.band(min(len(a), len(b))))[1] > 0)
     assert modes == {True, False}
