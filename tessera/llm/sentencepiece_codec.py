@@ -300,11 +300,11 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
 
 
 def encode(docs: DataFrame, path: str, text_col: str = "text", into: str = "piece_ids", round_trip: str | None = None) -> DataFrame:
-    """``docs`` with the array column ``into`` of ids, begin and end included; ``round_trip`` names a column that says whether they decode to the text."""
-    at = docs.columns.index(text_col)
+    """``docs`` with the array column ``into`` of ids, begin and end included; ``round_trip`` names a column that says whether they decode to the text.
+    Columns that have these names already give way."""
     added = [StructField(into, ArrayType(IntegerType()))] + ([StructField(round_trip, BooleanType())] if round_trip else [])
-    if clash := {f.name for f in added} & set(docs.columns):
-        raise ValueError(f"the table has the columns {sorted(clash)} already")
+    docs = docs.drop(*(f.name for f in added))
+    at = docs.columns.index(text_col)
 
     def run(batches):
         c = codec(path)
@@ -321,7 +321,8 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", into: str = "piec
 
 
 def decode(docs: DataFrame, path: str, ids_col: str = "piece_ids", into: str = "decoded") -> DataFrame:
-    """``docs`` with the string column ``into``, read back from the ids; null ids give an empty text."""
+    """``docs`` with the string column ``into`` (instead of one of that name), read back from the ids; null ids give an empty text."""
+    docs = docs.drop(into)
     at = docs.columns.index(ids_col)
 
     def run(batches):
