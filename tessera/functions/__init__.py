@@ -58,3 +58,35 @@ def python_rows(f: Callable[[Any], Any], names: Sequence[str], many: bool = Fals
             yield pa.RecordBatch.from_pydict({n: [r[i] for r in made] for i, n in enumerate(names)})
 
     return run
+
+
+# Small column functions for callers that pass functions around.
+
+
+def identity(x: Column) -> Column:
+    return x
+
+
+def neg(x: Column) -> Column:
+    return -x
+
+
+def inc(x: Column) -> Column:
+    return x + 1
+
+
+def double(x: Column) -> Column:
+    return x * 2
+
+
+def is_even(x: Column) -> Column:
+    return x % 2 == 0
+
+
+def is_odd(x: Column) -> Column:
+    return x % 2 != 0
+
+
+def all_equal(x: Column) -> Column:
+    """Whether the members of an array are one value; true for an empty one."""
+    return F.size(F.array_distinct(x)) <= 1

@@ -62,6 +62,9 @@ def map_partitions_with_index(df: DataFrame, f: Callable[[int, Iterator], Iterab
     return df.mapInPandas(run, schema)
 
 
+map_partitions_with_part = map_partitions_with_index
+
+
 def glom(df: DataFrame, key: Key = None) -> DataFrame:
     """One row per non-empty partition: partition, values. For partitions that fit a task, as the whole list does by nature."""
     return df.select(F.spark_partition_id().alias("partition"), as_column(df, key).alias("v")).groupBy("partition").agg(F.collect_list("v").alias("values"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
@@ -30,6 +30,10 @@ def take(df: DataFrame, n: int) -> list[Row]:
     return df.take(n)
 
 
+def itake(df: DataFrame, n: int) -> Iterator[Row]:
+    return df.limit(n).toLocalIterator()
+
+
 def first(df: DataFrame) -> Row:
     row = df.first()
     if row is None:

@@ -27,6 +27,16 @@ def get_session(app: str = "tessera", master: str | None = None, **conf: str) ->
     return builder.getOrCreate()
 
 
+def default_pcount(spark: SparkSession) -> int:
+    """Partitions of a source for which none are asked."""
+    return spark.sparkContext.defaultParallelism
+
+
+def executor_count(spark: SparkSession) -> int:
+    """Executors that are there now, the driver of a local session included."""
+    return len(list(spark.sparkContext._jsc.sc().statusTracker().getExecutorInfos()))
+
+
 def share_package(spark: SparkSession) -> None:
     """Lets Python workers import this package from where the driver has it, in case their path does not name it."""
     root = str(Path(__file__).resolve().parents[1])

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -42,14 +42,18 @@ def collection(spark: SparkSession, items: Iterable[Any], schema=None, pcount: i
     return spark.createDataFrame(spark.sparkContext.parallelize(rows, slices), schema)
 
 
-def files(spark: SparkSession, root: str | list[str], recursive: bool = True, name_glob: str | None = None, psize_bytes: int | None = None) -> DataFrame:
-    """path, modificationTime, length, content of each file. Name filters prune the listing; small files share partitions of ``psize_bytes``."""
+def files(spark: SparkSession, root: str | list[str], recursive: bool = True, name_glob: str | None = None, keep: Callable[[Column], Column] | None = None, psize_files: int | None = None) -> DataFrame:
+    """path, modificationTime, length, content of each file. ``name_glob`` prunes the listing, ``keep`` is a condition on the path, and with ``psize_files``
+    partitions hold about so many files; otherwise they are packed by size."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
     if name_glob:
         reader = reader.option("pathGlobFilter", name_glob)
-    if psize_bytes:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", psize_bytes)
-    return reader.load(root)
+    found = reader.load(root)
+    if keep:
+        found = found.where(keep(F.col("path")))
+    if psize_files:
+        found = found.repartition(max(1, math.ceil(found.select("path").count() / psize_files)), "path")
+    return found
 
 
 def chunks(content: DataFrame, size: int) -> DataFrame:

@@ -37,6 +37,8 @@ def test_files(spark, folder):
     assert sources.file_count(found) == 7 and len(sources.filenames(found)) == 7
     assert sources.total_size(found) == sum(p.stat().st_size for p in folder.rglob("*.txt"))
     assert sources.files(spark, str(folder), recursive=False, name_glob="*.txt").count() == 6
+    assert sources.files(spark, str(folder), keep=lambda p: p.endswith("f3.txt")).count() == 1
+    assert sources.files(spark, str(folder), name_glob="*.txt", psize_files=3).rdd.getNumPartitions() == 3
     text = "".join(r.content for r in sources.decode(found).orderBy("path").collect())
     assert "line 5 7 é" in text
     pieces = sources.chunks(found, 10).orderBy("path", "part").collect()

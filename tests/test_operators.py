@@ -180,3 +180,18 @@ def test_shared_state(spark, ints):
     assert shared.partitioned_values(ints, F.count("*")).agg(F.sum("value")).first()[0] == 1000
     with shared.described(spark, "named"), shared.profiled(spark, "perf"):
         assert ints.count() == 1000
+
+
+def test_small_functions_and_session(spark, ints):
+    from tessera import functions as fn
+    from tessera.session import default_pcount, executor_count, get_session, share_package
+
+    x = F.col("id")
+    row = ints.agg(F.sum(fn.inc(x)), F.sum(fn.double(x)), F.sum(fn.neg(x)), F.sum(fn.is_even(x).cast("int")), F.sum(fn.is_odd(x).cast("int")), F.max(fn.identity(x))).first()
+    total = sum(range(1000))
+    assert tuple(row) == (total + 1000, 2 * total, -total, 500, 500, 999)
+    assert [r[0] for r in spark.sql("SELECT array(1, 1) a UNION ALL SELECT array(1, 2)").select(fn.all_equal(F.col("a"))).collect()] == [True, False]
+    assert [r.id for r in ordering.itake(ints, 3)] == [0, 1, 2]
+    assert default_pcount(spark) == 4 and executor_count(spark) >= 1 and get_session() is spark
+    share_package(spark)
+    assert "PYTHONPATH" in spark.sparkContext.environment
