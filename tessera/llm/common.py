@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -96,6 +97,32 @@ def probe(df: DataFrame, bits: DataFrame, cells: tuple[Column, ...], into: str)
     return df.select(*columns, hit.alias(into))
 
 
+#: Python workers serve one operator after another; what one keeps from batch to batch is let go when another begins.
+_caches: dict[str, Callable[[], object]] = {}
+
+
+def keeps(name: str, clear: Callable[[], object]) -> None:
+    """Registers the cache of an operator's module, by what empties it."""
+    _caches[name] = clear
+
+
+def begin(name: str = "") -> None:
+    """Called first in a task of an operator: empties the caches of the others."""
+    for other, clear in _caches.items():
+        if other != name:
+            clear()
+    trim()
+
+
+def trim() -> None:
+    """Gives free memory back to the machine, which a worker would else hold until it ends."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library has no such call
+        pass
+
+
 def quoted(name: str) -> Column:
     return F.col(f"`{name}`")
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bit_cells, bit_table, cell_count, join_groups, partitions, probe, quoted, small_batches, stored, strings, without
+from .common import begin, bit_cells, bit_table, cell_count, join_groups, keeps, partitions, probe, quoted, small_batches, stored, strings, without
 
 LOW, FULL = 1, 2
 #: Signatures gathered before blocks are written, and signatures a key range is sized for.
@@ -42,7 +42,7 @@ FLUSH, RANGE = 2_500_000, 3_000_000
 BLOCK_MEMBERS, OPEN_ROWS = 2048, 50_000
 #: Pairs of 16 bytes that are broadcast to their sets; more are joined by shuffle.
 BROADCAST_PAIRS = 200_000
-WORD_CACHE = 500_000
+WORD_CACHE = 200_000
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -64,6 +64,7 @@ class _Hashes(dict):
 
 
 _words = _Hashes()
+keeps("words", _words.clear)
 
 
 def shingles(text: str, k: int) -> np.ndarray:
@@ -246,6 +247,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFra
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
+        begin("words")
         for batch in small_batches(batches):
             sets = [shingles(t, words) for t in strings(batch.column(1))]
             digests = [digest(s) if len(s) else None for s in sets]
@@ -260,6 +262,7 @@ def _blocks(docs: DataFrame, text_col: str, words: int, plan: Plan, ranges: int)
     names = ["place", *_BLOCK]
 
     def run(batches):
+        begin("words")
         blocks = _Blocks(ranges)
 
         def flushed():
@@ -285,6 +288,7 @@ def _shared_keys(blocks: DataFrame, ranges: int) -> DataFrame:
     """(key, node, n, need, low, full): the members of every key that two classes share."""
 
     def run(table: pa.Table) -> pa.Table:
+        begin()
         keys, docs, bits, nodes, sizes, base = [], [], [], [], [], 0
         for row in table.to_batches():
             for k, d, b, g, s in zip(*(row.column(c) for c in _BLOCK), strict=True):
@@ -361,6 +365,7 @@ def _sets(docs: DataFrame, rows: DataFrame, wanted: DataFrame, id_col: str, text
     found = maybe.join(ids.withColumnRenamed("id", "own"), F.col("id").eqNullSafe(F.col("own")), "left_semi")
 
     def run(batches):
+        begin("words")
         for batch in small_batches(batches):
             sets = [shingles(t, words) for t in strings(batch.column(1))]
             sets = [s for s in sets if len(s)]

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import _parse_datatype_string
 
-from .common import partitions, quoted, small_batches, stored, without
+from .common import begin, partitions, quoted, small_batches, stored, without
 
 ORDER = 4
 #: Characters a chunk: its packs, its distinct n-grams and their probabilities fit a small worker.
@@ -123,6 +123,7 @@ def _counts(packs: DataFrame, trusted: DataFrame) -> DataFrame:
     """(model, gram, c): 4-grams of the trusted texts. A text of one half counts for the model that scores the other half."""
 
     def run(packed: pa.Table, ids: pa.Table) -> pa.Table:
+        begin()
         good, got = set(ids.column("id").to_pylist()), {}
         for own, models, texts in _unpacked(packed.column("pack")):
             keep = np.fromiter((i in good for i in own.to_pylist()), bool, len(own))
@@ -133,7 +134,7 @@ def _counts(packs: DataFrame, trusted: DataFrame) -> DataFrame:
                     got[other] = [_summed(got[other])]
         done = {m: _summed(x) for m, x in got.items()}
         return pa.table({
-            "model": pa.array([m for m, (k, _) in done.items() for _ in range(len(k))], pa.string()),
+            "model": _repeated(list(done), [len(k) for k, _ in done.values()]),
             "gram": pa.array(np.concatenate([*(k for k, _ in done.values()), np.empty(0, np.uint64)]).view(np.int64)),
             "c": pa.array(np.concatenate([*(n for _, n in done.values()), np.empty(0, np.int64)])),
         })
@@ -142,6 +143,10 @@ def _counts(packs: DataFrame, trusted: DataFrame) -> DataFrame:
     return own.groupBy("model", "gram").agg(F.sum("c").alias("c"))
 
 
+def _repeated(names: list[str], times: list[int]) -> pa.Array:
+    return pa.DictionaryArray.from_arrays(pa.array(np.repeat(np.arange(len(names), dtype=np.int32), times)), pa.array(names, pa.string())).cast(pa.string())
+
+
 def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     keys, inverse = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
     return keys, np.bincount(inverse, np.concatenate([n for _, n in parts])).astype(np.int64)
@@ -254,6 +259,7 @@ def _requests(packs: DataFrame) -> DataFrame:
     """(chunk, model, gram): the distinct 4-grams of the chunk's texts."""
 
     def run(packed: pa.Table) -> pa.Table:
+        begin()
         seen, got = {}, {}
         for _, models, texts in _unpacked(packed.column("pack")):
             for m, _, part in _by_model(models, texts):
@@ -265,7 +271,7 @@ def _requests(packs: DataFrame) -> DataFrame:
         done = {m: np.unique(np.concatenate(x)) for m, x in got.items()}
         return pa.table({
             "chunk": pa.array(np.full(sum(map(len, done.values())), packed.column("chunk")[0].as_py(), np.int32)),
-            "model": pa.array([m for m, k in done.items() for _ in range(len(k))], pa.string()),
+            "model": _repeated(list(done), [len(k) for k in done.values()]),
             "gram": pa.array(np.concatenate([*done.values()]).view(np.int64)),
         })
 
@@ -298,13 +304,15 @@ def _scores(packs: DataFrame, answers: DataFrame, kind: str) -> DataFrame:
     """(doc_id, model, n, nll): symbols and summed negative log probability of each document."""
 
     def run(packed: pa.Table, answered: pa.Table) -> pa.Table:
+        begin()
         models = {}
-        names = np.array(answered.column("model").to_pylist())
+        names = answered.column("model").combine_chunks().dictionary_encode()
+        of_row = names.indices.to_numpy()
         gram = answered.column("gram").to_numpy().view(np.uint64)
         logp = answered.column("logp").to_numpy()
-        for m in np.unique(names):
-            own = names == m
-            models[str(m)] = _Answered(gram[own], logp[own])
+        for i, m in enumerate(names.dictionary.to_pylist()):
+            own = of_row == i
+            models[m] = _Answered(gram[own], logp[own])
         out = []
         for ids, of, texts in _unpacked(packed.column("pack")):
             n, nll = np.zeros(len(texts), np.int64), np.zeros(len(texts))

@@ -21,13 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
-from .common import quoted, small_batches, strings
+from .common import begin, keeps, quoted, small_batches, strings
 
 NONE = np.iinfo(np.int64).max
 #: Rounds in which a word may be held back to one merge before it goes to the heap.
 HELD_ROUNDS = 16
 #: Distinct words kept from batch to batch.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
 
 
 class Codec:
@@ -278,10 +278,14 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
+keeps("pieces", codec.cache_clear)
+
+
 def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, n_tokens, ids_sha256 and decoded_sha256, from the ids of its whole text."""
 
     def run(batches):
+        begin("pieces")
         c = codec(path)
         for batch in small_batches(batches):
             texts = strings(batch.column(1))
@@ -307,6 +311,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", into: str = "piec
     at = docs.columns.index(text_col)
 
     def run(batches):
+        begin("pieces")
         c = codec(path)
         for batch in small_batches(batches):
             texts = strings(batch.column(at))
@@ -326,6 +331,7 @@ def decode(docs: DataFrame, path: str, ids_col: str = "piece_ids", into: str = "
     at = docs.columns.index(ids_col)
 
     def run(batches):
+        begin("pieces")
         c = codec(path)
         for batch in small_batches(batches):
             lists = batch.column(at)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions, quoted, shared_dir, small_batches, strings
+from .common import begin, keeps, partitions, quoted, shared_dir, small_batches, strings
 
 VERSION = 1
 #: The dictionary is fitted on so many whole documents at most, those of the smallest hash: it affects the size of the files only.
@@ -112,6 +112,9 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+keeps("tokens", encoder.cache_clear)
+
+
 def planes(ids: np.ndarray) -> bytes:
     return np.ascontiguousarray(ids.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
 
@@ -150,6 +153,7 @@ def write(docs: DataFrame, path: str, out: str, end_id: int = 0, id_col: str = "
     def run(batches):
         from pyspark import TaskContext
 
+        begin("tokens")
         part, seq = TaskContext.get().partitionId(), 0
         shared = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
         packer = zstandard.ZstdCompressor(level=3, dict_data=shared, write_content_size=True) if shared else zstandard.ZstdCompressor(level=3)
