@@ -177,8 +177,7 @@ class Plan:
                 if m - len(own) > slack:
                     none = np.setdiff1d(np.arange(m, dtype=np.uint64), own)
                     keys.append(_key(base, none, np.zeros(len(none), np.uint64)))
-                    needs[-1] = slack + 1
-                else:
+                else:  # a set with its empty segments can meet one without them, so only here is more than one key certain
                     needs[-1] = slack + 1 - (m - len(own))
                 bits += [np.full(len(k), low | FULL, np.uint8) for k in keys[len(bits) :]]
         if not keys:
