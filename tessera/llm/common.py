@@ -57,7 +57,7 @@ def strings(column: pa.ChunkedArray | pa.Array) -> list[str]:
     return ["" if x is None else x for x in column.to_pylist()]
 
 
-def small_batches(batches: Iterable[pa.RecordBatch], max_bytes: int = 8 << 20, max_rows: int = 2048) -> Iterator[pa.RecordBatch]:
+def small_batches(batches: Iterable[pa.RecordBatch], max_bytes: int = 4 << 20, max_rows: int = 2048) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``max_bytes`` at most (one row may be larger), so that memory does not follow the text length."""
     for batch in batches:
         start, rows = 0, batch.num_rows
@@ -123,6 +123,30 @@ def trim() -> None:
         pass
 
 
+def tidy(f: Callable) -> Callable:
+    """``f`` of a group, after which the worker holds no more than the result."""
+
+    def run(*tables):
+        out = f(*tables)
+        begin()
+        return out
+
+    # Spark tells functions of one and of two tables apart by their parameters.
+    if f.__code__.co_argcount == 1:
+        return lambda table: run(table)
+    return lambda left, right: run(left, right)
+
+
+def tidied(f: Callable, keep: str = "") -> Callable:
+    """``f`` of a partition's batches, after which the worker holds the cache ``keep`` at most."""
+
+    def run(batches):
+        yield from f(batches)
+        begin(keep)
+
+    return run
+
+
 def quoted(name: str) -> Column:
     return F.col(f"`{name}`")
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import begin, bit_cells, bit_table, cell_count, join_groups, keeps, partitions, probe, quoted, small_batches, stored, strings, without
+from .common import begin, bit_cells, bit_table, cell_count, join_groups, keeps, partitions, probe, quoted, small_batches, stored, strings, tidied, tidy, without
 
 LOW, FULL = 1, 2
 #: Signatures gathered before blocks are written, and signatures a key range is sized for.
@@ -253,7 +253,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFra
             columns = [batch.column(0), pa.array(list(map(len, sets)), pa.int32()), pa.array(digests, pa.binary()), pa.array([d and node(d) for d in digests], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "digest", "node"])
 
-    return rows.mapInArrow(run, f"doc_id {kind}, n int, digest binary, node long")
+    return rows.mapInArrow(tidied(run), f"doc_id {kind}, n int, digest binary, node long")
 
 
 def _blocks(docs: DataFrame, text_col: str, words: int, plan: Plan, ranges: int) -> DataFrame:
@@ -280,14 +280,13 @@ def _blocks(docs: DataFrame, text_col: str, words: int, plan: Plan, ranges: int)
                         yield from flushed()
         yield from flushed()
 
-    return docs.select(quoted(text_col).alias("text")).mapInArrow(run, "place int, " + ", ".join(f"{c} binary" for c in _BLOCK))
+    return docs.select(quoted(text_col).alias("text")).mapInArrow(tidied(run), "place int, " + ", ".join(f"{c} binary" for c in _BLOCK))
 
 
 def _shared_keys(blocks: DataFrame, ranges: int) -> DataFrame:
     """(key, node, n, need, low, full): the members of every key that two classes share."""
 
     def run(table: pa.Table) -> pa.Table:
-        begin()
         keys, docs, bits, nodes, sizes, base = [], [], [], [], [], 0
         for row in table.to_batches():
             for k, d, b, g, s in zip(*(row.column(c) for c in _BLOCK), strict=True):
@@ -315,7 +314,7 @@ def _shared_keys(blocks: DataFrame, ranges: int) -> DataFrame:
         })
 
     dealt = blocks.repartition(max(ranges, partitions(blocks.sparkSession)), "place")
-    return dealt.groupBy("place").applyInArrow(run, "key long, node long, n int, need int, low boolean, full boolean")
+    return dealt.groupBy("place").applyInArrow(tidy(run), "key long, node long, n int, need int, low boolean, full boolean")
 
 
 def _sharing_enough(members: DataFrame) -> DataFrame:
@@ -373,7 +372,7 @@ def _sets(docs: DataFrame, rows: DataFrame, wanted: DataFrame, id_col: str, text
             yield pa.RecordBatch.from_arrays(columns, ["node", "tokens", "sketch"])
 
     # A repeated id can bring a set twice or one that nobody asked for; the pairs found with them are made distinct, so neither needs a shuffle.
-    return found.mapInArrow(run, "node long, tokens array<long>, sketch binary")
+    return found.mapInArrow(tidied(run), "node long, tokens array<long>, sketch binary")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -486,7 +485,7 @@ def _near_pairs(open_: DataFrame, count: int, percent: int) -> DataFrame:
         pairs = sorted(out)
         return pa.table({"a": pa.array([x for x, _ in pairs], pa.int64()), "b": pa.array([y for _, y in pairs], pa.int64())})
 
-    return rows.withColumn("place", place).groupBy("place").applyInArrow(run, "a long, b long")
+    return rows.withColumn("place", place).groupBy("place").applyInArrow(tidy(run), "a long, b long")
 
 
 def _folded(sketch_: bytes, width: int) -> np.ndarray:

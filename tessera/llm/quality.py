@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import _parse_datatype_string
 
-from .common import begin, partitions, quoted, small_batches, stored, without
+from .common import partitions, quoted, small_batches, stored, tidied, tidy, without
 
 ORDER = 4
 #: Characters a chunk: its packs, its distinct n-grams and their probabilities fit a small worker.
@@ -110,7 +110,7 @@ def _packed(docs: DataFrame, id_col: str, text_col: str, lang_col: str, chunks:
                 part = sorted_.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([pa.array([own[order[a]]], pa.int32()), pa.array([_pack(part.columns[1:], ["id", "model", "text"])], pa.binary())], ["chunk", "pack"])
 
-    return rows.mapInArrow(run, "chunk int, pack binary").repartition(max(chunks, partitions(docs.sparkSession)), "chunk")
+    return rows.mapInArrow(tidied(run), "chunk int, pack binary").repartition(max(chunks, partitions(docs.sparkSession)), "chunk")
 
 
 def _by_model(models: np.ndarray, texts: list[str]):
@@ -123,7 +123,6 @@ def _counts(packs: DataFrame, trusted: DataFrame) -> DataFrame:
     """(model, gram, c): 4-grams of the trusted texts. A text of one half counts for the model that scores the other half."""
 
     def run(packed: pa.Table, ids: pa.Table) -> pa.Table:
-        begin()
         good, got = set(ids.column("id").to_pylist()), {}
         for own, models, texts in _unpacked(packed.column("pack")):
             keep = np.fromiter((i in good for i in own.to_pylist()), bool, len(own))
@@ -139,7 +138,7 @@ def _counts(packs: DataFrame, trusted: DataFrame) -> DataFrame:
             "c": pa.array(np.concatenate([*(n for _, n in done.values()), np.empty(0, np.int64)])),
         })
 
-    own = packs.groupBy("chunk").cogroup(trusted.groupBy("chunk")).applyInArrow(run, "model string, gram long, c long")
+    own = packs.groupBy("chunk").cogroup(trusted.groupBy("chunk")).applyInArrow(tidy(run), "model string, gram long, c long")
     return own.groupBy("model", "gram").agg(F.sum("c").alias("c"))
 
 
@@ -183,7 +182,7 @@ def _global_parts(counts: DataFrame) -> DataFrame:
         return pa.table([model, *(pa.array(x, pa.int32()) for x in columns[:2]), *(pa.array(x, pa.int64()) for x in columns[2:])], ["model", "symbol", "k", "n1", "n2", "n3", "n4"])
 
     shards = counts.withColumn("prev", _place(1))
-    return shards.groupBy("model", "prev").applyInArrow(run, "model string, symbol int, k int, n1 long, n2 long, n3 long, n4 long")
+    return shards.groupBy("model", "prev").applyInArrow(tidy(run), "model string, symbol int, k int, n1 long, n2 long, n3 long, n4 long")
 
 
 def _discount_column(n: list[Column]) -> Column:
@@ -252,14 +251,13 @@ def _answers(counts: DataFrame, requests: DataFrame, chunks: int) -> DataFrame:
         return wanted.select(["chunk", "model", "gram"]).append_column("logp", pa.array(np.log(p)))
 
     by = ("model", "prev", "copy")
-    return shards.groupBy(*by).cogroup(asked.groupBy(*by)).applyInArrow(run, "chunk int, model string, gram long, logp double")
+    return shards.groupBy(*by).cogroup(asked.groupBy(*by)).applyInArrow(tidy(run), "chunk int, model string, gram long, logp double")
 
 
 def _requests(packs: DataFrame) -> DataFrame:
     """(chunk, model, gram): the distinct 4-grams of the chunk's texts."""
 
     def run(packed: pa.Table) -> pa.Table:
-        begin()
         seen, got = {}, {}
         for _, models, texts in _unpacked(packed.column("pack")):
             for m, _, part in _by_model(models, texts):
@@ -275,7 +273,7 @@ def _requests(packs: DataFrame) -> DataFrame:
             "gram": pa.array(np.concatenate([*done.values()]).view(np.int64)),
         })
 
-    return packs.groupBy("chunk").applyInArrow(run, "chunk int, model string, gram long")
+    return packs.groupBy("chunk").applyInArrow(tidy(run), "chunk int, model string, gram long")
 
 
 class _Answered:
@@ -304,7 +302,6 @@ def _scores(packs: DataFrame, answers: DataFrame, kind: str) -> DataFrame:
     """(doc_id, model, n, nll): symbols and summed negative log probability of each document."""
 
     def run(packed: pa.Table, answered: pa.Table) -> pa.Table:
-        begin()
         models = {}
         names = answered.column("model").combine_chunks().dictionary_encode()
         of_row = names.indices.to_numpy()
@@ -323,7 +320,7 @@ def _scores(packs: DataFrame, answers: DataFrame, kind: str) -> DataFrame:
         return pa.concat_tables(out) if out else pa.table({"doc_id": pa.array([], id_type), "model": pa.array([], pa.string()), "n": pa.array([], pa.int64()), "nll": pa.array([], pa.float64())})
 
     id_type = to_arrow_type(_parse_datatype_string(kind))
-    return packs.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, f"doc_id {kind}, model string, n long, nll double")
+    return packs.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(tidy(run), f"doc_id {kind}, model string, n long, nll double")
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

@@ -21,13 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
-from .common import begin, keeps, quoted, small_batches, strings
+from .common import begin, keeps, quoted, small_batches, strings, tidied
 
 NONE = np.iinfo(np.int64).max
 #: Rounds in which a word may be held back to one merge before it goes to the heap.
 HELD_ROUNDS = 16
 #: Distinct words kept from batch to batch.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 250_000
+#: Text of a batch: its words are Python strings for a while, about twenty times its size.
+BATCH_BYTES = 2 << 20
 
 
 class Codec:
@@ -287,7 +289,7 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     def run(batches):
         begin("pieces")
         c = codec(path)
-        for batch in small_batches(batches):
+        for batch in small_batches(batches, BATCH_BYTES):
             texts = strings(batch.column(1))
             ids, starts = c.encode(texts)
             n, sha, back = [], [], []
@@ -300,7 +302,7 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
 
     rows = docs.select(quoted(id_col).alias("doc_id"), quoted(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(tidied(run, "pieces"), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def encode(docs: DataFrame, path: str, text_col: str = "text", into: str = "piece_ids", round_trip: str | None = None) -> DataFrame:
@@ -313,7 +315,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", into: str = "piec
     def run(batches):
         begin("pieces")
         c = codec(path)
-        for batch in small_batches(batches):
+        for batch in small_batches(batches, BATCH_BYTES):
             texts = strings(batch.column(at))
             ids, starts = c.encode(texts)
             made = [pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(ids, pa.int32()))]
@@ -322,7 +324,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", into: str = "piec
                 made.append(pa.array([c.decode(ids[a:b]) == t.replace("▁", " ") for t, a, b in bounds], pa.bool_()))
             yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, *(f.name for f in added)])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, *added]))
+    return docs.mapInArrow(tidied(run, "pieces"), StructType([*docs.schema.fields, *added]))
 
 
 def decode(docs: DataFrame, path: str, ids_col: str = "piece_ids", into: str = "decoded") -> DataFrame:
@@ -333,9 +335,9 @@ def decode(docs: DataFrame, path: str, ids_col: str = "piece_ids", into: str = "
     def run(batches):
         begin("pieces")
         c = codec(path)
-        for batch in small_batches(batches):
+        for batch in small_batches(batches, BATCH_BYTES):
             lists = batch.column(at)
             texts = [c.decode(lists[i].values.to_numpy()) if lists[i].is_valid else "" for i in range(len(lists))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, into])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(into, StringType())]))
+    return docs.mapInArrow(tidied(run, "pieces"), StructType([*docs.schema.fields, StructField(into, StringType())]))
