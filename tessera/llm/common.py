@@ -19,6 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def in_batches(df: DataFrame, f: Callable, schema, keep: str = "") -> DataFrame:
+    """``df.mapInArrow`` in small Arrow batches, after which the worker keeps no cache but ``keep``."""
+    _bound_batches(df.sparkSession)
+    return df.mapInArrow(tidied(f, keep), schema)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir, which driver and executors share; only where it is unset (tests on one machine) a temporary one."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -28,6 +34,17 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+#: Bytes of an Arrow batch between the JVM and Python: it exists on both sides, once for each task.
+ARROW_BYTES = 4 << 20
+
+
+def _bound_batches(spark: SparkSession) -> None:
+    """Lowers Spark's default bound on Arrow batches (64 MB) to ARROW_BYTES; a bound that was set is left. Whole texts would else take an executor's memory."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) == "67108864b":
+        spark.conf.set(name, str(ARROW_BYTES))
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again: lineage ends here and lost executors lose nothing."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import begin, bit_cells, bit_table, cell_count, join_groups, keeps, partitions, probe, quoted, small_batches, stored, strings, tidied, tidy, without
+from .common import begin, bit_cells, bit_table, cell_count, in_batches, join_groups, keeps, partitions, probe, quoted, small_batches, stored, strings, tidy, without
 
 LOW, FULL = 1, 2
 #: Signatures gathered before blocks are written, and signatures a key range is sized for.
@@ -253,7 +253,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFra
             columns = [batch.column(0), pa.array(list(map(len, sets)), pa.int32()), pa.array(digests, pa.binary()), pa.array([d and node(d) for d in digests], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "digest", "node"])
 
-    return rows.mapInArrow(tidied(run), f"doc_id {kind}, n int, digest binary, node long")
+    return in_batches(rows, run, f"doc_id {kind}, n int, digest binary, node long")
 
 
 def _blocks(docs: DataFrame, text_col: str, words: int, plan: Plan, ranges: int) -> DataFrame:
@@ -280,7 +280,7 @@ def _blocks(docs: DataFrame, text_col: str, words: int, plan: Plan, ranges: int)
                         yield from flushed()
         yield from flushed()
 
-    return docs.select(quoted(text_col).alias("text")).mapInArrow(tidied(run), "place int, " + ", ".join(f"{c} binary" for c in _BLOCK))
+    return in_batches(docs.select(quoted(text_col).alias("text")), run, "place int, " + ", ".join(f"{c} binary" for c in _BLOCK))
 
 
 def _shared_keys(blocks: DataFrame, ranges: int) -> DataFrame:
@@ -372,7 +372,7 @@ def _sets(docs: DataFrame, rows: DataFrame, wanted: DataFrame, id_col: str, text
             yield pa.RecordBatch.from_arrays(columns, ["node", "tokens", "sketch"])
 
     # A repeated id can bring a set twice or one that nobody asked for; the pairs found with them are made distinct, so neither needs a shuffle.
-    return found.mapInArrow(tidied(run), "node long, tokens array<long>, sketch binary")
+    return in_batches(found, run, "node long, tokens array<long>, sketch binary")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import _parse_datatype_string
 
-from .common import partitions, quoted, small_batches, stored, tidied, tidy, without
+from .common import in_batches, partitions, quoted, small_batches, stored, tidy, without
 
 ORDER = 4
 #: Characters a chunk: its packs, its distinct n-grams and their probabilities fit a small worker.
@@ -110,7 +110,7 @@ def _packed(docs: DataFrame, id_col: str, text_col: str, lang_col: str, chunks:
                 part = sorted_.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([pa.array([own[order[a]]], pa.int32()), pa.array([_pack(part.columns[1:], ["id", "model", "text"])], pa.binary())], ["chunk", "pack"])
 
-    return rows.mapInArrow(tidied(run), "chunk int, pack binary").repartition(max(chunks, partitions(docs.sparkSession)), "chunk")
+    return in_batches(rows, run, "chunk int, pack binary").repartition(max(chunks, partitions(docs.sparkSession)), "chunk")
 
 
 def _by_model(models: np.ndarray, texts: list[str]):
