@@ -27,9 +27,9 @@ NONE = np.iinfo(np.int64).max
 #: Rounds in which a word may be held back to one merge before it goes to the heap.
 HELD_ROUNDS = 16
 #: Distinct words kept from batch to batch.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 100_000
 #: Text of a batch: its words are Python strings for a while, about twenty times its size.
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 20
 
 
 class Codec:
