@@ -1,7 +1,8 @@
 """Personal data: base patterns, and gradient-boosted candidates that add what the patterns miss.
 
 The base finds e-mail addresses, IPv4 addresses, payment cards and phone numbers by fixed patterns and tests; those spans always stay. Beside
-them, high-recall generators propose overlapping candidates (runs of number groups in every split, obfuscated addresses). Boosted trees, one
+them, high-recall generators propose overlapping candidates (spans from any digit group of a run to any other within the
+digits of a kind, obfuscated addresses). Boosted trees, one
 model a kind, score each candidate by its format and its context; a threshold calibrated on held-out rows to a precision of 0.995 selects
 spans, best score first, none overlapping another or a base span. The models are trained on generated rows with a fixed seed; nothing is
 read from the corpus.
@@ -85,8 +86,11 @@ def joined(spans: list[Span]) -> str:
 
 # Candidates
 
-_RUN = re.compile(r"[+(]?[0-9](?:[0-9() ./_-]*[0-9])?")
-_GROUP = re.compile(r"[^ ]+")
+#: What may stand between the digit groups of one number: blanks and dashes of any width, brackets and marks.
+_BLANK, _DASH = " \u00a0\u2007\u2009\u202f", "\u2010\u2011\u2012\u2013\u2014\u2212-"
+_RUN = re.compile(f"[0-9](?:[0-9()./_{_BLANK}{_DASH}]*[0-9])?")
+_GROUP = re.compile("[0-9]+")
+_PLAIN = str.maketrans({**dict.fromkeys(_BLANK, " "), **dict.fromkeys(_DASH, "-")})
 _AT = re.compile(r" ?(?:\((?:at|@)\)|\[(?:at|@)\]|\{at\}) ?| at | @ ", re.I)
 _DOTTED = re.compile(r"[A-Za-z0-9-]+(?:(?:\.| ?(?:\(dot\)|\[dot\]|\[\.\]|\{dot\}) ?| dot )[A-Za-z0-9-]+)+", re.I)
 _DEFANGED = re.compile(r"(?<![0-9.])[0-9]{1,3}(?: ?(?:\[\.\]|\(\.\)|\[dot\]|\(dot\)) ?[0-9]{1,3}){3}(?![0-9])", re.I)
@@ -97,23 +101,37 @@ _CONTEXT = {
     "email": re.compile(r"(?:mail|contact|write|reach|address|e-mail)\W*(?:\w+\W+)?$", re.I),
     "other": re.compile(r"(?:version|isbn|order|invoice|id|no|nr|number|ref|page|date|since|sku|serial|section|chapter)\W*$", re.I),
 }
-#: Number groups a candidate spans at most; every start in a run has all its ends, so long runs stay linear.
-MAX_GROUPS = 5
+#: Digits of a phone number and of a card. They bound the spans from one start, so long runs stay linear.
+PHONE_DIGITS, CARD_DIGITS = (7, 15), (13, 19)
+
+
+def _opened(text: str, a: int, b: int) -> int:
+    """Where a number from the digit at ``a`` begins: with the signs before it, an opening bracket only if the number closes it."""
+    for _ in range(2):
+        if a and (text[a - 1] == "+" or (text[a - 1] == "(" and text.find(")", a, b) >= 0)):
+            a -= 1
+    return a
 
 
 def candidates(text: str) -> list[Span]:
     out: list[Span] = []
     if _DIGIT.search(text):
         for run in _RUN.finditer(text):
-            if run.end() - run.start() < 7:
+            if run.end() - run.start() < PHONE_DIGITS[0]:
                 continue
-            groups = [(run.start() + g.start(), run.start() + g.end()) for g in _GROUP.finditer(run[0])]
-            for i, (a, _) in enumerate(groups):
-                for _, b in groups[i : i + MAX_GROUPS]:
-                    n = sum(c.isdigit() for c in text[a:b])
-                    if 7 <= n <= 15:
+            groups = [g.span() for g in _GROUP.finditer(text, *run.span())]
+            for i, (first, _) in enumerate(groups):
+                n = 0
+                for left, b in groups[i : i + CARD_DIGITS[1]]:  # a group has a digit at least
+                    n += b - left
+                    if n > CARD_DIGITS[1]:
+                        break
+                    if n < PHONE_DIGITS[0]:
+                        continue
+                    a = _opened(text, first, b)
+                    if n <= PHONE_DIGITS[1]:
                         out.append((a, b, "phone"))
-                    if 13 <= n <= 19:
+                    if n >= CARD_DIGITS[0]:
                         out.append((a, b, "card"))
         out += [(*m.span(), "ip") for m in _DEFANGED.finditer(text)]
     for m in _AT.finditer(text):
@@ -126,23 +144,55 @@ def candidates(text: str) -> list[Span]:
     return out
 
 
-def features(text: str, span: Span) -> list[float]:
-    a, b, _ = span
-    s, left, right = text[a:b], text[max(0, a - 24) : a], text[b : b + 2]
-    groups = re.findall("[0-9]+", s)
-    digits = "".join(groups)
-    sizes = [len(g) for g in groups] or [0]
-    domain = s.rpartition(".")[2] if "." in s else s.split()[-1]
-    return [
-        len(digits), len(groups), max(sizes), min(sizes), sizes[-1], len(s),
-        s.startswith("+"), "(" in s and ")" in s, s.count("."), s.count("-"), s.count(" "), s.count("/") + s.count("_"),
-        bool(digits) and luhn(digits), digits[:1] in ("3", "4", "5", "6"), len(set(digits)),
-        len(groups) == 4 and all(int(g) <= 255 for g in groups if len(g) < 4), sum(1900 <= int(g) <= 2100 for g in groups if len(g) == 4),
-        left[-1:].isalnum() or left[-1:] in ("+", "$", "€", "#", "."), right[:1].isalnum() or right[:1] in ("%", "."),
-        left[-1:] == " " and left[-2:-1].isdigit(), right[:1] == " " and right[1:2].isdigit(),
-        *(bool(_CONTEXT[k].search(left)) for k in ("phone", "card", "ip", "email", "other")),
-        sum(c.isalpha() for c in domain), bool(re.search(r"[\[({](?:at|@|dot|\.)[\])}]", s, re.I)), " dot " in s.lower(), " at " in s.lower(), "." in s and "@" in s,
-    ]
+_BRACKETED = re.compile(r"[\[({](?:at|@|dot|\.)[\])}]", re.I)
+_BEFORE = re.compile("([^0-9a-z]*)([0-9]*)", re.I)
+#: Separators to the number beside a span, by how closely they bind.
+_BINDS = {"": 0, " ": 1, "-": 2, ".": 3, "/": 4, "_": 4, "(": 5, ")": 5, " (": 5, ") ": 5}
+
+
+def _beside(text: str) -> tuple[int, int]:
+    """Size of the digit group that ``text`` leads to without a letter between, and what separates it."""
+    between, group = _BEFORE.match(text).groups()
+    return (len(group), _BINDS.get(between, 6)) if group else (0, 7)
+
+
+def _left_features(text: str, a: int) -> tuple[list[float], list[float]]:
+    left = text[max(0, a - 24) : a].translate(_PLAIN)
+    edge = [left[-1:].isalnum() or left[-1:] in ("+", "$", "€", "#", "."), left[-1:] == " " and left[-2:-1].isdigit(), *_beside(left[::-1])]
+    return edge, [bool(_CONTEXT[k].search(left)) for k in ("phone", "card", "ip", "email", "other")]
+
+
+def _right_features(text: str, b: int) -> list[float]:
+    right = text[b : b + 24].translate(_PLAIN)
+    return [right[:1].isalnum() or right[:1] in ("%", "."), right[:1] == "." and right[1:2].isalnum(), right[:1] == " " and right[1:2].isdigit(), *_beside(right)]
+
+
+def features(text: str, spans: list[Span]) -> np.ndarray:
+    """A row for each span; what lies to its left and to its right is looked at once for each start and each end."""
+    lefts = {a: _left_features(text, a) for a in {a for a, _, _ in spans}}
+    rights = {b: _right_features(text, b) for b in {b for _, b, _ in spans}}
+    out = []
+    for a, b, kind in spans:
+        s = text[a:b].translate(_PLAIN)
+        groups = _GROUP.findall(s)
+        digits = "".join(groups)
+        sizes = [len(g) for g in groups] or [0]
+        number = kind in ("card", "phone")
+        inner = _GROUP.split(s)[1:-1] if number else []
+        domain = "" if number else s.rpartition(".")[2] if "." in s else s.split()[-1]
+        low = "" if number else s.lower()
+        edge, context = lefts[a]
+        out.append([
+            len(digits), len(groups), max(sizes), min(sizes), sizes[-1], len(s),
+            s.startswith("+"), "(" in s and ")" in s, s.count("."), s.count("-"), s.count(" "), s.count("/") + s.count("_"),
+            bool(digits) and luhn(digits), digits[:1] in ("3", "4", "5", "6"), len(set(digits)),
+            len(groups) == 4 and all(int(g) <= 255 for g in groups if len(g) < 4), sum(1900 <= int(g) <= 2100 for g in groups if len(g) == 4),
+            sizes[0], sizes[min(1, len(sizes) - 1)], sizes.count(2), sizes.count(3), sizes.count(4), digits[:2] == "00", digits[:1] == "0",
+            len(set(inner)), max((_BINDS.get(x, 6) for x in inner), default=0), sum(x not in _BINDS for x in inner), inner[0] == inner[-1] if inner else 2,
+            *edge, *rights[b], *context,
+            sum(c.isalpha() for c in domain), not number and bool(_BRACKETED.search(s)), " dot " in low, " at " in low, not number and "." in s and "@" in s,
+        ])
+    return np.array(out, float)
 
 
 # Training rows
@@ -161,6 +211,20 @@ def _words(rng: random.Random, n: int) -> str:
     return " ".join("".join(rng.choice(("ter", "an", "lo", "si", "en", "du", "the", "ra", "mi")) for _ in range(rng.randint(1, 4))) for _ in range(n))
 
 
+def _pairs(rng: random.Random, cc: str) -> tuple[str, ...]:
+    """Phone numbers written in groups of two digits, national and international."""
+    pairs = [_digits(rng, 2) for _ in range(4)]
+    one, mark = rng.choice("123456789"), rng.choice((" ", " ", ".", "-"))
+    return f"00{cc} {one} {' '.join(pairs)}", f"00 {rng.choice(('33', '44', '49'))} {rng.choice(('30', '40', '89', _digits(rng, 2)))} {' '.join(pairs)}", mark.join([f"0{one}", *pairs]), f"0{_digits(rng, 3)}/{''.join(pairs)}"
+
+
+def _respaced(rng: random.Random, value: str) -> str:
+    """Now and then with the blanks or dashes that typesetting puts in."""
+    if rng.random() < 0.1:
+        return value.replace(" ", rng.choice(_BLANK[1:])).replace("-", rng.choice("\u2010\u2011\u2013")) if value[0] != "+" else value
+    return value
+
+
 def training_rows(seed: int = 5, n: int = 5000) -> list[tuple[str, list[Span]]]:
     """Texts with their true spans: written forms the base knows, forms it misses, and numbers that are nobody's data."""
     rng, out = random.Random(seed), []
@@ -169,7 +233,7 @@ def training_rows(seed: int = 5, n: int = 5000) -> list[tuple[str, list[Span]]]:
         area, mid, last = _digits(rng, 3), _digits(rng, 3), _digits(rng, 4)
         if kind == "phone":
             cc = rng.choice(("1", "44", "49", "33"))
-            value = rng.choice((f"+{cc} ({area}) {mid}-{last}", f"({area}) {mid}-{last}", f"{area}-{mid}-{last}", f"{area}.{mid}.{last}", f"+{cc} {area} {mid} {last}", f"00{cc} {area} {mid}{last}", f"{cc} ({area}) {mid}-{last}"))
+            value = rng.choice((f"+{cc} ({area}) {mid}-{last}", f"({area}) {mid}-{last}", f"{area}-{mid}-{last}", f"{area}.{mid}.{last}", f"+{cc} {area} {mid} {last}", f"00{cc} {area} {mid}{last}", f"{cc} ({area}) {mid}-{last}", *_pairs(rng, cc)))
             hint = rng.choice(("", "", "call ", "tel: ", "phone ", "mobile: "))
         elif kind == "card":
             c = _card(rng)
@@ -192,12 +256,22 @@ def training_rows(seed: int = 5, n: int = 5000) -> list[tuple[str, list[Span]]]:
             ))
             hint = rng.choice(("", "", "version ", "order ", "id ", "since ", "ref ", "isbn "))
         before, after = _words(rng, rng.randint(0, 4)), _words(rng, rng.randint(0, 4))
-        text = f"{before} {hint}{value}{rng.choice((' ', ' ', '. ', ', '))}{after}"
+        value = _respaced(rng, value) if kind in ("phone", "card") else value
         start = len(before) + 1 + len(hint)
         spans = [(start, start + len(value), kind)] if kind != "none" else []
-        if kind in ("phone", "card") and rng.random() < 0.35:  # one number straight after another
-            other = _card(rng)
-            text, spans = text[: start + len(value)] + " " + other + " " + after, [*spans, (start + len(value) + 1, start + len(value) + 1 + len(other), "card")]
+        follows = rng.choice((" ", " ", ". ", ", "))
+        if kind in ("phone", "card") and (chance := rng.random()) < 0.5:
+            if chance < 0.3 or value.startswith("+"):  # one number straight after another
+                other, of, between = _card(rng), "card", " "
+            elif chance < 0.4:  # two of one kind with a mark between
+                other = value[:-4] + re.sub("[0-9]", lambda _: _digits(rng, 1), value[-4:]) if kind == "phone" else _card(rng)
+                of, between = kind, rng.choice(("/", " / ", ", ", ". "))
+            else:  # a count or a year begins the next words
+                other, of, between = rng.choice((_digits(rng, 1), _digits(rng, 2), str(rng.randint(1950, 2030)))), None, rng.choice((". ", ", ", " - "))
+            at = start + len(value) + len(between)
+            spans += [(at, at + len(other), of)] if of else []
+            value += between + other
+        text = f"{before} {hint}{value}{follows}{after}"
         out.append((text, spans))
     return out
 
@@ -211,8 +285,13 @@ def models() -> dict[str, tuple[Boosted, float]]:
     for kind in KINDS:
         sets = []
         for part in (rows[:cut], rows[cut:]):
-            xy = [(features(t, c), float(c in spans)) for t, spans in part for c in candidates(t) if c[2] == kind]
-            sets.append((np.array([x for x, _ in xy], float), np.array([y for _, y in xy])))
+            x, y = [], []
+            for t, spans in part:
+                own = [c for c in candidates(t) if c[2] == kind]
+                if own:
+                    x.append(features(t, own))
+                    y += [float(c in spans) for c in own]
+            sets.append((np.concatenate(x), np.array(y)))
         model = Boosted().fit(*sets[0])
         out[kind] = model, threshold_for_precision(model.predict(sets[1][0]), sets[1][1], PRECISION)
     return out
@@ -231,7 +310,7 @@ def added_spans(text: str, base: list[Span], trained: dict[str, tuple[Boosted, f
         own = sorted(c for c in free if c[2] == kind)
         if own:
             model, least = trained[kind]
-            scored += [(-p, c) for p, c in zip(model.predict(np.array([features(text, c) for c in own], float)).tolist(), own, strict=True) if p >= least]
+            scored += [(-p, c) for p, c in zip(model.predict(features(text, own)).tolist(), own, strict=True) if p >= least]
     out: list[Span] = []
     chosen: list[tuple[int, int]] = []
     for _, c in sorted(scored, key=lambda x: (x[0], x[1][0] - x[1][1], x[1])):

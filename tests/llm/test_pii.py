@@ -61,6 +61,31 @@ def test_added_spans_find_what_runs_hide_and_leave_clean_text():
     assert pii.redact("a b@c.de z", [(2, 8, "email")]) == "a <email> z"
 
 
+def test_numbers_of_many_groups_and_beside_others_are_found_whole():
+    trained = pii.models()
+    for text, numbers in (
+        ("call 0033 1 23 45 67 89 now", ["0033 1 23 45 67 89"]),
+        ("call 00 49 30 12 34 56 78", ["00 49 30 12 34 56 78"]),
+        ("tel 555-123-4567/555-123-4568", ["555-123-4567", "555-123-4568"]),
+        ("phone 555-123-4567. 12 items", ["555-123-4567"]),
+        ("call 0033\u00a01\u00a023\u00a045\u00a067\u00a089 now", ["0033\u00a01\u00a023\u00a045\u00a067\u00a089"]),
+        ("phone 555\u2011123\u20114567, write", ["555\u2011123\u20114567"]),
+    ):
+        assert [text[a:b] for a, b, _ in sorted(pii.added_spans(text, pii.base_spans(text), trained))] == numbers, text
+
+
+def test_candidates_are_all_spans_of_enough_digits():
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("0123456789" * 2 + " .-/") for _ in range(60)) for _ in range(200)]
+    for text in texts:
+        starts = [i for i in range(len(text)) if text[i].isdigit() and not text[i - 1 : i].isdigit()]
+        ends = [i + 1 for i in range(len(text)) if text[i].isdigit() and not text[i + 1 : i + 2].isdigit()]
+        spans = [(a, b, sum(c.isdigit() for c in text[a:b])) for a in starts for b in ends if a < b]
+        expected = {(a, b, "phone") for a, b, n in spans if 7 <= n <= 15} | {(a, b, "card") for a, b, n in spans if 13 <= n <= 19}
+        assert {c for c in pii.candidates(text) if c[2] in ("phone", "card")} == expected, text
+    assert len(pii.candidates("7 " * 20_000)) <= 20_000 * 16
+
+
 def test_frame(spark):
     long = "x 1.2.3.4 " * 20_000
     rows = [(1, "me@x.org é +1 (269) 555-3296", "a"), (1, "me@x.org é +1 (269) 555-3296", "a"), (None, None, "b"), (2, "", "c"), (3, long, "d")]
