@@ -1,4 +1,6 @@
-"""Quality classifier: character n-gram models of trusted text with interpolated modified Kneser-Ney smoothing.
+"""Quality classifier: word n-gram models of trusted text over character n-gram models, with interpolated modified Kneser-Ney smoothing.
+
+The word models (see ``word_models``) score; what they gather grows with the trusted text. The character models spell the words that those do not know.
 
 Trusted text is every document labelled good. Two models a language are trained, one from each half of the trusted documents (halves by text
 hash, so equal texts share a half), and every document is scored by the model of the other half: all trusted text is counted and no score is
@@ -12,7 +14,7 @@ the probabilities of single symbols and the discounts are summed over all shards
 A symbol is a code point of the Basic Multilingual Plane; others fold into the private use area. An n-gram of up to four symbols is one
 64-bit number, 16 bits a symbol, so prefix and suffix are bit operations.
 
-The score of a document is its mean negative log probability a symbol, shrunk to the mean of its language with the weight of SHRINK symbols,
+The score of a document is its mean negative log probability a symbol by the word model, shrunk to the mean of its language with the weight of SHRINK symbols,
 so that very short texts are judged mildly.
 
 Defined results: a null or empty text has its end symbol only; a language without trusted documents has no threshold and all its documents
@@ -29,11 +31,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import _parse_datatype_string
 
+from . import word_models
 from .common import in_batches, partitions, quoted, small_batches, stored, tidy, without
 
 ORDER = 4
 #: Characters a chunk: its packs, its distinct n-grams and their probabilities fit a small worker.
-CHUNK_CHARS = 64_000_000
+CHUNK_CHARS = 32_000_000
 SHRINK = 200.0
 #: The share of trusted documents below the threshold.
 QUANTILE = 0.9995
@@ -298,33 +301,167 @@ class _Answered:
         return out
 
 
-def _scores(packs: DataFrame, answers: DataFrame, kind: str) -> DataFrame:
-    """(doc_id, model, n, nll): symbols and summed negative log probability of each document."""
+def _gathered(packed: pa.Table, good: set | None = None):
+    """(model, token hashes, tokens a text) of the chunk, one model at a time; ``good``: only texts of these ids, for the model of the other half."""
+    got: dict[str, list] = {}
+    for own, models, texts in _unpacked(packed.column("pack")):
+        if good is not None:
+            keep = np.fromiter((i in good for i in own.to_pylist()), bool, len(own))
+            models, texts = models[keep], [t for t, k in zip(texts, keep, strict=True) if k]
+        for m, _, part in _by_model(models, texts):
+            words, _, sizes = word_models.tokens(part)
+            got.setdefault(m if good is None else m[:-1] + str(1 - int(m[-1])), []).append((words, sizes))
+    for m in sorted(got):
+        parts = got.pop(m)
+        yield m, np.concatenate([w for w, _ in parts]), np.concatenate([n for _, n in parts])
+
+
+_PACKET = "model string, kind int, bucket int, pack binary"
+
+
+def _packets(chunks: list[int], rows: list[tuple]) -> pa.Table:
+    model, kind, bucket, pack = zip(*rows, strict=True) if rows else ((),) * 4
+    own = {"chunk": pa.array(chunks * len(rows), pa.int32())} if chunks else {}
+    return pa.table(own | {"model": pa.array(model, pa.string()), "kind": pa.array(kind, pa.int32()), "bucket": pa.array(bucket, pa.int32()), "pack": pa.array(pack, pa.binary())})
+
+
+def _word_counts(packs: DataFrame, trusted: DataFrame, buckets: int) -> DataFrame:
+    """Packets of the trusted texts' trigrams (kind 3) and words (kind 1) with counts."""
+
+    def run(packed: pa.Table, ids: pa.Table) -> pa.Table:
+        rows = []
+        for m, words, sizes in _gathered(packed, set(ids.column("id").to_pylist())):
+            d = word_models.Distinct(*word_models.trigrams(words, sizes))
+            w1, w2, w3 = d.grams
+            rows += [(m, 3, k, word_models.pack_grams(w1[a:b], w2[a:b], w3[a:b], d.counts[a:b])) for k, a, b in word_models.cuts(w2, buckets)]
+            own, c = np.unique(words, return_counts=True)
+            rows += [(m, 1, k, word_models.pack_words(own[a:b], c[a:b])) for k, a, b in word_models.cuts(own, buckets)]
+        return _packets([], rows)
+
+    return packs.groupBy("chunk").cogroup(trusted.groupBy("chunk")).applyInArrow(tidy(run), _PACKET)
+
+
+def _word_requests(packs: DataFrame, buckets: int) -> DataFrame:
+    """Packets of the distinct trigrams and words of the chunk."""
+
+    def run(packed: pa.Table) -> pa.Table:
+        rows = []
+        for m, words, sizes in _gathered(packed):
+            w1, w2, w3 = word_models.Distinct(*word_models.trigrams(words, sizes)).grams
+            rows += [(m, 3, k, word_models.pack_grams(w1[a:b], w2[a:b], w3[a:b])) for k, a, b in word_models.cuts(w2, buckets)]
+            own = np.unique(words)
+            rows += [(m, 1, k, word_models.pack_words(own[a:b])) for k, a, b in word_models.cuts(own, buckets)]
+        return _packets(packed.column("chunk")[:1].to_pylist(), rows)
+
+    return packs.groupBy("chunk").applyInArrow(tidy(run), f"chunk int, {_PACKET}")
+
+
+def _word_discounts(counts: DataFrame) -> DataFrame:
+    """(model, d): the discounts of orders 1, 2 and 3, the number of words counted and the mass left by their discounts."""
+
+    def run(table: pa.Table) -> pa.Table:
+        packs = table.column("pack").to_pylist()
+        if table.column("kind")[0].as_py() == 3:
+            shard = word_models.Shard(packs)
+            rows = [(3, *word_models.counts_of_counts(shard.c3)), (2, *word_models.counts_of_counts(shard.c2))]
+        else:
+            rows = [(1, *word_models.counts_of_counts(word_models.words_of(packs)[1]))]
+        columns = [pa.array(x, pa.int64()) for x in zip(*rows, strict=True)]
+        return pa.table([pa.array([table.column("model")[0].as_py()] * len(rows), pa.string()), *columns], ["model", "k", "n1", "n2", "n3", "n4", "total", "kinds"])
+
+    parts = counts.groupBy("model", "kind", "bucket").applyInArrow(tidy(run), "model string, k long, n1 long, n2 long, n3 long, n4 long, total long, kinds long")
+    names = ("n1", "n2", "n3", "n4", "total", "kinds")
+    sums = [F.sum(F.when(F.col("k") == k, F.col(x)).otherwise(0)).cast("double").alias(f"k{k}{x}") for k in (1, 2, 3) for x in names]
+    one = parts.groupBy("model").agg(*sums)
+    d = [_discount_column([F.col(f"k{k}n{i}") for i in (1, 2, 3, 4)]) for k in (1, 2, 3)]
+    left = d[0][0] * F.col("k1n1") + d[0][1] * F.col("k1n2") + d[0][2] * (F.col("k1kinds") - F.col("k1n1") - F.col("k1n2"))
+    return one.select("model", F.concat(*d, F.array("k1total", left)).alias("d"))
+
+
+def _word_answers(counts: DataFrame, requests: DataFrame, discounts: DataFrame) -> DataFrame:
+    """(chunk, model, kind, bucket, pack): for every requested packet the numbers of its n-grams, in its order."""
+
+    def run(counted: pa.Table, wanted: pa.Table) -> pa.Table:
+        packs, out = counted.column("pack").to_pylist(), []
+        if wanted.num_rows and wanted.column("kind")[0].as_py() == 3:
+            shard = word_models.Shard(packs)
+            for pack, d in zip(wanted.column("pack"), wanted.column("d"), strict=True):
+                grams = word_models.grams_of(pack.as_py())
+                d = np.array(d.as_py() or [0.0] * 11)
+                out.append(word_models.packed(*(word_models.rounded(x) for x in shard.answer(*grams, d[3:6], d[6:9]))))
+        else:
+            words, c = word_models.words_of(packs)
+            for pack, d in zip(wanted.column("pack"), wanted.column("d"), strict=True):
+                (own,) = word_models.unpack_words(pack.as_py())
+                d = np.array(d.as_py() or [*[0.0] * 9, 1.0, 1.0])
+                at, known = word_models._found(words, own)
+                p = np.where(known, c[at] - d[np.minimum(c[at], 3) - 1], 0.0) / d[9] if len(c) else np.zeros(len(own))
+                out.append(word_models.packed(word_models.rounded(p), np.array([d[10] / d[9]], np.float32)))
+        return wanted.select(["chunk", "model", "kind", "bucket"]).append_column("pack", pa.array(out, pa.binary()))
+
+    by = ("model", "kind", "bucket")
+    asked = requests.join(F.broadcast(discounts), "model", "left")  # two rows of eleven numbers a language
+    return counts.groupBy(*by).cogroup(asked.groupBy(*by)).applyInArrow(tidy(run), f"chunk int, {_PACKET}")
+
+
+def _word_log(words: np.ndarray, sizes: np.ndarray, spelled: np.ndarray, answers3: list, answers1: list) -> np.ndarray:
+    """The log probability of each text; ``spelled``: those of its tokens by the character model; answers: (bucket, arrays)."""
+    d = word_models.Distinct(*word_models.trigrams(words, sizes))
+    a, b = (np.concatenate(x) for x in zip(*(p for _, p in sorted(answers3, key=lambda x: x[0])), strict=True))
+    alone = sorted(answers1, key=lambda x: x[0])
+    own, number = np.unique(words, return_inverse=True)
+    p1, left = np.concatenate([p[0] for _, p in alone]), float(alone[0][1][1][0])
+    if len(a) != len(d.counts) or len(p1) != len(own):
+        raise ValueError("an n-gram of the chunk was not answered")
+    b = b[d.number].astype(float)
+    p = a[d.number] + b * (p1[number] + left * np.exp(spelled.astype(float)))
+    # A word whose spelling is too improbable for floating point keeps its sum of logarithms.
+    log = np.where(p > 1e-300, np.log(np.maximum(p, 1e-300)), np.log(np.maximum(b * left, 1e-30)) + spelled)
+    return np.add.reduceat(log, np.r_[0, np.cumsum(sizes)[:-1]])
+
+
+def _scores(packs: DataFrame, answers: DataFrame, word_answers: DataFrame, kind: str) -> DataFrame:
+    """(doc_id, model, n, nll, word_nll): symbols and summed negative log probabilities of each document by the character and by the word model."""
 
     def run(packed: pa.Table, answered: pa.Table) -> pa.Table:
-        models = {}
+        models, packets = {}, {}
         names = answered.column("model").combine_chunks().dictionary_encode()
         of_row = names.indices.to_numpy()
-        gram = answered.column("gram").to_numpy().view(np.uint64)
-        logp = answered.column("logp").to_numpy()
+        gram = answered.column("gram").fill_null(0).to_numpy().view(np.uint64)
+        logp = answered.column("logp").fill_null(0.0).to_numpy()
+        part_of = answered.column("kind").fill_null(0).to_numpy()
         for i, m in enumerate(names.dictionary.to_pylist()):
-            own = of_row == i
+            own = (of_row == i) & (part_of == 0)
             models[m] = _Answered(gram[own], logp[own])
-        out = []
+        for row in answered.filter(pa.array(part_of > 0)).select(["model", "kind", "bucket", "pack"]).to_pylist():
+            packets.setdefault((row["model"], row["kind"]), []).append((row["bucket"], word_models.unpacked(row["pack"])))
+        got, rows = {}, []
         for ids, of, texts in _unpacked(packed.column("pack")):
-            n, nll = np.zeros(len(texts), np.int64), np.zeros(len(texts))
+            n, nll, word_nll = np.zeros(len(texts), np.int64), np.zeros(len(texts)), np.zeros(len(texts))
             for m, at, part in _by_model(of, texts):
                 keys, starts = symbols(part)
-                n[at], nll[at] = np.diff(starts), -np.add.reduceat(models[m](keys), starts[:-1])
-            out.append(pa.table([ids, pa.array(of, pa.string()), pa.array(n), pa.array(nll)], ["doc_id", "model", "n", "nll"]))
-        return pa.concat_tables(out) if out else pa.table({"doc_id": pa.array([], id_type), "model": pa.array([], pa.string()), "n": pa.array([], pa.int64()), "nll": pa.array([], pa.float64())})
+                logs = models[m](keys)
+                n[at], nll[at] = np.diff(starts), -np.add.reduceat(logs, starts[:-1])
+                words, begins, sizes = word_models.tokens(part)
+                got.setdefault(m, []).append((words, sizes, np.add.reduceat(logs, begins).astype(np.float32), word_nll, at))
+            rows.append((ids, of, n, nll, word_nll))
+        for m in sorted(got):
+            parts = got.pop(m)
+            log = _word_log(*(np.concatenate([p[i] for p in parts]) for i in range(3)), packets.pop((m, 3)), packets.pop((m, 1)))
+            for (*_, into, at), own in zip(parts, np.split(log, np.cumsum([len(p[1]) for p in parts])[:-1]), strict=True):
+                into[at] = -own
+        names_ = ["doc_id", "model", "n", "nll", "word_nll"]
+        out = [pa.table([ids, pa.array(of, pa.string()), *map(pa.array, more)], names_) for ids, of, *more in rows]
+        empty = [pa.array([], t) for t in (id_type, pa.string(), pa.int64(), pa.float64(), pa.float64())]
+        return pa.concat_tables(out) if out else pa.table(empty, names_)
 
     id_type = to_arrow_type(_parse_datatype_string(kind))
-    return packs.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(tidy(run), f"doc_id {kind}, model string, n long, nll double")
+    both = answers.unionByName(word_answers, allowMissingColumns=True)
+    return packs.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(tidy(run), f"doc_id {kind}, model string, n long, nll double, word_nll double")
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """Per row: doc_id, lang, n_symbols, perplexity, score, threshold, kept. ``labels``: doc_id, quality (1: trusted)."""
+    """Per row: doc_id, lang, n_symbols, perplexity, word_perplexity (both a symbol), score, threshold, kept. ``labels``: doc_id, quality (1: trusted)."""
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.length(quoted(text_col)))).first()[0] or 0
     chunks = max(1, math.ceil(total / CHUNK_CHARS))
@@ -333,17 +470,20 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     packs = _packed(docs, id_col, text_col, lang_col, chunks)
     by_chunk = trusted.select(F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int").alias("chunk"), "id")
     answers = _answers(_counts(packs, by_chunk), _requests(packs), chunks)
-    scored = stored(_scores(packs, answers, kind), "quality-scores")
-    rows = scored.select("doc_id", F.expr("nullif(substring(model, 1, length(model) - 1), '\\u0000')").alias("lang"), F.col("n").alias("n_symbols"), "nll")
+    buckets = max(1, math.ceil(total / word_models.BUCKET_CHARS))
+    counted = _word_counts(packs, by_chunk, buckets)
+    worded = _word_answers(counted, _word_requests(packs, buckets), _word_discounts(counted))
+    scored = stored(_scores(packs, answers, worded, kind), "quality-scores")
+    rows = scored.select("doc_id", F.expr("nullif(substring(model, 1, length(model) - 1), '\\u0000')").alias("lang"), F.col("n").alias("n_symbols"), "nll", "word_nll")
     good = rows.join(trusted.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
-    mean = stored(good.groupBy("lang").agg((F.sum("nll") / F.sum("n_symbols")).alias("mean")), "means")
-    shrunk = (F.col("nll") + SHRINK * F.coalesce("mean", F.lit(0.0))) / (F.col("n_symbols") + SHRINK)
+    mean = stored(good.groupBy("lang").agg((F.sum("word_nll") / F.sum("n_symbols")).alias("mean")), "means")
+    shrunk = (F.col("word_nll") + SHRINK * F.coalesce("mean", F.lit(0.0))) / (F.col("n_symbols") + SHRINK)
     at = _joined(good, mean).select("lang", shrunk.alias("score"))
     limit = stored(at.groupBy("lang").agg(F.percentile_approx("score", F.lit(QUANTILE), F.lit(20_000)).alias("threshold")), "thresholds")
     kept = F.coalesce(shrunk <= F.col("threshold"), F.lit(True))
     perplexity = F.exp(F.col("nll") / F.col("n_symbols"))
     out = _joined(_joined(rows, mean), limit)
-    return out.select("doc_id", "lang", "n_symbols", perplexity.alias("perplexity"), shrunk.alias("score"), "threshold", kept.alias("kept"))
+    return out.select("doc_id", "lang", "n_symbols", perplexity.alias("perplexity"), F.exp(F.col("word_nll") / F.col("n_symbols")).alias("word_perplexity"), shrunk.alias("score"), "threshold", kept.alias("kept"))
 
 
 def _joined(rows: DataFrame, by_lang: DataFrame) -> DataFrame:
