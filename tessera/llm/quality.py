@@ -1,6 +1,6 @@
 """Quality classifier: word n-gram models of trusted text over character n-gram models, with interpolated modified Kneser-Ney smoothing.
 
-The word models (see ``word_models``) score; what they gather grows with the trusted text. The character models spell the words that those do not know.
+What the word models (see ``word_models``) gather grows with the trusted text. The character models spell the words that those do not know, and score too.
 
 Trusted text is every document labelled good. Two models a language are trained, one from each half of the trusted documents (halves by text
 hash, so equal texts share a half), and every document is scored by the model of the other half: all trusted text is counted and no score is
@@ -14,7 +14,7 @@ the probabilities of single symbols and the discounts are summed over all shards
 A symbol is a code point of the Basic Multilingual Plane; others fold into the private use area. An n-gram of up to four symbols is one
 64-bit number, 16 bits a symbol, so prefix and suffix are bit operations.
 
-The score of a document is its mean negative log probability a symbol by the word model, shrunk to the mean of its language with the weight of SHRINK symbols,
+The score of a document is its mean negative log probability a symbol, half by each model, shrunk to the mean of its language with the weight of SHRINK symbols,
 so that very short texts are judged mildly.
 
 Defined results: a null or empty text has its end symbol only; a language without trusted documents has no threshold and all its documents
@@ -474,10 +474,11 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     counted = _word_counts(packs, by_chunk, buckets)
     worded = _word_answers(counted, _word_requests(packs, buckets), _word_discounts(counted))
     scored = stored(_scores(packs, answers, worded, kind), "quality-scores")
-    rows = scored.select("doc_id", F.expr("nullif(substring(model, 1, length(model) - 1), '\\u0000')").alias("lang"), F.col("n").alias("n_symbols"), "nll", "word_nll")
+    both = ((F.col("nll") + F.col("word_nll")) / 2).alias("both")
+    rows = scored.select("doc_id", F.expr("nullif(substring(model, 1, length(model) - 1), '\\u0000')").alias("lang"), F.col("n").alias("n_symbols"), "nll", "word_nll", both)
     good = rows.join(trusted.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
-    mean = stored(good.groupBy("lang").agg((F.sum("word_nll") / F.sum("n_symbols")).alias("mean")), "means")
-    shrunk = (F.col("word_nll") + SHRINK * F.coalesce("mean", F.lit(0.0))) / (F.col("n_symbols") + SHRINK)
+    mean = stored(good.groupBy("lang").agg((F.sum("both") / F.sum("n_symbols")).alias("mean")), "means")
+    shrunk = (F.col("both") + SHRINK * F.coalesce("mean", F.lit(0.0))) / (F.col("n_symbols") + SHRINK)
     at = _joined(good, mean).select("lang", shrunk.alias("score"))
     limit = stored(at.groupBy("lang").agg(F.percentile_approx("score", F.lit(QUANTILE), F.lit(20_000)).alias("threshold")), "thresholds")
     kept = F.coalesce(shrunk <= F.col("threshold"), F.lit(True))
