@@ -28,6 +28,11 @@ def as_column(df: DataFrame, key: Key) -> Column:
     return F.struct(*key)
 
 
+def collected(value: Column) -> Column:
+    """All values of a group as an array, nulls too, which ``collect_list`` alone leaves out."""
+    return F.transform(F.collect_list(F.struct(value.alias("v"))), lambda x: x["v"])
+
+
 def truthy(column: Column, kind: T.DataType) -> Column:
     """Python's truth value of a column of this type: null, zero, false and empty are false."""
     if isinstance(kind, T.BooleanType):

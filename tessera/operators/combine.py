@@ -55,7 +55,8 @@ def cogroup(*frames: DataFrame, key: str = "key", value: str = "value") -> DataF
     """key, values_0 .. values_n: the values of each input, in one shuffle; keys of any input, empty arrays where one has none."""
     tagged = [f.select(F.col(key).alias("key"), F.lit(i).alias("i"), F.col(value).alias("v")) for i, f in enumerate(frames)]
     whole = union(tagged[0], *tagged[1:])
-    return whole.groupBy("key").agg(*(F.collect_list(F.when(F.col("i") == i, F.col("v"))).alias(f"values_{i}") for i in range(len(frames))))
+    kept = lambda i: F.collect_list(F.when(F.col("i") == i, F.struct("v")))  # noqa: E731 -- a struct, so that null values stay
+    return whole.groupBy("key").agg(*(F.transform(kept(i), lambda x: x["v"]).alias(f"values_{i}") for i in range(len(frames))))
 
 
 def cogroup_apply(left: DataFrame, right: DataFrame, f: Callable, schema: str, key: str = "key") -> DataFrame:

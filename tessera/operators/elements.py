@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.functions import Key, as_column, python_rows, truthy
+from tessera.functions import Key, as_column, collected, python_rows, truthy
+from tessera.storage import stored
 
 
 def _names(schema: str | T.StructType) -> list[str]:
@@ -67,7 +68,7 @@ map_partitions_with_part = map_partitions_with_index
 
 def glom(df: DataFrame, key: Key = None) -> DataFrame:
     """One row per non-empty partition: partition, values. For partitions that fit a task, as the whole list does by nature."""
-    return df.select(F.spark_partition_id().alias("partition"), as_column(df, key).alias("v")).groupBy("partition").agg(F.collect_list("v").alias("values"))
+    return df.select(F.spark_partition_id().alias("partition"), as_column(df, key).alias("v")).groupBy("partition").agg(collected(F.col("v")).alias("values"))
 
 
 def concat(df: DataFrame, column: str, sep: str = "", order_by: str | None = None) -> DataFrame:
@@ -80,9 +81,11 @@ def concat(df: DataFrame, column: str, sep: str = "", order_by: str | None = Non
     return rows.groupBy("partition").agg(joined.alias("value"))
 
 
-def pipe(df: DataFrame, command: str, column: str) -> DataFrame:
-    """Each partition's strings through an external program, one line each; a failing program fails the task."""
-    return df.select(column).rdd.map(lambda r: r[0]).pipe(command, checkCode=True).map(lambda x: (x,)).toDF("value string")
+def pipe(df: DataFrame, command: str, column: str, writer: Callable[[Any], str] = str, reader: Callable[[str], Any] | None = None, schema: str = "value string") -> DataFrame:
+    """Each partition's values through an external program, one line each; a failing program fails the task. ``writer`` makes a line of a value, ``reader``
+    a row (a tuple by ``schema``) of a line that came back."""
+    lines = df.select(column).rdd.map(lambda r: writer(r[0])).pipe(command, checkCode=True)
+    return lines.map(reader or (lambda x: (x,))).toDF(schema)
 
 
 def filter_(df: DataFrame, condition: Column | Callable | None = None, column: str | None = None) -> DataFrame:
@@ -117,22 +120,21 @@ def key_by_id(df: DataFrame) -> DataFrame:
 
 
 def key_by_idx(df: DataFrame, order_by: Key = None) -> DataFrame:
-    """Dense numbers from 0, by ``order_by`` or else by position. Offsets come from one count a partition, so no task sees all rows."""
-    if order_by is None:
-        value = as_column(df, None).alias("value")
-        rows = df.select(value)
-        schema = T.StructType([T.StructField("key", T.LongType()), *rows.schema.fields])
-        return rows.rdd.zipWithIndex().map(lambda x: (x[1], *x[0])).toDF(schema)
-    order = as_column(df, order_by)
-    ranged = df.select(order.alias("o"), as_column(df, None).alias("value")).orderBy("o").withColumn("p", F.spark_partition_id())
-    counts = {r.p: r["count"] for r in ranged.groupBy("p").count().collect()}
+    """Dense numbers from 0, by ``order_by`` (ties in any order) or else by position. The rows are written once with their place in their partition, so that
+    counts and numbers are of one execution; offsets are a number a partition, and no task sees all rows."""
+    value = as_column(df, None).alias("value")
+    if order_by is not None:
+        df = df.select(as_column(df, order_by).alias("o"), value).orderBy("o")
+        value = F.col("value")
+    # The partition's number is in the upper bits, the place in the lower 33.
+    placed = stored(df.select(F.monotonically_increasing_id().alias("m"), value), "numbered")
+    part, place = F.shiftright("m", 33), F.col("m").bitwiseAND(F.lit((1 << 33) - 1))
     before, seen = [], 0
-    for p in sorted(counts):
-        before += [F.lit(p), F.lit(seen)]
-        seen += counts[p]
-    place = F.row_number().over(Window.partitionBy("p").orderBy("o")) - 1
-    start = F.create_map(*before)[F.col("p")] if before else F.lit(0)
-    return ranged.select((start + place).cast("long").alias("key"), "value")
+    for r in sorted(placed.groupBy(part.alias("p")).count().collect()):
+        before += [F.lit(r["p"]), F.lit(seen)]
+        seen += r["count"]
+    start = F.create_map(*before)[part] if before else F.lit(0)
+    return placed.select((start + place).cast("long").alias("key"), "value")
 
 
 def keys(df: DataFrame) -> DataFrame:
@@ -191,8 +193,15 @@ def column(df: DataFrame, name: str) -> DataFrame:
     return df.select(name)
 
 
-def assign(df: DataFrame, **made: Column | Callable) -> DataFrame:
-    """New columns, added in the order of their names."""
+def assign(df: DataFrame, other: DataFrame | None = None, **made: Column | Callable) -> DataFrame:
+    """New columns, added in the order of their names; before them those of ``other``, row by row by position. A column of ``other`` takes the place of one
+    of that name."""
+    if other is not None:
+        own = [f"value.`{c}`" for c in df.columns if c not in other.columns]
+        left, right = (key_by_idx(x.select(F.struct(*x.columns).alias("row"))) for x in (df, other))
+        if left.count() != right.count():
+            raise ValueError("the datasets differ in length")
+        df = left.join(right.withColumnRenamed("value", "other"), "key").select(*own, "other.*")
     return df.withColumns({k: as_column(df, made[k]) for k in sorted(made)})
 
 

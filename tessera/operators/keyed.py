@@ -7,16 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions import Key, as_column
+from tessera.functions import Key, as_column, collected
 
 
 def group_by(df: DataFrame, key: Key) -> DataFrame:
     """key, values: whole rows of each key. The array of a key must fit a task; flat aggregates need no such array."""
-    return df.groupBy(as_column(df, key).alias("key")).agg(F.collect_list(as_column(df, None)).alias("values"))
+    return df.groupBy(as_column(df, key).alias("key")).agg(collected(as_column(df, None)).alias("values"))
 
 
 def group_by_key(df: DataFrame, order: bool = False) -> DataFrame:
-    made = F.collect_list("value")
+    """key, values: the values of each key, nulls too (first, with ``order``)."""
+    made = collected(F.col("value"))
     return df.groupBy("key").agg((F.sort_array(made) if order else made).alias("values"))
 
 
@@ -36,12 +37,24 @@ def aggregate_by_key(df: DataFrame, local: Column | Callable, comb: Callable | N
     return df.mapInPandas(partial, schema).groupBy("key").applyInPandas(comb or local, schema)
 
 
-def combine_by_key(df: DataFrame, create: Callable[[Column], Column], merge_value: Callable[[Column, Column], Column], finish: Callable[[Column], Column] | None = None) -> DataFrame:
-    """A fold of each key's values in Catalyst, from ``create`` of the first one."""
-    rest = lambda x: F.slice(x, 2, F.greatest(F.size(x) - 1, F.lit(0)))
-    grouped = df.groupBy("key").agg(F.collect_list("value").alias("v"))
-    folded = F.aggregate(rest(F.col("v")), create(F.col("v")[0]), merge_value, finish) if finish else F.aggregate(rest(F.col("v")), create(F.col("v")[0]), merge_value)
-    return grouped.select("key", folded.alias("value"))
+#: Neighbouring rows whose values of one key are folded together first.
+FOLD_ROWS = 4096
+
+
+def combine_by_key(
+    df: DataFrame, create: Callable[[Column], Column], merge_value: Callable[[Column, Column], Column], merge_combs: Callable[[Column, Column], Column], finish: Callable[[Column], Column] | None = None
+) -> DataFrame:
+    """A fold of each key's values (nulls too) in Catalyst, from ``create`` of a first one. Blocks of FOLD_ROWS rows are folded first and ``merge_combs``
+    joins their results, so that no list grows with a key's values."""
+
+    def folded(values: Column, first: Callable[[Column], Column], f: Callable[[Column, Column], Column], last: Callable[[Column], Column] | None) -> Column:
+        rest = F.slice(values, 2, F.greatest(F.size(values) - 1, F.lit(0)))
+        return F.aggregate(rest, first(values[0]), f, last) if last else F.aggregate(rest, first(values[0]), f)
+
+    blocks = df.select("key", "value", F.floor(F.monotonically_increasing_id() / FOLD_ROWS).alias("block"))
+    partial = blocks.groupBy("key", "block").agg(collected(F.col("value")).alias("v")).select("key", folded(F.col("v"), create, merge_value, None).alias("c"))
+    whole = partial.groupBy("key").agg(collected(F.col("c")).alias("v"))
+    return whole.select("key", folded(F.col("v"), lambda c: c, merge_combs, finish).alias("value"))
 
 
 def combine_by_key_rdd(df: DataFrame, create: Callable, merge_value: Callable, merge_combs: Callable, schema: str) -> DataFrame:

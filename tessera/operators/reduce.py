@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterable
 from typing import Any
 
@@ -29,8 +30,11 @@ def aggregate(df: DataFrame, local: Column | Callable[[Iterable], Any], comb: Ca
 
 
 def _partial(local: Callable, it: Iterable) -> Iterable:
-    rows = list(it)
-    return [local(rows)] if rows else []
+    """``local`` of an iterator of the partition's values; nothing of an empty partition."""
+    rows = iter(it)
+    for head in rows:
+        return [local(itertools.chain([head], rows))]
+    return []
 
 
 def combine(df: DataFrame, zero: Any, merge_value: Callable, merge_combs: Callable, key: Key = None) -> Any:

@@ -368,6 +368,7 @@ def combine_by_key_avg(spark, sf_dir):
         pairs,
         lambda v: F.struct(v.alias("s"), F.lit(1).cast("long").alias("n")),
         lambda a, v: F.struct((a["s"] + v).cast("decimal(28,4)").alias("s"), (a["n"] + 1).alias("n")),
+        lambda a, b: F.struct((a["s"] + b["s"]).cast("decimal(28,4)").alias("s"), (a["n"] + b["n"]).alias("n")),
         lambda a: a["s"].cast("double") / a["n"],
     )
 

@@ -41,6 +41,6 @@ def share_package(spark: SparkSession) -> None:
     """Lets Python workers import this package from where the driver has it, in case their path does not name it."""
     root = str(Path(__file__).resolve().parents[1])
     env = spark.sparkContext.environment
-    paths = [p for p in env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep) if p]
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root not in paths:
         env["PYTHONPATH"] = os.pathsep.join([root, *paths])

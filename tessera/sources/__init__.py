@@ -8,6 +8,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,17 +43,32 @@ def collection(spark: SparkSession, items: Iterable[Any], schema=None, pcount: i
     return spark.createDataFrame(spark.sparkContext.parallelize(rows, slices), schema)
 
 
-def files(spark: SparkSession, root: str | list[str], recursive: bool = True, name_glob: str | None = None, keep: Callable[[Column], Column] | None = None, psize_files: int | None = None) -> DataFrame:
-    """path, modificationTime, length, content of each file. ``name_glob`` prunes the listing, ``keep`` is a condition on the path, and with ``psize_files``
-    partitions hold about so many files; otherwise they are packed by size."""
+def files(
+    spark: SparkSession,
+    root: str | list[str],
+    recursive: bool = True,
+    name_glob: str | None = None,
+    keep: Callable[[Column], Column] | None = None,
+    psize_files: int | None = None,
+    psize_bytes: int | None = None,
+    keep_folder: Callable[[Column], Column] | None = None,
+) -> DataFrame:
+    """path, modificationTime, length, content of each file. ``name_glob`` prunes the listing, ``keep`` is a condition on the path, ``keep_folder`` one on the
+    path of its folder. With ``psize_files`` partitions hold about so many files, with ``psize_bytes`` about so many bytes; otherwise they are packed by size."""
+    if psize_files and psize_bytes:
+        raise ValueError("give psize_files or psize_bytes, not both")
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
     if name_glob:
         reader = reader.option("pathGlobFilter", name_glob)
     found = reader.load(root)
     if keep:
         found = found.where(keep(F.col("path")))
+    if keep_folder:
+        found = found.where(keep_folder(F.regexp_replace("path", "/[^/]*$", "")))
     if psize_files:
-        found = found.repartition(max(1, math.ceil(found.select("path").count() / psize_files)), "path")
+        return found.repartition(max(1, math.ceil(found.select("path").count() / psize_files)), "path")
+    if psize_bytes:  # length comes from the listing: no file is opened for it
+        return found.repartition(max(1, math.ceil(total_size(found) / psize_bytes)), "path")
     return found
 
 
@@ -63,9 +79,26 @@ def chunks(content: DataFrame, size: int) -> DataFrame:
     return parts.select("path", "part", F.substring("content", F.col("part") * size + 1, F.lit(size)).alias("content"))
 
 
-def decode(content: DataFrame, encoding: str = "utf-8") -> DataFrame:
-    """``content`` as a string."""
-    return content.withColumn("content", F.decode("content", encoding.upper()))
+def decode(content: DataFrame, encoding: str = "utf-8", errors: str | None = None) -> DataFrame:
+    """``content`` as a string. ``errors`` takes Python's codecs and their error handlers ("strict", "ignore", "replace", ...)."""
+    if errors is None:
+        return content.withColumn("content", F.decode("content", encoding.upper()))
+    return _mapped(content, "content", lambda x: x.decode(encoding, errors), T.StringType())
+
+
+def _mapped(df: DataFrame, name: str, f: Callable[[bytes], Any], kind: T.DataType) -> DataFrame:
+    """``df`` with ``f`` of each value of one column, nulls left, in Arrow batches."""
+    at = df.columns.index(name)
+    schema = T.StructType([T.StructField(name, kind) if i == at else x for i, x in enumerate(df.schema.fields)])
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            made = pa.array([None if x is None else f(x) for x in batch.column(at).to_pylist()], pa.string() if isinstance(kind, T.StringType) else pa.binary())
+            yield pa.RecordBatch.from_arrays([made if i == at else c for i, c in enumerate(batch.columns)], batch.schema.names)
+
+    return df.mapInArrow(run, schema)
 
 
 def split_content(content: DataFrame, separator: str) -> DataFrame:
@@ -77,13 +110,33 @@ def _literal(text: str) -> str:
     return r"\Q" + text.replace(r"\E", r"\E\\E\Q") + r"\E"
 
 
-def lines(spark: SparkSession, root: str | list[str], keepends: bool = False, separator: str | None = None, recursive: bool = True) -> DataFrame:
-    """``value``: lines of text files, read in splits. Terminators are dropped unless ``keepends``; compressed files are opened by their suffix."""
-    reader = spark.read.option("recursiveFileLookup", str(recursive).lower())
-    if separator:
-        reader = reader.option("lineSep", separator)
-    found = reader.text(root)
-    return found.select(F.concat("value", F.lit(separator or "\n")).alias("value")) if keepends else found
+def lines(spark: SparkSession, root: str | list[str], keepends: bool = False, separator: str | None = None, recursive: bool = True, encoding: str = "utf-8", errors: str | None = None) -> DataFrame:
+    """``value``: lines of text files. UTF-8 files without their terminators are read in splits, compressed ones opened by their suffix.
+
+    ``keepends`` (terminators as they are in the file), other encodings and error handlers read each file whole, in one task.
+    """
+    if not keepends and encoding.lower().replace("_", "-") in ("utf-8", "utf8") and errors is None:
+        reader = spark.read.option("recursiveFileLookup", str(recursive).lower())
+        return (reader.option("lineSep", separator) if separator else reader).text(root)
+
+    def run(batches):
+        import re
+
+        import pyarrow as pa
+
+        cut = re.compile(re.escape(separator) if separator else "\r\n|\r|\n")
+        for batch in batches:
+            out = []
+            for x in batch.column(0).to_pylist():
+                text, at = x.decode(encoding, errors or "strict"), 0
+                for m in cut.finditer(text):
+                    out.append(text[at : m.end() if keepends else m.start()])
+                    at = m.end()
+                if at < len(text):
+                    out.append(text[at:])
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
+
+    return files(spark, root, recursive).select("content").mapInArrow(run, "value string")
 
 
 def decompress(content: DataFrame, codec: str | None = "gzip") -> DataFrame:
@@ -92,16 +145,12 @@ def decompress(content: DataFrame, codec: str | None = "gzip") -> DataFrame:
         return content
     if codec not in ("gzip", "lz4"):
         raise ValueError(f"unknown codec {codec!r}")
-    at = content.columns.index("content")
-
-    def run(batches):
+    def plain(x: bytes) -> bytes:
         import pyarrow as pa
 
-        for batch in batches:
-            plain = [None if x is None else pa.CompressedInputStream(pa.BufferReader(x), codec).read() for x in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(plain, pa.binary()) if i == at else c for i, c in enumerate(batch.columns)], batch.schema.names)
+        return pa.CompressedInputStream(pa.BufferReader(x), codec).read()
 
-    return content.mapInArrow(run, content.schema)
+    return _mapped(content, "content", plain, T.BinaryType())
 
 
 def read_csv(spark: SparkSession, path: str | list[str], schema: str | None = None, header: bool = True, **options: Any) -> DataFrame:
@@ -110,10 +159,14 @@ def read_csv(spark: SparkSession, path: str | list[str], schema: str | None = No
     return (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
 
 
+#: A CSV record: quoted parts, which may hold line ends, and plain ones. Possessive, so that it never goes back.
+_RECORD = r'(?:"(?:[^"\\]++|\\.)*+"|[^"\r\n]++|")++'
+
+
 def parse_csv(df: DataFrame, schema: str, column: str = "value", **options: Any) -> DataFrame:
-    """Each value is CSV text of one or more lines without header: its rows by ``schema``."""
-    row = F.explode(F.split(column, r"\r?\n")).alias("line")
-    return df.select(row).filter("length(line) > 0").select(F.from_csv("line", schema, options).alias("row")).select("row.*")
+    """Each value is CSV text of one or more lines without header: its rows by ``schema``. Quoted fields may hold line ends."""
+    records = F.regexp_extract_all(column, F.lit(_RECORD), F.lit(0))
+    return df.select(F.explode(records).alias("line")).select(F.from_csv("line", schema, options).alias("row")).select("row.*")
 
 
 def filenames(df: DataFrame) -> list[str]:

@@ -114,3 +114,28 @@ def test_stream_counts_equal_batch(spark, tmp_path):
     closed = got.agg(F.max("end")).first()[0]
     expected = batch.filter(F.col("start") < F.lit(closed))
     assert got.select("start", "event_type", "n").exceptAll(expected).count() == 0 and got.count() == expected.count() > 0
+
+
+def test_line_ends(spark, tmp_path):
+    (tmp_path / "a.txt").write_bytes(b"1\r\n2\n3\r4")
+    assert [r.value for r in sources.lines(spark, str(tmp_path), keepends=True).collect()] == ["1\r\n", "2\n", "3\r", "4"]
+    assert [r.value for r in sources.lines(spark, str(tmp_path)).collect()] == ["1", "2", "3", "4"]
+    (tmp_path / "a.txt").write_bytes("é;ü;".encode("latin-1"))
+    assert [r.value for r in sources.lines(spark, str(tmp_path), separator=";", encoding="latin-1").collect()] == ["é", "ü"]
+    assert [r.value for r in sources.lines(spark, str(tmp_path), separator=";", errors="ignore").collect()] == ["", ""]
+    assert sources.decode(sources.files(spark, str(tmp_path)), errors="replace").first().content == "�;�;"
+
+
+def test_file_partitions_and_folders(spark, folder):
+    found = sources.files(spark, str(folder), name_glob="*.txt", psize_bytes=300)
+    assert found.rdd.getNumPartitions() == -(-sources.total_size(found) // 300)
+    assert sources.files(spark, str(folder), keep_folder=lambda p: p.endswith("sub")).count() == 1
+    with pytest.raises(ValueError):
+        sources.files(spark, str(folder), psize_files=1, psize_bytes=1)
+
+
+def test_csv_with_quoted_line_ends(spark):
+    text = spark.createDataFrame([('1,"x\ny"\r\n\n2,"a""b, c"\n3,z',), (None,), ("",)], "value string")
+    assert [tuple(r) for r in sources.parse_csv(text, "a int, b string", escape='"').collect()] == [(1, "x\ny"), (2, 'a"b, c'), (3, "z")]
+    long = spark.createDataFrame([('1,"' + "x\n" * 50_000 + '"\n',)], "value string")
+    assert [r.a for r in sources.parse_csv(long, "a int, b string").collect()] == [1]

@@ -70,7 +70,7 @@ def test_keyed_forms(spark, ints):
     assert dict(map(tuple, keyed.reduce_by_key(pairs, lambda a, b: a + b).collect())) == {k: sum(v) for k, v in groups.items()}
     rdd = keyed.combine_by_key_rdd(pairs, lambda v: [v, 1], lambda a, v: [a[0] + v, a[1] + 1], lambda a, b: [a[0] + b[0], a[1] + b[1]], "key long, value array<long>")
     assert {r.key: r.value for r in rdd.collect()} == {k: [sum(v), 100] for k, v in groups.items()}
-    fold = keyed.combine_by_key(pairs, lambda v: v, lambda a, v: F.greatest(a, v))
+    fold = keyed.combine_by_key(pairs, lambda v: v, lambda a, v: F.greatest(a, v), lambda a, b: F.greatest(a, b))
     assert dict(map(tuple, fold.collect())) == {k: max(v) for k, v in groups.items()}
 
 
@@ -195,3 +195,62 @@ def test_small_functions_and_session(spark, ints):
     assert default_pcount(spark) == 4 and executor_count(spark) >= 1 and get_session() is spark
     share_package(spark)
     assert "PYTHONPATH" in spark.sparkContext.environment
+
+
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_numbers_are_dense_over_many_files(spark, tmp_path, adaptive):
+    """More rows than the sample that range bounds come from, in files of their own."""
+    n = 200_000
+    spark.range(0, n, 1, 8).select(F.pmod(F.xxhash64("id"), F.lit(n // 2)).alias("x"), "id").write.parquet(str(tmp_path / "t"))
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    try:
+        rows = spark.read.parquet(str(tmp_path / "t"))
+        for order in (None, ["x", "id"]):
+            made = elements.key_by_idx(rows, order)
+            row = made.agg(F.count_distinct("key").alias("d"), F.min("key").alias("lo"), F.max("key").alias("hi")).first()
+            assert tuple(row) == (n, 0, n - 1)
+        got = np.array(made.orderBy("key").select("value.x", "value.id").collect())
+        assert (np.lexsort((got[:, 1], got[:, 0])) == np.arange(n)).all()
+        pairs = combine.zip_(rows, rows, ["x", "id"], ["x", "id"])
+        assert pairs.count() == n and pairs.filter("left.id <> right.id").count() == 0
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+
+
+def test_null_values_stay(spark):
+    pairs = spark.createDataFrame([("a", 2), ("a", None), ("b", None), (None, 3)], "key string, value int")
+    assert {r.key: r["values"] for r in keyed.group_by_key(pairs, order=True).collect()} == {"a": [None, 2], "b": [None], None: [3]}
+    got = {r.key: (sorted(r.values_0, key=str), r.values_1) for r in combine.cogroup(pairs, pairs.filter("key = 'b'")).collect()}
+    assert got == {"a": ([2, None], []), "b": ([None], [None]), None: ([3], [])}
+    sizes = keyed.combine_by_key(pairs, lambda v: F.lit(1), lambda a, v: a + 1, lambda a, b: a + b)
+    assert dict(map(tuple, sizes.collect())) == {"a": 2, "b": 1, None: 1}
+    assert sorted(map(str, elements.glom(pairs.select("value").coalesce(1)).first()["values"])) == ["2", "3", "None", "None"]
+    assert sorted(map(str, keyed.group_by(pairs.select("value"), F.lit(1)).first()["values"])) == ["2", "3", "None", "None"]
+
+
+def test_folds_meet_in_blocks(spark):
+    rows = spark.range(0, 20_000, 1, 3).select(F.lit(1).alias("key"), F.col("id").alias("value"))
+    assert keyed.combine_by_key(rows, lambda v: v, lambda a, v: a + v, lambda a, b: a + b, lambda a: a * 2).first().value == 2 * sum(range(20_000))
+
+
+def test_partition_functions_read_a_stream(spark):
+    assert reduce.aggregate(spark.range(0, 100, 1, 3), lambda it: sum(1 for _ in it), sum) == 100
+
+
+def test_assign_by_position_and_pipes(spark):
+    left = spark.range(0, 10, 1, 3).toDF("a")
+    right = spark.range(10, 20, 1, 2).toDF("b")
+    assert sorted(map(tuple, elements.assign(left, right, c=lambda a, b: a + b).collect())) == [(i, i + 10, 2 * i + 10) for i in range(10)]
+    assert elements.assign(left, right.toDF("a")).columns == ["a"]
+    with pytest.raises(ValueError):
+        elements.assign(left, right.filter("b > 12"))
+    back = elements.pipe(left, "cat", "a", writer=lambda x: f"<{x}>", reader=lambda s: (int(s[1:-1]),), schema="a long")
+    assert sorted(r.a for r in back.collect()) == list(range(10))
+
+
+def test_shared_folder(spark):
+    from tessera.storage import release, shared_dir, stored
+
+    kept = stored(spark.range(3), "three")
+    assert kept.count() == 3 and release(spark) >= 1 and shared_dir(spark)
