@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.storage import release, shared_dir, stored  # noqa: F401 -- for the operators and their callers
+
 #: Cells of a bit table: at least one 4 KB bucket, at most 2^30 (128 MB, the proven bound of its broadcast).
 MIN_CELLS, MAX_CELLS = 1 << 15, 1 << 30
 
@@ -25,15 +25,6 @@ def in_batches(df: DataFrame, f: Callable, schema, keep: str = "") -> DataFrame:
     return df.mapInArrow(tidied(f, keep), schema)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir, which driver and executors share; only where it is unset (tests on one machine) a temporary one."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not path:
-        path = tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
 #: Bytes of an Arrow batch between the JVM and Python: it exists on both sides, once for each task.
 ARROW_BYTES = 4 << 20
 
@@ -45,26 +36,6 @@ def _bound_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(ARROW_BYTES))
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again: lineage ends here and lost executors lose nothing."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    _written.append(path)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-_written: list[str] = []
-
-
-def release(spark: SparkSession) -> int:
-    """Deletes what ``stored`` has written in this driver so far and returns the number of folders; for when no result of the operators is read any more."""
-    n, jvm = 0, spark.sparkContext._jvm
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        n += path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    return n
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -6,10 +6,12 @@ Trusted text is every document labelled good. Two models a language are trained,
 hash, so equal texts share a half), and every document is scored by the model of the other half: all trusted text is counted and no score is
 of text the model has seen. Thresholds are quantiles of the trusted documents' own scores, by language.
 
-Sharding: documents are packed into chunks of bounded size, and one shuffle of the packs serves the count, the request and the score stage. A chunk
-requests its distinct n-grams. Counts and requests are joined by shards of (model, symbol before the last): whatever the probability of an
-n-gram needs, its own count, its shorter forms and all their contexts, ends in that symbol or in it and one more, so a shard holds it whole; only
-the probabilities of single symbols and the discounts are summed over all shards. The chunk then sums its answers per document.
+Sharding: documents are packed into chunks of bounded size, and one shuffle of the packs serves the stage that asks and the one that scores. A chunk sends its
+distinct n-grams in packets, each with its count in the chunk's trusted texts: the texts of a half count for one model of their language and are
+scored by the other, so one packet counts and asks. Packets meet by shards: whatever the probability of a character n-gram needs, its own count, its
+shorter forms and all their contexts, ends in the symbol before the last or in it and one more, so a shard of such symbols holds it whole; only the
+probabilities of single symbols and the discounts are summed over all shards. Answers go back in the order of the packets, and the chunk sums them
+per document.
 
 A symbol is a code point of the Basic Multilingual Plane; others fold into the private use area. An n-gram of up to four symbols is one
 64-bit number, 16 bits a symbol, so prefix and suffix are bit operations.
@@ -41,8 +43,8 @@ SHRINK = 200.0
 #: The share of trusted documents below the threshold.
 QUANTILE = 0.9995
 BOS, EOS, NUL = 0xEFFE, 0xEFFD, 0xEFFF
-#: Chunks whose requests meet one copy of a shard: more chunks get more copies.
-SHARD_CHUNKS = 4096
+#: Shards of the character n-grams of a language.
+CHAR_BUCKETS = 64
 #: Languages whose means and thresholds are broadcast.
 MAX_BROADCAST = 10_000
 _SEEN_BITS = 20
@@ -55,14 +57,15 @@ def symbols(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     s = np.where(raw < 0x10000, raw, 0xE000 | (raw & 0xFFF)).astype(np.uint64)
     sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
     starts = np.r_[0, np.cumsum(sizes)]
-    at = np.arange(starts[-1]) + np.repeat(np.arange(len(texts)) * (ORDER - 2), sizes) + ORDER - 1
-    end = np.zeros(len(s), bool)
-    end[at[starts[1:] - 1]] = True
+    # Between texts lie ORDER - 1 pads: the first ends the text before, and all stand for the begin of the next.
+    kept = np.ones(max(0, len(raw) - (ORDER - 1)), bool)
+    for k in range(1, ORDER - 1):
+        kept[starts[1:] + np.arange(len(texts)) * (ORDER - 2) + k - 1] = False
     before = np.where(raw == 0, np.uint64(BOS), s)
-    last = np.where(end, np.uint64(EOS), s)
-    key = last[at]
+    key = np.where(raw == 0, np.uint64(EOS), s)[ORDER - 1 :]
     for k in range(1, ORDER):
-        key |= before[at - k] << np.uint64(16 * k)
+        key |= before[ORDER - 1 - k : len(raw) - k] << np.uint64(16 * k)
+    key = key[kept]
     return key, starts
 
 
@@ -122,41 +125,9 @@ def _by_model(models: np.ndarray, texts: list[str]):
         yield str(m), at, [texts[i] for i in at]
 
 
-def _counts(packs: DataFrame, trusted: DataFrame) -> DataFrame:
-    """(model, gram, c): 4-grams of the trusted texts. A text of one half counts for the model that scores the other half."""
-
-    def run(packed: pa.Table, ids: pa.Table) -> pa.Table:
-        good, got = set(ids.column("id").to_pylist()), {}
-        for own, models, texts in _unpacked(packed.column("pack")):
-            keep = np.fromiter((i in good for i in own.to_pylist()), bool, len(own))
-            for m, _, part in _by_model(models[keep], [t for t, k in zip(texts, keep, strict=True) if k]):
-                other = m[:-1] + str(1 - int(m[-1]))
-                got.setdefault(other, []).append(np.unique(symbols(part)[0], return_counts=True))
-                if len(got[other]) > 64:
-                    got[other] = [_summed(got[other])]
-        done = {m: _summed(x) for m, x in got.items()}
-        return pa.table({
-            "model": _repeated(list(done), [len(k) for k, _ in done.values()]),
-            "gram": pa.array(np.concatenate([*(k for k, _ in done.values()), np.empty(0, np.uint64)]).view(np.int64)),
-            "c": pa.array(np.concatenate([*(n for _, n in done.values()), np.empty(0, np.int64)])),
-        })
-
-    own = packs.groupBy("chunk").cogroup(trusted.groupBy("chunk")).applyInArrow(tidy(run), "model string, gram long, c long")
-    return own.groupBy("model", "gram").agg(F.sum("c").alias("c"))
-
-
-def _repeated(names: list[str], times: list[int]) -> pa.Array:
-    return pa.DictionaryArray.from_arrays(pa.array(np.repeat(np.arange(len(names), dtype=np.int32), times)), pa.array(names, pa.string())).cast(pa.string())
-
-
 def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     keys, inverse = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-    return keys, np.bincount(inverse, np.concatenate([n for _, n in parts])).astype(np.int64)
-
-
-def _place(back: int) -> Column:
-    """The symbol so many places before the last of column ``gram``."""
-    return F.shiftrightunsigned("gram", 16 * back).bitwiseAND(F.lit(0xFFFF)).cast("int")
+    return keys, np.bincount(inverse, np.concatenate([n for _, n in parts]), len(keys)).astype(np.int64)
 
 
 def discounts(n: list[int]) -> list[float]:
@@ -170,52 +141,148 @@ def _level(keys: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray, np
     return np.unique(keys & np.uint64((1 << 16 * k) - 1), return_counts=True)
 
 
-def _global_parts(counts: DataFrame) -> DataFrame:
-    """(model, symbol, k, n1 .. n4): of each shard the numbers of k-grams by count, and a row for each symbol that follows the shard's one."""
+
+class _Grams:
+    """The distinct 4-grams of the texts given so far, and their counts in the trusted ones."""
+
+    def __init__(self):
+        self.seen, self.keys, self.counted = _Seen(), [], []
+
+    def add(self, texts: list[str], trusted: np.ndarray) -> None:
+        keys, starts = symbols(texts)
+        if len(new := self.seen(keys)):
+            self.keys.append(np.unique(new))
+        if trusted.any():
+            self.counted.append(np.unique(keys[np.repeat(trusted, np.diff(starts))], return_counts=True))
+        if len(self.keys) > 64:
+            self.keys = [np.unique(np.concatenate(self.keys))]
+        if len(self.counted) > 64:
+            self.counted = [_summed(self.counted)]
+
+    def packets(self, buckets: int):
+        """(bucket, pack): by the symbol before the last."""
+        keys = np.unique(np.concatenate(self.keys))
+        c = np.zeros(len(keys), np.int64)
+        if self.counted:
+            own, n = _summed(self.counted)
+            c[np.searchsorted(keys, own)] = n
+        of = ((keys >> np.uint64(16)) & np.uint64(0xFFFF)) % np.uint64(buckets)
+        for k in np.unique(of).tolist():
+            yield k, word_models.pack_words(keys[of == k], c[of == k])
+
+
+#: What a packet holds: character 4-grams, words, or word trigrams.
+CHARS, WORDS, TRIGRAMS = 0, 1, 3
+_PACKET = "chunk int, lang string, half int, kind int, bucket int, pack binary"
+_KEYS = ("lang", "kind", "bucket")
+
+
+def _packets(rows: list[tuple]) -> pa.Table:
+    columns = zip(*rows, strict=True) if rows else ((),) * 6
+    types = (pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+    names = ("chunk", "lang", "half", "kind", "bucket", "pack")
+    return pa.table({n: pa.array(x, t) for n, x, t in zip(names, columns, types, strict=True)})
+
+
+def _asked(packs: DataFrame, trusted: DataFrame, buckets: int) -> DataFrame:
+    """The packets of each chunk. Those of half h ask the model that scores half h; their counts are for the model that scores the other half."""
+    char_buckets = CHAR_BUCKETS
+
+    def run(packed: pa.Table, ids: pa.Table) -> pa.Table:
+        good, grams, texts_of, rows = set(ids.column("id").to_pylist()), {}, {}, []
+        for own, models, texts in _unpacked(packed.column("pack")):
+            trust = np.fromiter((i in good for i in own.to_pylist()), bool, len(own))
+            for m, at, part in _by_model(models, texts):
+                grams.setdefault(m, _Grams()).add(part, trust[at])
+                words, _, sizes = word_models.tokens(part)
+                texts_of.setdefault(m, []).append((words, sizes, trust[at]))
+        chunk = packed.column("chunk")[0].as_py() if packed.num_rows else 0
+        for m in sorted(grams):
+            place = (chunk, m[:-1], int(m[-1]))
+            rows += [(*place, CHARS, k, pack) for k, pack in grams.pop(m).packets(char_buckets)]
+            words, sizes, trust = (np.concatenate(x) for x in zip(*texts_of.pop(m), strict=True))
+            marked = np.repeat(trust, sizes).astype(float)
+            d = word_models.Distinct(words, sizes, marked)
+            middle = d.vocabulary[d.numbers[1]]
+            rows += [(*place, TRIGRAMS, k, word_models.pack_grams(d.vocabulary, *(x[a:b] for x in d.numbers), d.counts[a:b])) for k, a, b in word_models.cuts(middle, buckets)]
+            c = np.bincount(d.word, marked, len(d.words)).astype(np.int64)
+            rows += [(*place, WORDS, k, word_models.pack_words(d.words[a:b], c[a:b])) for k, a, b in word_models.cuts(d.words, buckets)]
+        return _packets(rows)
+
+    return packs.groupBy("chunk").cogroup(trusted.groupBy("chunk")).applyInArrow(tidy(run), _PACKET)
+
+
+def _of_half(table: pa.Table, half: int) -> list[bytes]:
+    return table.column("pack").filter(pa.array(table.column("half").to_numpy() == half)).to_pylist()
+
+
+#: Rows of ``_parts``: numbers of n-grams by count, of word n-grams (1 to 3) and of character n-grams (10 + 2 to 10 + ORDER), and symbols with the number
+#: of symbols before them.
+_SYMBOL = 11
+_PARTS = "lang string, half int, k int, symbol int, n1 long, n2 long, n3 long, n4 long, total long, kinds long"
+
+
+def _parts(asked: DataFrame) -> DataFrame:
+    """The share of each bucket in what the two models of a language need of all its buckets."""
+
+    def run(table: pa.Table) -> pa.Table:
+        kind, rows = table.column("kind")[0].as_py(), []
+        for half in (0, 1):
+            packs = _of_half(table, 1 - half)
+            if kind == TRIGRAMS:
+                shard = word_models.Shard(packs)
+                rows += [(half, 3, 0, *word_models.counts_of_counts(shard.c3)), (half, 2, 0, *word_models.counts_of_counts(shard.c2))]
+                continue
+            keys, c = word_models.words_of(packs)
+            if kind == WORDS:
+                rows.append((half, 1, 0, *word_models.counts_of_counts(c)))
+                continue
+            for k in range(ORDER, 1, -1):
+                rows.append((half, 10 + k, 0, *word_models.counts_of_counts(c)))
+                keys, c = _level(keys, c, k - 1)
+            rows += [(half, _SYMBOL, x, 0, 0, 0, 0, n, 0) for x, n in zip(keys.tolist(), c.tolist(), strict=True)]
+        columns = zip(*rows, strict=True)
+        types = [pa.int32()] * 3 + [pa.int64()] * 6
+        lang = pa.array([table.column("lang")[0].as_py()] * len(rows), pa.string())
+        names = ["lang", "half", "k", "symbol", "n1", "n2", "n3", "n4", "total", "kinds"]
+        return pa.table([lang, *(pa.array(x, t) for x, t in zip(columns, types, strict=True))], names)
+
+    own = asked.groupBy(*_KEYS).applyInArrow(tidy(run), _PARTS)
+    return own.groupBy("lang", "half", "k", "symbol").agg(*(F.sum(x).alias(x) for x in ("n1", "n2", "n3", "n4", "total", "kinds")))
+
+
+def _models(parts: DataFrame) -> DataFrame:
+    """(lang, words, chars): a pack of both models' discounts (words) and of their discounts and symbol probabilities (characters)."""
 
     def run(table: pa.Table) -> pa.Table:
-        keys, c = table.column("gram").to_numpy().view(np.uint64), table.column("c").to_numpy()
-        rows = []
-        for k in range(ORDER, 1, -1):
-            rows.append((-1, k, *(int((c == i).sum()) for i in (1, 2, 3, 4))))
-            keys, c = _level(keys, c, k - 1)
-        rows += [(int(x), 1, 0, 0, 0, 0) for x in keys]
-        columns = list(zip(*rows, strict=True))
-        model = pa.array([table.column("model")[0].as_py()] * len(rows), pa.string())
-        return pa.table([model, *(pa.array(x, pa.int32()) for x in columns[:2]), *(pa.array(x, pa.int64()) for x in columns[2:])], ["model", "symbol", "k", "n1", "n2", "n3", "n4"])
-
-    shards = counts.withColumn("prev", _place(1))
-    return shards.groupBy("model", "prev").applyInArrow(tidy(run), "model string, symbol int, k int, n1 long, n2 long, n3 long, n4 long")
-
-
-def _discount_column(n: list[Column]) -> Column:
-    """The SQL form of ``discounts``, as an array."""
-    y = n[0] / (n[0] + 2 * n[1])
-    good = (n[0] > 0) & (n[1] > 0)
-
-    def d(i: int) -> Column:
-        value = F.lit(float(i)) - (i + 1) * y * n[i] / n[i - 1]
-        return F.when(good & (n[i - 1] > 0), F.greatest(F.least(value, F.lit(float(i))), F.lit(0.05 * i))).otherwise(F.lit(0.5 * i))
-
-    return F.array(*(d(i) for i in (1, 2, 3)))
-
-
-def _symbols_and_discounts(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """((model, symbol, p), (model, unknown, d)): probabilities of single symbols, that of an unknown one, and the discounts of orders 2 to ORDER."""
-    parts = _global_parts(counts)
-    singles = parts.filter("k = 1").groupBy("model", "symbol").agg(F.count("*").alias("c"))
-    number = lambda i, of: F.sum(of.cast("long")).cast("double").alias(f"n{i}")
-    one = singles.groupBy("model").agg(F.sum("c").cast("double").alias("total"), F.count("*").alias("kinds"), *(number(i, F.col("c") == i) for i in (1, 2, 3, 4)))
-    first = _discount_column([F.col(f"n{i}") for i in (1, 2, 3, 4)])
-    one = one.select("model", "total", "kinds", "n1", "n2", first.alias("first"))
-    left = (F.col("first")[0] * F.col("n1") + F.col("first")[1] * F.col("n2") + F.col("first")[2] * (F.col("kinds") - F.col("n1") - F.col("n2"))) / F.col("total")
-    one = one.select("model", "total", "first", (left / (F.col("kinds") + 1)).alias("unknown"))
-    of = F.when(F.col("c") == 1, F.col("first")[0]).when(F.col("c") == 2, F.col("first")[1]).otherwise(F.col("first")[2])
-    p = singles.join(one, "model").select("model", "symbol", ((F.col("c") - of) / F.col("total") + F.col("unknown")).alias("p"))
-    sums = [F.sum(F.when(F.col("k") == k, F.col(f"n{i}")).otherwise(0)).cast("double").alias(f"k{k}n{i}") for k in range(2, ORDER + 1) for i in (1, 2, 3, 4)]
-    orders = parts.filter("k > 1").groupBy("model").agg(*sums)
-    d = F.concat(*(_discount_column([F.col(f"k{k}n{i}") for i in (1, 2, 3, 4)]) for k in range(2, ORDER + 1)))
-    return p, one.select("model", "unknown").join(orders.select("model", d.alias("d")), "model")
+        half, k = table.column("half").to_numpy(), table.column("k").to_numpy()
+        n = np.stack([table.column(f"n{i}").to_numpy() for i in (1, 2, 3, 4)], 1)
+        total, kinds = table.column("total").to_numpy(), table.column("kinds").to_numpy()
+        symbol = table.column("symbol").to_numpy()
+        words, chars = [], []
+        for m in (0, 1):
+
+            def summed(order: int) -> np.ndarray:
+                return n[(half == m) & (k == order)].sum(0)  # noqa: B023 -- called at once
+
+            d = [discounts(summed(order).tolist()) for order in (1, 2, 3)]
+            at = (half == m) & (k == 1)
+            one, of = int(total[at].sum()), summed(1)
+            left = d[0][0] * of[0] + d[0][1] * of[1] + d[0][2] * (int(kinds[at].sum()) - of[0] - of[1])
+            words.append(np.array([*d[0], *d[1], *d[2], one, left] if one else [0.0] * 9 + [1.0, 1.0]))
+            at = np.flatnonzero((half == m) & (k == _SYMBOL))
+            at = at[np.argsort(symbol[at])]
+            c = total[at]
+            p, unknown = np.empty(0), 1e-6
+            if len(c):
+                first = np.array(discounts([int((c == i).sum()) for i in (1, 2, 3, 4)]))[np.minimum(c, 3) - 1]
+                unknown = first.sum() / c.sum() / (len(c) + 1)
+                p = (c - first) / c.sum() + unknown
+            chars += [np.array([x for order in range(2, ORDER + 1) for x in discounts(summed(10 + order).tolist())]), symbol[at].astype(np.uint32), p, np.array([unknown])]
+        packs = [pa.array([word_models.packed(*x)], pa.binary()) for x in (words, chars)]
+        return pa.table([table.column("lang")[:1].combine_chunks(), *packs], ["lang", "words", "chars"])
+
+    return parts.groupBy("lang").applyInArrow(tidy(run), "lang string, words binary, chars binary")
 
 
 def interpolated(asked: np.ndarray, p: np.ndarray, keys: np.ndarray, c: np.ndarray, d: list[float]) -> np.ndarray:
@@ -237,46 +304,49 @@ def interpolated(asked: np.ndarray, p: np.ndarray, keys: np.ndarray, c: np.ndarr
     return p
 
 
-def _answers(counts: DataFrame, requests: DataFrame, chunks: int) -> DataFrame:
-    """(chunk, model, gram, logp) for every request."""
-    symbols_, models = _symbols_and_discounts(counts)
-    copies = math.ceil(chunks / SHARD_CHUNKS)
-    asked = requests.withColumn("symbol", _place(0)).join(symbols_, ["model", "symbol"], "left").join(models.select("model", "unknown"), "model", "left")
-    asked = asked.select("chunk", "model", "gram", F.coalesce("p", "unknown", F.lit(1e-6)).alias("p"), _place(1).alias("prev"), F.pmod("chunk", F.lit(copies)).alias("copy"))
-    shards = counts.join(models.select("model", "d"), "model").select("model", "gram", "c", "d", _place(1).alias("prev"), F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy"))
-
-    def run(counted: pa.Table, wanted: pa.Table) -> pa.Table:
-        grams, p = wanted.column("gram").to_numpy().view(np.uint64), wanted.column("p").to_numpy()
-        if counted.num_rows and wanted.num_rows:
-            keys, c = counted.column("gram").to_numpy().view(np.uint64), counted.column("c").to_numpy()
-            order = np.argsort(keys)
-            p = interpolated(grams, p, keys[order], c[order], counted.column("d")[0].as_py())
-        return wanted.select(["chunk", "model", "gram"]).append_column("logp", pa.array(np.log(p)))
-
-    by = ("model", "prev", "copy")
-    return shards.groupBy(*by).cogroup(asked.groupBy(*by)).applyInArrow(tidy(run), "chunk int, model string, gram long, logp double")
-
-
-def _requests(packs: DataFrame) -> DataFrame:
-    """(chunk, model, gram): the distinct 4-grams of the chunk's texts."""
-
-    def run(packed: pa.Table) -> pa.Table:
-        seen, got = {}, {}
-        for _, models, texts in _unpacked(packed.column("pack")):
-            for m, _, part in _by_model(models, texts):
-                new = seen.setdefault(m, _Seen())(symbols(part)[0])
-                if len(new):
-                    got.setdefault(m, []).append(np.unique(new))
-                if len(got.get(m, ())) > 64:
-                    got[m] = [np.unique(np.concatenate(got[m]))]
-        done = {m: np.unique(np.concatenate(x)) for m, x in got.items()}
-        return pa.table({
-            "chunk": pa.array(np.full(sum(map(len, done.values())), packed.column("chunk")[0].as_py(), np.int32)),
-            "model": _repeated(list(done), [len(k) for k in done.values()]),
-            "gram": pa.array(np.concatenate([*done.values()]).view(np.int64)),
-        })
-
-    return packs.groupBy("chunk").applyInArrow(tidy(run), "chunk int, model string, gram long")
+def _answers(asked: DataFrame, models: DataFrame, buckets: int) -> DataFrame:
+    """Every packet with the numbers of its n-grams instead, in its order; those of characters with their keys."""
+    kind = F.explode(F.array(*map(F.lit, (CHARS, WORDS, TRIGRAMS)))).alias("kind")
+    each = models.select("lang", kind, "words", "chars").select("lang", "kind", F.when(F.col("kind") == CHARS, F.col("chars")).otherwise(F.col("words")).alias("model"))
+    last = F.when(F.col("kind") == CHARS, F.lit(CHAR_BUCKETS - 1)).otherwise(F.lit(buckets - 1))
+    each = each.select("lang", "kind", F.explode(F.sequence(F.lit(0), last)).alias("bucket"), "model")
+
+    def run(table: pa.Table, model: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return _packets([])
+        kind, made = table.column("kind")[0].as_py(), np.empty(table.num_rows, object)
+        parameters, half = word_models.unpacked(model.column("model")[0].as_py()), table.column("half").to_numpy()
+        for m in (0, 1):
+            at = np.flatnonzero(half == m)
+            if not len(at):
+                continue
+            counting = _of_half(table, 1 - m)
+            if kind == TRIGRAMS:
+                shard, d = word_models.Shard(counting), parameters[m]
+            else:
+                keys, c = word_models.words_of(counting)
+            for i in at.tolist():
+                pack = table.column("pack")[i].as_py()
+                if kind == TRIGRAMS:
+                    own = shard.answer(*word_models.grams_of(pack)[:3], d[3:6], d[6:9])
+                    made[i] = word_models.packed(*map(word_models.rounded, own))
+                    continue
+                own = word_models.unpack_words(pack)[0]
+                if kind == WORDS:
+                    d = parameters[m]
+                    found, known = word_models._found(keys, own)
+                    p = np.where(known, c[found] - d[np.minimum(c[found], 3) - 1], 0.0) / d[9] if len(c) else np.zeros(len(own))
+                    made[i] = word_models.packed(word_models.rounded(p), np.array([d[10] / d[9]], np.float32))
+                    continue
+                d, symbol, p, (unknown,) = parameters[4 * m : 4 * m + 4]
+                found, known = word_models._found(symbol, (own & np.uint64(0xFFFF)).astype(np.uint32))
+                p = np.where(known, p[found], unknown) if len(p) else np.full(len(own), unknown)
+                if len(keys):
+                    p = interpolated(own, p, keys, c, d.tolist())
+                made[i] = word_models.packed(word_models.steps(own), np.log(p).astype(np.float32))
+        return table.drop_columns(["pack"]).append_column("pack", pa.array(made.tolist(), pa.binary()))
+
+    return asked.groupBy(*_KEYS).cogroup(each.groupBy(*_KEYS)).applyInArrow(tidy(run), _PACKET)
 
 
 class _Answered:
@@ -301,141 +371,32 @@ class _Answered:
         return out
 
 
-def _gathered(packed: pa.Table, good: set | None = None):
-    """(model, token hashes, tokens a text) of the chunk, one model at a time; ``good``: only texts of these ids, for the model of the other half."""
-    got: dict[str, list] = {}
-    for own, models, texts in _unpacked(packed.column("pack")):
-        if good is not None:
-            keep = np.fromiter((i in good for i in own.to_pylist()), bool, len(own))
-            models, texts = models[keep], [t for t, k in zip(texts, keep, strict=True) if k]
-        for m, _, part in _by_model(models, texts):
-            words, _, sizes = word_models.tokens(part)
-            got.setdefault(m if good is None else m[:-1] + str(1 - int(m[-1])), []).append((words, sizes))
-    for m in sorted(got):
-        parts = got.pop(m)
-        yield m, np.concatenate([w for w, _ in parts]), np.concatenate([n for _, n in parts])
-
-
-_PACKET = "model string, kind int, bucket int, pack binary"
-
-
-def _packets(chunks: list[int], rows: list[tuple]) -> pa.Table:
-    model, kind, bucket, pack = zip(*rows, strict=True) if rows else ((),) * 4
-    own = {"chunk": pa.array(chunks * len(rows), pa.int32())} if chunks else {}
-    return pa.table(own | {"model": pa.array(model, pa.string()), "kind": pa.array(kind, pa.int32()), "bucket": pa.array(bucket, pa.int32()), "pack": pa.array(pack, pa.binary())})
-
-
-def _word_counts(packs: DataFrame, trusted: DataFrame, buckets: int) -> DataFrame:
-    """Packets of the trusted texts' trigrams (kind 3) and words (kind 1) with counts."""
-
-    def run(packed: pa.Table, ids: pa.Table) -> pa.Table:
-        rows = []
-        for m, words, sizes in _gathered(packed, set(ids.column("id").to_pylist())):
-            d = word_models.Distinct(*word_models.trigrams(words, sizes))
-            w1, w2, w3 = d.grams
-            rows += [(m, 3, k, word_models.pack_grams(w1[a:b], w2[a:b], w3[a:b], d.counts[a:b])) for k, a, b in word_models.cuts(w2, buckets)]
-            own, c = np.unique(words, return_counts=True)
-            rows += [(m, 1, k, word_models.pack_words(own[a:b], c[a:b])) for k, a, b in word_models.cuts(own, buckets)]
-        return _packets([], rows)
-
-    return packs.groupBy("chunk").cogroup(trusted.groupBy("chunk")).applyInArrow(tidy(run), _PACKET)
-
-
-def _word_requests(packs: DataFrame, buckets: int) -> DataFrame:
-    """Packets of the distinct trigrams and words of the chunk."""
-
-    def run(packed: pa.Table) -> pa.Table:
-        rows = []
-        for m, words, sizes in _gathered(packed):
-            w1, w2, w3 = word_models.Distinct(*word_models.trigrams(words, sizes)).grams
-            rows += [(m, 3, k, word_models.pack_grams(w1[a:b], w2[a:b], w3[a:b])) for k, a, b in word_models.cuts(w2, buckets)]
-            own = np.unique(words)
-            rows += [(m, 1, k, word_models.pack_words(own[a:b])) for k, a, b in word_models.cuts(own, buckets)]
-        return _packets(packed.column("chunk")[:1].to_pylist(), rows)
-
-    return packs.groupBy("chunk").applyInArrow(tidy(run), f"chunk int, {_PACKET}")
-
-
-def _word_discounts(counts: DataFrame) -> DataFrame:
-    """(model, d): the discounts of orders 1, 2 and 3, the number of words counted and the mass left by their discounts."""
-
-    def run(table: pa.Table) -> pa.Table:
-        packs = table.column("pack").to_pylist()
-        if table.column("kind")[0].as_py() == 3:
-            shard = word_models.Shard(packs)
-            rows = [(3, *word_models.counts_of_counts(shard.c3)), (2, *word_models.counts_of_counts(shard.c2))]
-        else:
-            rows = [(1, *word_models.counts_of_counts(word_models.words_of(packs)[1]))]
-        columns = [pa.array(x, pa.int64()) for x in zip(*rows, strict=True)]
-        return pa.table([pa.array([table.column("model")[0].as_py()] * len(rows), pa.string()), *columns], ["model", "k", "n1", "n2", "n3", "n4", "total", "kinds"])
-
-    parts = counts.groupBy("model", "kind", "bucket").applyInArrow(tidy(run), "model string, k long, n1 long, n2 long, n3 long, n4 long, total long, kinds long")
-    names = ("n1", "n2", "n3", "n4", "total", "kinds")
-    sums = [F.sum(F.when(F.col("k") == k, F.col(x)).otherwise(0)).cast("double").alias(f"k{k}{x}") for k in (1, 2, 3) for x in names]
-    one = parts.groupBy("model").agg(*sums)
-    d = [_discount_column([F.col(f"k{k}n{i}") for i in (1, 2, 3, 4)]) for k in (1, 2, 3)]
-    left = d[0][0] * F.col("k1n1") + d[0][1] * F.col("k1n2") + d[0][2] * (F.col("k1kinds") - F.col("k1n1") - F.col("k1n2"))
-    return one.select("model", F.concat(*d, F.array("k1total", left)).alias("d"))
-
-
-def _word_answers(counts: DataFrame, requests: DataFrame, discounts: DataFrame) -> DataFrame:
-    """(chunk, model, kind, bucket, pack): for every requested packet the numbers of its n-grams, in its order."""
-
-    def run(counted: pa.Table, wanted: pa.Table) -> pa.Table:
-        packs, out = counted.column("pack").to_pylist(), []
-        if wanted.num_rows and wanted.column("kind")[0].as_py() == 3:
-            shard = word_models.Shard(packs)
-            for pack, d in zip(wanted.column("pack"), wanted.column("d"), strict=True):
-                grams = word_models.grams_of(pack.as_py())
-                d = np.array(d.as_py() or [0.0] * 11)
-                out.append(word_models.packed(*(word_models.rounded(x) for x in shard.answer(*grams, d[3:6], d[6:9]))))
-        else:
-            words, c = word_models.words_of(packs)
-            for pack, d in zip(wanted.column("pack"), wanted.column("d"), strict=True):
-                (own,) = word_models.unpack_words(pack.as_py())
-                d = np.array(d.as_py() or [*[0.0] * 9, 1.0, 1.0])
-                at, known = word_models._found(words, own)
-                p = np.where(known, c[at] - d[np.minimum(c[at], 3) - 1], 0.0) / d[9] if len(c) else np.zeros(len(own))
-                out.append(word_models.packed(word_models.rounded(p), np.array([d[10] / d[9]], np.float32)))
-        return wanted.select(["chunk", "model", "kind", "bucket"]).append_column("pack", pa.array(out, pa.binary()))
-
-    by = ("model", "kind", "bucket")
-    asked = requests.join(F.broadcast(discounts), "model", "left")  # two rows of eleven numbers a language
-    return counts.groupBy(*by).cogroup(asked.groupBy(*by)).applyInArrow(tidy(run), f"chunk int, {_PACKET}")
-
-
 def _word_log(words: np.ndarray, sizes: np.ndarray, spelled: np.ndarray, answers3: list, answers1: list) -> np.ndarray:
     """The log probability of each text; ``spelled``: those of its tokens by the character model; answers: (bucket, arrays)."""
-    d = word_models.Distinct(*word_models.trigrams(words, sizes))
+    d = word_models.Distinct(words, sizes)
     a, b = (np.concatenate(x) for x in zip(*(p for _, p in sorted(answers3, key=lambda x: x[0])), strict=True))
     alone = sorted(answers1, key=lambda x: x[0])
-    own, number = np.unique(words, return_inverse=True)
     p1, left = np.concatenate([p[0] for _, p in alone]), float(alone[0][1][1][0])
-    if len(a) != len(d.counts) or len(p1) != len(own):
+    if len(a) != len(d.counts) or len(p1) != len(d.words):
         raise ValueError("an n-gram of the chunk was not answered")
     b = b[d.number].astype(float)
-    p = a[d.number] + b * (p1[number] + left * np.exp(spelled.astype(float)))
+    p = a[d.number] + b * (p1[d.word] + left * np.exp(spelled.astype(float)))
     # A word whose spelling is too improbable for floating point keeps its sum of logarithms.
     log = np.where(p > 1e-300, np.log(np.maximum(p, 1e-300)), np.log(np.maximum(b * left, 1e-30)) + spelled)
     return np.add.reduceat(log, np.r_[0, np.cumsum(sizes)[:-1]])
 
 
-def _scores(packs: DataFrame, answers: DataFrame, word_answers: DataFrame, kind: str) -> DataFrame:
+def _scores(packs: DataFrame, answers: DataFrame, kind: str) -> DataFrame:
     """(doc_id, model, n, nll, word_nll): symbols and summed negative log probabilities of each document by the character and by the word model."""
 
     def run(packed: pa.Table, answered: pa.Table) -> pa.Table:
-        models, packets = {}, {}
-        names = answered.column("model").combine_chunks().dictionary_encode()
-        of_row = names.indices.to_numpy()
-        gram = answered.column("gram").fill_null(0).to_numpy().view(np.uint64)
-        logp = answered.column("logp").fill_null(0.0).to_numpy()
-        part_of = answered.column("kind").fill_null(0).to_numpy()
-        for i, m in enumerate(names.dictionary.to_pylist()):
-            own = (of_row == i) & (part_of == 0)
-            models[m] = _Answered(gram[own], logp[own])
-        for row in answered.filter(pa.array(part_of > 0)).select(["model", "kind", "bucket", "pack"]).to_pylist():
-            packets.setdefault((row["model"], row["kind"]), []).append((row["bucket"], word_models.unpacked(row["pack"])))
-        got, rows = {}, []
+        models, packets, got, rows = {}, {}, {}, []
+        for row in answered.select(["lang", "half", "kind", "bucket", "pack"]).to_batches(64):
+            for x in row.to_pylist():
+                packets.setdefault((f"{x['lang']}{x['half']}", x["kind"]), []).append((x["bucket"], word_models.unpacked(x["pack"])))
+        for m in {m for m, _ in packets}:
+            keys, logp = (np.concatenate(x) for x in zip(*((np.cumsum(k, dtype=np.uint64), p) for _, (k, p) in packets.pop((m, CHARS))), strict=True))
+            models[m] = _Answered(keys, logp)
         for ids, of, texts in _unpacked(packed.column("pack")):
             n, nll, word_nll = np.zeros(len(texts), np.int64), np.zeros(len(texts)), np.zeros(len(texts))
             for m, at, part in _by_model(of, texts):
@@ -447,7 +408,7 @@ def _scores(packs: DataFrame, answers: DataFrame, word_answers: DataFrame, kind:
             rows.append((ids, of, n, nll, word_nll))
         for m in sorted(got):
             parts = got.pop(m)
-            log = _word_log(*(np.concatenate([p[i] for p in parts]) for i in range(3)), packets.pop((m, 3)), packets.pop((m, 1)))
+            log = _word_log(*(np.concatenate([p[i] for p in parts]) for i in range(3)), packets.pop((m, TRIGRAMS)), packets.pop((m, WORDS)))
             for (*_, into, at), own in zip(parts, np.split(log, np.cumsum([len(p[1]) for p in parts])[:-1]), strict=True):
                 into[at] = -own
         names_ = ["doc_id", "model", "n", "nll", "word_nll"]
@@ -456,8 +417,7 @@ def _scores(packs: DataFrame, answers: DataFrame, word_answers: DataFrame, kind:
         return pa.concat_tables(out) if out else pa.table(empty, names_)
 
     id_type = to_arrow_type(_parse_datatype_string(kind))
-    both = answers.unionByName(word_answers, allowMissingColumns=True)
-    return packs.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(tidy(run), f"doc_id {kind}, model string, n long, nll double, word_nll double")
+    return packs.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(tidy(run), f"doc_id {kind}, model string, n long, nll double, word_nll double")
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -469,11 +429,10 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     trusted = stored(labels.filter("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast(kind).alias("id")).distinct(), "trusted")
     packs = _packed(docs, id_col, text_col, lang_col, chunks)
     by_chunk = trusted.select(F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int").alias("chunk"), "id")
-    answers = _answers(_counts(packs, by_chunk), _requests(packs), chunks)
     buckets = max(1, math.ceil(total / word_models.BUCKET_CHARS))
-    counted = _word_counts(packs, by_chunk, buckets)
-    worded = _word_answers(counted, _word_requests(packs, buckets), _word_discounts(counted))
-    scored = stored(_scores(packs, answers, worded, kind), "quality-scores")
+    asked = _asked(packs, by_chunk, buckets)
+    answers = _answers(asked, _models(_parts(asked)), buckets)
+    scored = stored(_scores(packs, answers, kind), "quality-scores")
     both = ((F.col("nll") + F.col("word_nll")) / 2).alias("both")
     rows = scored.select("doc_id", F.expr("nullif(substring(model, 1, length(model) - 1), '\\u0000')").alias("lang"), F.col("n").alias("n_symbols"), "nll", "word_nll", both)
     good = rows.join(trusted.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")

@@ -1,13 +1,13 @@
 """Word n-gram models of trusted text, orders 1 to 3, over the character models of ``quality`` for words they do not know.
 
 A token is a run of letters and digits, of marks, or one ideograph, with the blanks before it; a text ends with a token of its own. A token is a
-64-bit hash. The probability of a token interpolates modified Kneser-Ney trigrams and bigrams (continuation counts), discounted raw unigrams, and
+40-bit hash. The probability of a token interpolates modified Kneser-Ney trigrams and bigrams (continuation counts), discounted raw unigrams, and
 last the probability that the character model gives the token's symbols: what the models gather grows with the trusted text, and no word is
 unknown.
 
-Sharding: counts and requests are packets of one model and one bucket, by the word before the last (orders 2 and 3) or by the word itself (order 1).
-A bucket holds all that its n-grams need but the discounts. A chunk requests its distinct trigrams and words in the order of their hashes, so
-that an answer is an array of numbers in the same order and carries no keys.
+Sharding: a packet of the distinct n-grams of a chunk's texts, with their counts in its trusted texts, counts and asks at once. It is of one bucket, by the
+word before the last (orders 2 and 3) or by the word itself (order 1). A bucket holds all that its n-grams need but the discounts. A packet's n-grams
+are in the order of their hashes, so that an answer is an array of numbers in the same order and carries no keys.
 """
 
 from functools import lru_cache
@@ -16,8 +16,10 @@ import numpy as np
 import pyarrow as pa
 
 #: Characters of all texts a bucket.
-BUCKET_CHARS = 1 << 26
-BOS = np.uint64(0x2545F4914F6CDD1D)
+BUCKET_CHARS = 1 << 25
+#: Bits of a word's hash: with 10^8 words one in ten thousand shares its hash.
+WORD_BITS = 40
+BOS = np.uint64(0xF4914F6CDD)
 _BLANK, _WORD, _ALONE, _MARK, _END = range(5)
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
 _CODEC = pa.Codec("zstd", 3)
@@ -41,6 +43,22 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+@lru_cache(1)
+def _codes() -> np.ndarray:
+    return _mixed((np.arange(0x10000, dtype=np.uint64) + np.uint64(1)) * _K[0])
+
+
+_kept: list[tuple[np.ndarray, np.ndarray]] = []
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least ``n`` powers of an odd number modulo 2^64, and of its inverse."""
+    if not _kept or len(_kept[0][0]) < n:
+        base, size = int(_K[0]), 1 << max(16, n.bit_length())
+        _kept[:] = [tuple(np.cumprod(np.r_[np.uint64(1), np.full(size - 1, b, np.uint64)]) for b in (base, pow(base, -1, 1 << 64)))]
+    return _kept[0]
+
+
 def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return _mixed(a * _K[0] + _mixed(b + _K[3]))
 
@@ -56,38 +74,56 @@ def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     first[1:] = ((kind[1:] != kind[:-1]) | (kind[1:] == _ALONE)) & ((kind[:-1] != _BLANK) | (kind[1:] == _END))
     first[ends[:-1]] = True
     at = np.flatnonzero(first)
-    place = np.arange(len(raw)) - np.repeat(at, np.diff(np.r_[at, len(raw)]))
-    hashed = np.add.reduceat(_mixed((raw.astype(np.uint64) + np.uint64(1)) * _K[0] + place.astype(np.uint64) * _K[3]), at)
+    # A token's hash is the sum of its symbols' numbers times powers of an odd base: powers of the place in the batch, taken back by the token's begin.
+    codes = _codes()[np.minimum(raw, 0xFFFF)]
+    if len(wide := np.flatnonzero(raw > 0xFFFF)):
+        codes[wide] = _mixed((raw[wide].astype(np.uint64) + np.uint64(1)) * _K[0])
+    up, down = _powers(len(raw))
+    codes *= up[: len(raw)]
+    hashed = np.add.reduceat(codes, at) * down[at]
     last = np.searchsorted(at, ends)
-    return _mixed(hashed), at, np.diff(np.r_[0, last])
-
-
-def trigrams(words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The words two before, before and at each place; texts begin with BOS."""
-    begins = np.r_[0, np.cumsum(sizes)[:-1]]
-    before = np.r_[BOS, words[:-1]]
-    before[begins] = BOS
-    second = np.r_[BOS, before[:-1]]
-    second[begins] = BOS
-    return second, before, words
+    return _mixed(hashed) >> np.uint64(64 - WORD_BITS), at, np.diff(np.r_[0, last])
 
 
 class Distinct:
-    """Distinct trigrams in the order of (middle, first, last), with counts and the number of each place."""
-
-    def __init__(self, w1: np.ndarray, w2: np.ndarray, w3: np.ndarray):
-        order = np.lexsort((w3, w1, w2))
-        a, b, c = w1[order], w2[order], w3[order]
-        new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1])]
-        self.number = np.empty(len(w1), np.int32)
-        self.number[order] = np.cumsum(new) - 1
-        self.grams = a[new], b[new], c[new]
-        self.counts = np.diff(np.r_[np.flatnonzero(new), len(new)])
+    """Distinct trigrams of texts (which begin with BOS twice) in the order of (middle, first, last), with counts (of the marked places) and the number of
+    each place. ``numbers`` are their words' places in ``vocabulary``, which ascends; ``words`` and ``word`` are the distinct words and their numbers."""
+
+    def __init__(self, words: np.ndarray, sizes: np.ndarray, marked: np.ndarray | None = None):
+        n, begins = len(words), np.r_[0, np.cumsum(sizes)[:-1]]
+        self.words, self.word = np.unique(words, return_inverse=True)
+        bos = int(np.searchsorted(self.words, BOS))
+        there = bos < len(self.words) and self.words[bos] == BOS
+        self.vocabulary = self.words if there else np.insert(self.words, bos, BOS)
+        three = self.word.astype(np.uint64)
+        if not there:
+            three += (self.word >= bos).astype(np.uint64)
+        two = np.r_[np.uint64(bos), three[:-1]]
+        two[begins] = bos
+        one = np.r_[np.uint64(bos), two[:-1]]
+        one[begins] = bos
+        bits = np.uint64(max(1, len(self.vocabulary).bit_length()))
+        if 3 * int(bits) <= 64:
+            key, self.number = np.unique((two << (bits + bits)) | (one << bits) | three, return_inverse=True)
+            mask = (np.uint64(1) << bits) - np.uint64(1)
+            self.numbers = (key >> bits) & mask, key >> (bits + bits), key & mask
+        else:
+            order = np.lexsort((three, one, two))
+            a, b, c = one[order], two[order], three[order]
+            new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1])]
+            self.number = np.empty(n, np.int64)
+            self.number[order] = np.cumsum(new) - 1
+            self.numbers = a[new], b[new], c[new]
+        self.counts = np.bincount(self.number, marked, len(self.numbers[0])).astype(np.int64)
+
+    @property
+    def grams(self) -> tuple[np.ndarray, ...]:
+        return tuple(self.vocabulary[x] for x in self.numbers)
 
 
 def cuts(words: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
     """(bucket, begin, end) of sorted words; buckets are ranges of hashes."""
-    of = ((words >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    of = (words * np.uint64(buckets)) >> np.uint64(WORD_BITS)
     edges = np.flatnonzero(np.r_[True, of[1:] != of[:-1], True]) if len(of) else np.zeros(1, int)
     return [(int(of[a]), int(a), int(b)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
@@ -127,11 +163,17 @@ def _small(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.uint64)
 
 
-def pack_grams(w1: np.ndarray, w2: np.ndarray, w3: np.ndarray, *more: np.ndarray) -> bytes:
-    """Words by number in a list of the packet's words; the middle ones ascend, as ``Distinct`` has them."""
-    vocabulary, number = np.unique(np.concatenate([w1, w2, w3]), return_inverse=True)
-    one, two, three = np.split(number, 3)
-    return packed(steps(vocabulary), _small(one), _small(steps(two)), _small(three), *(_small(x) for x in more))
+def pack_grams(vocabulary: np.ndarray, one: np.ndarray, two: np.ndarray, three: np.ndarray, *more: np.ndarray) -> bytes:
+    """Words by number in a list of the packet's own words; the middle ones ascend, as ``Distinct`` has them."""
+    if 8 * len(one) > len(vocabulary):
+        there = np.zeros(len(vocabulary), bool)
+        there[one] = there[two] = there[three] = True
+        used, number = np.flatnonzero(there), (np.cumsum(there) - 1).astype(np.uint64)
+        one, two, three = number[one], number[two], number[three]
+    else:
+        used, number = np.unique(np.concatenate([one, two, three]), return_inverse=True)
+        one, two, three = np.split(number, 3)
+    return packed(steps(vocabulary[used]), _small(one), _small(steps(two)), _small(three), *(_small(x) for x in more))
 
 
 def grams_of(pack: bytes) -> list[np.ndarray]:
@@ -168,10 +210,14 @@ def _found(sorted_: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 class Shard:
-    """The counts of one bucket by the word before the last: trigrams raw, bigrams by the number of words before them."""
+    """What the packets of one bucket counted, by the word before the last: trigrams raw, bigrams by the number of words before them."""
 
     def __init__(self, packs: list[bytes]):
-        parts = [grams_of(p) for p in packs]
+        parts = []
+        for p in packs:
+            *grams, c = grams_of(p)
+            counted = c > 0
+            parts.append([x[counted] for x in (*grams, c)])
         w1, w2, w3, c = (np.concatenate([p[i] for p in parts]) if parts else np.empty(0, np.uint64) for i in range(4))
         self.keys3, first, inverse = np.unique(_pair(_pair(w1, w2), w3), return_index=True, return_inverse=True)
         self.c3 = np.bincount(inverse, c, len(first)).astype(np.int64)
@@ -200,8 +246,8 @@ class Shard:
 
 
 def words_of(packs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct words of a bucket and their counts."""
-    parts = [unpack_words(p) for p in packs]
+    """Distinct words of a bucket that were counted, and their counts."""
+    parts = [(w[c > 0], c[c > 0]) for w, c in map(unpack_words, packs)]
     if not parts:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
     words, inverse = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)

@@ -99,13 +99,13 @@ def test_junk_goes_and_clean_stays(spark):
     assert quality.score(docs, frame.limit(0)).filter("NOT kept").count() == 0
 
 
-def test_copied_shards_give_the_same(spark, monkeypatch):
+def test_other_shards_give_the_same(spark, monkeypatch):
     rows, labels = corpus()
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score string")
     frame = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
     one = {r.doc_id: r.perplexity for r in quality.score(docs, frame).collect()}
     monkeypatch.setattr(quality, "CHUNK_CHARS", 10_000)
-    monkeypatch.setattr(quality, "SHARD_CHUNKS", 2)
+    monkeypatch.setattr(quality, "CHAR_BUCKETS", 3)
     two = {r.doc_id: r.perplexity for r in quality.score(docs, frame).collect()}
     assert one.keys() == two.keys() and all(abs(one[i] / two[i] - 1) < 1e-9 for i in one)
 

@@ -120,15 +120,20 @@ def test_what_is_gathered_grows_with_the_text():
     kinds = []
     for n in (100, 1000):
         words, _, sizes = word_models.tokens([" ".join(rng.choices(vocabulary, k=100)) for _ in range(n)])
-        kinds.append(len(word_models.Distinct(*word_models.trigrams(words, sizes)).counts))
+        kinds.append(len(word_models.Distinct(words, sizes).counts))
     assert kinds[1] > 9 * kinds[0]
 
 
 def test_packets():
     rng = np.random.default_rng(1)
-    grams = [rng.integers(0, 2**64, 300, np.uint64, endpoint=False) for _ in range(3)]
-    grams[1].sort()
-    c = rng.integers(1, 70_000, 300)
-    assert all((a == b).all() for a, b in zip(word_models.grams_of(word_models.pack_grams(*grams, c)), [*grams, c], strict=True))
+    words, sizes = rng.integers(0, 2**40, 50, np.uint64, endpoint=False)[rng.integers(0, 50, 300)], np.array([100, 1, 199])
+    marked = rng.random(300) < 0.5
+    d = word_models.Distinct(words, sizes, marked.astype(float))
+    padded = [np.r_[[word_models.BOS] * 2, x] for x in np.split(words, [100, 101])]
+    grams = [np.concatenate([x[i : len(x) - 2 + i] for x in padded]) for i in range(3)]
+    assert all((x[d.number] == y).all() for x, y in zip(d.grams, grams, strict=True)) and (d.words[d.word] == words).all()
+    assert (np.bincount(d.number, marked) == d.counts).all() and len({*zip(*d.grams, strict=True)}) == len(d.counts)
+    back = word_models.grams_of(word_models.pack_grams(d.vocabulary, *d.numbers, d.counts))
+    assert all((a == b).all() for a, b in zip(back, [*d.grams, d.counts], strict=True))
     x = rng.random(7).astype(np.float32)
     assert (word_models.unpacked(word_models.packed(x, x[:1]))[0] == x).all()
