@@ -102,11 +102,17 @@ def begin(name: str = "") -> None:
     trim()
 
 
+#: Of libc's mallopt: allocations from LARGE_BYTES on are mappings of their own, which go back at once when they are freed.
+M_MMAP_THRESHOLD, LARGE_BYTES = -3, 1 << 20
+
+
 def trim() -> None:
     """Gives free memory back to the machine, which a worker would else hold until it ends."""
     pa.default_memory_pool().release_unused()
     try:
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(M_MMAP_THRESHOLD, LARGE_BYTES)
+        libc.malloc_trim(0)
     except (OSError, AttributeError):  # another C library has no such call
         pass
 
@@ -115,6 +121,7 @@ def tidy(f: Callable) -> Callable:
     """``f`` of a group, after which the worker holds no more than the result."""
 
     def run(*tables):
+        begin()
         out = f(*tables)
         begin()
         return out

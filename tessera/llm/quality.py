@@ -20,7 +20,8 @@ The score of a document is its mean negative log probability a symbol, half by e
 so that very short texts are judged mildly.
 
 Defined results: a null or empty text has its end symbol only; a language without trusted documents has no threshold and all its documents
-stay; a null language is a language of its own; repeated rows are judged alike; an empty table gives an empty result.
+stay; a null language is a language of its own; repeated rows are judged alike; a very long text is one pack; an empty table gives an empty result. ``score``
+reads the id, the text and the language only, and ``keep_good`` gives all columns back: further columns may have any name.
 """
 
 import io
@@ -38,7 +39,7 @@ from .common import in_batches, partitions, quoted, small_batches, stored, tidy,
 
 ORDER = 4
 #: Characters a chunk: its packs, its distinct n-grams and their probabilities fit a small worker.
-CHUNK_CHARS = 32_000_000
+CHUNK_CHARS = 16_000_000
 SHRINK = 200.0
 #: The share of trusted documents below the threshold.
 QUANTILE = 0.9995
@@ -328,7 +329,7 @@ def _answers(asked: DataFrame, models: DataFrame, buckets: int) -> DataFrame:
             for i in at.tolist():
                 pack = table.column("pack")[i].as_py()
                 if kind == TRIGRAMS:
-                    own = shard.answer(*word_models.grams_of(pack)[:3], d[3:6], d[6:9])
+                    own = shard.answer(*word_models.grams_of(pack)[:4], d[3:6], d[6:9])
                     made[i] = word_models.packed(*map(word_models.rounded, own))
                     continue
                 own = word_models.unpack_words(pack)[0]

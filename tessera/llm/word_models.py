@@ -177,9 +177,9 @@ def pack_grams(vocabulary: np.ndarray, one: np.ndarray, two: np.ndarray, three:
 
 
 def grams_of(pack: bytes) -> list[np.ndarray]:
+    """The packet's words, which ascend, the numbers of each trigram's words among them, and what else it holds."""
     ascending, one, two, three, *rest = unpacked(pack)
-    vocabulary = np.cumsum(ascending, dtype=np.uint64)
-    return [vocabulary[one], vocabulary[np.cumsum(two, dtype=np.int64)], vocabulary[three], *rest]
+    return [np.cumsum(ascending, dtype=np.uint64), one, np.cumsum(two, dtype=np.int64), three, *rest]
 
 
 def pack_words(words: np.ndarray, *more: np.ndarray) -> bytes:
@@ -210,32 +210,54 @@ def _found(sorted_: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 class Shard:
-    """What the packets of one bucket counted, by the word before the last: trigrams raw, bigrams by the number of words before them."""
+    """What the packets of one bucket counted, by the word before the last: trigrams raw, bigrams by the number of words before them.
+
+    Words go by their number in the shard. A trigram of three numbers fits 64 bits in the order of the packets, so that asked and counted ones meet in
+    order; beyond 2^21 words it is hashed.
+    """
 
     def __init__(self, packs: list[bytes]):
         parts = []
         for p in packs:
-            *grams, c = grams_of(p)
-            counted = c > 0
-            parts.append([x[counted] for x in (*grams, c)])
-        w1, w2, w3, c = (np.concatenate([p[i] for p in parts]) if parts else np.empty(0, np.uint64) for i in range(4))
-        self.keys3, first, inverse = np.unique(_pair(_pair(w1, w2), w3), return_index=True, return_inverse=True)
+            vocabulary, *numbers, c = grams_of(p)
+            if (counted := c > 0).any():
+                parts.append((vocabulary, *(x[counted] for x in (*numbers, c))))
+        self.vocabulary = np.unique(np.concatenate([*(p[0] for p in parts), np.empty(0, np.uint64)]))
+        self.bits = np.uint64((len(self.vocabulary) + 1).bit_length())
+        numbers = [self.numbers(*p[:4]) for p in parts]
+        n1, n2, n3 = (np.concatenate([*(x[i] for x in numbers), np.empty(0, np.uint64)]) for i in range(3))
+        c = np.concatenate([*(p[4] for p in parts), np.empty(0, np.uint64)])
+        self.keys3, first, inverse = np.unique(self.joined(self.joined(n2, n1), n3), return_index=True, return_inverse=True)
         self.c3 = np.bincount(inverse, c, len(first)).astype(np.int64)
-        w1, w2, w3 = w1[first], w2[first], w3[first]
-        self.contexts3, self.of3 = np.unique(_pair(w1, w2), return_inverse=True)
-        self.keys2, first, self.c2 = np.unique(_pair(w2, w3), return_index=True, return_counts=True)
-        self.contexts2, self.of2 = np.unique(w2[first], return_inverse=True)
+        n1, n2, n3 = n1[first], n2[first], n3[first]
+        self.contexts3, self.of3 = np.unique(self.joined(n2, n1), return_inverse=True)
+        self.keys2, first, self.c2 = np.unique(self.joined(n2, n3), return_index=True, return_counts=True)
+        self.contexts2, self.of2 = np.unique(n2[first], return_inverse=True)
+
+    def numbers(self, vocabulary: np.ndarray, *of: np.ndarray) -> list[np.ndarray]:
+        """Numbers of a packet as numbers of the shard; words that it did not count have one that no word has."""
+        at, known = _found(self.vocabulary, vocabulary)
+        own = np.where(known, at, len(self.vocabulary)).astype(np.uint64)
+        return [own[x] for x in of]
+
+    def joined(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return (a << self.bits) | b if 3 * int(self.bits) <= 64 else _pair(a, b)
 
-    def answer(self, w1: np.ndarray, w2: np.ndarray, w3: np.ndarray, d2: np.ndarray, d3: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def answer(self, vocabulary: np.ndarray, one: np.ndarray, two: np.ndarray, three: np.ndarray, d2: np.ndarray, d3: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(a, b): the probability of each trigram is a + b times that of its last word alone."""
-        a, b = np.zeros(len(w1)), np.ones(len(w1))
+        n1, n2, n3 = self.numbers(vocabulary, one, two, three)
+        a, b = np.zeros(len(n1)), np.ones(len(n1))
+        pair = self.joined(n2, n1)
         for keys, c, contexts, of, d, context, key in (
-            (self.keys2, self.c2, self.contexts2, self.of2, d2, w2, _pair(w2, w3)),
-            (self.keys3, self.c3, self.contexts3, self.of3, d3, _pair(w1, w2), _pair(_pair(w1, w2), w3)),
+            (self.keys2, self.c2, self.contexts2, self.of2, d2, n2, self.joined(n2, n3)),
+            (self.keys3, self.c3, self.contexts3, self.of3, d3, pair, self.joined(pair, n3)),
         ):
             off = d[np.minimum(c, 3) - 1]
             total, left = np.bincount(of, c, len(contexts)), np.bincount(of, off, len(contexts))
-            at, known = _found(contexts, context)
+            # Equal contexts are neighbours: each run is looked up once.
+            runs = np.flatnonzero(np.r_[True, context[1:] != context[:-1]])[: len(context)]
+            sizes = np.diff(np.r_[runs, len(context)])
+            at, known = (np.repeat(x, sizes) for x in _found(contexts, context[runs]))
             gram, seen = _found(keys, key)
             if known.any():
                 own = np.where(seen, c[gram] - off[gram], 0.0) if len(c) else 0.0

@@ -99,6 +99,14 @@ def test_junk_goes_and_clean_stays(spark):
     assert quality.score(docs, frame.limit(0)).filter("NOT kept").count() == 0
 
 
+def test_null_ids_repeats_and_columns_named_as_the_result(spark):
+    rows, labels = corpus(200)
+    rows = [(*r, 1, 2) for r in rows] + [(None, "QX" * 200, "en", "x", 1, 2), (None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score string, threshold int, chunk int")
+    kept = quality.keep_good(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert kept.columns == docs.columns and kept.filter("doc_id IS NULL").count() == 2
+
+
 def test_other_shards_give_the_same(spark, monkeypatch):
     rows, labels = corpus()
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score string")
