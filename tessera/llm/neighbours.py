@@ -4,14 +4,17 @@ Every vector is projected to DIMS numbers by a Gaussian (2-stable) matrix: the s
 chi-square distribution of DIMS degrees. The projections are indexed in two levels of a kd-tree: the upper splits, fitted on a bounded sample,
 deal all vectors into cells; each cell is indexed whole by its own tree. A query takes its projected neighbours leaf by leaf, nearest first, and
 verifies them by true distances, until the chi-square test says that a vector nearer than the k-th found would have come up by now with
-probability CONFIDENCE. It starts in its own cell; the distance reached there decides by the same test which other cells it must visit.
+probability CONFIDENCE. It starts in its own cell; the distance reached there decides by the same test which other cells it must visit. A cell of more
+than PART entries is dealt by hash into parts with a tree each, all of which its queries visit: a task's memory does not follow the table's size.
 
 Equal vectors are one entry of the index with their smallest ids (k and one more: a larger id can never be among the k nearest), so a vector that
-fills a third of the table costs one entry; queries of equal vectors are searched once. Queries meet a cell in blocks of bounded size.
+fills a third of the table costs one entry; queries of equal vectors are searched once. Queries meet a cell in blocks of bounded size. The joins that hand
+the one entry to the queries of a hot vector have one row on the other side, so Spark's skew join may split them.
 
 Defined results: ties go to the smaller id; vectors that are null, zero, or hold null or non-finite components take no part, nor do rows without
 an id or of another length than most vectors have (of equally frequent lengths the larger); rows that repeat id and vector are one row; a
-candidate with the query's own id is the query's own; with fewer candidates than k all are returned; an empty table gives an empty result.
+candidate with the query's own id is the query's own; with fewer candidates than k all are returned; an empty table gives an empty result. Only the id
+and the vector are read: further columns may have any name, those of the result too.
 """
 
 from __future__ import annotations
@@ -28,6 +31,8 @@ from .common import quoted, small_batches, stored
 DIMS, CONFIDENCE, SEED = 8, 0.98, 11
 #: Rows a cell is meant to have, rows of a leaf, vectors the upper splits are fitted on at most, and queries that meet a cell at once.
 CELL, LEAF, SAMPLE, BLOCK = 8192, 64, 65_536, 4096
+#: Entries of a cell that meet queries in one task, about.
+PART = 65_536
 
 
 def chi_square_cdf(x: float, dims: int) -> float:
@@ -168,12 +173,14 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "ve
     asked = rows.filter(F.pmod("vec_id", F.lit(every)) == 0).distinct()
     asked = stored(asked.join(cells.select("v", "key"), "v").select(F.col("vec_id").alias("query_id"), "key"), "queries")
     queries = cells.join(asked.select("key").distinct(), "key", "left_semi").select(F.col("key").alias("query"), F.col("v").alias("qv"), F.col("p").alias("qp"), "cell")
-    home = stored(_meet(cells, queries.withColumn("bound", F.lit(float("inf"))), width, k + 1), "home")
+    sizes = {r.cell: r["count"] for r in cells.groupBy("cell").count().collect()}  # one row a cell, of which the sample allows SAMPLE / 16
+    nearest_first = Window.partitionBy("query").orderBy("score", "key")
+    home = _meet(cells, sizes, queries.withColumn("bound", F.lit(float("inf"))), width, k + 1)
+    home = stored(home.withColumn("r", F.row_number().over(nearest_first)).filter(F.col("r") <= k + 1).drop("r"), "home")
     reached = home.groupBy("query").agg(F.count("*").alias("n"), F.max("score").alias("far"))
     reached = queries.join(reached, "query").select("query", "qv", "qp", F.col("cell").alias("own"), F.when(F.col("n") > k, F.col("far")).otherwise(float("inf")).alias("bound"))
-    other = _meet(cells, _visits(reached, _boxes(cells)), width, k + 1)
-    best = Window.partitionBy("query").orderBy("score", "key")
-    found = home.unionByName(other).withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k + 1)
+    other = _meet(cells, sizes, _visits(reached, _boxes(cells)), width, k + 1)
+    found = home.unionByName(other).withColumn("r", F.row_number().over(nearest_first)).filter(F.col("r") <= k + 1)
     by_row = Window.partitionBy("query").orderBy("score", "vec_id")
     listed = found.select("query", "score", F.explode("ids").alias("vec_id")).withColumn("r", F.row_number().over(by_row)).filter(F.col("r") <= k + 1)
     answers = asked.join(listed, asked["key"] == listed["query"]).filter("vec_id <> query_id")
@@ -206,17 +213,21 @@ def _visits(reached: DataFrame, boxes: list[tuple[int, list[float], list[float]]
     return reached.mapInArrow(run, "query long, qv array<double>, qp array<double>, bound double, cell int")
 
 
-def _meet(cells: DataFrame, queries: DataFrame, width: int, k: int) -> DataFrame:
-    """(query, key, ids, score): the k nearest entries of the cell for each (query, cell)."""
+def _meet(cells: DataFrame, sizes: dict[int, int], queries: DataFrame, width: int, k: int) -> DataFrame:
+    """(query, key, ids, score): the k nearest entries of each part of the cell for each (query, cell). ``sizes``: entries by cell."""
     queries = stored(queries.select("query", "qv", "qp", "bound", "cell"), "visits")
     blocks = {r.cell: math.ceil(r["count"] / BLOCK) for r in queries.groupBy("cell").count().collect()}  # one row a cell
     schema = "query long, key long, ids array<long>, score double"
     if not blocks:
         return queries.sparkSession.createDataFrame([], schema)
-    of = F.create_map(*(F.lit(x) for pair in blocks.items() for x in pair))
-    n = F.coalesce(F.try_element_at(of, F.col("cell")), F.lit(0))
-    left = cells.withColumn("n", n).filter("n > 0").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select("cell", "block", "key", "ids", "v", "p")
-    right = queries.withColumn("block", F.pmod(F.xxhash64("query"), n).cast("int"))
+
+    def of_cell(numbers: dict[int, int]):
+        return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in numbers.items() for x in pair)), F.col("cell")), F.lit(0))
+
+    n, parts = of_cell(blocks), of_cell({c: math.ceil(size / PART) for c, size in sizes.items()})
+    left = cells.withColumn("n", n).filter("n > 0").withColumn("part", F.pmod(F.xxhash64("key"), parts).cast("int"))
+    left = left.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select("cell", "part", "block", "key", "ids", "v", "p")
+    right = queries.withColumn("block", F.pmod(F.xxhash64("query"), n).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
     limit = chi_square_quantile(CONFIDENCE, DIMS)
 
     def run(entries: pa.Table, asked: pa.Table) -> pa.Table:
@@ -232,4 +243,5 @@ def _meet(cells: DataFrame, queries: DataFrame, width: int, k: int) -> DataFrame
         part = entries.take(pa.array(out["at"], pa.int64()))
         return pa.table({"query": pa.array(out["query"], pa.int64()), "key": part.column("key"), "ids": part.column("ids"), "score": pa.array(out["score"], pa.float64())})
 
-    return left.groupBy("cell", "block").cogroup(right.groupBy("cell", "block")).applyInArrow(run, schema)
+    by = ("cell", "part", "block")
+    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(run, schema)

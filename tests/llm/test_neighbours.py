@@ -33,8 +33,9 @@ def found(df):
     return out
 
 
-@pytest.mark.parametrize("cell", [10_000, 100])
-def test_recall_and_exact_scores(spark, monkeypatch, cell):
+@pytest.mark.parametrize("cell,part", [(10_000, 10_000), (100, 10_000), (400, 90)])
+def test_recall_and_exact_scores(spark, monkeypatch, cell, part):
+    monkeypatch.setattr(nn, "PART", part)
     monkeypatch.setattr(nn, "CELL", cell)
     monkeypatch.setattr(nn, "LEAF", 16)
     monkeypatch.setattr(nn, "BLOCK", 7)
@@ -69,6 +70,12 @@ def test_rows_that_take_no_part_and_few_candidates(spark):
     assert nn.nearest(df.filter("vec_id = 100")).count() == 0
 
 
+def test_columns_named_as_the_result(spark):
+    rows = [(i, [float(i), 1.0], 7, i, i) for i in range(120)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank int, query_id long, cell long")
+    assert found(nn.nearest(df, k=2))[100] == [(99, 1.0), (101, 1.0)]
+
+
 def test_chi_square():
     assert abs(nn.chi_square_cdf(15.507, 8) - 0.95) < 1e-3
     assert abs(nn.chi_square_cdf(nn.chi_square_quantile(0.98, 8), 8) - 0.98) < 1e-9
