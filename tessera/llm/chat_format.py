@@ -8,7 +8,8 @@ Template: ``### role: text</turn>`` and a line end for each turn. Inside texts a
 ``</turn>`` becomes ``\\t``; in roles also ``:`` becomes ``\\c``. No control string is left, and ``unescape`` restores every text.
 
 Defined results: null role or text counts as empty; turns are ordered by turn, then role, then text, nulls first; repeated rows are turns of
-their own; rows of a null conversation id form one conversation. A conversation is one text by nature, so it is rendered in one task.
+their own; rows of a null conversation id form one conversation. A conversation is one text by nature, so it is rendered in one task. Only conv_id, turn, role and
+text are read: further columns may have any name; an empty table gives an empty result.
 """
 
 import hashlib
@@ -25,7 +26,7 @@ from .common import quoted, small_batches
 
 OUTPUT = "formatted string, token_ids array<int>, token_starts array<int>, token_ends array<int>, loss_mask array<boolean>, loss_starts array<int>, loss_ends array<int>"
 _CODES = {"\\": "\\", "h": "###", "t": "</turn>", "c": ":"}
-_TURN = re.compile(r"### ((?:[^\\:]|\\.)*): ((?:(?!</turn>).)*)</turn>\n", re.S)
+_HEAD, _END = "### ", "</turn>\n"
 
 
 def escape(text: str) -> str:
@@ -33,6 +34,8 @@ def escape(text: str) -> str:
 
 
 def unescape(text: str) -> str:
+    if "\\" not in text:
+        return text
     return re.sub(r"\\(.)", lambda m: _CODES[m[1]], text, flags=re.S)
 
 
@@ -53,11 +56,13 @@ def parse(formatted: str) -> list[tuple[str, str]]:
     """The turns back from the formatted text; anything else than whole turns is an error."""
     out, at = [], 0
     while at < len(formatted):
-        m = _TURN.match(formatted, at)
-        if not m:
+        # No colon is left in an escaped role and no end mark in an escaped text, so the first of each is the template's own.
+        colon = formatted.find(": ", at)
+        end = formatted.find(_END, colon)
+        if not formatted.startswith(_HEAD, at) or colon < 0 or end < 0:
             raise ValueError(f"no turn at {at}")
-        out.append((unescape(m[1]), unescape(m[2])))
-        at = m.end()
+        out.append((unescape(formatted[at + 4 : colon]), unescape(formatted[colon + 2 : end])))
+        at = end + len(_END)
     return out
 
 
@@ -120,11 +125,15 @@ def digests(formatted: DataFrame) -> DataFrame:
     def run(batches):
         for batch in small_batches(batches):
             out = [[] for _ in names]
-            for x in batch.to_pylist():
-                text, turns = x["formatted"], parse(x["formatted"])
-                loss = "".join(unescape(text[a:b]) for a, b in zip(x["loss_starts"], x["loss_ends"], strict=True))
+            field = {name: batch.column(name) for name in batch.schema.names}
+            marks = field["loss_mask"]
+            for i in range(batch.num_rows):
+                text = field["formatted"][i].as_py()
+                turns = parse(text)
+                loss = "".join(unescape(text[a:b]) for a, b in zip(field["loss_starts"][i].as_py(), field["loss_ends"][i].as_py(), strict=True))
                 sha = hashlib.sha256("".join(f"{r}\n{s}\n" for r, s in turns).encode()).hexdigest()
-                for c, v in zip(out, (x["conv_id"], len(turns), sha, len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(text), len(x["token_ids"]), sum(x["loss_mask"])), strict=True):
+                n_tokens, n_loss = len(field["token_ids"][i]), marks[i].values.true_count
+                for c, v in zip(out, (field["conv_id"][i].as_py(), len(turns), sha, len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(text), n_tokens, n_loss), strict=True):
                     c.append(v)
             types = [batch.schema.field("conv_id").type, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, types, strict=True)], names)
