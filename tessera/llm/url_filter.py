@@ -2,12 +2,14 @@
 
 Rules name a host (and all its subdomains) and the start of a path; the longest that fits decides. URLs that a rule accepts or rejects train
 two variable-order Markov models over characters (orders 0 to 3, each mixed with the next shorter one by Witten-Bell smoothing). All other
-URLs are judged by the mean log-likelihood difference a character against a threshold calibrated on the judged URLs' scores.
+URLs are judged by the mean log-likelihood difference a character against a threshold. The threshold is calibrated on the judged URLs' scores by the models
+of the other half (halves by the hash of the URL, so equal URLs share a half): no score it sees is of text that its model counted.
 
 Characters fall into 40 symbols, so the counts of a model are at most 40^4 cells and the table sent to the tasks is 10 MB whatever the input.
 
 Defined results: a null URL or one without ``://`` has an empty host and path and fits no rule; where no URL is accepted or none rejected by
-a rule, the models say nothing and the verdict is allow; repeated rows are judged alike; an empty table gives an empty result.
+a rule, the models say nothing and the verdict is allow; repeated rows are judged alike; an empty table gives an empty result. Only the id and the URL
+are read: further columns may have any name.
 """
 
 from __future__ import annotations
@@ -16,7 +18,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -97,40 +98,46 @@ def log_model(counts: np.ndarray) -> np.ndarray:
     return np.log(p).reshape(-1).astype(np.float32)
 
 
-def _counts(judged: DataFrame) -> dict[str, np.ndarray]:
-    """4-gram counts by verdict, summed on the executors; at most 2 * 40^4 rows come back."""
+def _counts(judged: DataFrame) -> np.ndarray:
+    """4-gram counts by half and verdict (allow, block), summed on the executors; at most 4 * 40^4 rows of 20 bytes come back."""
 
     def run(batches):
         own = {}
         for batch in small_batches(batches):
-            urls, verdicts = batch.column(0).to_pylist(), np.array(batch.column(1).to_pylist())
-            for v in np.unique(verdicts):
-                cell, _ = grams([u for u, w in zip(urls, verdicts, strict=True) if w == v])
+            urls, group = batch.column(0).to_pylist(), batch.column(1).to_numpy()
+            for g in np.unique(group).tolist():
+                cell, _ = grams([u for u, w in zip(urls, group, strict=True) if w == g])
                 found, n = np.unique(cell, return_counts=True)
-                own.setdefault(str(v), np.zeros(SYMBOLS**ORDER, np.int64))[found] += n
-        for v, n in own.items():
+                own.setdefault(g, np.zeros(SYMBOLS**ORDER, np.int64))[found] += n
+        for g, n in own.items():
             at = np.flatnonzero(n)
             for i in range(0, len(at), 1 << 16):
                 part = at[i : i + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array([v] * len(part)), pa.array(part.astype(np.int32)), pa.array(n[part])], ["verdict", "cell", "n"])
-
-    out = {v: np.zeros(SYMBOLS**ORDER, np.int64) for v in ("allow", "block")}
-    summed = judged.select("url", "verdict").mapInArrow(run, "verdict string, cell int, n long").groupBy("verdict", "cell").agg(F.sum("n").alias("n"))
-    frame = summed.toArrow()
-    for v in out:
-        own = frame.filter(pc.equal(frame["verdict"], v))
-        out[v][own["cell"].to_numpy()] = own["n"].to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), g, np.int32)), pa.array(part.astype(np.int32)), pa.array(n[part])], ["group", "cell", "n"])
+
+    out = np.zeros((2, 2, SYMBOLS**ORDER), np.int64)
+    group = (2 * F.col("half") + (F.col("verdict") == "block").cast("int")).cast("int").alias("group")
+    frame = judged.select("url", group).mapInArrow(run, "group int, cell int, n long").groupBy("group", "cell").agg(F.sum("n").alias("n")).toArrow()
+    of = frame["group"].to_numpy()
+    out[of // 2, of % 2, frame["cell"].to_numpy()] = frame["n"].to_numpy()
     return out
 
 
-def _scored(rows: DataFrame, table: np.ndarray) -> DataFrame:
-    """``rows`` (any columns, with url) and ``score``: the mean log-likelihood difference a character."""
-    at = rows.columns.index("url")
+def ratio(counts: np.ndarray) -> np.ndarray:
+    """The difference of the log probabilities of both verdicts' models, by cell; zero where one of them has no text."""
+    return log_model(counts[0]) - log_model(counts[1]) if counts.any(-1).all() else np.zeros(SYMBOLS**ORDER, np.float32)
+
+
+def _scored(rows: DataFrame, tables: list[np.ndarray]) -> DataFrame:
+    """``rows`` (any columns, with url and half) and ``score``: the mean log-likelihood difference a character, by the table of the row's half."""
+    at, of = rows.columns.index("url"), rows.columns.index("half")
 
     def run(batches):
         for batch in small_batches(batches):
             cell, starts = grams([u or "" for u in batch.column(at).to_pylist()])
-            score = np.add.reduceat(table[cell].astype(np.float64), starts[:-1]) / np.diff(starts)
+            half = batch.column(of).to_numpy()
+            sums = [np.add.reduceat(t[cell].astype(np.float64), starts[:-1]) for t in tables]
+            score = np.where(half == 0, sums[0], sums[-1]) / np.diff(starts)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], [*batch.schema.names, "score"])
 
     from pyspark.sql.types import DoubleType, StructField, StructType
@@ -164,13 +171,17 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "page
     rows = pages.select(quoted(id_col).alias("page_id"), quoted(url_col).alias("url")).select("page_id", "url", host.alias("host"), path.alias("path"))
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
     rows = rows.select("*", rule.alias("rule"), verdict.alias("verdict"))
+    rows = rows.withColumn("half", F.pmod(F.xxhash64(F.coalesce("url", F.lit(""))), F.lit(2)).cast("int"))
     judged, open_ = rows.filter("verdict IS NOT NULL"), rows.filter("verdict IS NULL")
     counts = _counts(judged)
-    table, threshold = np.zeros(SYMBOLS**ORDER, np.float32), 0.0
-    if counts["allow"].any() and counts["block"].any():
-        table = log_model(counts["allow"]) - log_model(counts["block"])
-        level = F.floor(F.least(F.greatest(F.col("score"), F.lit(-LIMIT)), F.lit(LIMIT)) * 1000).cast("int")
-        bins = _scored(judged.select("url", "verdict"), table).groupBy("verdict", level.alias("level")).count().collect()
-        threshold = calibrate([tuple(r) for r in bins])
-    scored = _scored(open_, table).withColumn("verdict", F.when(F.col("score") >= threshold, "allow").otherwise("block"))
-    return judged.withColumn("score", F.lit(None).cast("double")).unionByName(scored).drop("url")
+    scored = _scored(open_, [ratio(counts.sum(0))]).withColumn("verdict", F.when(F.col("score") >= threshold(judged, counts), "allow").otherwise("block"))
+    return judged.withColumn("score", F.lit(None).cast("double")).unionByName(scored).drop("url", "half")
+
+
+def threshold(judged: DataFrame, counts: np.ndarray) -> float:
+    """From the scores of each half by the models of the other; 0 where a verdict has no URL."""
+    if not counts.sum(0).any(-1).all():
+        return 0.0
+    level = F.floor(F.least(F.greatest(F.col("score"), F.lit(-LIMIT)), F.lit(LIMIT)) * 1000).cast("int")
+    scored = _scored(judged.select("url", "verdict", "half"), [ratio(counts[1]), ratio(counts[0])])
+    return calibrate([tuple(r) for r in scored.groupBy("verdict", level.alias("level")).count().collect()])

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tessera.llm import url_filter as uf
 
@@ -64,3 +65,48 @@ def test_model_is_a_distribution_and_windows_stay_in_their_url():
     alone, _ = uf.grams(["zz"])
     assert cell[starts[2] :].tolist() == alone.tolist()
     assert len(cell[starts[1] : starts[2]]) == 1
+
+
+def brute_log(texts, gram):
+    """Witten-Bell mixing with dictionaries: the log probability of the last symbol of ``gram``."""
+    p = 1 / uf.SYMBOLS
+    for order in range(1, uf.ORDER + 1):
+        own = [t[i - order + 1 : i + 1] for t in texts for i in range(uf.ORDER - 1, len(t))]
+        context = [g for g in own if g[:-1] == gram[len(gram) - order : -1]]
+        if context:
+            kinds = len({g[-1] for g in context})
+            p = (sum(g[-1] == gram[-1] for g in context) + kinds * p) / (len(context) + kinds)
+    return np.log(p)
+
+
+def coded(url):
+    gap = [uf.END] * (uf.ORDER - 1)
+    return (*gap, *(int(uf._TABLE[b]) for b in url.encode()), uf.END)
+
+
+def test_scores_and_threshold_equal_brute_force(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcd") for _ in range(5))
+    rows = [(i, rng.choice((f"http://{word()}.com/{word()}", f"http://{word()}.net/es/{word()}", f"http://{word()}.org/{word()}"))) for i in range(60)]
+    half = {r.u: r.h for r in spark.createDataFrame(rows, "i long, u string").select("u", F.pmod(F.xxhash64("u"), F.lit(2)).alias("h")).collect()}
+    texts = {(h, v): [coded(u) for _, u in rows if half[u] == h and brute(u)[3] == v] for h in (0, 1) for v in ("allow", "block")}
+
+    def score(url, allow, block):
+        t = coded(url)
+        grams = [t[i - 3 : i + 1] for i in range(3, len(t))]
+        return sum(brute_log(allow, g) - brute_log(block, g) for g in grams) / len(grams)
+
+    bins = {"allow": [], "block": []}
+    for _, u in rows:
+        if verdict := brute(u)[3]:
+            bins[verdict].append(int(np.floor(score(u, texts[1 - half[u], "allow"], texts[1 - half[u], "block"]) * 1000)))
+    best = max(((np.mean([b >= t for b in bins["allow"]]) + np.mean([b < t for b in bins["block"]]), -t) for t in range(-9000, 9000)))
+    both = [texts[0, v] + texts[1, v] for v in ("allow", "block")]
+    for r in uf.judge(spark.createDataFrame(rows, "page_id long, url string")).collect():
+        if r.rule is None:
+            own = score(dict(rows)[r.page_id], *both)
+            assert abs(own - r.score) < 1e-4
+            at = uf.calibrate([(v, b, 1) for v in bins for b in bins[v]])
+            assert r.verdict == ("allow" if r.score >= at else "block")
+            gained = np.mean([b / 1000 >= at for b in bins["allow"]]) + np.mean([(b + 0.5) / 1000 < at for b in bins["block"]])
+            assert gained >= best[0] - 1e-9
