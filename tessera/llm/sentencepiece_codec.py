@@ -5,10 +5,12 @@ before form one flat array of symbols. A round looks up the rank of every adjace
 occurrences of that pair in every word at once, and compacts the array; words without a pair left drop out.
 
 The library merges one pair at a time. Merging all occurrences at once gives the same result unless a merge makes a neighbouring pair that is
-at least as good as the pair merged; such a word merges only its first occurrence in that round. A word for which this happens often goes to
-an exact heap instead, so that no text costs quadratic time.
+at least as good as the pair merged; such a word merges only its first occurrence in that round. A word for which this happens often, and one of
+LONG_WORD characters or more, goes to an exact heap instead, so that no text costs quadratic time.
 
-Defined results: a null or empty text has no pieces, so its ids are begin and end only; lone surrogates are encoded as U+FFFD.
+Defined results: a null or empty text has no pieces, so its ids are begin and end only; lone surrogates are encoded as U+FFFD; every row gives a row,
+repeated rows and null ids included; an empty table gives an empty result. ``digests`` names its columns itself; in ``encode`` and ``decode`` columns
+of the result's names give way.
 """
 
 import hashlib
@@ -26,6 +28,8 @@ from .common import begin, in_batches, keeps, quoted, small_batches, strings
 NONE = np.iinfo(np.int64).max
 #: Rounds in which a word may be held back to one merge before it goes to the heap.
 HELD_ROUNDS = 16
+#: Characters from which a word goes to the heap at once: a round costs the whole word, and a long one has a round for each of its ranks.
+LONG_WORD = 2000
 #: Distinct words kept from batch to batch.
 CACHE_WORDS = 100_000
 #: Text of a batch: its words are Python strings for a while, about twenty times its size.
@@ -54,6 +58,7 @@ class Codec:
         # Equal scores share a rank; a smaller rank merges first.
         scores = np.array([sp.get_score(i) for i in normal], np.float64)
         _, rank = np.unique(-scores, return_inverse=True)
+        self.pieces = pieces
         self.id_of = {pieces[i]: i for i in normal}
         self.rank_of = {pieces[i]: int(r) for i, r in zip(normal, rank, strict=True)}
         self._pair_table(normal, pieces)
@@ -125,7 +130,15 @@ class Codec:
 
     def _rounds(self, symbols: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         done_s, done_o = [], []
-        held = np.zeros(int(owner[-1]) + 1 if len(owner) else 0, np.int64)
+        if len(symbols) >= LONG_WORD:
+            first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+            sizes = np.diff(np.r_[first, len(symbols)])
+            for a, n in zip(first[sizes >= LONG_WORD].tolist(), sizes[sizes >= LONG_WORD].tolist(), strict=True):
+                out = self._heap(symbols[a : a + n])
+                done_s.append(out), done_o.append(np.full(len(out), owner[a]))
+            short = np.repeat(sizes < LONG_WORD, sizes)
+            symbols, owner = symbols[short], owner[short]
+        held = np.zeros(int(owner.max()) + 1 if len(owner) else 0, np.int64)
         while len(symbols):
             rank, made = self._pairs(symbols[:-1], symbols[1:])
             rank[owner[:-1] != owner[1:]] = NONE
@@ -195,31 +208,42 @@ class Codec:
 
     def _heap(self, symbols: np.ndarray) -> np.ndarray:
         """One word, one merge at a time: best rank first, leftmost among equals."""
-        s = symbols.tolist()
-        n = len(s)
-        before, after, heap = list(range(-1, n - 1)), list(range(1, n + 1)), []
-
-        def push(i: int) -> None:
+        n = len(symbols)
+        rank, made = self._pairs(symbols[:-1], symbols[1:])
+        at = np.flatnonzero(rank != NONE)
+        # A pair is rank and place in one number, so that the heap orders plain integers.
+        heap = ((rank[at] << 32) | at).tolist()
+        heapq.heapify(heap)
+        s, before, after = symbols.tolist(), list(range(-1, n - 1)), list(range(1, n + 1))
+        wanted = np.where(rank != NONE, made, -1).tolist() + [-1]  # what the pair that begins at a place makes; -1: none
+        ranks, pieces, id_of, rank_of = rank.tolist() + [NONE], self.pieces, self.id_of, self.rank_of
+
+        def pair(i: int) -> None:
             j = after[i]
             if j < n and s[i] >= 0 and s[j] >= 0:
-                (rank,), (made,) = self._pairs(np.array([s[i]]), np.array([s[j]]))
-                if rank != NONE:
-                    heapq.heappush(heap, (int(rank), i, j, s[i], s[j], int(made)))
+                piece = pieces[s[i]] + pieces[s[j]]
+                id_ = id_of.get(piece, -1)
+                wanted[i] = id_
+                if id_ >= 0:
+                    ranks[i] = rank_of[piece]
+                    heapq.heappush(heap, ranks[i] << 32 | i)
+            else:
+                wanted[i] = -1
 
-        alive = [True] * n
-        for i in range(n):
-            push(i)
         while heap:
-            _, i, j, x, y, made = heapq.heappop(heap)
-            if not (alive[i] and j < n and alive[j] and s[i] == x and s[j] == y and after[i] == j):
+            top = heapq.heappop(heap)
+            i = top & 0xFFFFFFFF
+            if wanted[i] < 0 or ranks[i] != top >> 32:
                 continue
-            s[i], alive[j], after[i] = made, False, after[j]
+            j = after[i]
+            s[i], wanted[i], wanted[j], after[i] = wanted[i], -1, -1, after[j]
             if after[j] < n:
                 before[after[j]] = i
             if before[i] >= 0:
-                push(before[i])
-            push(i)
-        return np.array([x for x, ok in zip(s, alive, strict=True) if ok], np.int64)
+                pair(before[i])
+            pair(i)
+            s[j] = None
+        return np.array([x for x in s if x is not None], np.int64)
 
     def _bytes(self, symbols: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Characters outside the vocabulary become the ids of their UTF-8 bytes."""

@@ -39,6 +39,17 @@ def test_heap_and_rounds_agree(library, monkeypatch):
     assert [ids[a:b].tolist() for a, b in zip(starts, starts[1:])] == library.encode(some, add_bos=True, add_eos=True)
 
 
+def test_long_words_equal_the_library(library, monkeypatch):
+    rng = random.Random(9)
+    some = ["".join(rng.choice(a) for _ in range(n)) for a in ("etaoinshrdlu", "ab", "é中a_", "thein") for n in (2500, 20_000)] + ["x " + "ing" * 30_000 + " y\n"]
+    ids, starts = codec_.Codec(PATH).encode(some)
+    assert [ids[a:b].tolist() for a, b in zip(starts, starts[1:])] == library.encode(some, add_bos=True, add_eos=True)
+    monkeypatch.setattr(codec_, "LONG_WORD", 1)
+    some = texts()[:600]
+    ids, starts = codec_.Codec(PATH).encode(some)
+    assert [ids[a:b].tolist() for a, b in zip(starts, starts[1:])] == library.encode(some, add_bos=True, add_eos=True)
+
+
 def test_cache_overflow_gives_the_same(library, monkeypatch):
     monkeypatch.setattr(codec_, "CACHE_WORDS", 50)
     c = codec_.Codec(PATH)
