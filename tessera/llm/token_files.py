@@ -9,7 +9,7 @@ Format (version 1): ids as little-endian unsigned 32-bit integers, split into fo
 64-bit offsets of the frames and one more for the end.
 
 Defined results: a null or empty text has the end id only; a null document id sorts first; rows that repeat an id keep the order of their
-texts' hashes; an empty table gives an empty dataset.
+texts' hashes; an empty table gives an empty dataset. Only the id and the text are read: further columns may have any name.
 """
 
 import hashlib
@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 from .common import begin, keeps, partitions, quoted, shared_dir, small_batches, strings
 
 VERSION = 1
-#: The dictionary is fitted on so many whole documents at most, those of the smallest hash: it affects the size of the files only.
-TRAINING_DOCS, DICTIONARY_BYTES = 500, 64 << 10
+#: The dictionary is fitted on so many whole documents and bytes of text at most, those of the smallest hash and of a sixteenth of the bytes or less each:
+#: it affects the size of the files only.
+TRAINING_DOCS, TRAINING_BYTES, DICTIONARY_BYTES = 500, 8 << 20, 64 << 10
 SEGMENT_BYTES = 4 << 20
 CACHE_WORDS = 400_000
 #: New words encoded in one call.
@@ -127,13 +128,25 @@ def train_dictionary(rows: DataFrame, path: str, end_id: int) -> bytes:
     """A shared dictionary from a bounded sample of documents; empty where there is too little to learn from."""
     import zstandard
 
-    # The threshold first, from hashes alone: no task sends texts that are not used.
-    keyed = rows.withColumn("key", F.xxhash64("doc_id", "text"))
-    last = keyed.select("key").orderBy("key").limit(TRAINING_DOCS).agg(F.max("key")).first()[0]
-    sample = keyed.filter(F.col("key") <= F.lit(last)).limit(TRAINING_DOCS).collect() if last is not None else []
-    ids = [np.append(x, end_id) for x in encoder(path)([r.text or "" for r in sample])]
+    # The choice first, from hashes and lengths alone: no task sends texts that are not used, and longer texts than the bound are passed over.
+    keyed = rows.withColumn("key", F.xxhash64("doc_id", "text")).withColumn("size", F.coalesce(F.octet_length("text"), F.lit(0)))
+    first = keyed.filter(F.col("size") <= TRAINING_BYTES // 16).select("key", "size").orderBy("key", "size").limit(TRAINING_DOCS).collect()
+    chosen, total = set(), 0
+    for r in first:
+        total += r["size"]
+        if total > TRAINING_BYTES:
+            break
+        chosen.add(r.key)
+
+    def run(batches):
+        encode = encoder(path)
+        for batch in small_batches(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([planes(np.append(x, np.uint32(end_id))) for x in encode(strings(batch.column(0)))], pa.binary())], ["ids"])
+
+    sample = keyed.filter((F.col("size") <= TRAINING_BYTES // 16) & F.col("key").isin(*chosen)).select("text").distinct().mapInArrow(run, "ids binary").collect() if chosen else []
+    ids = sorted(bytes(r.ids) for r in sample)
     try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, [planes(x) for x in ids if len(x) > 8]).as_bytes()
+        return zstandard.train_dictionary(DICTIONARY_BYTES, [x for x in ids if len(x) > 32]).as_bytes()
     except zstandard.ZstdError:
         return b""
 
