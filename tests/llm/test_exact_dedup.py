@@ -46,6 +46,14 @@ def test_repeated_rows_null_ids_and_empty_table(spark):
     assert exact_dedup.dedup(empty).count() == 0
 
 
+def test_columns_named_as_those_inside(spark):
+    rows = [(1, "a", 1, 2, "x"), (2, "a", 3, 4, "y"), (3, "b", 5, 6, "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __hash int, repeated int, __bits0 string").withColumn("row", F.lit(0)).withColumn("digest", F.lit(1))
+    kept = exact_dedup.dedup(df)
+    assert kept.columns == df.columns and sorted((r.doc_id, r["__hash"]) for r in kept.collect()) == [(2, 3), (3, 5)]
+    assert exact_dedup.report(df).filter("kept").count() == 2
+
+
 def test_hot_text_beside_the_rest(spark):
     df = spark.range(6000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("text"))
     kept = exact_dedup.report(df).filter("kept")
