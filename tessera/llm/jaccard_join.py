@@ -19,7 +19,9 @@ Words and sets: A-Z lower-cased, words are runs of characters other than blank a
 shingle of its whole sequence. Shingles are compared by 64-bit hashes, sets by 128-bit hashes, of which candidates carry 64 bits (``node``).
 
 Defined results: a null or blank text has an empty set and links with nothing; a null id takes part in links but never names a component; rows
-that repeat an id are one document in ``keep_one``; an empty table gives an empty result.
+that repeat an id are one document in ``keep_one``; an empty table gives an empty result. ``links`` reads the id and the text only and ``keep_one`` gives
+all columns back: further columns may have any name. Only components are produced: a component's links are verified as far as it takes to join
+its members, for all links of a group of g near copies are of the order of g^2.
 """
 
 from __future__ import annotations
@@ -240,47 +242,42 @@ _BLOCK = ("keys", "docs", "bits", "nodes", "sizes")
 _SIZES = np.dtype([("n", "<u4"), ("low", "<u2"), ("high", "<u2")])
 
 
-def _classes(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """doc_id, n, digest, node of every document; the digest of an empty set is null."""
+def _signed(docs: DataFrame, id_col: str, text_col: str, words: int, plan: Plan, ranges: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n, digest, node) of every document, where the digest of an empty set is null; and the signatures of all sets as blocks by key range. Every
+    text is shingled once for both, and equal sets of one block are signed once."""
     rows = docs.select(quoted(id_col).alias("doc_id"), quoted(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, n int, digest binary, node long, place int, " + ", ".join(f"{c} binary" for c in _BLOCK)
 
     def run(batches):
         begin("words")
-        for batch in small_batches(batches):
-            sets = [shingles(t, words) for t in strings(batch.column(1))]
-            digests = [digest(s) if len(s) else None for s in sets]
-            columns = [batch.column(0), pa.array(list(map(len, sets)), pa.int32()), pa.array(digests, pa.binary()), pa.array([d and node(d) for d in digests], pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "digest", "node"])
-
-    return in_batches(rows, run, f"doc_id {kind}, n int, digest binary, node long")
-
-
-def _blocks(docs: DataFrame, text_col: str, words: int, plan: Plan, ranges: int) -> DataFrame:
-    """The signatures of all sets as blocks by key range; equal sets of one block are signed once."""
-    names = ["place", *_BLOCK]
-
-    def run(batches):
-        begin("words")
-        blocks = _Blocks(ranges)
+        blocks, id_type = _Blocks(ranges), None
 
         def flushed():
             out = list(blocks.rows())
             for i in range(0, len(out), 16):
                 part = list(zip(*out[i : i + 16], strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.int32()), *(pa.array(c, pa.binary()) for c in part[1:])], names)
+                none = [pa.nulls(len(part[0]), t) for t in (id_type, pa.int32(), pa.binary(), pa.int64())]
+                yield pa.RecordBatch.from_arrays([*none, pa.array(part[0], pa.int32()), *(pa.array(c, pa.binary()) for c in part[1:])], names)
 
         for batch in small_batches(batches):
-            for text in strings(batch.column(0)):
+            id_type, digests, sizes = batch.schema.field(0).type, [], []
+            for text in strings(batch.column(1)):
                 tokens = shingles(text, words)
-                d = node(digest(tokens))
-                if len(tokens) and d not in blocks.known:
+                digests.append(digest(tokens) if len(tokens) else None)
+                sizes.append(len(tokens))
+                if len(tokens) and (d := node(digests[-1])) not in blocks.known:
                     blocks.add(d, len(tokens), *plan.signatures(tokens))
                     if blocks.n >= FLUSH:
                         yield from flushed()
-        yield from flushed()
+            own = [batch.column(0), pa.array(sizes, pa.int32()), pa.array(digests, pa.binary()), pa.array([d and node(d) for d in digests], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*own, *(pa.nulls(len(sizes), t) for t in [pa.int32()] + [pa.binary()] * len(_BLOCK))], names)
+        if blocks.n:
+            yield from flushed()
 
-    return in_batches(docs.select(quoted(text_col).alias("text")), run, "place int, " + ", ".join(f"{c} binary" for c in _BLOCK))
+    names = ["doc_id", "n", "digest", "node", "place", *_BLOCK]
+    both = stored(in_batches(rows, run, schema), "classes-and-blocks")
+    return both.filter("place IS NULL").select("doc_id", "n", "digest", "node"), both.filter("place IS NOT NULL").select("place", *_BLOCK)
 
 
 def _shared_keys(blocks: DataFrame, ranges: int) -> DataFrame:
@@ -390,8 +387,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def links(docs: DataFrame, words: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest id reachable by links, itself included)."""
     plan, ranges = make_plan(docs, percent, text_col)
-    rows = stored(_classes(docs, id_col, text_col, words), "classes-of-rows")
-    members = _sharing_enough(stored(_shared_keys(_blocks(docs, text_col, words, plan, ranges), ranges), "shared-keys"))
+    rows, blocks = _signed(docs, id_col, text_col, words, plan, ranges)
+    members = _sharing_enough(stored(_shared_keys(blocks, ranges), "shared-keys"))
     labels = _linked(docs, rows, members, id_col, text_col, words, plan)
     # Copies collapse to their class before any join, and hot classes and components are broadcast: no group meets in one task.
     of = rows.filter("digest IS NOT NULL")
