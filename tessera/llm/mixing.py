@@ -73,7 +73,9 @@ def counted(docs: DataFrame, by_source: DataFrame, id_col: str, text_col: str, s
         salted = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         rows = rows.withColumn("own_salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int"))
         joined = rows.join(salted, F.col("own").eqNullSafe(F.col("source")) & (F.col("own_salt") == F.col("salt")))
-    one = lambda c: F.size(F.filter(F.col("cdf"), lambda x: x <= _uniform(F.concat_ws("|", F.col("key"), c.cast("string")))))
+    # The uniform number is bound by a one-element array, else it is hashed again for every term.
+    drawn = lambda c: F.array(_uniform(F.concat_ws("|", F.col("key"), c.cast("string"))))
+    one = lambda c: F.transform(drawn(c), lambda u: F.size(F.filter(F.col("cdf"), lambda x: x <= u)))[0]
     copies = F.aggregate(F.sequence(F.lit(1), F.col("parts")), F.lit(0), lambda acc, c: acc + one(c))
     return joined.select("row", "key", copies.alias("copies"))
 

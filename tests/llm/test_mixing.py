@@ -43,6 +43,13 @@ def test_counts_equal_brute_force(spark):
     assert mixing.mix(df.limit(0)).count() == 0
 
 
+def test_very_long_texts_and_columns_named_as_the_result(spark):
+    own = [(1, "x" * 300_000, "a", 5, "k"), (2, "y", "a", 6, None), (2, "y", "a", 6, None)]
+    df = spark.createDataFrame(own, "doc_id long, text string, source string, copies int, shuffle_key string").withColumn("row", F.lit(1)).withColumn("own", F.lit(2))
+    got = Counter(tuple(r)[:3] for r in mixing.mix(df).collect())
+    assert got == brute([r[:3] for r in own]) and mixing.mix(df).columns == df.columns
+
+
 def test_salted_join_gives_the_same(spark, monkeypatch):
     df = spark.createDataFrame(rows(), "doc_id long, text string, source string")
     one = Counter(map(tuple, mixing.report(df).collect()))
