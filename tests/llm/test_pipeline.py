@@ -4,6 +4,7 @@ from collections import Counter
 import corpus_pipeline
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 
 from tessera.llm import quality
 from test_jaccard_join import brute as near_groups
@@ -58,3 +59,18 @@ def test_stages_keep_the_columns_and_take_empty_tables(spark, folder):
         assert stage(spark, docs, folder).columns == docs.columns
         assert stage(spark, docs.limit(0), folder).count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), folder).count() == 0
+
+
+def test_stages_take_nulls_repeats_and_further_columns(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").withColumn("row", F.lit(1)).withColumn("key", F.lit("k")).withColumn("piece_ids", F.lit("p")).limit(60)
+    odd = spark.createDataFrame([(None, None, None, None, None), (None, "null id", "en", "a", 7), (7000, "again and again", None, None, None), (7000, "again and again", None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.unionByName(odd, allowMissingColumns=True)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, folder)
+        ids = [r.doc_id for r in out.select("doc_id").collect()]
+        if name == "sentencepiece":
+            assert len(ids) == docs.count()
+            continue
+        assert out.columns == docs.columns, name
+        if name != "source_mix":
+            assert ids.count(None) == 2 and ids.count(7000) == (1 if name == "exact_dedup" else 2), name
