@@ -1,7 +1,12 @@
 """A corpus pipeline of five stages. Each takes (spark, docs, sf_dir) and works on all that the stage before it kept.
 
 The first four return the columns of ``documents``; the last one returns the encoded documents. Between stages the rows are written as Parquet and
-read again, so that no stage depends on the lineage of another.
+read again, so that no stage depends on the lineage of another, and what a stage wrote on its way is deleted.
+
+Defined results, for every stage: a null or empty text is a text like any other (the first stages keep it, the last encodes it as begin and end); a null
+id stays where a stage drops by id, and loses against another id of an equal text; a null source or language is one of its own; repeated rows are
+judged alike, and rows that repeat id and text are one document from the stage exact_dedup on; very long texts are processed whole; an empty table gives
+an empty table; all columns of the input come back from the first four stages, whatever their names, and the last one gives its own.
 """
 
 from __future__ import annotations
@@ -10,7 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import exact_dedup, jaccard_join, mixing, quality, sentencepiece_codec
-from tessera.llm.common import stored, table
+from tessera.llm.common import table
+from tessera.storage import release, stored, written
 
 #: The vocabulary file of the last stage; None takes the public 32k model of the machine.
 TOKENIZER: str | None = None
@@ -65,5 +71,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
+        before = written()
         docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        release(spark, since=before, but=1)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -32,11 +32,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession, since: int = 0) -> int:
-    """Deletes what ``stored`` has written in this driver after the first ``since`` tables and returns the number of folders; for when no result that
-    reads them is used any more."""
+def written() -> int:
+    """How many tables ``stored`` has written and ``release`` has left."""
+    return len(_written)
+
+
+def release(spark: SparkSession, since: int = 0, but: int = 0) -> int:
+    """Deletes what ``stored`` has written in this driver after the first ``since`` tables, except the last ``but`` ones, and returns the number of folders;
+    for when no result that reads them is used any more."""
     n, jvm = 0, spark.sparkContext._jvm
+    last = _written[len(_written) - but :]
+    del _written[len(_written) - but :]
     while len(_written) > since:
         path = jvm.org.apache.hadoop.fs.Path(_written.pop())
         n += path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _written.extend(last)
     return n

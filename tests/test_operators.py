@@ -250,7 +250,12 @@ def test_assign_by_position_and_pipes(spark):
 
 
 def test_shared_folder(spark):
-    from tessera.storage import release, shared_dir, stored
+    from tessera.storage import release, shared_dir, stored, written
 
+    release(spark)
     kept = stored(spark.range(3), "three")
-    assert kept.count() == 3 and release(spark) >= 1 and shared_dir(spark)
+    more, last = stored(spark.range(4), "four"), stored(spark.range(5), "five")
+    assert written() == 3 and release(spark, since=1, but=1) == 1 and kept.count() == 3 and last.count() == 5
+    with pytest.raises(Exception, match="(?i)not.*exist|not_found|FileNotFound"):
+        more.count()
+    assert release(spark) == 2 and written() == 0 and shared_dir(spark)
