@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import pickle
+import tempfile
+import uuid
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import combine, elements, keyed, moments, ordering, reduce, shared
+from tessera import sources
+from tessera.operators import combine, elements, keyed, moments, ordering, reduce, shared, sinks
 from tessera.sources import collection, range_, table
+from tessera.storage import shared_dir
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
@@ -39,6 +45,11 @@ def _exact(column: Column) -> Column:
     return column.cast("decimal(18,4)")
 
 
+def _one(spark: SparkSession, **values) -> DataFrame:
+    """One row of driver values."""
+    return spark.createDataFrame([tuple(values.values())], list(values))
+
+
 def _kv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key"), F.col("o_totalprice").alias("value"), "o_orderkey")
 
@@ -90,7 +101,9 @@ def map_python(spark, sf_dir):
 @query("SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS e0, CAST(embedding[6] AS DOUBLE) AS e5 FROM embeddings")
 def pluck_fields(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings")
-    return v.select("vec_id", F.try_element_at("embedding", F.lit(1)).cast("double").alias("e0"), F.try_element_at("embedding", F.lit(6)).cast("double").alias("e5"))
+    both = elements.pluck_values(v.select(F.col("vec_id").alias("key"), F.col("embedding").alias("value")), 0).withColumnRenamed("value", "e0")
+    more = elements.pluck_values(v.select(F.col("vec_id").alias("key"), F.col("embedding").alias("value")), 5).withColumnRenamed("value", "e5")
+    return combine.join(both, more).select(F.col("key").alias("vec_id"), F.col("e0").cast("double"), F.col("e5").cast("double"))
 
 
 @query("SELECT CAST(coalesce(embedding[100], -1) AS DOUBLE) AS value FROM embeddings")
@@ -132,8 +145,7 @@ def with_value_const(spark, sf_dir):
 
 @query("SELECT o_totalprice AS key, o_custkey AS value FROM orders")
 def keys_values_swap(spark, sf_dir):
-    pairs = _kv(spark, sf_dir)
-    return pairs.select(F.col("value").alias("key"), F.col("key").alias("value"))
+    return elements.map_(_kv(spark, sf_dir), F.col("value").alias("key"), F.col("key").alias("value"))
 
 
 @query("SELECT DISTINCT o_custkey AS key FROM orders")
@@ -200,13 +212,13 @@ def concat_lengths(spark, sf_dir):
     return elements.concat(table(spark, sf_dir, "nation"), "n_name", "|").agg(F.sum(F.length("value")).alias("n"))
 
 
-@query("SELECT count(*) AS n, CAST(sum(value) AS DOUBLE) AS total FROM (SELECT CAST(value AS DECIMAL(18,4)) AS value FROM events)")
+@query("SELECT count(*) AS n, CAST(sum(value) AS DOUBLE) AS total FROM (SELECT CAST(value AS DECIMAL(18,4)) AS value FROM events WHERE event_id % 2 = 0)")
 def map_partitions_pandas(spark, sf_dir):
-    def partial(frames):
+    def even(frames):
         for f in frames:
-            yield f.assign(value=f["value"])
+            yield f[f["event_id"] % 2 == 0][["value"]]
 
-    return elements.map_partitions(table(spark, sf_dir, "events").select("value"), partial, "value double").agg(
+    return elements.map_partitions(table(spark, sf_dir, "events").select("event_id", "value"), even, "value double").agg(
         F.count("*").alias("n"), F.sum(_exact(F.col("value"))).cast("double").alias("total")
     )
 
@@ -231,28 +243,31 @@ def collection_source(spark, sf_dir):
 
 @query("SELECT count(*) AS n FROM lineitem")
 def count_all(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").agg(F.count("*").alias("n"))
+    return _one(spark, n=reduce.count(table(spark, sf_dir, "lineitem")))
 
 
 @query("SELECT CAST(sum(CAST(l_extendedprice AS DECIMAL(18,4))) AS DOUBLE) AS total FROM lineitem")
 def sum_all(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").agg(F.sum(_exact(F.col("l_extendedprice"))).cast("double").alias("total"))
+    return _one(spark, total=float(reduce.sum_(table(spark, sf_dir, "lineitem"), _exact(F.col("l_extendedprice")))))
 
 
 @query("SELECT round(CAST(sum(CAST(value AS DECIMAL(18,4))) AS DOUBLE) / count(value), 6) AS mean FROM events")
 def mean_all(spark, sf_dir):
-    return table(spark, sf_dir, "events").agg(F.round(F.sum(_exact(F.col("value"))).cast("double") / F.count("value"), 6).alias("mean"))
+    return _one(spark, mean=round(reduce.mean(table(spark, sf_dir, "events"), "value"), 6))
 
 
 @query("SELECT min(l_shipdate) AS lo, max(l_shipdate) AS hi, min(l_quantity) AS qlo, max(l_quantity) AS qhi FROM lineitem")
 def min_max_all(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").agg(F.min("l_shipdate").alias("lo"), F.max("l_shipdate").alias("hi"), F.min("l_quantity").alias("qlo"), F.max("l_quantity").alias("qhi"))
+    line = table(spark, sf_dir, "lineitem")
+    days = {"lo": reduce.min_(line, "l_shipdate"), "hi": reduce.max_(line, "l_shipdate")}
+    kind = line.schema["l_shipdate"].dataType.simpleString()
+    return spark.createDataFrame([(*days.values(), reduce.min_(line, "l_quantity"), reduce.max_(line, "l_quantity"))], f"lo {kind}, hi {kind}, qlo double, qhi double")
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey DESC LIMIT 1")
 def max_by_key(spark, sf_dir):
-    best = F.max_by(F.struct("o_orderkey", "o_totalprice"), F.struct("o_totalprice", "o_orderkey"))
-    return table(spark, sf_dir, "orders").agg(best.alias("r")).select("r.*")
+    best = reduce.max_(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), by=["o_totalprice", "o_orderkey"])
+    return _one(spark, **best.asDict())
 
 
 _MOMENTS = """
@@ -312,14 +327,14 @@ def histogram_edges(spark, sf_dir):
 
 @query("SELECT count(DISTINCT l_partkey) AS n FROM lineitem")
 def count_distinct_exact(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").agg(F.count_distinct("l_partkey").alias("n"))
+    return _one(spark, n=reduce.count_distinct(table(spark, sf_dir, "lineitem"), "l_partkey"))
 
 
-@query("SELECT true AS within")
+@query("SELECT count(DISTINCT l_partkey) AS n, true AS within FROM lineitem")
 def count_distinct_approx(spark, sf_dir):
-    keys = table(spark, sf_dir, "lineitem")
-    got = keys.agg(F.approx_count_distinct("l_partkey", 0.05).alias("a"), F.count_distinct("l_partkey").alias("n"))
-    return got.select((F.abs(F.col("a") - F.col("n")) <= 4 * 0.05 * F.col("n")).alias("within"))
+    line = table(spark, sf_dir, "lineitem")
+    n = reduce.count_distinct(line, "l_partkey")
+    return _one(spark, n=n, within=all(abs(reduce.count_distinct_approx(line, "l_partkey", rate) - n) <= 4 * rate * n for rate in (0.01, 0.05, 0.2)))
 
 
 @query("SELECT l_returnflag AS value, count(*) AS count FROM lineitem GROUP BY 1")
@@ -554,10 +569,12 @@ def sample_fraction(spark, sf_dir):
     return ordering.sample_by_hash(table(spark, sf_dir, "events").select("event_id"), 0.1, "s")
 
 
-@query("SELECT CAST(100 AS BIGINT) AS n")
+@query("SELECT CAST(least(100, count(*)) AS BIGINT) AS n, CAST(least(100, count(*)) AS BIGINT) AS members FROM orders")
 def take_sample_n(spark, sf_dir):
-    rows = ordering.take_sample(table(spark, sf_dir, "orders").select("o_orderkey"), 100, seed=3)
-    return spark.createDataFrame(rows, "o_orderkey long").distinct().agg(F.count("*").alias("n"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey")
+    drawn = spark.createDataFrame(ordering.take_sample(orders, 100, seed=3), "o_orderkey long")
+    members = combine.join(orders, drawn, "o_orderkey", how="left_semi")
+    return drawn.agg(F.count_distinct("o_orderkey").alias("n")).crossJoin(members.agg(F.count("*").alias("members")))
 
 
 @query("SELECT count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS s FROM orders")
@@ -594,3 +611,320 @@ def partitioned_value_sum(spark, sf_dir):
 @query("SELECT word, n FROM (SELECT word, count(*) AS n FROM (SELECT unnest(string_split(text, ' ')) AS word FROM documents) GROUP BY 1) ORDER BY n DESC, word LIMIT 25")
 def word_count_top(spark, sf_dir):
     return ordering.nlargest(flatmap_words(spark, sf_dir), 25, "n", ["word"])
+
+
+# Files and sinks: rows are written to the shared folder and read back
+
+
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
+
+
+def _text_files(spark: SparkSession, sf_dir: str, compression: str | None = None) -> str:
+    """The names of the nations, a file for each region."""
+    nation = ordering.shuffle(table(spark, sf_dir, "nation"), 5, "n_regionkey", partitioner=lambda k: k)
+    path = _folder(spark)
+    sinks.save_as_files(nation, path, "n_name", compression)
+    return path
+
+
+@query("SELECT CAST(count(DISTINCT n_regionkey) AS BIGINT) AS files, CAST(sum(strlen(n_name) + 1) AS BIGINT) AS bytes FROM nation")
+def files_sizes(spark, sf_dir):
+    found = sources.files(spark, _text_files(spark, sf_dir), name_glob="*.txt")
+    return _one(spark, files=sources.file_count(found), bytes=sources.total_size(found))
+
+
+@query("SELECT CAST(count(DISTINCT n_regionkey) AS BIGINT) AS names FROM nation")
+def files_names(spark, sf_dir):
+    return _one(spark, names=len({*sources.filenames(sources.files(spark, _text_files(spark, sf_dir), psize_bytes=64))}))
+
+
+@query("SELECT n_name AS value FROM nation")
+def files_lines(spark, sf_dir):
+    return sources.lines(spark, _text_files(spark, sf_dir))
+
+
+@query("SELECT n_name || chr(10) AS value FROM nation")
+def files_lines_with_ends(spark, sf_dir):
+    return sources.lines(spark, _text_files(spark, sf_dir), keepends=True)
+
+
+@query("SELECT n_name AS value FROM nation")
+def files_decoded_split(spark, sf_dir):
+    content = sources.decode(sources.files(spark, _text_files(spark, sf_dir), name_glob="*.txt"))
+    return elements.filter_(sources.split_content(content, "\n").select("value"))
+
+
+@query("SELECT n_name AS value FROM nation")
+def files_decompressed(spark, sf_dir):
+    content = sources.decompress(sources.files(spark, _text_files(spark, sf_dir, "gzip"), name_glob="*.gz"))
+    return elements.filter_(sources.split_content(sources.decode(content), "\n").select("value"))
+
+
+@query("SELECT CAST(sum(strlen(n_name) + 1) AS BIGINT) AS bytes, CAST(7 AS BIGINT) AS longest FROM nation")
+def files_chunks(spark, sf_dir):
+    pieces = sources.chunks(sources.files(spark, _text_files(spark, sf_dir), name_glob="*.txt"), 7)
+    size = F.length("content").cast("long")
+    return pieces.agg(F.sum(size).alias("bytes"), F.max(size).alias("longest"))
+
+
+_CSV = "SELECT c_custkey, c_name, c_acctbal FROM customer"
+
+
+@query(_CSV)
+def csv_files(spark, sf_dir):
+    path = _folder(spark)
+    table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal").write.csv(path, header=True)
+    return sources.read_csv(spark, path, "c_custkey long, c_name string, c_acctbal double")
+
+
+@query("SELECT c_custkey, c_name || chr(10) || 'x' AS c_name FROM customer")
+def csv_values(spark, sf_dir):
+    line = F.concat(F.col("c_custkey").cast("string"), F.lit(',"'), "c_name", F.lit('\nx"\n'))
+    return sources.parse_csv(table(spark, sf_dir, "customer").select(line.alias("value")), "c_custkey long, c_name string")
+
+
+@query(_CSV)
+def json_files(spark, sf_dir):
+    path = _folder(spark)
+    sinks.save_as_json(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal"), path, "gzip")
+    return spark.read.schema("c_custkey long, c_name string, c_acctbal double").json(path)
+
+
+@query(_CSV)
+def pickle_files(spark, sf_dir):
+    path = _folder(spark)
+    sinks.save_as_pickles(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal"), path)
+    return sinks.load_pickles(spark, path, "c_custkey long, c_name string, c_acctbal double")
+
+
+@query(_CSV)
+def parquet_folders(spark, sf_dir):
+    path = _folder(spark)
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal", (F.col("c_custkey") % 3).alias("m"))
+    sinks.save_as_parquet(rows, path, ["m"])
+    return spark.read.parquet(path).drop("m")
+
+
+@query("SELECT n_nationkey, n_name FROM nation")
+def json_collected(spark, sf_dir):
+    with tempfile.TemporaryDirectory() as folder:  # collect_* write where the driver is
+        sinks.collect_as_json(table(spark, sf_dir, "nation").select("n_nationkey", "n_name").repartition(3), folder, "gzip")
+        rows = sinks.read_json_lines(folder)
+    return spark.createDataFrame([(r["n_nationkey"], r["n_name"]) for r in rows], "n_nationkey long, n_name string")
+
+
+@query("SELECT n_name AS value FROM nation")
+def files_collected(spark, sf_dir):
+    with tempfile.TemporaryDirectory() as folder:
+        sinks.collect_as_files(table(spark, sf_dir, "nation").repartition(3), folder, "n_name", ext=".txt")
+        lines = [x for p in Path(folder).iterdir() for x in p.read_text().splitlines()]
+    return spark.createDataFrame([(x,) for x in lines], "value string")
+
+
+@query("SELECT n_nationkey, n_name FROM nation")
+def pickles_collected(spark, sf_dir):
+    with tempfile.TemporaryDirectory() as folder:
+        sinks.collect_as_pickles(table(spark, sf_dir, "nation").select("n_nationkey", "n_name").repartition(3), folder)
+        rows = [r for p in Path(folder).iterdir() for r in pickle.loads(p.read_bytes())]
+    return spark.createDataFrame(rows, "n_nationkey long, n_name string")
+
+
+@query("SELECT n_nationkey, n_name FROM nation")
+def rows_collected(spark, sf_dir):
+    parts = sinks.collect(table(spark, sf_dir, "nation").select("n_nationkey", "n_name").repartition(3), parts=True)
+    return spark.createDataFrame([r for part in parts for r in part], "n_nationkey long, n_name string")
+
+
+@query("SELECT n_nationkey, n_name FROM nation ORDER BY n_name")
+def rows_iterated(spark, sf_dir):
+    ordered = ordering.sort(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), "n_name")
+    rows = [*sinks.icollect(ordered)]
+    if [r.n_name for r in rows] != sorted(r.n_name for r in rows):
+        raise ValueError("the rows came out of order")
+    return spark.createDataFrame(rows, "n_nationkey long, n_name string")
+
+
+@query("SELECT n_name AS key, n_regionkey AS value FROM nation")
+def map_collected(spark, sf_dir):
+    got = sinks.collect_as_map(table(spark, sf_dir, "nation").select(F.col("n_name").alias("key"), F.col("n_regionkey").alias("value")))
+    return collection(spark, got, "key string, value long")
+
+
+@query("SELECT DISTINCT n_regionkey AS value FROM nation")
+def set_collected(spark, sf_dir):
+    return spark.createDataFrame([(x,) for x in sinks.collect_as_set(table(spark, sf_dir, "nation"), "n_regionkey")], "value long")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 5")
+def rows_taken(spark, sf_dir):
+    ordered = ordering.sort(table(spark, sf_dir, "orders").select("o_totalprice", "o_orderkey"), ["o_totalprice", "o_orderkey"])
+    rows = ordering.take(ordered, 5)
+    if rows != [*ordering.itake(ordered, 5)] or rows[0] != ordering.first(ordered):
+        raise ValueError("take, itake and first differ")
+    return spark.createDataFrame(rows, "o_totalprice double, o_orderkey long")
+
+
+@query("SELECT n_nationkey, n_name FROM nation")
+def pandas_frame(spark, sf_dir):
+    return spark.createDataFrame(sinks.to_pandas(table(spark, sf_dir, "nation").select("n_nationkey", "n_name")))
+
+
+@query("SELECT count(*) AS n FROM orders")
+def executed_count(spark, sf_dir):
+    df, seen = shared.observe(table(spark, sf_dir, "orders"), "executed", n=F.count("*"))
+    sinks.execute(df)
+    return _one(spark, n=seen.get["n"])
+
+
+# Partitions and Python functions
+
+
+@query("SELECT CAST(2 * sum(event_id) AS BIGINT) AS total, true AS numbered FROM events")
+def map_partitions_numbered(spark, sf_dir):
+    events = table(spark, sf_dir, "events").select("event_id").repartition(4)
+    made = elements.map_partitions_with_index(events, lambda i, it: (f.assign(event_id=2 * f["event_id"], p=i) for f in it), "event_id long, p long")
+    return made.agg(F.sum("event_id").alias("total"), (F.count_distinct("p") == 4).alias("numbered"))
+
+
+@query("SELECT lower(n_name) AS value FROM nation")
+def piped_lines(spark, sf_dir):
+    return elements.pipe(table(spark, sf_dir, "nation").repartition(3), "tr A-Z a-z", "n_name")
+
+
+@query("SELECT CAST(i AS BIGINT) AS id FROM range(100, 300) t(i)")
+def masked_partitions(spark, sf_dir):
+    return elements.mask_partitions(range_(spark, 0, 1000, 1, 10), lambda p: p.isin(1, 2))
+
+
+@query("SELECT n_nationkey AS id, n_name AS name FROM nation")
+def struct_as_frame(spark, sf_dir):
+    rows = table(spark, sf_dir, "nation").select(F.struct("n_nationkey", "n_name").alias("value"))
+    return elements.as_dataframe(rows, ["id", "name"])
+
+
+@query("SELECT n_name FROM nation")
+def column_picked(spark, sf_dir):
+    return elements.column(table(spark, sf_dir, "nation"), "n_name")
+
+
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS k, CAST(n_regionkey AS DOUBLE) AS r FROM nation")
+def typed_from_sample(spark, sf_dir):
+    import pandas as pd
+
+    return elements.from_sample(table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey"), pd.DataFrame({"k": ["x"], "r": [0.5]}))
+
+
+@query("SELECT CAST(i AS BIGINT) AS a, CAST(i + 100 AS BIGINT) AS b FROM range(100) t(i)")
+def zip_partition_frames(spark, sf_dir):
+    left, right = range_(spark, 0, 100, 1, 4).toDF("a"), range_(spark, 100, 200, 1, 4).toDF("b")
+    return combine.zip_partitions(left, right, lambda x, y: x.assign(b=y["b"].to_numpy()), "a long, b long")
+
+
+@query("SELECT CAST(i AS BIGINT) AS a, CAST(i + 100 AS BIGINT) AS b FROM range(100) t(i)")
+def zip_by_position(spark, sf_dir):
+    made = combine.zip_(range_(spark, 0, 100, 1, 4), range_(spark, 100, 200, 1, 4))
+    return made.select(F.col("left").alias("a"), F.col("right").alias("b"))
+
+
+@query("SELECT CAST(sum(event_id) AS BIGINT) AS total FROM events")
+def aggregate_python(spark, sf_dir):
+    return _one(spark, total=reduce.aggregate(table(spark, sf_dir, "events").repartition(4), sum, key="event_id"))
+
+
+@query("SELECT CAST(min(event_id) AS BIGINT) AS least, CAST(max(event_id) AS BIGINT) AS most FROM events")
+def combine_python(spark, sf_dir):
+    got = reduce.combine(
+        table(spark, sf_dir, "events").repartition(4), (1 << 62, -1), lambda a, x: (min(a[0], x), max(a[1], x)), lambda a, b: (min(a[0], b[0]), max(a[1], b[1])), "event_id"
+    )
+    return _one(spark, least=got[0], most=got[1])
+
+
+@query("SELECT CAST(bit_xor(event_id) AS BIGINT) AS bits FROM events")
+def reduce_python(spark, sf_dir):
+    return _one(spark, bits=reduce.reduce_(table(spark, sf_dir, "events").repartition(4), lambda a, b: a ^ b, "event_id"))
+
+
+@query("SELECT CAST(sum(event_id) AS BIGINT) AS total, CAST(count(*) AS BIGINT) AS n FROM events")
+def tree_aggregate_python(spark, sf_dir):
+    got = reduce.tree_aggregate(table(spark, sf_dir, "events").repartition(9), (0, 0), lambda a, x: (a[0] + x, a[1] + 1), lambda a, b: (a[0] + b[0], a[1] + b[1]), 3, "event_id")
+    return _one(spark, total=got[0], n=got[1])
+
+
+@query("SELECT CAST(max(event_id) AS BIGINT) AS most FROM events")
+def tree_reduce_python(spark, sf_dir):
+    return _one(spark, most=reduce.tree_reduce(table(spark, sf_dir, "events").repartition(9), max, 3, "event_id"))
+
+
+@query("SELECT n_nationkey FROM nation WHERE n_regionkey IN (1, 3)")
+def sample_by_stratum(spark, sf_dir):
+    return ordering.sample_by(table(spark, sf_dir, "nation"), "n_regionkey", {1: 1.0, 3: 1.0}).select("n_nationkey")
+
+
+@query("SELECT count(*) AS n, true AS let_go FROM region")
+def cache_let_go(spark, sf_dir):
+    kept = shared.cache(table(spark, sf_dir, "region").select("r_name", F.lit("let go").alias("mark")))
+    n = kept.count()
+    return _one(spark, n=n, let_go=not shared.is_cached(shared.uncache(kept)))
+
+
+@query("SELECT o_orderkey, CASE o_orderkey % 2 WHEN 0 THEN 'even' ELSE 'odd' END AS parity FROM orders")
+def broadcast_value(spark, sf_dir):
+    names = shared.broadcast(spark, {0: "even", 1: "odd"})
+    return elements.map_(table(spark, sf_dir, "orders").select("o_orderkey"), lambda x: (x, names.value[x % 2]), schema="o_orderkey long, parity string")
+
+
+@query("SELECT CAST(sum(n_nationkey) AS BIGINT) AS total, CAST(bit_or(n_nationkey) AS BIGINT) AS bits FROM nation")
+def accumulated(spark, sf_dir):
+    total, bits = shared.accumulator(spark), shared.accumulator(spark, 0, "or")
+    table(spark, sf_dir, "nation").foreach(lambda r: (total.add(r.n_nationkey), bits.add(r.n_nationkey)))
+    return _one(spark, total=total.value, bits=bits.value)
+
+
+# Null values, and keyed forms that fold in blocks
+
+
+_SPARSE = "(SELECT n_regionkey AS key, CASE WHEN n_nationkey % 3 = 0 THEN NULL ELSE n_nationkey END AS value FROM nation)"
+
+
+def _sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("key"), F.when(F.col("n_nationkey") % 3 != 0, F.col("n_nationkey")).alias("value"))
+
+
+def _shown(column: str) -> Column:
+    return F.array_join(F.transform(F.sort_array(column), lambda x: F.coalesce(x.cast("string"), F.lit("null"))), ",")
+
+
+@query(f"SELECT key, string_agg(coalesce(CAST(value AS VARCHAR), 'null'), ',' ORDER BY value NULLS FIRST) AS shown FROM {_SPARSE} GROUP BY key")
+def group_by_key_nulls(spark, sf_dir):
+    return keyed.group_by_key(_sparse(spark, sf_dir)).select("key", _shown("values").alias("shown"))
+
+
+@query(f"SELECT key, string_agg(coalesce(CAST(value AS VARCHAR), 'null'), ',' ORDER BY value NULLS FIRST) AS shown, CAST(0 AS BIGINT) AS others FROM {_SPARSE} GROUP BY key")
+def cogroup_nulls(spark, sf_dir):
+    pairs = _sparse(spark, sf_dir)
+    return combine.cogroup(pairs, pairs.limit(0)).select("key", _shown("values_0").alias("shown"), F.size("values_1").cast("long").alias("others"))
+
+
+@query(f"SELECT key, count(*) AS n, count(*) - count(value) AS nulls FROM {_SPARSE} GROUP BY key")
+def combine_by_key_nulls(spark, sf_dir):
+    one = lambda v: F.struct(F.lit(1).cast("long").alias("n"), v.isNull().cast("long").alias("nulls"))
+    plus = lambda a, b: F.struct((a["n"] + b["n"]).alias("n"), (a["nulls"] + b["nulls"]).alias("nulls"))
+    return keyed.combine_by_key(_sparse(spark, sf_dir), one, lambda a, v: plus(a, one(v)), plus).select("key", "value.*")
+
+
+@query("SELECT o_custkey AS key, CAST(max(o_orderkey) AS BIGINT) AS value FROM orders GROUP BY 1")
+def reduce_by_key_python(spark, sf_dir):
+    return keyed.reduce_by_key(_kv(spark, sf_dir).select("key", F.col("o_orderkey").alias("value")), max)
+
+
+@query("SELECT n_regionkey AS key, count(*) AS n FROM nation GROUP BY 1")
+def cogroup_frames(spark, sf_dir):
+    pairs = table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("key"), "n_name")
+    return combine.cogroup_apply(pairs, pairs, lambda x, y: x.head(1).assign(n=len(y))[["key", "n"]], "key long, n long")
+
+
+@query("SELECT n_nationkey, n_name, r AS other FROM (SELECT *, row_number() OVER (ORDER BY n_nationkey) - 1 AS r FROM nation)")
+def assign_by_position(spark, sf_dir):
+    nation = ordering.sort(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), "n_nationkey", pcount=3)
+    return elements.assign(nation, range_(spark, 0, nation.count(), 1, 2).toDF("other"))
