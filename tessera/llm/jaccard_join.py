@@ -18,8 +18,7 @@ differ are at most the symmetric difference, and a pair with too many cannot lin
 Words and sets: A-Z lower-cased, words are runs of characters other than blank and U+0009 to U+000D; a text of fewer words than a shingle is one
 shingle of its whole sequence. Shingles are compared by 64-bit hashes, sets by 128-bit hashes, of which candidates carry 64 bits (``node``).
 
-Defined results: a null or blank text has an empty set and links with nothing; a null id takes part in links but never names a component; rows
-that repeat an id are one document in ``keep_one``; an empty table gives an empty result. ``links`` reads the id and the text only and ``keep_one`` gives
+Defined results: a null or blank text has an empty set and links with nothing; a null id takes part in links but never names a component; an empty table gives an empty result. ``links`` reads the id and the text only and ``keep_one`` gives
 all columns back: further columns may have any name. Only components are produced: a component's links are verified as far as it takes to join
 its members, for all links of a group of g near copies are of the order of g^2.
 """
@@ -27,6 +26,7 @@ its members, for all links of a group of g near copies are of the order of g^2.
 from __future__ import annotations
 
 import math
+import uuid
 from bisect import bisect_right
 from functools import lru_cache
 
@@ -497,6 +497,9 @@ def _compatible(n, m, percent: int):
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id names their component: one document of each group, with all columns."""
-    dropped = links(docs, words, percent, id_col, text_col).filter("doc_id <> component_id").select("doc_id")
-    return without(docs, id_col, stored(dropped, "near-copies"))
+    """One document of each group, with all columns: the one of the smallest id, null ids last. Rows are judged one by one, for a row goes by its id and the
+    hash of its text; rows that repeat both are one document."""
+    own = next(n for n in iter(lambda: f"row{uuid.uuid4().hex}", None) if n not in docs.columns)
+    named = docs.withColumn(own, F.struct(quoted(id_col).isNull().alias("none"), quoted(id_col).alias("id"), F.xxhash64(F.coalesce(quoted(text_col), F.lit(""))).alias("text")))
+    dropped = links(named, words, percent, own, text_col).filter("doc_id <> component_id").select("doc_id")
+    return without(named, own, stored(dropped, "near-copies")).drop(own)

@@ -115,6 +115,15 @@ def test_chain_and_keep_one(spark):
     assert jj.links(nulls).filter("component_id = 4").count() == 2
 
 
+def test_keep_one_judges_rows(spark):
+    words = " ".join(f"w{i}" for i in range(40))
+    rows = [(3, words, 1), (7, words + " more", 2), (7, "a clean text of its own id twin", 3), (None, words + " less", 4), (None, "no id but clean", 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row int")
+    assert sorted(r.row for r in jj.keep_one(df, 5, 80).collect()) == [1, 3, 5]
+    only = spark.createDataFrame([r for r in rows if r[0] is None] + [(None, words, 6)], "doc_id long, text string, row int")
+    assert len({r.row for r in jj.keep_one(only, 5, 80).collect()} & {4, 6}) == 1
+
+
 def test_sketches_bound_the_difference_and_fold():
     rng = np.random.default_rng(6)
     for _ in range(300):
