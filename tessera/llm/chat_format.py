@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import quoted, small_batches
+from .common import in_batches, small_batches
 
 OUTPUT = "formatted string, token_ids array<int>, token_starts array<int>, token_ends array<int>, loss_mask array<boolean>, loss_starts array<int>, loss_ends array<int>"
 _CODES = {"\\": "\\", "h": "###", "t": "</turn>", "c": ":"}
@@ -114,7 +114,7 @@ def format_conversations(rows: DataFrame, path: str, loss_roles: tuple[str, ...]
             types = (pa.string(), ints, ints, ints, pa.list_(pa.bool_()), ints, ints)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, types, strict=True))], ["conv_id", *(x.split()[0] for x in OUTPUT.split(", "))])
 
-    return whole.mapInArrow(run, f"conv_id {kind}, {OUTPUT}")
+    return in_batches(whole, run, f"conv_id {kind}, {OUTPUT}")
 
 
 def digests(formatted: DataFrame) -> DataFrame:
@@ -138,7 +138,7 @@ def digests(formatted: DataFrame) -> DataFrame:
             types = [batch.schema.field("conv_id").type, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, types, strict=True)], names)
 
-    return formatted.mapInArrow(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_tokens long, n_loss_tokens long")
+    return in_batches(formatted, run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_tokens long, n_loss_tokens long")
 
 
 def with_probe(rows: DataFrame) -> DataFrame:

@@ -30,7 +30,8 @@ ARROW_BYTES = 4 << 20
 
 
 def _bound_batches(spark: SparkSession) -> None:
-    """Lowers Spark's default bound on Arrow batches (64 MB) to ARROW_BYTES; a bound that was set is left. Whole texts would else take an executor's memory."""
+    """Lowers Spark's default bound on Arrow batches (64 MB) to ARROW_BYTES for the session, as every operator does; a bound that was set is left. Whole texts
+    would else take an executor's memory."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     if spark.conf.get(name) == "67108864b":
         spark.conf.set(name, str(ARROW_BYTES))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import quoted, small_batches, stored
+from .common import in_batches, quoted, small_batches, stored
 
 DIMS, CONFIDENCE, SEED = 8, 0.98, 11
 #: Rows a cell is meant to have, rows of a leaf, vectors the upper splits are fitted on at most, and queries that meet a cell at once.
@@ -158,7 +158,7 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "ve
             p = matrix(batch.column(2), width) @ of
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.FixedSizeListArray.from_arrays(pa.array(p.ravel()), DIMS).cast(pa.list_(pa.float64()))], ["key", "ids", "v", "p"])
 
-    entries = stored(entries.mapInArrow(project, "key long, ids array<long>, v array<double>, p array<double>"), "entries")
+    entries = stored(in_batches(entries, project, "key long, ids array<long>, v array<double>, p array<double>"), "entries")
     total = entries.count()
     sample = entries.select("p", F.xxhash64("key").alias("h")).orderBy("h").limit(SAMPLE).toArrow()
     depth = min(max(0, math.ceil(math.log2(max(1, total) / CELL))), int(math.log2(SAMPLE // 16)))
@@ -168,7 +168,7 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "ve
         for batch in small_batches(batches):
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(descend(matrix(batch.column(3), DIMS), splits).astype(np.int32))], ["key", "ids", "v", "p", "cell"])
 
-    cells = stored(entries.mapInArrow(place, "key long, ids array<long>, v array<double>, p array<double>, cell int"), "cells")
+    cells = stored(in_batches(entries, place, "key long, ids array<long>, v array<double>, p array<double>, cell int"), "cells")
     # Queries by vector: each distinct one is an entry of the index and is searched once.
     asked = rows.filter(F.pmod("vec_id", F.lit(every)) == 0).distinct()
     asked = stored(asked.join(cells.select("v", "key"), "v").select(F.col("vec_id").alias("query_id"), "key"), "queries")
@@ -210,7 +210,7 @@ def _visits(reached: DataFrame, boxes: list[tuple[int, list[float], list[float]]
             part = batch.take(pa.array(at, pa.int64()))
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), part.column(4), pa.array(np.concatenate([*to, np.empty(0, np.int32)]))], ["query", "qv", "qp", "bound", "cell"])
 
-    return reached.mapInArrow(run, "query long, qv array<double>, qp array<double>, bound double, cell int")
+    return in_batches(reached, run, "query long, qv array<double>, qp array<double>, bound double, cell int")
 
 
 def _meet(cells: DataFrame, sizes: dict[int, int], queries: DataFrame, width: int, k: int) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import begin, keeps, partitions, quoted, shared_dir, small_batches, strings
+from .common import begin, in_batches, keeps, partitions, quoted, shared_dir, small_batches, strings
 
 VERSION = 1
 #: The dictionary is fitted on so many whole documents and bytes of text at most, those of the smallest hash and of a sixteenth of the bytes or less each:
@@ -143,8 +143,8 @@ def train_dictionary(rows: DataFrame, path: str, end_id: int) -> bytes:
         for batch in small_batches(batches):
             yield pa.RecordBatch.from_arrays([pa.array([planes(np.append(x, np.uint32(end_id))) for x in encode(strings(batch.column(0)))], pa.binary())], ["ids"])
 
-    sample = keyed.filter((F.col("size") <= TRAINING_BYTES // 16) & F.col("key").isin(*chosen)).select("text").distinct().mapInArrow(run, "ids binary").collect() if chosen else []
-    ids = sorted(bytes(r.ids) for r in sample)
+    sample = keyed.filter((F.col("size") <= TRAINING_BYTES // 16) & F.col("key").isin(*chosen)).select("text").distinct() if chosen else None
+    ids = sorted(bytes(r.ids) for r in in_batches(sample, run, "ids binary", "tokens").collect()) if chosen else []
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, [x for x in ids if len(x) > 32]).as_bytes()
     except zstandard.ZstdError:
@@ -195,7 +195,7 @@ def write(docs: DataFrame, path: str, out: str, end_id: int = 0, id_col: str = "
             yield segment()
 
     ordered = rows.repartitionByRange(n, F.col("doc_id"), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id"), F.xxhash64("text"))
-    ordered.mapInArrow(run, SCHEMA.format(kind=kind)).write.parquet(f"{out}/segments")
+    in_batches(ordered, run, SCHEMA.format(kind=kind), "tokens").write.parquet(f"{out}/segments")
 
 
 class Reader:
@@ -252,7 +252,7 @@ def read(spark: SparkSession, out: str) -> DataFrame:
                     ["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
-    return segments.mapInArrow(run, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
+    return in_batches(segments, run, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
 
 
 def lookup(spark: SparkSession, out: str, doc_id: int) -> list[np.ndarray]:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import quoted, small_batches
+from .common import in_batches, quoted, small_batches
 
 SYMBOLS, ORDER, END, OTHER = 40, 4, 39, 38
 _TABLE = np.full(256, OTHER, np.uint8)
@@ -117,7 +117,7 @@ def _counts(judged: DataFrame) -> np.ndarray:
 
     out = np.zeros((2, 2, SYMBOLS**ORDER), np.int64)
     group = (2 * F.col("half") + (F.col("verdict") == "block").cast("int")).cast("int").alias("group")
-    frame = judged.select("url", group).mapInArrow(run, "group int, cell int, n long").groupBy("group", "cell").agg(F.sum("n").alias("n")).toArrow()
+    frame = in_batches(judged.select("url", group), run, "group int, cell int, n long").groupBy("group", "cell").agg(F.sum("n").alias("n")).toArrow()
     of = frame["group"].to_numpy()
     out[of // 2, of % 2, frame["cell"].to_numpy()] = frame["n"].to_numpy()
     return out
@@ -142,7 +142,7 @@ def _scored(rows: DataFrame, tables: list[np.ndarray]) -> DataFrame:
 
     from pyspark.sql.types import DoubleType, StructField, StructType
 
-    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("score", DoubleType())]))
+    return in_batches(rows, run, StructType([*rows.schema.fields, StructField("score", DoubleType())]))
 
 
 def calibrate(bins: list[tuple[str, int, int]]) -> float:
