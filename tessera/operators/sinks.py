@@ -24,8 +24,11 @@ def icollect(df: DataFrame) -> Iterator[Row]:
     return df.toLocalIterator(prefetchPartitions=True)
 
 
-def collect_as_map(df: DataFrame) -> dict:
-    """key to value; of equal keys the largest value, so the result does not depend on order."""
+def collect_as_map(df: DataFrame, parts: bool = False) -> dict | list[dict]:
+    """key to value; of equal keys the largest value, so the result does not depend on order. With ``parts`` a map for each partition, of equal keys the
+    last value."""
+    if parts:
+        return [{r.key: r.value for r in rows} for _, rows in _numbered(df.select("key", "value"))]
     return {r.key: r.value for r in df.groupBy("key").agg(F.max("value").alias("value")).collect()}
 
 
@@ -70,10 +73,11 @@ def collect_as_pickles(df: DataFrame, directory: str, compression: str | None =
         _write(Path(directory) / f"{i}.p", pickle.dumps([tuple(r) for r in rows], 4), compression)
 
 
-def save_as_files(df: DataFrame, path: str, column: str = "value", compression: str | None = None) -> None:
+def save_as_files(df: DataFrame, path: str, column: str = "value", compression: str | None = None, sep: str = "\n") -> None:
+    """One file per partition, written on the executors: strings, each followed by ``sep``."""
     if compression not in (None, "gzip", "lz4"):
         raise ValueError(f"unknown compression {compression!r}")
-    df.select(F.col(column).cast("string").alias("value")).write.text(path, compression=compression)
+    df.select(F.col(column).cast("string").alias("value")).write.text(path, compression=compression, lineSep=sep)
 
 
 def save_as_json(df: DataFrame, path: str, compression: str | None = None) -> None:

@@ -79,6 +79,10 @@ def test_sinks(spark, tmp_path):
     assert [r.id for r in sinks.icollect(df)] == list(range(100))
     assert sinks.collect_as_set(df, "id") == set(range(100))
     assert sinks.collect_as_map(df.select((F.col("id") % 3).alias("key"), F.col("id").alias("value"))) == {0: 99, 1: 97, 2: 98}
+    by_part = sinks.collect_as_map(df.select((F.col("id") % 3).alias("key"), F.col("id").alias("value")), parts=True)
+    assert by_part == [{0: 30, 1: 31, 2: 32}, {0: 63, 1: 64, 2: 65}, {0: 99, 1: 97, 2: 98}]
+    sinks.save_as_files(df, str(tmp_path / "sep"), sep=";")
+    assert sum(p.read_text().count(";") for p in (tmp_path / "sep").glob("part-*")) == 100
     sinks.execute(df)
     for compression in (None, "gzip"):
         out = tmp_path / f"json-{compression}"
