@@ -35,11 +35,13 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import _parse_datatype_string
 
 from . import word_models
-from .common import in_batches, partitions, quoted, small_batches, stored, tidy, without
+from .common import in_batches, partitions, quoted, small_batches, spread, stored, tidy, without
 
 ORDER = 4
 #: Characters a chunk: its packs, its distinct n-grams and their probabilities fit a small worker.
 CHUNK_CHARS = 16_000_000
+#: Characters from which a small table is dealt into more chunks, one a core.
+LEAST_CHARS = 1_000_000
 SHRINK = 200.0
 #: The share of trusted documents below the threshold.
 QUANTILE = 0.9995
@@ -48,7 +50,8 @@ BOS, EOS, NUL = 0xEFFE, 0xEFFD, 0xEFFF
 CHAR_BUCKETS = 64
 #: Languages whose means and thresholds are broadcast.
 MAX_BROADCAST = 10_000
-_SEEN_BITS = 20
+#: Slots of the small tables of recent keys, two to this power: they stay in the processor's cache.
+_SEEN_BITS = 16
 
 
 def symbols(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -117,7 +120,7 @@ def _packed(docs: DataFrame, id_col: str, text_col: str, lang_col: str, chunks:
                 part = sorted_.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([pa.array([own[order[a]]], pa.int32()), pa.array([_pack(part.columns[1:], ["id", "model", "text"])], pa.binary())], ["chunk", "pack"])
 
-    return in_batches(rows, run, "chunk int, pack binary").repartition(max(chunks, partitions(docs.sparkSession)), "chunk")
+    return in_batches(spread(rows), run, "chunk int, pack binary").repartition(max(chunks, partitions(docs.sparkSession)), "chunk")
 
 
 def _by_model(models: np.ndarray, texts: list[str]):
@@ -425,7 +428,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Per row: doc_id, lang, n_symbols, perplexity, word_perplexity (both a symbol), score, threshold, kept. ``labels``: doc_id, quality (1: trusted)."""
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.length(quoted(text_col)))).first()[0] or 0
-    chunks = max(1, math.ceil(total / CHUNK_CHARS))
+    chunks = max(1, math.ceil(total / CHUNK_CHARS), min(spark.sparkContext.defaultParallelism, math.ceil(total / LEAST_CHARS)))
     kind = docs.select(quoted(id_col).alias("x")).schema["x"].dataType.simpleString()
     trusted = stored(labels.filter("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast(kind).alias("id")).distinct(), "trusted")
     packs = _packed(docs, id_col, text_col, lang_col, chunks)

@@ -15,6 +15,8 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
+from .common import keeps
+
 #: Characters of all texts a bucket.
 BUCKET_CHARS = 1 << 25
 #: Bits of a word's hash: with 10^8 words one in ten thousand shares its hash.
@@ -49,6 +51,7 @@ def _codes() -> np.ndarray:
 
 
 _kept: list[tuple[np.ndarray, np.ndarray]] = []
+keeps("powers", _kept.clear)
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
