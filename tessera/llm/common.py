@@ -25,6 +25,15 @@ def in_batches(df: DataFrame, f: Callable, schema, keep: str = "") -> DataFrame:
     return df.mapInArrow(tidied(f, keep), schema)
 
 
+#: A table of fewer bytes, by Spark's estimate, may be one row group, which one task would read: it is dealt out to all cores before costly Python.
+SMALL_BYTES = 64 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < SMALL_BYTES else df
+
+
 #: Bytes of an Arrow batch between the JVM and Python: it exists on both sides, once for each task.
 ARROW_BYTES = 4 << 20
 

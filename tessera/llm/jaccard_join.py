@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import begin, bit_cells, bit_table, cell_count, in_batches, join_groups, keeps, partitions, probe, quoted, small_batches, stored, strings, tidy, without
+from .common import begin, bit_cells, bit_table, cell_count, in_batches, join_groups, keeps, partitions, probe, quoted, small_batches, spread, stored, strings, tidy, without
 
 LOW, FULL = 1, 2
 #: Signatures gathered before blocks are written, and signatures a key range is sized for.
@@ -276,7 +276,7 @@ def _signed(docs: DataFrame, id_col: str, text_col: str, words: int, plan: Plan,
             yield from flushed()
 
     names = ["doc_id", "n", "digest", "node", "place", *_BLOCK]
-    both = stored(in_batches(rows, run, schema), "classes-and-blocks")
+    both = stored(in_batches(spread(rows), run, schema), "classes-and-blocks")
     return both.filter("place IS NULL").select("doc_id", "n", "digest", "node"), both.filter("place IS NOT NULL").select("place", *_BLOCK)
 
 

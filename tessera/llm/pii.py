@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .boosting import Boosted, threshold_for_precision
-from .common import in_batches, quoted, small_batches, strings
+from .common import in_batches, quoted, small_batches, spread, strings
 
 KINDS = ("email", "ip", "card", "phone")
 PRECISION = 0.995
@@ -388,4 +388,4 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                 ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"],
             )
 
-    return in_batches(rows, run, f"doc_id {kind}, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string, n_added long")
+    return in_batches(spread(rows), run, f"doc_id {kind}, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string, n_added long")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
-from .common import begin, in_batches, keeps, quoted, small_batches, strings
+from .common import begin, in_batches, keeps, quoted, small_batches, spread, strings
 
 NONE = np.iinfo(np.int64).max
 #: Rounds in which a word may be held back to one merge before it goes to the heap.
@@ -326,7 +326,7 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
 
     rows = docs.select(quoted(id_col).alias("doc_id"), quoted(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return in_batches(rows, run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string", "pieces")
+    return in_batches(spread(rows), run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string", "pieces")
 
 
 def encode(docs: DataFrame, path: str, text_col: str = "text", into: str = "piece_ids", round_trip: str | None = None) -> DataFrame:
@@ -348,7 +348,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", into: str = "piec
                 made.append(pa.array([c.decode(ids[a:b]) == t.replace("▁", " ") for t, a, b in bounds], pa.bool_()))
             yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, *(f.name for f in added)])
 
-    return in_batches(docs, run, StructType([*docs.schema.fields, *added]), "pieces")
+    return in_batches(spread(docs), run, StructType([*docs.schema.fields, *added]), "pieces")
 
 
 def decode(docs: DataFrame, path: str, ids_col: str = "piece_ids", into: str = "decoded") -> DataFrame:
