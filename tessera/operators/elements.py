@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
-from typing import Any
+from typing import Any, NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -63,7 +63,21 @@ def map_partitions_with_index(df: DataFrame, f: Callable[[int, Iterator], Iterab
     return df.mapInPandas(run, schema)
 
 
-map_partitions_with_part = map_partitions_with_index
+class Part(NamedTuple):
+    """A partition as its task sees it."""
+
+    idx: int
+    attempt: int
+
+
+def map_partitions_with_part(df: DataFrame, f: Callable[[Part, Iterator], Iterable], schema: str) -> DataFrame:
+    def run(frames):
+        from pyspark import TaskContext
+
+        task = TaskContext.get()
+        return f(Part(task.partitionId(), task.attemptNumber()), frames)
+
+    return df.mapInPandas(run, schema)
 
 
 def glom(df: DataFrame, key: Key = None) -> DataFrame:

@@ -21,8 +21,12 @@ def stats(df: DataFrame, column: str, by: list[str] | None = None) -> DataFrame:
     return df.groupBy(*(by or [])).agg(*moment_columns(F.col(column)))
 
 
-def mvstats(df: DataFrame, column: str) -> DataFrame:
-    """The moments of each component of a vector column, by ``pos`` from 0. Vectors of another length count where they have components."""
+def mvstats(df: DataFrame, column: str, width: int | None = None) -> DataFrame:
+    """The moments of each component of a vector column, by ``pos`` from 0. With ``width`` a vector of another length fails the job; else it counts where it
+    has components."""
+    if width is not None:
+        wrong = F.concat(F.lit(f"a vector has not {width} components but "), F.size(column).cast("string"))
+        df = df.select(F.when(F.size(column) != width, F.raise_error(wrong).cast(df.schema[column].dataType)).otherwise(F.col(column)).alias(column))
     return df.select(F.posexplode(column).alias("pos", "x")).groupBy("pos").agg(*moment_columns(F.col("x")))
 
 

@@ -55,9 +55,9 @@ MONOIDS = {
 }
 
 
-def accumulator(spark: SparkSession, initial: Any = 0, kind: str = "sum"):
-    """A value that tasks add to, by a commutative operation; exact in actions, where repeated tasks count once."""
-    return spark.sparkContext.accumulator(initial, MONOIDS[kind])
+def accumulator(spark: SparkSession, initial: Any = 0, kind: str | tuple[Any, Callable] = "sum"):
+    """A value that tasks add to, by a commutative operation of MONOIDS or one given as (zero, merge); exact in actions, where repeated tasks count once."""
+    return spark.sparkContext.accumulator(initial, MONOIDS[kind] if isinstance(kind, str) else _Monoid(*kind))
 
 
 def observe(df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, Observation]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import time
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -37,6 +38,19 @@ def executor_count(spark: SparkSession) -> int:
     return len(list(spark.sparkContext._jsc.sc().statusTracker().getExecutorInfos()))
 
 
+def executors(spark: SparkSession) -> list[str]:
+    """host:port of the executors that are there now, the driver among them."""
+    return sorted(f"{x.host()}:{x.port()}" for x in spark.sparkContext._jsc.sc().statusTracker().getExecutorInfos())
+
+
+def await_executors(spark: SparkSession, n: int, timeout: float = 60.0) -> int:
+    """Waits until ``n`` executors are there, the driver of a local session included, or the time is over; how many there are."""
+    end = time.monotonic() + timeout
+    while executor_count(spark) < n and time.monotonic() < end:
+        time.sleep(0.1)
+    return executor_count(spark)
+
+
 def share_package(spark: SparkSession) -> None:
     """Lets Python workers import this package from where the driver has it, in case their path does not name it."""
     root = str(Path(__file__).resolve().parents[1])

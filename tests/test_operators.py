@@ -259,3 +259,18 @@ def test_shared_folder(spark):
     with pytest.raises(Exception, match="(?i)not.*exist|not_found|FileNotFound"):
         more.count()
     assert release(spark) == 2 and written() == 0 and shared_dir(spark)
+
+
+def test_parts_widths_monoids_and_executors(spark, ints):
+    from tessera.session import await_executors, executors
+
+    made = elements.map_partitions_with_part(ints, lambda part, it: (f.assign(p=part.idx) for f in it), "id long, p int")
+    assert made.select("p").distinct().count() == ints.rdd.getNumPartitions()
+    vectors = spark.createDataFrame([([1.0, 2.0],), ([3.0, 4.0],)], "v array<double>")
+    assert [r.mean for r in moments.mvstats(vectors, "v", 2).orderBy("pos").collect()] == [2.0, 3.0]
+    with pytest.raises(Exception, match="components"):
+        moments.mvstats(vectors, "v", 3).collect()
+    longest = shared.accumulator(spark, "", ("", lambda a, b: max(a, b, key=lambda x: (len(x), x))))
+    ints.foreach(lambda r: longest.add("x" * (r.id % 7)))
+    assert longest.value == "xxxxxx"
+    assert len(executors(spark)) == await_executors(spark, 1, 1) >= 1 and await_executors(spark, 10**6, 0.2) >= 1
