@@ -711,7 +711,7 @@ def json_collected(spark, sf_dir):
     with tempfile.TemporaryDirectory() as folder:  # collect_* write where the driver is
         sinks.collect_as_json(table(spark, sf_dir, "nation").select("n_nationkey", "n_name").repartition(3), folder, "gzip")
         rows = sinks.read_json_lines(folder)
-    return spark.createDataFrame([(r["n_nationkey"], r["n_name"]) for r in rows], "n_nationkey long, n_name string")
+    return spark.createDataFrame([(r["n_nationkey"], r["n_name"]) for r in rows], "n_nationkey int, n_name string")
 
 
 @query("SELECT n_name AS value FROM nation")
@@ -727,13 +727,13 @@ def pickles_collected(spark, sf_dir):
     with tempfile.TemporaryDirectory() as folder:
         sinks.collect_as_pickles(table(spark, sf_dir, "nation").select("n_nationkey", "n_name").repartition(3), folder)
         rows = [r for p in Path(folder).iterdir() for r in pickle.loads(p.read_bytes())]
-    return spark.createDataFrame(rows, "n_nationkey long, n_name string")
+    return spark.createDataFrame(rows, "n_nationkey int, n_name string")
 
 
 @query("SELECT n_nationkey, n_name FROM nation")
 def rows_collected(spark, sf_dir):
     parts = sinks.collect(table(spark, sf_dir, "nation").select("n_nationkey", "n_name").repartition(3), parts=True)
-    return spark.createDataFrame([r for part in parts for r in part], "n_nationkey long, n_name string")
+    return spark.createDataFrame([r for part in parts for r in part], "n_nationkey int, n_name string")
 
 
 @query("SELECT n_nationkey, n_name FROM nation ORDER BY n_name")
@@ -742,18 +742,18 @@ def rows_iterated(spark, sf_dir):
     rows = [*sinks.icollect(ordered)]
     if [r.n_name for r in rows] != sorted(r.n_name for r in rows):
         raise ValueError("the rows came out of order")
-    return spark.createDataFrame(rows, "n_nationkey long, n_name string")
+    return spark.createDataFrame(rows, "n_nationkey int, n_name string")
 
 
 @query("SELECT n_name AS key, n_regionkey AS value FROM nation")
 def map_collected(spark, sf_dir):
     got = sinks.collect_as_map(table(spark, sf_dir, "nation").select(F.col("n_name").alias("key"), F.col("n_regionkey").alias("value")))
-    return collection(spark, got, "key string, value long")
+    return collection(spark, got, "key string, value int")
 
 
 @query("SELECT DISTINCT n_regionkey AS value FROM nation")
 def set_collected(spark, sf_dir):
-    return spark.createDataFrame([(x,) for x in sinks.collect_as_set(table(spark, sf_dir, "nation"), "n_regionkey")], "value long")
+    return spark.createDataFrame([(x,) for x in sinks.collect_as_set(table(spark, sf_dir, "nation"), "n_regionkey")], "value int")
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 5")
@@ -921,7 +921,7 @@ def reduce_by_key_python(spark, sf_dir):
 @query("SELECT n_regionkey AS key, count(*) AS n FROM nation GROUP BY 1")
 def cogroup_frames(spark, sf_dir):
     pairs = table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("key"), "n_name")
-    return combine.cogroup_apply(pairs, pairs, lambda x, y: x.head(1).assign(n=len(y))[["key", "n"]], "key long, n long")
+    return combine.cogroup_apply(pairs, pairs, lambda x, y: x.head(1).assign(n=len(y))[["key", "n"]], "key int, n long")
 
 
 @query("SELECT n_nationkey, n_name, r AS other FROM (SELECT *, row_number() OVER (ORDER BY n_nationkey) - 1 AS r FROM nation)")
