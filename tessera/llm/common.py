@@ -25,12 +25,13 @@ def in_batches(df: DataFrame, f: Callable, schema, keep: str = "") -> DataFrame:
     return df.mapInArrow(tidied(f, keep), schema)
 
 
-#: A table of fewer bytes, by Spark's estimate, may be one row group, which one task would read: it is dealt out to all cores before costly Python.
+#: A table of fewer bytes of files may be one row group, which one task would read: it is dealt out to all cores before costly Python.
 SMALL_BYTES = 64 << 20
 
 
 def spread(df: DataFrame) -> DataFrame:
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < SMALL_BYTES else df
 
 
