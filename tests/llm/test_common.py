@@ -33,3 +33,10 @@ def test_small_batches_keep_all_rows():
     parts = list(common.small_batches([batch], max_bytes=5000))
     assert sum(p.num_rows for p in parts) == 101 and len(parts) > 10
     assert list(common.small_batches([batch.slice(0, 0)])) == []
+
+
+def test_small_files_are_dealt_out(spark, tmp_path):
+    spark.range(1000).coalesce(1).write.parquet(str(tmp_path / "t"))
+    some = spark.read.parquet(str(tmp_path / "t"))
+    assert common.spread(some).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and common.spread(some).count() == 1000
+    assert common.spread(some.limit(0)).count() == 0
