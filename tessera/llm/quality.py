@@ -6,12 +6,12 @@ Trusted text is every document labelled good. Two models a language are trained,
 hash, so equal texts share a half), and every document is scored by the model of the other half: all trusted text is counted and no score is
 of text the model has seen. Thresholds are quantiles of the trusted documents' own scores, by language.
 
-Sharding: documents are packed into chunks of bounded size, and one shuffle of the packs serves the stage that asks and the one that scores. A chunk sends its
-distinct n-grams in packets, each with its count in the chunk's trusted texts: the texts of a half count for one model of their language and are
-scored by the other, so one packet counts and asks. Packets meet by shards: whatever the probability of a character n-gram needs, its own count, its
-shorter forms and all their contexts, ends in the symbol before the last or in it and one more, so a shard of such symbols holds it whole; only the
-probabilities of single symbols and the discounts are summed over all shards. Answers go back in the order of the packets, and the chunk sums them
-per document.
+Sharding: documents are packed into chunks of bounded size. First the chunks of trusted documents send their distinct n-grams in packets with counts; these
+meet by shards, and what each shard holds for a model is written once. Then the chunks of all documents are scored in rounds of some chunks each: a chunk
+sends its distinct n-grams without counts, each shard answers in the order of the packet, and the chunk sums the answers per document. What a round moved
+is deleted before the next, so that the disk holds the models and a round's share of the rest. Whatever the probability of a character n-gram needs, its
+own count, its shorter forms and all their contexts, ends in the symbol before the last or in it and one more, so a shard of such symbols holds it whole;
+only the probabilities of single symbols and the discounts are summed over all shards.
 
 A symbol is a code point of the Basic Multilingual Plane; others fold into the private use area. An n-gram of up to four symbols is one
 64-bit number, 16 bits a symbol, so prefix and suffix are bit operations.
@@ -26,22 +26,25 @@ reads the id, the text and the language only, and ``keep_good`` gives all column
 
 import io
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import _parse_datatype_string
 
 from . import word_models
-from .common import in_batches, partitions, quoted, small_batches, spread, stored, tidy, without
+from .common import bit_cells, bit_table, cell_count, freed_shuffles, in_batches, partitions, probe, quoted, release, small_batches, spread, stored, tidy, without, written
 
 ORDER = 4
 #: Characters a chunk: its packs, its distinct n-grams and their probabilities fit a small worker.
 CHUNK_CHARS = 16_000_000
 #: Characters from which a small table is dealt into more chunks, one a core.
 LEAST_CHARS = 1_000_000
+#: Rounds in which the documents are scored, at most, and the characters of one, at least. Each round reads the documents and the models again.
+MAX_ROUNDS, ROUND_CHARS = 6, 16_000_000
 SHRINK = 200.0
 #: The share of trusted documents below the threshold.
 QUANTILE = 0.9995
@@ -90,7 +93,7 @@ class _Seen:
 def _pack(columns: list[pa.Array], names: list[str]) -> bytes:
     sink = io.BytesIO()
     batch = pa.RecordBatch.from_arrays(columns, names)
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 5))) as w:
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 1))) as w:
         w.write_batch(batch)
     return sink.getvalue()
 
@@ -103,12 +106,16 @@ def _unpacked(packs: pa.ChunkedArray):
                 yield b.column(0), np.array(b.column(1).to_pylist()), b.column(2).to_pylist()
 
 
-def _packed(docs: DataFrame, id_col: str, text_col: str, lang_col: str, chunks: int) -> DataFrame:
-    """(chunk, pack) dealt out by chunk."""
+def _rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, chunks: int) -> DataFrame:
+    """(chunk, id, model, text)."""
     text = F.coalesce(quoted(text_col), F.lit(""))
     model = F.concat(F.coalesce(quoted(lang_col).cast("string"), F.lit("\x00")), F.pmod(F.xxhash64(text), F.lit(2)).cast("string"))
     chunk = F.pmod(F.coalesce(F.when(quoted(id_col).isNotNull(), F.xxhash64(quoted(id_col))), F.xxhash64(text)), F.lit(chunks)).cast("int")
-    rows = docs.select(chunk.alias("chunk"), quoted(id_col).alias("id"), model.alias("model"), text.alias("text"))
+    return docs.select(chunk.alias("chunk"), quoted(id_col).alias("id"), model.alias("model"), text.alias("text"))
+
+
+def _packed(rows: DataFrame, chunks: int) -> DataFrame:
+    """(chunk, pack) dealt out by chunk."""
 
     def run(batches):
         for batch in small_batches(batches):
@@ -120,7 +127,7 @@ def _packed(docs: DataFrame, id_col: str, text_col: str, lang_col: str, chunks:
                 part = sorted_.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([pa.array([own[order[a]]], pa.int32()), pa.array([_pack(part.columns[1:], ["id", "model", "text"])], pa.binary())], ["chunk", "pack"])
 
-    return in_batches(spread(rows), run, "chunk int, pack binary").repartition(max(chunks, partitions(docs.sparkSession)), "chunk")
+    return in_batches(spread(rows), run, "chunk int, pack binary").repartition(max(chunks, partitions(rows.sparkSession)), "chunk")
 
 
 def _by_model(models: np.ndarray, texts: list[str]):
@@ -145,19 +152,18 @@ def _level(keys: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray, np
     return np.unique(keys & np.uint64((1 << 16 * k) - 1), return_counts=True)
 
 
-
 class _Grams:
-    """The distinct 4-grams of the texts given so far, and their counts in the trusted ones."""
+    """The distinct 4-grams of the texts given so far, with their counts if they count."""
 
-    def __init__(self):
-        self.seen, self.keys, self.counted = _Seen(), [], []
+    def __init__(self, counting: bool):
+        self.seen, self.keys, self.counted = None if counting else _Seen(), [], []
 
-    def add(self, texts: list[str], trusted: np.ndarray) -> None:
-        keys, starts = symbols(texts)
-        if len(new := self.seen(keys)):
+    def add(self, texts: list[str]) -> None:
+        keys, _ = symbols(texts)
+        if not self.seen:
+            self.counted.append(np.unique(keys, return_counts=True))
+        elif len(new := self.seen(keys)):
             self.keys.append(np.unique(new))
-        if trusted.any():
-            self.counted.append(np.unique(keys[np.repeat(trusted, np.diff(starts))], return_counts=True))
         if len(self.keys) > 64:
             self.keys = [np.unique(np.concatenate(self.keys))]
         if len(self.counted) > 64:
@@ -165,14 +171,10 @@ class _Grams:
 
     def packets(self, buckets: int):
         """(bucket, pack): by the symbol before the last."""
-        keys = np.unique(np.concatenate(self.keys))
-        c = np.zeros(len(keys), np.int64)
-        if self.counted:
-            own, n = _summed(self.counted)
-            c[np.searchsorted(keys, own)] = n
+        keys, *c = (np.unique(np.concatenate(self.keys)),) if self.seen else _summed(self.counted)
         of = ((keys >> np.uint64(16)) & np.uint64(0xFFFF)) % np.uint64(buckets)
         for k in np.unique(of).tolist():
-            yield k, word_models.pack_words(keys[of == k], c[of == k])
+            yield k, word_models.pack_words(keys[of == k], *(x[of == k] for x in c))
 
 
 #: What a packet holds: character 4-grams, words, or word trigrams.
@@ -188,71 +190,81 @@ def _packets(rows: list[tuple]) -> pa.Table:
     return pa.table({n: pa.array(x, t) for n, x, t in zip(names, columns, types, strict=True)})
 
 
-def _asked(packs: DataFrame, trusted: DataFrame, buckets: int) -> DataFrame:
-    """The packets of each chunk. Those of half h ask the model that scores half h; their counts are for the model that scores the other half."""
+def _sent(packed: pa.Table, buckets: int, char_buckets: int, good: set | None = None) -> pa.Table:
+    """The packets of a chunk: all its texts ask the model of their half; with ``good`` the texts of these ids count for the model of the other half."""
+    counting, grams, texts_of, rows = good is not None, {}, {}, []
+    for own, models, texts in _unpacked(packed.column("pack")):
+        if counting:
+            trust = np.flatnonzero(np.fromiter((i in good for i in own.to_pylist()), bool, len(own)))
+            models, texts = models[trust], [texts[i] for i in trust]
+        for m, _, part in _by_model(models, texts):
+            grams.setdefault(m, _Grams(counting)).add(part)
+            words, _, sizes = word_models.tokens(part)
+            texts_of.setdefault(m, []).append((words, sizes))
+    chunk = packed.column("chunk")[0].as_py() if packed.num_rows else 0
+    for m in sorted(grams):
+        place = (chunk, m[:-1], 1 - int(m[-1]) if counting else int(m[-1]))
+        rows += [(*place, CHARS, k, pack) for k, pack in grams.pop(m).packets(char_buckets)]
+        d = word_models.Distinct(*(np.concatenate(x) for x in zip(*texts_of.pop(m), strict=True)), places=False)
+        three, one = ((d.counts,), (np.bincount(d.word),)) if counting else ((), ())
+        middle = d.vocabulary[d.numbers[1]]
+        rows += [(*place, TRIGRAMS, k, word_models.pack_grams(d.vocabulary, *(x[a:b] for x in (*d.numbers, *three)))) for k, a, b in word_models.cuts(middle, buckets)]
+        rows += [(*place, WORDS, k, word_models.pack_words(*(x[a:b] for x in (d.words, *one)))) for k, a, b in word_models.cuts(d.words, buckets)]
+    return _packets(rows)
+
+
+def _counted(packs: DataFrame, trusted: DataFrame, buckets: int) -> DataFrame:
+    """The packets that count, of the trusted texts of each chunk; ``half`` is that of the model they are for."""
     char_buckets = CHAR_BUCKETS
 
     def run(packed: pa.Table, ids: pa.Table) -> pa.Table:
-        good, grams, texts_of, rows = set(ids.column("id").to_pylist()), {}, {}, []
-        for own, models, texts in _unpacked(packed.column("pack")):
-            trust = np.fromiter((i in good for i in own.to_pylist()), bool, len(own))
-            for m, at, part in _by_model(models, texts):
-                grams.setdefault(m, _Grams()).add(part, trust[at])
-                words, _, sizes = word_models.tokens(part)
-                texts_of.setdefault(m, []).append((words, sizes, trust[at]))
-        chunk = packed.column("chunk")[0].as_py() if packed.num_rows else 0
-        for m in sorted(grams):
-            place = (chunk, m[:-1], int(m[-1]))
-            rows += [(*place, CHARS, k, pack) for k, pack in grams.pop(m).packets(char_buckets)]
-            words, sizes, trust = (np.concatenate(x) for x in zip(*texts_of.pop(m), strict=True))
-            marked = np.repeat(trust, sizes).astype(float)
-            d = word_models.Distinct(words, sizes, marked)
-            middle = d.vocabulary[d.numbers[1]]
-            rows += [(*place, TRIGRAMS, k, word_models.pack_grams(d.vocabulary, *(x[a:b] for x in d.numbers), d.counts[a:b])) for k, a, b in word_models.cuts(middle, buckets)]
-            c = np.bincount(d.word, marked, len(d.words)).astype(np.int64)
-            rows += [(*place, WORDS, k, word_models.pack_words(d.words[a:b], c[a:b])) for k, a, b in word_models.cuts(d.words, buckets)]
-        return _packets(rows)
+        return _sent(packed, buckets, char_buckets, set(ids.column("id").to_pylist()))
 
     return packs.groupBy("chunk").cogroup(trusted.groupBy("chunk")).applyInArrow(tidy(run), _PACKET)
 
 
-def _of_half(table: pa.Table, half: int) -> list[bytes]:
-    return table.column("pack").filter(pa.array(table.column("half").to_numpy() == half)).to_pylist()
+def _asked(packs: DataFrame, buckets: int) -> DataFrame:
+    """The packets that ask, of all texts of each chunk."""
+    char_buckets = CHAR_BUCKETS
+
+    def run(packed: pa.Table) -> pa.Table:
+        return _sent(packed, buckets, char_buckets)
+
+    return packs.groupBy("chunk").applyInArrow(tidy(run), _PACKET)
 
 
-#: Rows of ``_parts``: numbers of n-grams by count, of word n-grams (1 to 3) and of character n-grams (10 + 2 to 10 + ORDER), and symbols with the number
-#: of symbols before them.
+#: Rows of ``_built``: a shard's pack for a model, or (k not null) its share in what the model needs of all its shards: numbers of n-grams by count, of word
+#: n-grams (1 to 3) and of character n-grams (10 + 2 to 10 + ORDER), and symbols with the number of symbols before them.
 _SYMBOL = 11
-_PARTS = "lang string, half int, k int, symbol int, n1 long, n2 long, n3 long, n4 long, total long, kinds long"
+_NUMBERS = ("n1", "n2", "n3", "n4", "total", "kinds")
+_BUILT = "lang string, half int, kind int, bucket int, pack binary, k int, symbol int, " + ", ".join(f"{x} long" for x in _NUMBERS)
 
 
-def _parts(asked: DataFrame) -> DataFrame:
-    """The share of each bucket in what the two models of a language need of all its buckets."""
+def _built(counted: DataFrame) -> DataFrame:
+    """What the packets that count give to each shard of each model."""
 
     def run(table: pa.Table) -> pa.Table:
-        kind, rows = table.column("kind")[0].as_py(), []
-        for half in (0, 1):
-            packs = _of_half(table, 1 - half)
-            if kind == TRIGRAMS:
-                shard = word_models.Shard(packs)
-                rows += [(half, 3, 0, *word_models.counts_of_counts(shard.c3)), (half, 2, 0, *word_models.counts_of_counts(shard.c2))]
-                continue
+        kind, packs, rows = table.column("kind")[0].as_py(), table.column("pack").to_pylist(), []
+        if kind == TRIGRAMS:
+            shard = word_models.Shard(packs)
+            pack = shard.pack()
+            rows += [(3, 0, *word_models.counts_of_counts(shard.c3)), (2, 0, *word_models.counts_of_counts(shard.c2))]
+        else:
             keys, c = word_models.words_of(packs)
+            pack = word_models.pack_words(keys, c)
             if kind == WORDS:
-                rows.append((half, 1, 0, *word_models.counts_of_counts(c)))
-                continue
-            for k in range(ORDER, 1, -1):
-                rows.append((half, 10 + k, 0, *word_models.counts_of_counts(c)))
-                keys, c = _level(keys, c, k - 1)
-            rows += [(half, _SYMBOL, x, 0, 0, 0, 0, n, 0) for x, n in zip(keys.tolist(), c.tolist(), strict=True)]
+                rows.append((1, 0, *word_models.counts_of_counts(c)))
+            else:
+                for k in range(ORDER, 1, -1):
+                    rows.append((10 + k, 0, *word_models.counts_of_counts(c)))
+                    keys, c = _level(keys, c, k - 1)
+                rows += [(_SYMBOL, x, 0, 0, 0, 0, n, 0) for x, n in zip(keys.tolist(), c.tolist(), strict=True)]
         columns = zip(*rows, strict=True)
-        types = [pa.int32()] * 3 + [pa.int64()] * 6
-        lang = pa.array([table.column("lang")[0].as_py()] * len(rows), pa.string())
-        names = ["lang", "half", "k", "symbol", "n1", "n2", "n3", "n4", "total", "kinds"]
-        return pa.table([lang, *(pa.array(x, t) for x, t in zip(columns, types, strict=True))], names)
+        more = [pa.array([None, *x], t) for x, t in zip(columns, [pa.int32()] * 2 + [pa.int64()] * 6, strict=True)]
+        place = [pa.array([table.column(x)[0].as_py()] * (len(rows) + 1), t) for x, t in (("lang", pa.string()), ("half", pa.int32()), ("kind", pa.int32()), ("bucket", pa.int32()))]
+        return pa.table([*place, pa.array([pack] + [None] * len(rows), pa.binary()), *more], ["lang", "half", "kind", "bucket", "pack", "k", "symbol", *_NUMBERS])
 
-    own = asked.groupBy(*_KEYS).applyInArrow(tidy(run), _PARTS)
-    return own.groupBy("lang", "half", "k", "symbol").agg(*(F.sum(x).alias(x) for x in ("n1", "n2", "n3", "n4", "total", "kinds")))
+    return counted.groupBy("lang", "half", "kind", "bucket").applyInArrow(tidy(run), _BUILT)
 
 
 def _models(parts: DataFrame) -> DataFrame:
@@ -289,50 +301,75 @@ def _models(parts: DataFrame) -> DataFrame:
     return parts.groupBy("lang").applyInArrow(tidy(run), "lang string, words binary, chars binary")
 
 
-def interpolated(asked: np.ndarray, p: np.ndarray, keys: np.ndarray, c: np.ndarray, d: list[float]) -> np.ndarray:
-    """Probabilities of the asked 4-grams' last symbols from a shard's counts; p: those of the symbols alone, d: discounts of orders 2 to ORDER."""
-    levels = {ORDER: (keys, c)}
-    for k in range(ORDER - 1, 1, -1):
-        levels[k] = _level(*levels[k + 1], k)
-    for k in range(2, ORDER + 1):
-        grams, count = levels[k]
+def levels(keys: np.ndarray, c: np.ndarray, d: list[float]) -> list[tuple[np.ndarray, ...]]:
+    """Of a shard's counts, for the orders 2 to ORDER: n-grams, the own probability of each, contexts, and the share that each leaves; d: discounts."""
+    out, grams, count = [], keys, c
+    for k in range(ORDER, 1, -1):
         off = np.array(d[3 * (k - 2) : 3 * (k - 1)])[np.minimum(count, 3) - 1]
-        contexts, of = np.unique(grams >> np.uint64(16), return_inverse=True)
-        total, left = np.bincount(of, count), np.bincount(of, off)
+        contexts, of = word_models.runs(grams >> np.uint64(16))
+        total = np.bincount(of, count)
+        out.append((grams, (count - off) / total[of], contexts, np.bincount(of, off) / total))
+        grams, count = _level(grams, count, k - 1)
+    return out[::-1]
+
+
+def interpolated(asked: np.ndarray, p: np.ndarray, of: list[tuple[np.ndarray, ...]]) -> np.ndarray:
+    """Probabilities of the asked 4-grams' last symbols from a shard's ``levels``; p: those of the symbols alone."""
+    for k, (grams, first, contexts, left) in enumerate(of, 2):
         own = asked & np.uint64((1 << 16 * k) - 1)
-        context = own >> np.uint64(16)
-        at = np.minimum(np.searchsorted(contexts, context), len(contexts) - 1)
-        gram = np.minimum(np.searchsorted(grams, own), len(grams) - 1)
-        first = np.where(grams[gram] == own, count[gram] - off[gram], 0.0)
-        p = np.where(contexts[at] == context, (first + left[at] * p) / total[at], p)
+        at, known = word_models._found(contexts, own >> np.uint64(16))
+        gram, seen = word_models._found(grams, own)
+        p = np.where(known, np.where(seen, first[gram], 0.0) + left[at] * p, p)
     return p
 
 
-def _answers(asked: DataFrame, models: DataFrame, buckets: int) -> DataFrame:
-    """Every packet with the numbers of its n-grams instead, in its order; those of characters with their keys."""
+#: In place of a model's half: the parameters of both models.
+_BOTH = -1
+
+
+def _shards(built: DataFrame, buckets: int) -> DataFrame:
+    """(lang, kind, bucket, half, pack): what each shard needs to answer, its packs and both models' parameters."""
+    parts = built.filter("pack IS NULL").groupBy("lang", "half", "k", "symbol").agg(*(F.sum(x).alias(x) for x in _NUMBERS))
+    models = stored(_models(parts), "quality-parameters")
     kind = F.explode(F.array(*map(F.lit, (CHARS, WORDS, TRIGRAMS)))).alias("kind")
-    each = models.select("lang", kind, "words", "chars").select("lang", "kind", F.when(F.col("kind") == CHARS, F.col("chars")).otherwise(F.col("words")).alias("model"))
+    each = models.select("lang", kind, "words", "chars").select("lang", "kind", F.when(F.col("kind") == CHARS, F.col("chars")).otherwise(F.col("words")).alias("pack"))
     last = F.when(F.col("kind") == CHARS, F.lit(CHAR_BUCKETS - 1)).otherwise(F.lit(buckets - 1))
-    each = each.select("lang", "kind", F.explode(F.sequence(F.lit(0), last)).alias("bucket"), "model")
+    each = each.select(*_KEYS[:2], F.explode(F.sequence(F.lit(0), last)).alias("bucket"), F.lit(_BOTH).alias("half"), "pack")
+    return built.filter("pack IS NOT NULL").select(*_KEYS, "half", "pack").unionByName(each)
+
+
+def _unknown(kind: int) -> list[np.ndarray]:
+    """The parameters of both models of a language without trusted text."""
+    if kind == CHARS:
+        return [np.array(discounts([0] * 4) * (ORDER - 1)), np.empty(0, np.uint32), np.empty(0), np.array([1e-6])] * 2
+    return [np.array([0.0] * 9 + [1.0, 1.0])] * 2
+
+
+def _answers(asked: DataFrame, shards: DataFrame) -> DataFrame:
+    """Every packet with the numbers of its n-grams instead, in its order; those of characters with their keys."""
 
     def run(table: pa.Table, model: pa.Table) -> pa.Table:
         if not table.num_rows:
             return _packets([])
         kind, made = table.column("kind")[0].as_py(), np.empty(table.num_rows, object)
-        parameters, half = word_models.unpacked(model.column("model")[0].as_py()), table.column("half").to_numpy()
+        of, half = dict(zip(model.column("half").to_pylist(), model.column("pack").to_pylist(), strict=True)), table.column("half").to_numpy()
+        parameters = word_models.unpacked(of[_BOTH]) if _BOTH in of else _unknown(kind)
         for m in (0, 1):
             at = np.flatnonzero(half == m)
             if not len(at):
                 continue
-            counting = _of_half(table, 1 - m)
             if kind == TRIGRAMS:
-                shard, d = word_models.Shard(counting), parameters[m]
+                shard = (word_models.Shard.of(of[m]) if m in of else word_models.Shard([])).weigh(parameters[m][3:6], parameters[m][6:9])
             else:
-                keys, c = word_models.words_of(counting)
+                keys, c = word_models.unpack_words(of[m]) if m in of else (np.empty(0, np.uint64), np.empty(0, np.int64))
+                c = c.astype(np.int64)
+            if kind == CHARS:
+                d, symbol, alone, (unknown,) = parameters[4 * m : 4 * m + 4]
+                shard = levels(keys, c, d.tolist()) if len(keys) else []
             for i in at.tolist():
                 pack = table.column("pack")[i].as_py()
                 if kind == TRIGRAMS:
-                    own = shard.answer(*word_models.grams_of(pack)[:4], d[3:6], d[6:9])
+                    own = shard.answer(*word_models.grams_of(pack))
                     made[i] = word_models.packed(*map(word_models.rounded, own))
                     continue
                 own = word_models.unpack_words(pack)[0]
@@ -342,15 +379,13 @@ def _answers(asked: DataFrame, models: DataFrame, buckets: int) -> DataFrame:
                     p = np.where(known, c[found] - d[np.minimum(c[found], 3) - 1], 0.0) / d[9] if len(c) else np.zeros(len(own))
                     made[i] = word_models.packed(word_models.rounded(p), np.array([d[10] / d[9]], np.float32))
                     continue
-                d, symbol, p, (unknown,) = parameters[4 * m : 4 * m + 4]
                 found, known = word_models._found(symbol, (own & np.uint64(0xFFFF)).astype(np.uint32))
-                p = np.where(known, p[found], unknown) if len(p) else np.full(len(own), unknown)
-                if len(keys):
-                    p = interpolated(own, p, keys, c, d.tolist())
+                p = np.where(known, alone[found], unknown) if len(alone) else np.full(len(own), unknown)
+                p = interpolated(own, p, shard)
                 made[i] = word_models.packed(word_models.steps(own), np.log(p).astype(np.float32))
         return table.drop_columns(["pack"]).append_column("pack", pa.array(made.tolist(), pa.binary()))
 
-    return asked.groupBy(*_KEYS).cogroup(each.groupBy(*_KEYS)).applyInArrow(tidy(run), _PACKET)
+    return asked.groupBy(*_KEYS).cogroup(shards.groupBy(*_KEYS)).applyInArrow(tidy(run), _PACKET)
 
 
 class _Answered:
@@ -424,19 +459,39 @@ def _scores(packs: DataFrame, answers: DataFrame, kind: str) -> DataFrame:
     return packs.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(tidy(run), f"doc_id {kind}, model string, n long, nll double, word_nll double")
 
 
+def _maybe_in(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """``rows`` with the boolean ``maybe``: true for all whose id is in ``ids`` (stored) and a few others."""
+    cells = cell_count(ids.count())
+    hashed = F.xxhash64("id")
+    bits = bit_table(ids.select(F.explode(F.array(*bit_cells(hashed, cells))).alias("cell")))
+    return probe(rows, bits, bit_cells(hashed, cells), "hit").withColumn("maybe", F.expr("id IS NOT NULL AND hit")).drop("hit")
+
+
+def _chunks(spark: SparkSession, characters: float) -> int:
+    return max(1, math.ceil(characters / CHUNK_CHARS), min(spark.sparkContext.defaultParallelism, math.ceil(characters / LEAST_CHARS)))
+
+
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Per row: doc_id, lang, n_symbols, perplexity, word_perplexity (both a symbol), score, threshold, kept. ``labels``: doc_id, quality (1: trusted)."""
     spark = docs.sparkSession
-    total = docs.agg(F.sum(F.length(quoted(text_col)))).first()[0] or 0
-    chunks = max(1, math.ceil(total / CHUNK_CHARS), min(spark.sparkContext.defaultParallelism, math.ceil(total / LEAST_CHARS)))
     kind = docs.select(quoted(id_col).alias("x")).schema["x"].dataType.simpleString()
-    trusted = stored(labels.filter("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast(kind).alias("id")).distinct(), "trusted")
-    packs = _packed(docs, id_col, text_col, lang_col, chunks)
-    by_chunk = trusted.select(F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int").alias("chunk"), "id")
-    buckets = max(1, math.ceil(total / word_models.BUCKET_CHARS))
-    asked = _asked(packs, by_chunk, buckets)
-    answers = _answers(asked, _models(_parts(asked)), buckets)
-    scored = stored(_scores(packs, answers, kind), "quality-scores")
+    with freed_shuffles(spark):
+        trusted = stored(labels.filter("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast(kind).alias("id")).distinct(), "trusted")
+        maybe, size = _maybe_in(docs.select(quoted(id_col).alias("id"), F.length(quoted(text_col)).alias("n")), trusted), F.sum("n")
+        total, good_total = (x or 0 for x in maybe.agg(size, F.sum(F.when(F.col("maybe"), F.col("n")))).first())
+        rounds = max(1, min(MAX_ROUNDS, total // ROUND_CHARS))
+        per_round, n = _chunks(spark, total / rounds), _chunks(spark, good_total)
+        buckets = max(1, math.ceil(total / word_models.BUCKET_CHARS))
+        before = written()
+        own = _maybe_in(_rows(docs, id_col, text_col, lang_col, n), trusted).filter("maybe").drop("maybe")
+        counted = _counted(_packed(own, n), trusted.select(F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("chunk"), "id"), buckets)
+        shards = _shards(stored(_built(counted), "quality-models"), buckets)
+        rows, scored = _rows(docs, id_col, text_col, lang_col, rounds * per_round), []
+        for i in range(rounds):
+            packs = _packed(rows.filter(F.pmod("chunk", F.lit(rounds)) == i), per_round)
+            scored.append(stored(_scores(packs, _answers(_asked(packs, buckets), shards), kind), "quality-scores"))
+    release(spark, since=before, but=rounds)
+    scored = reduce(DataFrame.unionByName, scored)
     both = ((F.col("nll") + F.col("word_nll")) / 2).alias("both")
     rows = scored.select("doc_id", F.expr("nullif(substring(model, 1, length(model) - 1), '\\u0000')").alias("lang"), F.col("n").alias("n_symbols"), "nll", "word_nll", both)
     good = rows.join(trusted.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")

@@ -5,7 +5,7 @@ A token is a run of letters and digits, of marks, or one ideograph, with the bla
 last the probability that the character model gives the token's symbols: what the models gather grows with the trusted text, and no word is
 unknown.
 
-Sharding: a packet of the distinct n-grams of a chunk's texts, with their counts in its trusted texts, counts and asks at once. It is of one bucket, by the
+Sharding: a packet holds distinct n-grams of a chunk's texts; those that count have their counts, those that ask have none. It is of one bucket, by the
 word before the last (orders 2 and 3) or by the word itself (order 1). A bucket holds all that its n-grams need but the discounts. A packet's n-grams
 are in the order of their hashes, so that an answer is an array of numbers in the same order and carries no keys.
 """
@@ -89,10 +89,10 @@ def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Distinct:
-    """Distinct trigrams of texts (which begin with BOS twice) in the order of (middle, first, last), with counts (of the marked places) and the number of
-    each place. ``numbers`` are their words' places in ``vocabulary``, which ascends; ``words`` and ``word`` are the distinct words and their numbers."""
+    """Distinct trigrams of texts (which begin with BOS twice) in the order of (middle, first, last), with counts (of the marked places) and, unless they are
+    only counted, the number of each place. ``numbers`` are their words' places in ``vocabulary``, which ascends; ``words`` and ``word`` are the distinct words and their numbers."""
 
-    def __init__(self, words: np.ndarray, sizes: np.ndarray, marked: np.ndarray | None = None):
+    def __init__(self, words: np.ndarray, sizes: np.ndarray, marked: np.ndarray | None = None, places: bool = True):
         n, begins = len(words), np.r_[0, np.cumsum(sizes)[:-1]]
         self.words, self.word = np.unique(words, return_inverse=True)
         bos = int(np.searchsorted(self.words, BOS))
@@ -107,17 +107,20 @@ class Distinct:
         one[begins] = bos
         bits = np.uint64(max(1, len(self.vocabulary).bit_length()))
         if 3 * int(bits) <= 64:
-            key, self.number = np.unique((two << (bits + bits)) | (one << bits) | three, return_inverse=True)
+            key, of = np.unique((two << (bits + bits)) | (one << bits) | three, return_inverse=places, return_counts=not places)
             mask = (np.uint64(1) << bits) - np.uint64(1)
             self.numbers = (key >> bits) & mask, key >> (bits + bits), key & mask
         else:
             order = np.lexsort((three, one, two))
             a, b, c = one[order], two[order], three[order]
             new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1])]
-            self.number = np.empty(n, np.int64)
-            self.number[order] = np.cumsum(new) - 1
+            of = np.empty(n, np.int64)
+            of[order] = np.cumsum(new) - 1
             self.numbers = a[new], b[new], c[new]
-        self.counts = np.bincount(self.number, marked, len(self.numbers[0])).astype(np.int64)
+            of = of if places else np.bincount(of)
+        if places:
+            self.number, of = of, np.bincount(of, marked, len(self.numbers[0]))
+        self.counts = of.astype(np.int64)
 
     @property
     def grams(self) -> tuple[np.ndarray, ...]:
@@ -222,21 +225,47 @@ class Shard:
     def __init__(self, packs: list[bytes]):
         parts = []
         for p in packs:
-            vocabulary, *numbers, c = grams_of(p)
+            vocabulary, one, two, three, c, *_ = grams_of(p)
             if (counted := c > 0).any():
-                parts.append((vocabulary, *(x[counted] for x in (*numbers, c))))
-        self.vocabulary = np.unique(np.concatenate([*(p[0] for p in parts), np.empty(0, np.uint64)]))
-        self.bits = np.uint64((len(self.vocabulary) + 1).bit_length())
+                parts.append((vocabulary, *(x[counted] for x in (one, two, three, c))))
+        self._words(np.unique(np.concatenate([*(p[0] for p in parts), np.empty(0, np.uint64)])))
         numbers = [self.numbers(*p[:4]) for p in parts]
         n1, n2, n3 = (np.concatenate([*(x[i] for x in numbers), np.empty(0, np.uint64)]) for i in range(3))
         c = np.concatenate([*(p[4] for p in parts), np.empty(0, np.uint64)])
         self.keys3, first, inverse = np.unique(self.joined(self.joined(n2, n1), n3), return_index=True, return_inverse=True)
         self.c3 = np.bincount(inverse, c, len(first)).astype(np.int64)
-        n1, n2, n3 = n1[first], n2[first], n3[first]
+        n1, n2, n3 = self.grams3 = n1[first], n2[first], n3[first]
         self.contexts3, self.of3 = np.unique(self.joined(n2, n1), return_inverse=True)
         self.keys2, first, self.c2 = np.unique(self.joined(n2, n3), return_index=True, return_counts=True)
+        self.grams2 = n2[first], n3[first]
         self.contexts2, self.of2 = np.unique(n2[first], return_inverse=True)
 
+    def _words(self, vocabulary: np.ndarray) -> None:
+        self.vocabulary, self.bits = vocabulary, np.uint64((len(vocabulary) + 1).bit_length())
+
+    def pack(self) -> bytes:
+        """All that the shard holds, in order."""
+        (n1, n2, n3), (m2, m3), c3, c2 = self.grams3, self.grams2, self.c3, self.c2
+        if 3 * int(self.bits) > 64:
+            three, two = np.lexsort((n3, n1, n2)), np.lexsort((m3, m2))
+            n1, n2, n3, c3, m2, m3, c2 = n1[three], n2[three], n3[three], c3[three], m2[two], m3[two], c2[two]
+        return packed(steps(self.vocabulary), *map(_small, (n1, steps(n2), n3, c3, steps(m2), m3, c2)))
+
+    @classmethod
+    def of(cls, pack: bytes) -> "Shard":
+        """The shard that was packed; its n-grams have their order, so that nothing is sorted."""
+        vocabulary, n1, n2, n3, c3, m2, m3, c2 = grams_of(pack)
+        self = cls.__new__(cls)
+        self._words(vocabulary)
+        if 3 * int(self.bits) > 64:
+            return cls([pack])
+        n1, n2, n3, m3 = (x.astype(np.uint64) for x in (n1, n2, n3, m3))
+        m2 = np.cumsum(m2, dtype=np.uint64)
+        pair = self.joined(n2, n1)
+        self.keys3, self.c3, self.keys2, self.c2 = self.joined(pair, n3), c3.astype(np.int64), self.joined(m2, m3), c2.astype(np.int64)
+        (self.contexts3, self.of3), (self.contexts2, self.of2) = runs(pair), runs(m2)
+        return self
+
     def numbers(self, vocabulary: np.ndarray, *of: np.ndarray) -> list[np.ndarray]:
         """Numbers of a packet as numbers of the shard; words that it did not count have one that no word has."""
         at, known = _found(self.vocabulary, vocabulary)
@@ -246,30 +275,42 @@ class Shard:
     def joined(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return (a << self.bits) | b if 3 * int(self.bits) <= 64 else _pair(a, b)
 
-    def answer(self, vocabulary: np.ndarray, one: np.ndarray, two: np.ndarray, three: np.ndarray, d2: np.ndarray, d3: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def weigh(self, d2: np.ndarray, d3: np.ndarray) -> "Shard":
+        """With these discounts: the own probability of each n-gram and the share that each context leaves."""
+        self.levels = []
+        for keys, c, contexts, of, d in ((self.keys2, self.c2, self.contexts2, self.of2, d2), (self.keys3, self.c3, self.contexts3, self.of3, d3)):
+            off = d[np.minimum(c, 3) - 1]
+            total = np.bincount(of, c, len(contexts))
+            self.levels.append((keys, (c - off) / total[of], contexts, np.bincount(of, off, len(contexts)) / total))
+        return self
+
+    def answer(self, vocabulary: np.ndarray, one: np.ndarray, two: np.ndarray, three: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(a, b): the probability of each trigram is a + b times that of its last word alone."""
         n1, n2, n3 = self.numbers(vocabulary, one, two, three)
         a, b = np.zeros(len(n1)), np.ones(len(n1))
         pair = self.joined(n2, n1)
-        for keys, c, contexts, of, d, context, key in (
-            (self.keys2, self.c2, self.contexts2, self.of2, d2, n2, self.joined(n2, n3)),
-            (self.keys3, self.c3, self.contexts3, self.of3, d3, pair, self.joined(pair, n3)),
-        ):
-            off = d[np.minimum(c, 3) - 1]
-            total, left = np.bincount(of, c, len(contexts)), np.bincount(of, off, len(contexts))
+        for (keys, p, contexts, left), context, key in zip(self.levels, (n2, pair), (self.joined(n2, n3), self.joined(pair, n3)), strict=True):
             # Equal contexts are neighbours: each run is looked up once.
-            runs = np.flatnonzero(np.r_[True, context[1:] != context[:-1]])[: len(context)]
-            sizes = np.diff(np.r_[runs, len(context)])
-            at, known = (np.repeat(x, sizes) for x in _found(contexts, context[runs]))
-            gram, seen = _found(keys, key)
-            if known.any():
-                own = np.where(seen, c[gram] - off[gram], 0.0) if len(c) else 0.0
-                share = left[at] / total[at]
-                a = np.where(known, own / total[at] + share * a, a)
-                b = np.where(known, share * b, b)
+            first = np.flatnonzero(np.r_[True, context[1:] != context[:-1]])[: len(context)]
+            sizes = np.diff(np.r_[first, len(context)])
+            at, known = (np.repeat(x, sizes) for x in _found(contexts, context[first]))
+            if not known.any():
+                continue
+            # An n-gram is there only if its context is.
+            asked = np.flatnonzero(known)
+            gram, seen = _found(keys, key[asked])
+            share = left[at[asked]]
+            a[asked] = np.where(seen, p[gram], 0.0) + share * a[asked]
+            b[asked] *= share
         return a, b
 
 
+def runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ones of ascending numbers, and the number of each place."""
+    new = np.r_[True, x[1:] != x[:-1]][: len(x)]
+    return x[new], np.cumsum(new) - 1
+
+
 def words_of(packs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct words of a bucket that were counted, and their counts."""
     parts = [(w[c > 0], c[c > 0]) for w, c in map(unpack_words, packs)]

@@ -1,11 +1,14 @@
 import math
 import random
+import time
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import quality
+from tessera.storage import written
 
 WORDS = ["the", "tion", "and", "er", "in", "es", "on", "ré", "zu"]
 
@@ -121,3 +124,41 @@ def test_other_shards_give_the_same(spark, monkeypatch):
 def test_discounts_agree():
     assert quality.discounts([10, 4, 2, 1]) == pytest.approx([1 - 2 * (10 / 18) * 0.4, 2 - 3 * (10 / 18) * 0.5, 3 - 4 * (10 / 18) * 0.5])
     assert quality.discounts([0, 0, 0, 0]) == [0.5, 1.0, 1.5]
+
+
+def test_rounds_give_the_same_and_leave_nothing(spark, monkeypatch):
+    rows, labels = corpus()
+    rows += [(None, rows[1][1], "en", "x"), (None, "no id", None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score string")
+    frame = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    folders = [str(x) for x in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    held, asks = [], []
+
+    def shuffled():
+        return sum(p.stat().st_size for f in folders for p in Path(f).rglob("shuffle_*.data") if int(p.name.split("_")[1]) > last)
+
+    def spied(df, name, real=quality.stored):
+        out = real(df, name)
+        if name == "quality-scores":
+            asks.append(out.count())
+            for _ in range(50):  # Spark deletes them beside what follows
+                if not (left := shuffled()):
+                    break
+                time.sleep(0.1)
+            held.append(left)
+        return out
+
+    def scores():
+        out = quality.score(docs, frame).select("doc_id", "lang", "n_symbols", "kept", F.round("perplexity", 6), F.round("word_perplexity", 3)).collect()
+        return Counter(tuple(r) for r in out)
+
+    one = scores()
+    last = spark.sparkContext._jsc.sc().newShuffleId()
+    monkeypatch.setattr(quality, "stored", spied)
+    monkeypatch.setattr(quality, "ROUND_CHARS", 5_000)
+    before = written()
+    assert scores() == one
+    assert len(asks) == quality.MAX_ROUNDS and sum(asks) == len(rows) and max(asks) < len(rows) / 2
+    assert held == [0] * len(asks)
+    # Trusted ids, scores, means and thresholds stay for the result; the models do not.
+    assert written() - before == 3 + len(asks)

@@ -137,3 +137,31 @@ def test_packets():
     assert all((back[0][x] == y).all() for x, y in zip(back[1:4], d.grams, strict=True)) and (back[4] == d.counts).all()
     x = rng.random(7).astype(np.float32)
     assert (word_models.unpacked(word_models.packed(x, x[:1]))[0] == x).all()
+
+
+@pytest.mark.parametrize("words", [60, 2**21 + 5])
+def test_a_shard_comes_back_from_its_pack(words):
+    rng = np.random.default_rng(2)
+    vocabulary = np.unique(rng.integers(0, 2**40, words, np.uint64))
+    texts = rng.choice(vocabulary[:60], 3000) if words == 60 else np.concatenate([rng.permutation(vocabulary), rng.choice(vocabulary[:60], 3000)])
+    sizes = np.array([len(texts) - 1000, 1000])
+    counted = word_models.Distinct(texts, sizes, places=False)
+    packs = [word_models.pack_grams(counted.vocabulary, *counted.numbers, counted.counts)]
+    shard = word_models.Shard(packs)
+    back = word_models.Shard.of(shard.pack())
+    assert (3 * int(shard.bits) <= 64) == (words == 60)
+    for x in ("vocabulary", "keys3", "c3", "contexts3", "of3", "keys2", "c2", "contexts2", "of2"):
+        assert (getattr(back, x) == getattr(shard, x)).all(), x
+    asked = word_models.Distinct(rng.choice(np.r_[vocabulary[:60], np.arange(9, dtype=np.uint64)], 500), np.array([500]), places=False)
+    ask = word_models.grams_of(word_models.pack_grams(asked.vocabulary, *asked.numbers))
+    d = np.array([0.5, 1.0, 1.5])
+    one, two = shard.weigh(d, d).answer(*ask), back.weigh(d, d).answer(*ask)
+    assert all((x == y).all() for x, y in zip(one, two, strict=True)) and (one[0] > 0).any()
+
+
+def test_counting_alone_gives_the_same_grams():
+    rng = np.random.default_rng(3)
+    for words in (rng.integers(0, 50, 400, np.uint64), rng.integers(0, 2**40, 2**21 + 400, np.uint64)):
+        sizes = np.array([100, len(words) - 100])
+        a, b = word_models.Distinct(words, sizes), word_models.Distinct(words, sizes, places=False)
+        assert (a.counts == b.counts).all() and all((x == y).all() for x, y in zip(a.numbers, b.numbers, strict=True))
