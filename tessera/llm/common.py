@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.storage import freed_shuffles, release, shared_dir, stored, written  # noqa: F401 -- for the operators and their callers
+from tessera.storage import bucketed, freed_shuffles, release, shared_dir, stored, written  # noqa: F401 -- for the operators and their callers
 
 #: Cells of a bit table: at least one 4 KB bucket, at most 2^30 (128 MB, the proven bound of its broadcast).
 MIN_CELLS, MAX_CELLS = 1 << 15, 1 << 30

@@ -36,7 +36,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import _parse_datatype_string
 
 from . import word_models
-from .common import bit_cells, bit_table, cell_count, freed_shuffles, in_batches, partitions, probe, quoted, release, small_batches, spread, stored, tidy, without, written
+from .common import bit_cells, bit_table, bucketed, cell_count, freed_shuffles, in_batches, partitions, probe, quoted, release, small_batches, spread, stored, tidy, without, written
 
 ORDER = 4
 #: Characters a chunk: its packs, its distinct n-grams and their probabilities fit a small worker.
@@ -44,7 +44,7 @@ CHUNK_CHARS = 16_000_000
 #: Characters from which a small table is dealt into more chunks, one a core.
 LEAST_CHARS = 1_000_000
 #: Rounds in which the documents are scored, at most, and the characters of one, at least. Each round reads the documents and the models again.
-MAX_ROUNDS, ROUND_CHARS = 6, 16_000_000
+MAX_ROUNDS, ROUND_CHARS = 4, 16_000_000
 SHRINK = 200.0
 #: The share of trusted documents below the threshold.
 QUANTILE = 0.9995
@@ -243,28 +243,30 @@ _BUILT = "lang string, half int, kind int, bucket int, pack binary, k int, symbo
 def _built(counted: DataFrame) -> DataFrame:
     """What the packets that count give to each shard of each model."""
 
-    def run(table: pa.Table) -> pa.Table:
-        kind, packs, rows = table.column("kind")[0].as_py(), table.column("pack").to_pylist(), []
+    def shard_of(kind: int, packs: list[bytes]) -> tuple[bytes, list[tuple]]:
         if kind == TRIGRAMS:
             shard = word_models.Shard(packs)
-            pack = shard.pack()
-            rows += [(3, 0, *word_models.counts_of_counts(shard.c3)), (2, 0, *word_models.counts_of_counts(shard.c2))]
-        else:
-            keys, c = word_models.words_of(packs)
-            pack = word_models.pack_words(keys, c)
-            if kind == WORDS:
-                rows.append((1, 0, *word_models.counts_of_counts(c)))
-            else:
-                for k in range(ORDER, 1, -1):
-                    rows.append((10 + k, 0, *word_models.counts_of_counts(c)))
-                    keys, c = _level(keys, c, k - 1)
-                rows += [(_SYMBOL, x, 0, 0, 0, 0, n, 0) for x, n in zip(keys.tolist(), c.tolist(), strict=True)]
-        columns = zip(*rows, strict=True)
-        more = [pa.array([None, *x], t) for x, t in zip(columns, [pa.int32()] * 2 + [pa.int64()] * 6, strict=True)]
-        place = [pa.array([table.column(x)[0].as_py()] * (len(rows) + 1), t) for x, t in (("lang", pa.string()), ("half", pa.int32()), ("kind", pa.int32()), ("bucket", pa.int32()))]
-        return pa.table([*place, pa.array([pack] + [None] * len(rows), pa.binary()), *more], ["lang", "half", "kind", "bucket", "pack", "k", "symbol", *_NUMBERS])
+            return shard.pack(), [(3, 0, *word_models.counts_of_counts(shard.c3)), (2, 0, *word_models.counts_of_counts(shard.c2))]
+        keys, c = word_models.words_of(packs)
+        pack, rows = word_models.pack_words(keys, c), []
+        if kind == WORDS:
+            return pack, [(1, 0, *word_models.counts_of_counts(c))]
+        for k in range(ORDER, 1, -1):
+            rows.append((10 + k, 0, *word_models.counts_of_counts(c)))
+            keys, c = _level(keys, c, k - 1)
+        return pack, rows + [(_SYMBOL, x, 0, 0, 0, 0, n, 0) for x, n in zip(keys.tolist(), c.tolist(), strict=True)]
+
+    def run(table: pa.Table) -> pa.Table:
+        lang, kind, bucket = (table.column(x)[0].as_py() for x in _KEYS)
+        rows = []
+        for half in (0, 1):
+            if packs := table.column("pack").filter(pa.array(table.column("half").to_numpy() == half)).to_pylist():
+                pack, shares = shard_of(kind, packs)
+                rows += [(lang, half, kind, bucket, pack, *[None] * 8), *((lang, half, kind, bucket, None, *x) for x in shares)]
+        types = [pa.string(), *[pa.int32()] * 3, pa.binary(), *[pa.int32()] * 2, *[pa.int64()] * 6]
+        return pa.table([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], ["lang", "half", "kind", "bucket", "pack", "k", "symbol", *_NUMBERS])
 
-    return counted.groupBy("lang", "half", "kind", "bucket").applyInArrow(tidy(run), _BUILT)
+    return counted.groupBy(*_KEYS).applyInArrow(tidy(run), _BUILT)
 
 
 def _models(parts: DataFrame) -> DataFrame:
@@ -323,19 +325,18 @@ def interpolated(asked: np.ndarray, p: np.ndarray, of: list[tuple[np.ndarray, ..
     return p
 
 
-#: In place of a model's half: the parameters of both models.
+#: In place of a chunk and a half: the parameters of both models.
 _BOTH = -1
 
 
-def _shards(built: DataFrame, buckets: int) -> DataFrame:
-    """(lang, kind, bucket, half, pack): what each shard needs to answer, its packs and both models' parameters."""
-    parts = built.filter("pack IS NULL").groupBy("lang", "half", "k", "symbol").agg(*(F.sum(x).alias(x) for x in _NUMBERS))
+def _parameters(built: DataFrame, buckets: int) -> DataFrame:
+    """Packets with both models' parameters for each shard."""
+    parts = built.filter("k IS NOT NULL").groupBy("lang", "half", "k", "symbol").agg(*(F.sum(x).alias(x) for x in _NUMBERS))
     models = stored(_models(parts), "quality-parameters")
     kind = F.explode(F.array(*map(F.lit, (CHARS, WORDS, TRIGRAMS)))).alias("kind")
     each = models.select("lang", kind, "words", "chars").select("lang", "kind", F.when(F.col("kind") == CHARS, F.col("chars")).otherwise(F.col("words")).alias("pack"))
     last = F.when(F.col("kind") == CHARS, F.lit(CHAR_BUCKETS - 1)).otherwise(F.lit(buckets - 1))
-    each = each.select(*_KEYS[:2], F.explode(F.sequence(F.lit(0), last)).alias("bucket"), F.lit(_BOTH).alias("half"), "pack")
-    return built.filter("pack IS NOT NULL").select(*_KEYS, "half", "pack").unionByName(each)
+    return each.select(F.lit(_BOTH).alias("chunk"), "lang", F.lit(_BOTH).alias("half"), "kind", F.explode(F.sequence(F.lit(0), last)).alias("bucket"), "pack")
 
 
 def _unknown(kind: int) -> list[np.ndarray]:
@@ -345,15 +346,17 @@ def _unknown(kind: int) -> list[np.ndarray]:
     return [np.array([0.0] * 9 + [1.0, 1.0])] * 2
 
 
-def _answers(asked: DataFrame, shards: DataFrame) -> DataFrame:
+def _answers(asked: DataFrame, parameters: DataFrame, built: DataFrame) -> DataFrame:
     """Every packet with the numbers of its n-grams instead, in its order; those of characters with their keys."""
 
     def run(table: pa.Table, model: pa.Table) -> pa.Table:
+        asks = table.column("half").to_numpy() != _BOTH
+        both, table = table.column("pack").filter(pa.array(~asks)).to_pylist(), table.filter(pa.array(asks))
         if not table.num_rows:
             return _packets([])
         kind, made = table.column("kind")[0].as_py(), np.empty(table.num_rows, object)
         of, half = dict(zip(model.column("half").to_pylist(), model.column("pack").to_pylist(), strict=True)), table.column("half").to_numpy()
-        parameters = word_models.unpacked(of[_BOTH]) if _BOTH in of else _unknown(kind)
+        parameters = word_models.unpacked(both[0]) if both else _unknown(kind)
         for m in (0, 1):
             at = np.flatnonzero(half == m)
             if not len(at):
@@ -385,7 +388,8 @@ def _answers(asked: DataFrame, shards: DataFrame) -> DataFrame:
                 made[i] = word_models.packed(word_models.steps(own), np.log(p).astype(np.float32))
         return table.drop_columns(["pack"]).append_column("pack", pa.array(made.tolist(), pa.binary()))
 
-    return asked.groupBy(*_KEYS).cogroup(shards.groupBy(*_KEYS)).applyInArrow(tidy(run), _PACKET)
+    shards = built.filter("k IS NULL").select(*_KEYS, "half", "pack")
+    return asked.unionByName(parameters).groupBy(*_KEYS).cogroup(shards.groupBy(*_KEYS)).applyInArrow(tidy(run), _PACKET)
 
 
 class _Answered:
@@ -485,11 +489,12 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         before = written()
         own = _maybe_in(_rows(docs, id_col, text_col, lang_col, n), trusted).filter("maybe").drop("maybe")
         counted = _counted(_packed(own, n), trusted.select(F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("chunk"), "id"), buckets)
-        shards = _shards(stored(_built(counted), "quality-models"), buckets)
+        built = bucketed(_built(counted), "quality-models", *_KEYS)
+        parameters = _parameters(built, buckets)
         rows, scored = _rows(docs, id_col, text_col, lang_col, rounds * per_round), []
         for i in range(rounds):
             packs = _packed(rows.filter(F.pmod("chunk", F.lit(rounds)) == i), per_round)
-            scored.append(stored(_scores(packs, _answers(_asked(packs, buckets), shards), kind), "quality-scores"))
+            scored.append(stored(_scores(packs, _answers(_asked(packs, buckets), parameters, built), kind), "quality-scores"))
     release(spark, since=before, but=rounds)
     scored = reduce(DataFrame.unionByName, scored)
     both = ((F.col("nll") + F.col("word_nll")) / 2).alias("both")

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 ROW_GROUP_BYTES = 16 << 20
 
 _written: list[str] = []
+#: Names of the tables that are registered, by path.
+_tables: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,6 +36,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, *keys: str) -> DataFrame:
+    """``stored`` in buckets of ``keys``, as many as a shuffle has partitions: what groups by the keys reads them where they lie. Spark knows buckets of
+    registered tables only, so the table has a name until ``release``."""
+    spark, unique = df.sparkSession, uuid.uuid4().hex
+    path, table = f"{shared_dir(spark)}/{name}-{unique}", f"tessera_{unique}"
+    _written.append(path)
+    _tables[path] = table
+    writer = df.write.option("parquet.block.size", ROW_GROUP_BYTES).option("path", path)
+    writer.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).saveAsTable(table, format="parquet")
+    return spark.table(table)
+
+
 @contextmanager
 def freed_shuffles(spark: SparkSession) -> Iterator[None]:
     """What is written inside leaves no shuffle files: Spark deletes them when the write ends, not when the driver happens to collect its garbage."""
@@ -58,7 +72,10 @@ def release(spark: SparkSession, since: int = 0, but: int = 0) -> int:
     last = _written[len(_written) - but :]
     del _written[len(_written) - but :]
     while len(_written) > since:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        name = _written.pop()
+        if name in _tables:
+            spark.sql(f"DROP TABLE IF EXISTS {_tables.pop(name)}")
+        path = jvm.org.apache.hadoop.fs.Path(name)
         n += path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
     _written.extend(last)
     return n
