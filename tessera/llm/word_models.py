@@ -39,6 +39,13 @@ def _classes() -> np.ndarray:
     return out
 
 
+@lru_cache(1)
+def _begins() -> np.ndarray:
+    """Whether a token begins between a symbol of one class (times eight) and the next one's."""
+    before, after = np.divmod(np.arange(64, dtype=np.uint8), 8)
+    return ((after != before) | (after == _ALONE)) & ((before != _BLANK) | (after == _END))
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * _K[1]
     x = (x ^ (x >> np.uint64(27))) * _K[2]
@@ -71,15 +78,18 @@ def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     raw = np.frombuffer("".join(t.replace("\x00", "\uefff") + "\x00" for t in texts).encode("utf-32-le", "surrogatepass"), "<u4")
     sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
     ends = np.cumsum(sizes)
-    kind = np.where(raw < 0x10000, _classes()[np.minimum(raw, 0xFFFF)], np.uint8(_ALONE))
+    wide = np.flatnonzero(raw > 0xFFFF)
+    low = np.minimum(raw, 0xFFFF) if len(wide) else raw
+    kind = _classes()[low]
+    kind[wide] = _ALONE
     kind[ends - 1] = _END
     first = np.ones(len(raw), bool)
-    first[1:] = ((kind[1:] != kind[:-1]) | (kind[1:] == _ALONE)) & ((kind[:-1] != _BLANK) | (kind[1:] == _END))
+    first[1:] = _begins()[kind[:-1] * np.uint8(8) + kind[1:]]
     first[ends[:-1]] = True
     at = np.flatnonzero(first)
     # A token's hash is the sum of its symbols' numbers times powers of an odd base: powers of the place in the batch, taken back by the token's begin.
-    codes = _codes()[np.minimum(raw, 0xFFFF)]
-    if len(wide := np.flatnonzero(raw > 0xFFFF)):
+    codes = _codes()[low]
+    if len(wide):
         codes[wide] = _mixed((raw[wide].astype(np.uint64) + np.uint64(1)) * _K[0])
     up, down = _powers(len(raw))
     codes *= up[: len(raw)]
@@ -88,13 +98,35 @@ def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return _mixed(hashed) >> np.uint64(64 - WORD_BITS), at, np.diff(np.r_[0, last])
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """As np.unique, by sorting: numpy's table of hashes takes several times as long."""
+    x = np.sort(x)
+    return x[np.r_[True, x[1:] != x[:-1]][: len(x)]]
+
+
+#: Slots of the table that numbers words, two to this power.
+_SLOT_BITS = 17
+
+
+def numbered(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct words, which ascend, and the number of each place: by a table of one word a slot, and by search where another word took the slot."""
+    found = distinct(words)
+    slot = found >> np.uint64(WORD_BITS - _SLOT_BITS)
+    table = np.zeros(1 << _SLOT_BITS, np.int32)
+    table[slot] = np.arange(len(found), dtype=np.int32)
+    number = table[words >> np.uint64(WORD_BITS - _SLOT_BITS)].astype(np.int64)
+    other = np.flatnonzero(found[number] != words) if len(found) else np.empty(0, np.int64)
+    number[other] = np.searchsorted(found, words[other])
+    return found, number
+
+
 class Distinct:
     """Distinct trigrams of texts (which begin with BOS twice) in the order of (middle, first, last), with counts (of the marked places) and, unless they are
     only counted, the number of each place. ``numbers`` are their words' places in ``vocabulary``, which ascends; ``words`` and ``word`` are the distinct words and their numbers."""
 
     def __init__(self, words: np.ndarray, sizes: np.ndarray, marked: np.ndarray | None = None, places: bool = True):
         n, begins = len(words), np.r_[0, np.cumsum(sizes)[:-1]]
-        self.words, self.word = np.unique(words, return_inverse=True)
+        self.words, self.word = numbered(words)
         bos = int(np.searchsorted(self.words, BOS))
         there = bos < len(self.words) and self.words[bos] == BOS
         self.vocabulary = self.words if there else np.insert(self.words, bos, BOS)
