@@ -7,6 +7,7 @@ import time
 from pathlib import Path
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 
 def get_session(app: str = "tessera", master: str | None = None, **conf: str) -> SparkSession:
@@ -51,6 +52,13 @@ def await_executors(spark: SparkSession, n: int, timeout: float = 60.0) -> int:
     return executor_count(spark)
 
 
+def free_heaps(spark: SparkSession) -> None:
+    """Executors collect their garbage and give the free part of their heaps back to the machine, which a JVM else holds until it ends: for the begin of work
+    whose Python workers need that memory. One task a core, dealt out in turn, so that each executor has some; a busy cluster may pass over one."""
+    n = default_pcount(spark)
+    spark.range(0, n, 1, n).select(F.call_function("reflect", F.lit("java.lang.System"), F.lit("gc"))).collect()
+
+
 def share_package(spark: SparkSession) -> None:
     """Lets Python workers import this package from where the driver has it, in case their path does not name it."""
     root = str(Path(__file__).resolve().parents[1])

@@ -74,3 +74,15 @@ def test_stages_take_nulls_repeats_and_further_columns(spark, folder):
         assert out.columns == docs.columns, name
         if name != "source_mix":
             assert ids.count(None) == 2 and ids.count(7000) == (1 if name == "exact_dedup" else 2), name
+
+
+def test_each_stage_begins_with_collected_heaps(spark, folder):
+    def collections() -> int:
+        beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+        return sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+
+    docs = spark.read.parquet(f"{folder}/documents.parquet").limit(20)
+    for name, stage in corpus_pipeline.STAGES:
+        before = collections()
+        stage(spark, docs, folder)
+        assert collections() > before, name
